@@ -1,0 +1,236 @@
+"""The given tables seen as variants, documents, pages, chunks, jobs, blocks.
+
+Each view reads its whole table. A conversation becomes one *document* per eight
+consecutive turns, one turn per registered parser, so that a document never has
+more variants or pages than there are parsers, however long a conversation is.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscore.operators.registry import PARSER_NAMES, PARSERS
+from folioscore.sources.naming import output_name
+
+#: Turns per document: one for each registered parser.
+SPAN = len(PARSER_NAMES)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than the session has cores.
+
+    A large table is left as it is; a table of one row group would otherwise
+    keep all text work in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _by_position(values: list[str], position: Column) -> Column:
+    """Pick from a short fixed list by a 0-based position."""
+    return F.get(F.array(*[F.lit(v) for v in values]), position)
+
+
+def turn_document(conv: str = "conv_id", turn: str = "turn") -> Column:
+    """Key of the document a turn belongs to."""
+    block = F.floor(F.col(turn) / SPAN)
+    return F.concat(F.lit("conv"), F.col(conv), F.lit("-"), block)
+
+
+def turn_position(turn: str = "turn") -> Column:
+    return F.pmod(F.col(turn), F.lit(SPAN)).cast("int")
+
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as the Markdown files that the parsers made of one document."""
+    parser = _by_position([p[0] for p in PARSERS], F.col("ord"))
+    model = _by_position([p[1] for p in PARSERS], F.col("ord"))
+    return (
+        table(spark, sf_dir, "conversations")
+        .select(turn_document().alias("filestem"), turn_position().alias("ord"), "text")
+        .withColumn("parser", parser)
+        .withColumn("model", model)
+        .withColumn("file", output_name(F.col("filestem"), F.col("parser"), F.col("model")))
+        .select("filestem", "parser", "model", "file", "ord", "text")
+    )
+
+
+def dressed(text: Column, key: Column) -> Column:
+    """A text put into Markdown: heading, emphasis, lists, table, quote, link,
+    formula, entity, page number and rule around the whole text."""
+    return F.concat(
+        F.lit("# Title "), key, F.lit("\n\n**bold words** and *slanted* ~~gone~~ `code`\n\n"),
+        F.lit("- first item\n- second_item_here\n\n1. one\n2. two\n\n> quoted line\n\n"),
+        F.lit("[link "), key, F.lit("](https://example.com/a)\n\n"),
+        F.lit("| Name | Value |\n|------|-------|\n| key | "), key, F.lit(" |\n\n"),
+        text,
+        F.lit("\n\n$$E = mc^2$$ and $x$ and \\(y\\) \\alpha\\frac{a}{b} \\pivot &amp; \\% done\n\n"),
+        key, F.lit("\n\nTable of Contents\n\n---\n"),
+    )
+
+
+def dressed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", dressed(F.col("text"), F.col("doc_id").cast("string")).alias("text")
+    )
+
+
+def dressed_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(spark, sf_dir).withColumn(
+        "text", dressed(F.col("text"), F.col("ord").cast("string"))
+    )
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as the pages of documents."""
+    return table(spark, sf_dir, "conversations").select(
+        turn_document().alias("doc_id"),
+        (turn_position() + 1).alias("page_no"),
+        F.col("text").alias("page_text"),
+    )
+
+
+def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a page heading before each page; at most eight pages."""
+    page = F.struct(
+        "page_no",
+        F.concat(
+            F.lit("###### Page "), F.col("page_no"), F.lit("\n\n"), F.col("page_text"), F.lit("\n\n")
+        ).alias("t"),
+    )
+    return (
+        pages(spark, sf_dir)
+        .groupBy("doc_id")
+        .agg(
+            F.array_join(
+                F.transform(F.array_sort(F.collect_list(page)), lambda x: x["t"]), ""
+            ).alias("text")
+        )
+    )
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a turn as deltas of one response; blank lines are null deltas."""
+    return chunks_of(table(spark, sf_dir, "conversations"))
+
+
+def chunks_of(conversations: DataFrame) -> DataFrame:
+    return conversations.select(
+        turn_document().alias("doc_id"),
+        (turn_position() + 1).alias("page_no"),
+        F.posexplode(F.split("text", r"(?<=\.)")).alias("seq", "_d"),
+    ).select("doc_id", "page_no", "seq", F.nullif(F.col("_d"), F.lit("")).alias("delta"))
+
+
+def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph pieces of each page; pieces that open a paragraph carry HTML."""
+    piece = F.posexplode(F.split("html", "</p>")).alias("seq", "text")
+    return (
+        table(spark, sf_dir, "pages")
+        .select(F.col("page_id").cast("string").alias("doc_id"), piece)
+        .select(
+            "doc_id",
+            "seq",
+            F.lit("paragraph").alias("kind"),
+            "text",
+            F.when(
+                F.contains("text", F.lit("<p>")),
+                F.create_map(F.lit("text_as_html"), F.concat(F.col("text"), F.lit("</p>"))),
+            )
+            .otherwise(F.create_map(F.lit("languages"), F.lit("eng")))
+            .alias("metadata"),
+        )
+    )
+
+
+def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order forms with a page per supplier: title, section, figure, table."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        F.col("l_suppkey").cast("int").alias("page_no"),
+        (F.col("l_linenumber") * F.lit(10_000_000_000) + F.col("l_partkey")).alias("row_no"),
+        F.col("l_linenumber").cast("string").alias("c1"),
+        F.col("l_partkey").cast("string").alias("c2"),
+        F.col("l_returnflag").alias("c3"),
+    )
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+    def block(seq: int, kind: str, row: Column, col: int, text: Column) -> Column:
+        return F.struct(
+            F.lit(seq).alias("seq"),
+            F.lit(kind).alias("kind"),
+            row.alias("row_no"),
+            F.lit(col).alias("col_no"),
+            text.alias("text"),
+        )
+
+    zero = F.lit(0).cast("long")
+    cells = F.array(
+        block(4, "table", F.col("row_no"), 1, F.col("c1")),
+        block(4, "table", F.col("row_no"), 2, F.col("c2")),
+        block(4, "table", F.col("row_no"), 3, F.col("c3")),
+    )
+    table_cells = lines.select(
+        F.col("o_orderkey").cast("string").alias("doc_id"), "page_no", F.inline(cells)
+    )
+    heads = F.array(
+        block(1, "title", zero, 0, F.concat(F.lit("Order "), F.col("o_orderkey"))),
+        block(2, "section_header", zero, 0, F.concat(F.lit("Status "), F.col("o_orderstatus"))),
+        block(3, "figure", zero, 0, F.lit("logo")),
+        block(4, "column_header", zero, 1, F.lit("line")),
+        block(5, "text", zero, 0, F.concat(F.lit("Priority "), F.col("o_orderpriority"))),
+    )
+    per_page = lines.select("o_orderkey", "page_no").distinct()
+    page_heads = per_page.join(orders, "o_orderkey").select(
+        F.col("o_orderkey").cast("string").alias("doc_id"), "page_no", F.inline(heads)
+    )
+    return table_cells.unionByName(page_heads)
+
+
+def requested_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path per document; the language decides the suffix."""
+    suffix = (
+        F.when(F.col("lang") == "en", ".pdf")
+        .when(F.col("lang") == "de", ".PDF")
+        .when(F.col("lang") == "fr", ".txt")
+        .otherwise(".pdf")
+    )
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.concat(F.lit("in/"), F.col("source"), F.lit("/doc."), F.col("doc_id"), suffix).alias(
+            "path"
+        ),
+    )
+
+
+def input_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listing shows: labelled documents exist, toxic ones are folders."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return (
+        requested_inputs(spark, sf_dir)
+        .join(labels, "doc_id")
+        .select("path", (F.col("toxic") == 0).alias("is_file"))
+    )
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job per document: the source picks a parser (two pick one that is not
+    registered), the language a model (none, empty, the newest, a foreign one)."""
+    names = [*PARSER_NAMES, "markitdown", "pandoc"]
+    number = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    model = (
+        F.when(F.col("lang") == "en", F.lit(None).cast("string"))
+        .when(F.col("lang") == "de", "")
+        .when(F.col("lang") == "fr", "gpt-4o")
+        .otherwise("gemini-1.5-flash")
+    )
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        _by_position(names, F.pmod(number, F.lit(len(names)))).alias("parser"),
+        model.alias("model"),
+    )
