@@ -122,7 +122,9 @@ def cosine(products: Column, q1: Column, q2: Column) -> Column:
     return F.when((q1 > 0) & (q2 > 0), products["dot"] / (norm1 * norm2)).otherwise(F.lit(0.0))
 
 
-def _compare(pairs: DataFrame, metrics: Sequence[str]) -> DataFrame:
+def _compare(
+    pairs: DataFrame, metrics: Sequence[str], with_word_stats: bool = False
+) -> DataFrame:
     """Scores of feature pairs: counting first, then the two UDF columns, then
     ratios, each in its own projection so that nothing is computed twice."""
     keep = list(PAIR_KEY)
@@ -177,8 +179,17 @@ def _compare(pairs: DataFrame, metrics: Sequence[str]) -> DataFrame:
         "rouge-2": lambda: rouge_f(c("_b"), c("_b1"), c("_b2")),
         "rouge-l": lambda: rouge_f(F.coalesce(c("_l"), c("_l1")), c("_l1"), c("_l2")),
     }
+    stats = [
+        c("_w1").alias("words_1"),
+        c("_w2").alias("words_2"),
+        c("_w").alias("common"),
+        (c("_w1") - c("_w")).alias("only_1"),
+        (c("_w2") - c("_w")).alias("only_2"),
+    ]
     return pairs.select(*keep, *counted).select(
-        *keep, *[scores[m]().alias(column_of(m)) for m in metrics]
+        *keep,
+        *[scores[m]().alias(column_of(m)) for m in metrics],
+        *(stats if with_word_stats else []),
     )
 
 
@@ -186,14 +197,16 @@ def evaluate_pairs(
     variants: DataFrame,
     metrics: Sequence[str] = METRICS,
     rouge_chars: int | None = None,
+    with_word_stats: bool = False,
 ) -> DataFrame:
     """One row per pair of variants of a document with a column per metric.
 
     ``rouge_chars`` cuts texts before ROUGE (10,000 is the compatible value);
-    the default compares whole texts.
+    the default compares whole texts. ``with_word_stats`` adds the word counts
+    behind ``word_overlap``.
     """
     featured, carry = with_features(variants, metrics, rouge_chars)
-    return _compare(variant_pairs(featured, carry), metrics)
+    return _compare(variant_pairs(featured, carry), metrics, with_word_stats)
 
 
 def evaluate_against(
@@ -211,18 +224,7 @@ def evaluate_against(
 
 def word_stats(variants: DataFrame) -> DataFrame:
     """Word counts per pair: of each side, common, and of one side only."""
-    featured, carry = with_features(variants, ["word_overlap"])
-    counted = variant_pairs(featured, carry).select(
-        *PAIR_KEY,
-        F.size("words1").alias("words_1"),
-        F.size("words2").alias("words_2"),
-        shared("words1", "words2").alias("common"),
-    )
-    return counted.select(
-        "*",
-        (F.col("words_1") - F.col("common")).alias("only_1"),
-        (F.col("words_2") - F.col("common")).alias("only_2"),
-    )
+    return evaluate_pairs(variants, ["word_overlap"], with_word_stats=True).drop("word_overlap")
 
 
 def word_differences(variants: DataFrame) -> DataFrame:

@@ -76,8 +76,9 @@ def similarity_matrix(long_metrics: DataFrame, n_columns: int) -> DataFrame:
     )
 
 
-def evaluation_report(wide: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """Printable summary per pair, values to four decimals."""
+def evaluation_report(wide: DataFrame) -> DataFrame:
+    """Printable summary per pair, values to four decimals; with word counts
+    where the table has them."""
     title = F.concat(
         F.lit("Evaluation Results: "),
         variant_label(F.col("file1")),
@@ -94,8 +95,7 @@ def evaluation_report(wide: DataFrame, stats: DataFrame | None = None) -> DataFr
         ("ROUGE-L Score", "rouge_l"),
     )
     lines = [F.format_string(f"{text}: %.4f", F.col(name)) for text, name in captions]
-    if stats is not None:
-        wide = wide.join(stats.drop("ord1", "ord2"), ["filestem", "file1", "file2"])
+    if "common" in wide.columns:
         one, two = variant_label(F.col("file1")), variant_label(F.col("file2"))
         lines += [
             F.format_string("Words in %s: %d", one, F.col("words_1")),

@@ -48,11 +48,16 @@ def turn_position(turn: str = "turn") -> Column:
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as the Markdown files that the parsers made of one document."""
+    return variants_of(table(spark, sf_dir, "conversations"))
+
+
+def variants_of(conversations: DataFrame) -> DataFrame:
     parser = _by_position([p[0] for p in PARSERS], F.col("ord"))
     model = _by_position([p[1] for p in PARSERS], F.col("ord"))
     return (
-        table(spark, sf_dir, "conversations")
-        .select(turn_document().alias("filestem"), turn_position().alias("ord"), "text")
+        conversations.select(
+            turn_document().alias("filestem"), turn_position().alias("ord"), "text"
+        )
         .withColumn("parser", parser)
         .withColumn("model", model)
         .withColumn("file", output_name(F.col("filestem"), F.col("parser"), F.col("model")))
