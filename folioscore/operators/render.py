@@ -82,48 +82,57 @@ def html_to_markdown(html: Column | str) -> Column:
     return out
 
 
-def linearize_layout(blocks: DataFrame) -> DataFrame:
+def linearize_layout(blocks: DataFrame, header_threshold: float = 0.7) -> DataFrame:
     """Text of each page in reading order from its layout blocks.
 
     ``title`` and ``section_header`` get their prefixes, ``figure`` is hidden,
-    ``column_header`` rows of tables are left out, ``table`` cells become
-    ``| a | b |`` rows, other kinds stay as they are. Blocks are parted by blank
-    lines. One shuffle by page: every cell is rendered with the separators that
-    its neighbours ask for, then the page is joined once.
+    ``table`` cells become ``| a | b |`` rows, other kinds stay as they are, and
+    blocks are parted by blank lines. A table row is a header, and left out, when
+    at least ``header_threshold`` of its cells are ``column_header`` cells. The
+    text of a merged cell stands in its first place only: cells of kind
+    ``merged`` are empty.
+
+    One shuffle by page serves both groupings, cells to rows and rows to pages.
+    It is taken before them, as collecting texts shrinks nothing on the map side.
     """
-    cell = F.struct("seq", "row_no", "col_no", "kind", "text")
-    shown = blocks.where(~F.col("kind").isin("figure", "column_header"))
-    pages = shown.groupBy("doc_id", "page_no").agg(
-        F.array_sort(F.collect_list(cell)).alias("_cells")
+    kind = F.col("kind")
+    text = (
+        F.when(kind == "title", F.concat(F.lit("# "), "text"))
+        .when(kind == "section_header", F.concat(F.lit("## "), "text"))
+        .when(kind == "merged", F.lit(""))
+        .otherwise(F.col("text"))
     )
-
-    def render(x: Column, i: Column) -> Column:
-        before = F.get(F.col("_cells"), i - 1)
-        after = F.get(F.col("_cells"), i + 1)
-        table = x["kind"] == "table"
-        new_block = before.isNull() | (before["seq"] != x["seq"])
-        new_row = new_block | (before["row_no"] != x["row_no"])
-        end_row = (
-            after.isNull() | (after["seq"] != x["seq"]) | (after["row_no"] != x["row_no"])
-        )
-        lead = (
-            F.when(before.isNull(), "")
-            .when(new_block, "\n\n")
-            .when(new_row, "\n")
-            .otherwise("")
+    in_table = kind.isin("table", "column_header", "merged")
+    cells = F.sort_array(F.collect_list(F.struct("col_no", text.alias("text"))))
+    joined = F.array_join(F.transform(cells, lambda x: x["text"]), " | ")
+    rows = (
+        blocks.where(kind != "figure")
+        .repartition("doc_id", "page_no")
+        .groupBy("doc_id", "page_no", "seq", "row_no", in_table.alias("_table"))
+        .agg(
+            joined.alias("_joined"),
+            F.avg((kind == "column_header").cast("int")).alias("_header_share"),
         )
-        mark = (
-            F.when(x["kind"] == "title", "# ")
-            .when(x["kind"] == "section_header", "## ")
-            .when(table & new_row, "| ")
-            .when(table, " | ")
-            .otherwise("")
+        .where(~F.col("_table") | (F.col("_header_share") < header_threshold))
+        .select(
+            "doc_id",
+            "page_no",
+            "seq",
+            "row_no",
+            F.when(F.col("_table"), F.concat(F.lit("| "), "_joined", F.lit(" |")))
+            .otherwise(F.col("_joined"))
+            .alias("line"),
         )
-        close = F.when(table & end_row, " |").otherwise("")
-        return F.concat(lead, mark, x["text"], close)
+    )
+    pages = rows.groupBy("doc_id", "page_no").agg(
+        F.sort_array(F.collect_list(F.struct("seq", "row_no", "line"))).alias("_lines")
+    )
+
+    def part(x: Column, i: Column) -> Column:
+        before = F.get(F.col("_lines"), i - 1)
+        lead = F.when(i == 0, "").when(before["seq"] == x["seq"], "\n").otherwise("\n\n")
+        return F.concat(lead, x["line"])
 
     return pages.select(
-        "doc_id",
-        "page_no",
-        F.array_join(F.transform("_cells", render), "").alias("page_text"),
+        "doc_id", "page_no", F.array_join(F.transform("_lines", part), "").alias("page_text")
     )

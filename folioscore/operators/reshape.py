@@ -62,17 +62,14 @@ def similarity_matrix(long_metrics: DataFrame, n_columns: int) -> DataFrame:
     The columns are the positions of the parser list, so Spark needs no pass
     over the data to find them.
     """
-    cells = similarity_cells(long_metrics)
-    pivoted = (
-        cells.groupBy("filestem", "Metric", "file_row")
-        .pivot("ord_col", list(range(n_columns)))
-        .agg(F.max("Value"))
-    )
-    return pivoted.select(
-        "filestem",
-        "Metric",
-        F.col("file_row").alias("File"),
-        *[F.coalesce(F.col(str(k)), F.lit(0.0)).alias(f"v{k}") for k in range(n_columns)],
+    columns = [
+        F.coalesce(F.max(F.when(F.col("ord_col") == k, F.col("Value"))), F.lit(0.0)).alias(f"v{k}")
+        for k in range(n_columns)
+    ]
+    return (
+        similarity_cells(long_metrics)
+        .groupBy("filestem", "Metric", F.col("file_row").alias("File"))
+        .agg(*columns)
     )
 
 

@@ -12,7 +12,7 @@ from folioscore.operators import convert, metrics, registry, render, reshape
 from folioscore.operators.pairs import variant_pairs
 from folioscore.plans import tables
 from folioscore.plans.evaluate import evaluate
-from folioscore.session import workspace
+from folioscore.session import spread, workspace
 from folioscore.sources import files, naming
 from folioscore.streaming import chunks as chunk_stream
 from folioscore.streaming import variants as variant_stream
@@ -34,7 +34,7 @@ def _digest(words: Column) -> Column:
 
 
 def _variants(spark: SparkSession, d: str) -> DataFrame:
-    return tables.spread(tables.variants(spark, d))
+    return spread(tables.variants(spark, d))
 
 
 def _metric(name: str):
@@ -75,7 +75,7 @@ def evaluate_pairs(spark, d):
 
 def evaluate_modes(spark, d):
     """Word overlap of dressed texts, stripped and as they are."""
-    dressed = tables.spread(tables.dressed_variants(spark, d))
+    dressed = spread(tables.dressed_variants(spark, d))
     both = [evaluate(dressed, strip, ["word_overlap"]) for strip in (True, False)]
     return _rounded(both[0].unionByName(both[1]), ["word_overlap"]).select(
         "mode", *PAIR, "word_overlap"
@@ -114,12 +114,12 @@ def rank_against_checked(spark, d):
 
 
 def strip_markdown(spark, d):
-    docs = tables.spread(tables.dressed_documents(spark, d))
+    docs = spread(tables.dressed_documents(spark, d))
     return docs.select("doc_id", normalize.strip_markdown("text").alias("text"))
 
 
 def strip_plain_documents(spark, d):
-    docs = tables.spread(tables.table(spark, d, "documents").select("doc_id", "text"))
+    docs = tables.text_table(spark, d, "documents", "doc_id", "text")
     return docs.select("doc_id", normalize.strip_markdown("text").alias("text"))
 
 
@@ -133,7 +133,7 @@ def truncate_for_rouge(spark, d):
 
 
 def _document_texts(spark: SparkSession, d: str) -> DataFrame:
-    return tables.spread(tables.table(spark, d, "documents").select("doc_id", "text"))
+    return tables.text_table(spark, d, "documents", "doc_id", "text")
 
 
 def tfidf_terms(spark, d):
@@ -261,7 +261,7 @@ def rejected_jobs(spark, d):
 
 
 def build_requests(spark, d):
-    units = tables.table(spark, d, "documents").select(
+    units = tables.text_table(spark, d, "documents", "doc_id", "text").select(
         "doc_id",
         F.lit(0).alias("page_no"),
         files.encode_payload(F.encode("text", "UTF-8")).alias("payload"),
@@ -332,7 +332,7 @@ def local_converter(text: str, attempt: int) -> str:
 
 def _converted(spark: SparkSession, d: str) -> DataFrame:
     retry = convert.Retry(transient=(TimeoutError,), sleep=lambda _: None)
-    return convert.convert_units(tables.spread(tables.pages(spark, d)), local_converter, retry)
+    return convert.convert_units(spread(tables.pages(spark, d)), local_converter, retry)
 
 
 def convert_units(spark, d):
@@ -369,7 +369,7 @@ def elements_to_html(spark, d):
 
 
 def html_to_markdown(spark, d):
-    pages = tables.spread(tables.table(spark, d, "pages").select("page_id", "html"))
+    pages = tables.text_table(spark, d, "pages", "page_id", "html")
     return pages.select("page_id", render.html_to_markdown("html").alias("markdown"))
 
 

@@ -11,26 +11,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscore.operators.registry import PARSER_NAMES, PARSERS
+from folioscore.session import spread
 from folioscore.sources.naming import output_name
 
 #: Turns per document: one for each registered parser.
 SPAN = len(PARSER_NAMES)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than the session has cores.
-
-    A large table is left as it is; a table of one row group would otherwise
-    keep all text work in one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose texts take work per row, spread over the cores."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def _by_position(values: list[str], position: Column) -> Column:
     """Pick from a short fixed list by a 0-based position."""
     return F.get(F.array(*[F.lit(v) for v in values]), position)
@@ -121,7 +117,7 @@ def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a turn as deltas of one response; blank lines are null deltas."""
-    return chunks_of(table(spark, sf_dir, "conversations"))
+    return chunks_of(text_table(spark, sf_dir, "conversations", "conv_id", "turn", "text"))
 
 
 def chunks_of(conversations: DataFrame) -> DataFrame:
@@ -136,7 +132,7 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraph pieces of each page; pieces that open a paragraph carry HTML."""
     piece = F.posexplode(F.split("html", "</p>")).alias("seq", "text")
     return (
-        table(spark, sf_dir, "pages")
+        text_table(spark, sf_dir, "pages", "page_id", "html")
         .select(F.col("page_id").cast("string").alias("doc_id"), piece)
         .select(
             "doc_id",

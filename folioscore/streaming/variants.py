@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from folioscore.functions.normalize import maybe_strip
 from folioscore.operators.metrics import METRICS, evaluate_against
 from folioscore.schemas import VARIANTS
+from folioscore.session import spread
 
 
 def evaluate_stream(
@@ -20,29 +21,38 @@ def evaluate_stream(
     strip: bool = False,
     metrics: Sequence[str] = METRICS,
     trigger: dict | None = None,
+    shares: int = 16,
 ) -> StreamingQuery:
     """Each batch scores its variants among themselves and against the stored
     ones of the same documents, then joins the store.
 
     Store and scores are kept by batch, and a batch looks only at batches before
     it, so running one again after a failure writes the same rows in the same
-    place. Stored variants are first cut down to the documents of the batch by a
-    semi-join, so that only their texts are tokenised and paired.
+    place. The store is split by a hash of the document key: a batch of few
+    documents reads only their shares (partition pruning by the join), and a
+    semi-join keeps only the variants of its documents before any tokenising.
     """
+    share = F.pmod(F.xxhash64("filestem"), F.lit(shares)).cast("int")
 
     def score(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         here = f"{out}/variants/batch_id={batch_id}"
-        batch.select("filestem", "parser", "model", "file", "ord", "text").withColumn(
-            "text", maybe_strip("text", strip)
-        ).write.mode("overwrite").parquet(here)
-        fresh = spark.read.schema(VARIANTS).parquet(here)
+        (
+            batch.select("filestem", "parser", "model", "file", "ord", "text")
+            .withColumn("text", maybe_strip("text", strip))
+            .withColumn("share", share)
+            .repartition("share")
+            .write.mode("overwrite")
+            .partitionBy("share")
+            .parquet(here)
+        )
+        fresh = spread(spark.read.schema(f"{VARIANTS}, share int").parquet(here))
+        touched = fresh.select("share", "filestem").distinct()
         stored = (
-            spark.read.schema(VARIANTS + ", batch_id bigint")
+            spark.read.schema(f"{VARIANTS}, batch_id bigint, share int")
             .parquet(f"{out}/variants")
             .where(F.col("batch_id") < batch_id)
-            .drop("batch_id")
-            .join(fresh.select("filestem").distinct(), "filestem", "left_semi")
+            .join(touched, ["share", "filestem"], "left_semi")
         )
         evaluate_against(fresh, stored, metrics).write.mode("overwrite").parquet(
             f"{out}/scores/batch_id={batch_id}"
