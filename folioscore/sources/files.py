@@ -57,11 +57,10 @@ def read_markdown(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     A file that vanishes between listing and reading fails the job.
     """
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.md")
+        spark.read.option("pathGlobFilter", "*.md")
         .option("recursiveFileLookup", True)
         .option("ignoreMissingFiles", False)
-        .text(path)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     )
 

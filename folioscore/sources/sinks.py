@@ -23,13 +23,18 @@ def write_markdown(results: DataFrame, path: str) -> None:
 
 
 def write_markdown_files(results: DataFrame, path: str) -> None:
-    """Save the same rows as text, in folders ``parser=/model=/filestem=``."""
+    """Save the same rows as text, in folders ``parser=/model=/filestem=``.
+
+    A text that ends with a newline is saved exactly; any other gets one, as the
+    text format ends every record with it. One folder per document suits an
+    export of chosen documents; tables belong in ``write_markdown``.
+    """
+    value = F.regexp_replace("markdown", r"\n\z", "").alias("value")
     (
-        results.select("filestem", "parser", "model", F.col("markdown").alias("value"))
+        results.select("filestem", "parser", "model", value)
         .repartition("filestem", "parser", "model")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .option("lineSep", "")
         .partitionBy("parser", "model", "filestem")
         .text(path)
     )
