@@ -439,10 +439,10 @@ FROM pieces GROUP BY page_id""",
     "linearize_layout": """WITH rows_of AS (
   SELECT l_orderkey, CAST(l_suppkey AS INTEGER) AS page_no,
          '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_returnflag || ' |' AS line,
-         l_linenumber AS n, l_partkey AS k
+         l_linenumber AS n, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_partkey AS k
   FROM lineitem
 ), pages_of AS (
-  SELECT l_orderkey, page_no, string_agg(line, E'\\n' ORDER BY n, k, line) AS body
+  SELECT l_orderkey, page_no, string_agg(line, E'\\n' ORDER BY n, cents, k, line) AS body
   FROM rows_of GROUP BY ALL
 )
 SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, page_no,

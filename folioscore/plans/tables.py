@@ -154,7 +154,12 @@ def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"),
         F.col("l_suppkey").cast("int").alias("page_no"),
-        (F.col("l_linenumber") * F.lit(10_000_000_000) + F.col("l_partkey")).alias("row_no"),
+        # line numbers repeat within an order: price and part tell rows apart
+        (
+            F.col("l_linenumber") * F.lit(10**17)
+            + F.round(F.col("l_extendedprice") * 100).cast("long") * F.lit(10**9)
+            + F.col("l_partkey")
+        ).alias("row_no"),
         F.col("l_linenumber").cast("string").alias("c1"),
         F.col("l_partkey").cast("string").alias("c2"),
         F.col("l_returnflag").alias("c3"),
