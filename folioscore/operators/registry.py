@@ -107,32 +107,51 @@ PDF_PROMPT = "Convert the attached pdf to markdown format for me please."
 IMAGE_PROMPT = "Convert this image to markdown format for me please."
 
 
+REGISTRY_COLUMNS = (
+    "parser_pos",
+    "parser",
+    "model",
+    "position",
+    "is_default",
+    "credential",
+    "medium",
+    "max_tokens",
+    "page_policy",
+    "sends_top_k",
+    "limit_field",
+)
+
+
+def _literal(value) -> str:
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return f"'{value}'" if isinstance(value, str) else str(value)
+
+
 def registry(spark: SparkSession) -> DataFrame:
-    """One row per parser and model; a parser without models has an empty one."""
+    """One row per parser and model; a parser without models has an empty one.
+
+    Inline values, so that the planner knows the table whole.
+    """
     rows = []
     for parser_pos, (name, default, models, credential, medium, limit) in enumerate(PARSERS):
         for position, model in enumerate(models or ("",)):
-            rows.append(
-                (
-                    parser_pos,
-                    name,
-                    model,
-                    position,
-                    model == default,
-                    credential,
-                    medium,
-                    limit,
-                    PAGE_POLICY[name],
-                    name in SENDS_TOP_K,
-                    LIMIT_FIELD.get(name),
-                )
+            row = (
+                parser_pos,
+                name,
+                model,
+                position,
+                model == default,
+                credential,
+                medium,
+                limit,
+                PAGE_POLICY[name],
+                name in SENDS_TOP_K,
+                LIMIT_FIELD.get(name),
             )
-    return spark.createDataFrame(
-        rows,
-        "parser_pos int, parser string, model string, position int, is_default boolean, "
-        "credential string, medium string, max_tokens int, page_policy string, "
-        "sends_top_k boolean, limit_field string",
-    )
+            rows.append("(" + ", ".join(_literal(v) for v in row) + ")")
+    columns = ", ".join(REGISTRY_COLUMNS)
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS registry({columns})")
 
 
 def parsers(spark: SparkSession) -> DataFrame:

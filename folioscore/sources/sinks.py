@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+KEY = ("filestem", "parser", "model")
+
+
 def write_markdown(results: DataFrame, path: str) -> None:
-    """Save ``(filestem, parser, model, markdown)`` as one text record per file.
+    """Save ``(filestem, parser, model, markdown)``; a later save of the same key
+    takes the place of an earlier one.
 
-    Rows are spread by their whole key, so one frequent parser does not make
-    one large task, and a repeated run replaces only the partitions it writes.
+    Each save appends to the table of its parser and model with the time of the
+    save, and ``read_saved`` keeps the newest. So nothing is rewritten to replace
+    one document, other documents are never touched, and a job that failed half
+    way and ran again changes nothing.
     """
     (
-        results.select("filestem", "parser", "model", "markdown")
-        .repartition("filestem", "parser", "model")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        results.select(*KEY, "markdown", F.current_timestamp().alias("saved"))
+        .write.mode("append")
         .partitionBy("parser", "model")
         .parquet(path)
     )
 
 
+def read_saved(spark: SparkSession, path: str) -> DataFrame:
+    """The newest text of every saved key."""
+    schema = "filestem string, markdown string, saved timestamp, parser string, model string"
+    return (
+        spark.read.schema(schema)
+        .parquet(path)
+        # an empty partition value comes back as null
+        .withColumn("model", F.coalesce("model", F.lit("")))
+        .groupBy(*KEY)
+        .agg(F.max_by("markdown", "saved").alias("markdown"))
+    )
+
+
 def write_markdown_files(results: DataFrame, path: str) -> None:
     """Save the same rows as text, in folders ``parser=/model=/filestem=``.
 
@@ -31,8 +48,8 @@ def write_markdown_files(results: DataFrame, path: str) -> None:
     """
     value = F.regexp_replace("markdown", r"\n\z", "").alias("value")
     (
-        results.select("filestem", "parser", "model", value)
-        .repartition("filestem", "parser", "model")
+        results.select(*KEY, value)
+        .repartition(*KEY)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("parser", "model", "filestem")

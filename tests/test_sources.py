@@ -130,15 +130,14 @@ def test_scan_and_evaluate_folder(spark, tmp_path):
 
 
 @pytest.mark.integration
-def test_write_markdown_replaces_only_its_partitions(spark, tmp_path):
+def test_saved_markdown_is_replaced_by_key(spark, tmp_path):
     schema = "filestem string, parser string, model string, markdown string"
     path = str(tmp_path / "md")
-    sinks.write_markdown(
-        spark.createDataFrame([("d", "openai", "o1", "x\n\ny"), ("d", "mistral", "m", "z")], schema), path
-    )
+    first = [("d", "openai", "o1", "x\n\ny"), ("e", "openai", "o1", "z"), ("d", "textract", "", "t")]
+    sinks.write_markdown(spark.createDataFrame(first, schema), path)
     sinks.write_markdown(spark.createDataFrame([("d", "openai", "o1", "new")], schema), path)
-    got = {r["parser"]: r["markdown"] for r in spark.read.parquet(path).collect()}
-    assert got == {"openai": "new", "mistral": "z"}
+    got = {tuple(r) for r in sinks.read_saved(spark, path).collect()}
+    assert got == {("d", "openai", "o1", "new"), ("e", "openai", "o1", "z"), ("d", "textract", "", "t")}
     text = str(tmp_path / "text")
     sinks.write_markdown_files(spark.createDataFrame([("d", "openai", "o1", "x\n\ny é\n\n")], schema), text)
     assert spark.read.text(text, wholetext=True).first()["value"] == "x\n\ny é\n\n"
