@@ -42,34 +42,50 @@ def in_report_order(long_metrics: DataFrame) -> DataFrame:
 
 
 def similarity_cells(long_metrics: DataFrame) -> DataFrame:
-    """Both triangles of each matrix as cells ``(file_row, ord_col, Value)``."""
-    both = F.when(
-        F.col("File1") == F.col("File2"),
-        F.array(F.struct(F.col("File1").alias("file_row"), F.col("ord2").alias("ord_col"))),
-    ).otherwise(
-        F.array(
-            F.struct(F.col("File1").alias("file_row"), F.col("ord2").alias("ord_col")),
-            F.struct(F.col("File2").alias("file_row"), F.col("ord1").alias("ord_col")),
+    """Both triangles of each matrix as cells: row, column and its order, value."""
+
+    def cell(row: str, ord_col: str, col: str):
+        return F.struct(
+            F.col(row).alias("File"),
+            F.col(ord_col).alias("ord_col"),
+            F.col(col).alias("file_col"),
         )
+
+    upper, lower = cell("File1", "ord2", "File2"), cell("File2", "ord1", "File1")
+    both = F.when(F.col("File1") == F.col("File2"), F.array(upper)).otherwise(
+        F.array(upper, lower)
     )
     return long_metrics.select("filestem", "Metric", F.inline(both), "Value")
 
 
-def similarity_matrix(long_metrics: DataFrame, n_columns: int) -> DataFrame:
-    """One row per document, metric and file; column ``v<k>`` is the similarity
-    to the variant with ordinal k, 0 where there is none.
+def similarity_matrix(long_metrics: DataFrame) -> DataFrame:
+    """One matrix row per document, metric and file.
 
-    The columns are the positions of the parser list, so Spark needs no pass
-    over the data to find them.
+    ``columns`` are the document's files in order, ``values`` the similarities to
+    them, 0 where a pair is missing. The arrays are as long as the document has
+    variants, so no pass over the data has to find a column list first, and both
+    groupings keep the partitioning of the pair join.
     """
-    columns = [
-        F.coalesce(F.max(F.when(F.col("ord_col") == k, F.col("Value"))), F.lit(0.0)).alias(f"v{k}")
-        for k in range(n_columns)
-    ]
-    return (
-        similarity_cells(long_metrics)
-        .groupBy("filestem", "Metric", F.col("file_row").alias("File"))
-        .agg(*columns)
+    document = Window.partitionBy("filestem", "Metric")
+    column = F.struct("ord_col", "file_col")
+    cells = similarity_cells(long_metrics).withColumn(
+        "_columns", F.array_sort(F.collect_set(column).over(document))
+    )
+    rows = cells.groupBy("filestem", "Metric", "File").agg(
+        F.any_value("_columns").alias("_columns"),
+        F.collect_list(F.struct("file_col", "Value")).alias("_cells"),
+    )
+
+    def value(c):
+        found = F.filter("_cells", lambda x: x["file_col"] == c["file_col"])
+        return F.coalesce(F.get(found, 0)["Value"], F.lit(0.0))
+
+    return rows.select(
+        "filestem",
+        "Metric",
+        "File",
+        F.transform("_columns", lambda c: c["file_col"]).alias("columns"),
+        F.transform("_columns", value).alias("values"),
     )
 
 

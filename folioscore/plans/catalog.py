@@ -100,7 +100,14 @@ def metrics_long(spark, d):
 
 
 def similarity_matrix(spark, d):
-    return reshape.similarity_matrix(_long(spark, d), tables.SPAN)
+    """Matrix rows with the values of a document's (at most eight) files."""
+    matrix = reshape.similarity_matrix(_long(spark, d))
+    values = [
+        F.coalesce(F.get("values", F.lit(k)), F.lit(0.0)).alias(f"v{k}") for k in range(tables.SPAN)
+    ]
+    return matrix.select(
+        "filestem", "Metric", "File", F.size("columns").alias("files"), *values
+    )
 
 
 def rank_against_checked(spark, d):

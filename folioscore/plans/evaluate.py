@@ -55,4 +55,4 @@ def evaluate_all(
         rows.select("Metric", "File1", "File2", "Value", F.lit(mode_label(strip)).alias("mode")),
         f"{out.rstrip('/')}/metrics",
     )
-    return rows, similarity_matrix(rows, len(parsers))
+    return rows, similarity_matrix(rows)

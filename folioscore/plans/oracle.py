@@ -289,12 +289,15 @@ SELECT mode, filestem, file1, file2, {_OVERLAP} AS word_overlap FROM o""",
 SELECT filestem, metric_pos, "Metric", "File1", "File2", "Value" FROM l""",
     "similarity_matrix": f"""WITH {_LONG},
 cells AS (
-  SELECT filestem, "Metric", "File1" AS "File", ord2 AS k, "Value" FROM l
-  UNION ALL SELECT filestem, "Metric", "File2", ord1, "Value" FROM l WHERE "File1" <> "File2"
+  SELECT filestem, "Metric", "File1" AS "File", "File2" AS other, ord2 AS ord, "Value" FROM l
+  UNION ALL SELECT filestem, "Metric", "File2", "File1", ord1, "Value" FROM l WHERE "File1" <> "File2"
+),
+placed AS (
+  SELECT *, dense_rank() OVER (PARTITION BY filestem, "Metric" ORDER BY ord, other) - 1 AS k FROM cells
 )
-SELECT filestem, "Metric", "File",
+SELECT filestem, "Metric", "File", count(*) AS files,
        {", ".join(f'coalesce(max("Value") FILTER (k = {k}), 0) AS v{k}' for k in range(8))}
-FROM cells GROUP BY filestem, "Metric", "File" """,
+FROM placed GROUP BY filestem, "Metric", "File" """,
     "rank_against_checked": f"""WITH {_LONG},
 checked AS (SELECT filestem, arg_min(file, ord) AS checked FROM v GROUP BY filestem),
 scored AS (

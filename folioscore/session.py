@@ -15,6 +15,9 @@ RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a skewed pair join even where a later step then needs a shuffle of
+    # its scores, which are small next to the texts
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # a batch for a Python worker holds whole texts: fewer rows keep it small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",

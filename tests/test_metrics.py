@@ -107,6 +107,36 @@ def test_pair_plan_shuffles_once_and_never_crosses(spark, tiny):
     assert len(shuffles) == 1
 
 
+def test_large_document_is_split_over_tasks(spark):
+    """A third of all variants in one document: AQE splits it on both sides."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["one", "two", "three", "four", "five"], k=200)) for _ in range(60)]
+    groups = {"hot": texts, **{f"d{i}": texts[:2] for i in range(60)}}
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = metrics.evaluate_pairs(
+            variants_of(spark, groups).repartition(8), ["word_overlap", "levenshtein"]
+        )
+        rows = reshape.metrics_long(df, ["word_overlap", "levenshtein"])
+        ranked = rows.groupBy("filestem", "Metric").count()
+        counts = {(r[0], r[1]): r[2] for r in ranked.collect()}
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin(skew=true)" in plan
+    assert counts[("hot", "levenshtein")] == 60 * 61 // 2
+    assert all(n == 3 for (stem, _), n in counts.items() if stem != "hot")
+
+
 def test_rouge_compatible_cut(spark):
     a, b = "x " * 10 + "same tail", "y " * 10 + "same tail"
     df = variants_of(spark, {"d": [a, b]})
@@ -140,9 +170,10 @@ def test_long_matrix_report_rank(spark):
     ordered = reshape.in_report_order(rows).collect()
     assert len(ordered) == 36
     assert [r["Metric"] for r in ordered[::6]] == list(metrics.METRICS)
-    matrix = reshape.similarity_matrix(rows, 4).where("Metric = 'word_overlap'").orderBy("File")
-    got = [[r[f"v{k}"] for k in range(4)] for r in matrix.collect()]
-    assert got == [[1.0, 0.5, 0.0, 0.0], [0.5, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]]
+    matrix = reshape.similarity_matrix(rows).where("Metric = 'word_overlap'").orderBy("File")
+    got = matrix.collect()
+    assert [r["values"] for r in got] == [[1.0, 0.5, 0.0], [0.5, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    assert {tuple(r["columns"]) for r in got} == {("d_p000.md", "d_p001.md", "d_p002.md")}
     report = reshape.evaluation_report(wide).where("file1 <> file2").orderBy("file1", "file2").first()
     assert report["title"] == "Evaluation Results: p000 vs p001"
     assert "Word Overlap Ratio: 0.5000" in report["report"]
@@ -162,8 +193,20 @@ def test_missing_matrix_cells_are_zero(spark):
         [("d", "m", "a", "b", 0.5, 0, 1), ("d", "m", "a", "c", 0.3, 0, 2), ("d", "m", "b", "c", 0.7, 1, 2)],
         "filestem string, Metric string, File1 string, File2 string, Value double, ord1 int, ord2 int",
     )
-    got = reshape.similarity_matrix(rows, 3).orderBy("File").select("v0", "v1", "v2").collect()
-    assert [tuple(r) for r in got] == [(0.0, 0.5, 0.3), (0.5, 0.0, 0.7), (0.3, 0.7, 0.0)]
+    got = reshape.similarity_matrix(rows).orderBy("File").collect()
+    assert {tuple(r["columns"]) for r in got} == {("a", "b", "c")}
+    assert [r["values"] for r in got] == [[0.0, 0.5, 0.3], [0.5, 0.0, 0.7], [0.3, 0.7, 0.0]]
+
+
+def test_two_models_of_one_parser_have_their_own_columns(spark):
+    rows = [("d", "openai", m, f"d_openai_{m}.md", 3, t) for m, t in [("a", "x y"), ("b", "x z")]]
+    rows.append(("d", "mistral", "m", "d_mistral_m.md", 2, "x"))
+    rows_long = reshape.metrics_long(
+        metrics.evaluate_pairs(spark.createDataFrame(rows, VARIANTS), ["word_overlap"]), ["word_overlap"]
+    )
+    first = reshape.similarity_matrix(rows_long).where("File = 'd_openai_b.md'").first()
+    assert first["columns"] == ["d_mistral_m.md", "d_openai_a.md", "d_openai_b.md"]
+    assert first["values"] == [0.5, pytest.approx(1 / 3), 1.0]
 
 
 def test_modes(spark):
