@@ -74,7 +74,7 @@ def term_counts(tokens: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(tokens), by_run)
+    return let(F.sort_array(tokens), by_run)
 
 
 def square_sum(counts: Column) -> Column:

@@ -173,7 +173,7 @@ def check_responses(results: DataFrame, fail: bool = False) -> DataFrame:
 def _ordered_text(order: str, text: str) -> Column:
     """Array of the group's texts in order."""
     return F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text).alias("_t")))),
+        F.sort_array(F.collect_list(F.struct(F.col(order), F.col(text).alias("_t")))),
         lambda x: x["_t"],
     )
 

@@ -232,8 +232,8 @@ def word_differences(variants: DataFrame) -> DataFrame:
     featured, carry = with_features(variants, ["word_overlap"])
     return variant_pairs(featured, carry).select(
         *PAIR_KEY,
-        F.array_sort(F.array_except("words1", "words2")).alias("only_in_1"),
-        F.array_sort(F.array_except("words2", "words1")).alias("only_in_2"),
+        F.sort_array(F.array_except("words1", "words2")).alias("only_in_1"),
+        F.sort_array(F.array_except("words2", "words1")).alias("only_in_2"),
     )
 
 

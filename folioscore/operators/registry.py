@@ -203,7 +203,7 @@ def rejected_jobs(jobs: DataFrame) -> DataFrame:
 
 def list_registry(spark: SparkSession) -> DataFrame:
     """Per parser: its models in order, comma-separated, and the default."""
-    in_order = F.array_sort(F.collect_list(F.struct("position", "model")))
+    in_order = F.sort_array(F.collect_list(F.struct("position", "model")))
     return (
         registry(spark)
         .groupBy("parser_pos", "parser")

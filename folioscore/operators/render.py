@@ -68,7 +68,7 @@ def elements_to_html(elements: DataFrame) -> DataFrame:
         F.struct("seq", F.col("metadata")["text_as_html"].alias("_h")),
     )
     # collect_list leaves nulls out, so dropped elements are not shuffled
-    ordered = F.transform(F.array_sort(F.collect_list(html)), lambda x: F.concat(x["_h"], F.lit("\n")))
+    ordered = F.transform(F.sort_array(F.collect_list(html)), lambda x: F.concat(x["_h"], F.lit("\n")))
     return elements.groupBy("doc_id").agg(
         F.concat(F.lit(HTML_HEAD), F.array_join(ordered, ""), F.lit(HTML_TAIL)).alias("html")
     )

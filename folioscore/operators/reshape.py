@@ -69,7 +69,7 @@ def similarity_matrix(long_metrics: DataFrame) -> DataFrame:
     document = Window.partitionBy("filestem", "Metric")
     column = F.struct("ord_col", "file_col")
     cells = similarity_cells(long_metrics).withColumn(
-        "_columns", F.array_sort(F.collect_set(column).over(document))
+        "_columns", F.sort_array(F.collect_set(column).over(document))
     )
     rows = cells.groupBy("filestem", "Metric", "File").agg(
         F.any_value("_columns").alias("_columns"),

@@ -30,7 +30,7 @@ def _rounded(df: DataFrame, names: Sequence[str], places: int = 6) -> DataFrame:
 
 
 def _digest(words: Column) -> Column:
-    return F.md5(F.array_join(F.array_sort(words), " "))
+    return F.md5(F.array_join(F.sort_array(words), " "))
 
 
 def _variants(spark: SparkSession, d: str) -> DataFrame:

@@ -109,7 +109,7 @@ def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("doc_id")
         .agg(
             F.array_join(
-                F.transform(F.array_sort(F.collect_list(page)), lambda x: x["t"]), ""
+                F.transform(F.sort_array(F.collect_list(page)), lambda x: x["t"]), ""
             ).alias("text")
         )
     )

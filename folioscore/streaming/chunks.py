@@ -39,7 +39,7 @@ def stream_chunks(
         )
         delta = F.struct("seq", F.coalesce("delta", F.lit("")).alias("d"))
         text = F.array_join(
-            F.transform(F.array_sort(F.collect_list(delta)), lambda x: x["d"]), ""
+            F.transform(F.sort_array(F.collect_list(delta)), lambda x: x["d"]), ""
         )
         writer = (
             sessions.agg(text.alias("markdown"))
