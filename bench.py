@@ -26,7 +26,7 @@ HEADLINE = (
     "levenshtein_ratio",
     "levenshtein_distance",
     "evaluate_pairs",
-    "evaluate_modes",
+    "strip_then_overlap",
     "metrics_long",
     "similarity_matrix",
     "rank_against_checked",

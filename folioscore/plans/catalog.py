@@ -12,8 +12,9 @@ from folioscore.operators import convert, metrics, registry, render, reshape
 from folioscore.operators.pairs import variant_pairs
 from folioscore.plans import tables
 from folioscore.plans.evaluate import evaluate
+from folioscore.schemas import METRIC_ROWS
 from folioscore.session import spread, workspace
-from folioscore.sources import files, naming
+from folioscore.sources import files, naming, sinks
 from folioscore.streaming import chunks as chunk_stream
 from folioscore.streaming import variants as variant_stream
 
@@ -120,6 +121,21 @@ def rank_against_checked(spark, d):
     return reshape.rank_against_checked(_long(spark, d), checked)
 
 
+def metrics_csv(spark, d):
+    """Metric rows saved as CSV and read back."""
+    out = workspace(spark, "metrics")
+    sinks.write_metrics(_long(spark, d).select("Metric", "File1", "File2", "Value"), out)
+    return spark.read.schema(METRIC_ROWS).option("header", True).csv(out)
+
+
+def saved_markdown(spark, d):
+    """Variants saved, dressed ones saved over them, and the newest read back."""
+    out = workspace(spark, "markdown")
+    for saved in (_variants(spark, d), spread(tables.dressed_variants(spark, d))):
+        sinks.write_markdown(saved.withColumnRenamed("text", "markdown"), out)
+    return sinks.read_saved(spark, out)
+
+
 def strip_markdown(spark, d):
     docs = spread(tables.dressed_documents(spark, d))
     return docs.select("doc_id", normalize.strip_markdown("text").alias("text"))
@@ -421,11 +437,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "levenshtein_ratio": _metric("levenshtein"),
     "levenshtein_distance": levenshtein_distance,
     "evaluate_pairs": evaluate_pairs,
-    "evaluate_modes": evaluate_modes,
+    "strip_then_overlap": evaluate_modes,
     "evaluation_report": evaluation_report,
     "metrics_long": metrics_long,
     "similarity_matrix": similarity_matrix,
     "rank_against_checked": rank_against_checked,
+    "metrics_csv": metrics_csv,
+    "saved_markdown": saved_markdown,
     "strip_markdown": strip_markdown,
     "strip_plain_documents": strip_plain_documents,
     "truncate_for_rouge": truncate_for_rouge,
@@ -438,7 +456,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "axis_labels": axis_labels,
     "validate_inputs": validate_inputs,
     "encode_payload": encode_payload,
-    "registry_use": registry_use,
+    "registry": registry_use,
     "list_registry": list_registry,
     "resolve_jobs": resolve_jobs,
     "rejected_jobs": rejected_jobs,

@@ -273,7 +273,7 @@ SELECT filestem, file1, file2,
 FROM keyed LEFT JOIN ends ON ends.pid = keyed.pid""",
     "levenshtein_distance": f"""WITH {VARIANTS}, {PAIRS}
 SELECT filestem, file1, file2, levenshtein({_bytes('t1')}, {_bytes('t2')}) AS distance FROM p""",
-    "evaluate_modes": f"""WITH {VARIANTS.replace('AS file, text', 'AS file, ' + _dressed('text', 'turn % 8') + ' AS text')},
+    "strip_then_overlap": f"""WITH {VARIANTS.replace('AS file, text', 'AS file, ' + _dressed('text', 'turn % 8') + ' AS text')},
 both_modes AS (
   SELECT 'with Markdown' AS mode, filestem, ord, file, text FROM v
   UNION ALL SELECT 'stripped', filestem, ord, file, {_strip('text')} FROM v
@@ -307,6 +307,9 @@ scored AS (
   WHERE "File1" <> "File2" AND checked IN ("File1", "File2")
 )
 SELECT *, rank() OVER (PARTITION BY filestem, "Metric" ORDER BY "Value" DESC) AS rank FROM scored""",
+    "metrics_csv": f"""WITH {_LONG} SELECT "Metric", "File1", "File2", "Value" FROM l""",
+    "saved_markdown": f"""WITH {VARIANTS}
+SELECT filestem, parser, model, {_dressed('text', 'ord')} AS markdown FROM v""",
     "strip_markdown": f"""WITH d AS (SELECT doc_id, {_dressed('text', 'doc_id')} AS text FROM documents)
 SELECT doc_id, {_strip('text')} AS text FROM d""",
     "strip_plain_documents": f"SELECT doc_id, {_strip('text')} AS text FROM documents",
@@ -355,7 +358,7 @@ FROM (SELECT file, string_split(replace('output/' || file, '.md', ''), '_') AS p
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "encode_payload": """SELECT page_id,
   'data:application/pdf;base64,' || to_base64(encode(html)) AS payload FROM pages""",
-    "registry_use": f"""WITH {_JOBS},
+    "registry": f"""WITH {_JOBS},
 facts(parser, model, position, is_default, credential, medium, max_tokens, page_policy) AS ({_values(
     (p[0], m, i, m == p[1], p[3], p[4], p[5], PAGE_POLICY[p[0]])
     for p in PARSERS for i, m in enumerate(p[2] or ("",))
