@@ -78,6 +78,40 @@ def lcs_length(a, b) -> int:
     return cut + len(a) - row.bit_count()
 
 
+def lcs_items(a, b) -> set:
+    """Items on one longest common subsequence, traced from the ends: a match is
+    taken, else ``a`` is shortened where that alone keeps the length, else ``b``."""
+    masks = _position_masks(b, set(a))
+    full = (1 << len(b)) - 1
+    rows = [full]
+    for x in a:
+        row = rows[-1]
+        u = row & masks.get(x, 0)
+        rows.append(((row + u) | (row - u)) & full)
+    items = set()
+    i, j = len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            items.add(a[i - 1])
+            i, j = i - 1, j - 1
+        elif (rows[i] >> (j - 1)) & 1:
+            j -= 1
+        else:
+            i -= 1
+    return items
+
+
+def union_lcs(evaluated, reference) -> int:
+    """Number of distinct words on the common subsequences of all sentence pairs."""
+    found: set = set()
+    for x in reference:
+        words = set(x)
+        for y in evaluated:
+            if not words.isdisjoint(y):
+                found |= lcs_items(x, y)
+    return len(found)
+
+
 def edit_distance(a, b) -> int:
     """Unit-cost edit distance of two strings or lists."""
     a, b, _ = _core(a, b)
@@ -122,6 +156,9 @@ def _over(kernel, prepare=lambda x: x):
 
 _lcs_chars = F.pandas_udf(_over(lcs_length), LongType())
 _lcs_words = F.pandas_udf(_over(lcs_length, lambda s: s.split(" ") if s else []), LongType())
+_lcs_union = F.pandas_udf(
+    _over(union_lcs, lambda s: [t.split(" ") for t in s.split(".") if t]), LongType()
+)
 _edits = F.pandas_udf(_over(edit_distance), LongType())
 
 
@@ -141,6 +178,12 @@ def lcs_words(a: Column, b: Column) -> Column:
     return _unequal(_lcs_words, a, b)
 
 
+def lcs_sentences(a: Column, b: Column) -> Column:
+    """Distinct common-subsequence words of ``rouge_sentences`` columns; null
+    where equal."""
+    return _unequal(_lcs_union, a, b)
+
+
 def levenshtein_distance(a: Column, b: Column) -> Column:
     """Unit-cost edit distance over code points of whole texts."""
     return F.coalesce(_unequal(_edits, a, b), F.lit(0).cast("long"))

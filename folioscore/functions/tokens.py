@@ -33,6 +33,13 @@ def rouge_words(rouge: Column) -> Column:
     return F.array_remove(F.split(rouge, " "), "")
 
 
+def rouge_sentences(text: Column) -> Column:
+    """Sentences with a stop between them, one space between words."""
+    spaced = F.regexp_replace(text, WHITESPACE, " ")
+    joined = F.regexp_replace(spaced, r" ?\.[ .]*", ".")
+    return F.regexp_replace(joined, r"^[ .]+|[ .]+$", "")
+
+
 def rouge_unigrams(rouge: Column) -> Column:
     return F.array_distinct(rouge_words(rouge))
 

@@ -20,6 +20,9 @@ from folioscore.operators.pairs import PAIR_KEY, variant_pairs
 
 # Metric names in report order.
 METRICS = ("word_overlap", "levenshtein", "cosine", "rouge-1", "rouge-2", "rouge-l")
+# ROUGE-L of summaries, on request: distinct words on the common subsequences of
+# all sentence pairs, over the distinct words of each text.
+UNION_ROUGE_L = "rouge-l-union"
 
 # Inverse document frequency of a term found in one of two texts (smoothed); a
 # term in both texts has 1.
@@ -34,6 +37,7 @@ _NEEDS = {
     "rouge-1": ("unigrams",),
     "rouge-2": ("bigrams",),
     "rouge-l": ("sentence",),
+    "rouge-l-union": ("unigrams", "sentences"),
 }
 
 
@@ -53,6 +57,10 @@ def with_features(
         out = out.withColumn(
             "sentence", tokens.rouge_text(truncate_for_rouge(F.col("text"), rouge_chars))
         )
+    if "sentences" in wanted:
+        out = out.withColumn(
+            "sentences", tokens.rouge_sentences(truncate_for_rouge(F.col("text"), rouge_chars))
+        )
     if "unigrams" in wanted:
         out = out.withColumn("unigrams", tokens.rouge_unigrams(F.col("sentence")))
     if "bigrams" in wanted:
@@ -141,12 +149,13 @@ def _compare(
             F.col("squares1").alias("_q1"),
             F.col("squares2").alias("_q2"),
         ]
+    if "rouge-1" in metrics or UNION_ROUGE_L in metrics:
+        counted += [F.size("unigrams1").alias("_u1"), F.size("unigrams2").alias("_u2")]
     if "rouge-1" in metrics:
-        counted += [
-            F.size("unigrams1").alias("_u1"),
-            F.size("unigrams2").alias("_u2"),
-            shared("unigrams1", "unigrams2").alias("_u"),
-        ]
+        counted.append(shared("unigrams1", "unigrams2").alias("_u"))
+    if UNION_ROUGE_L in metrics:
+        sentences = sequences.lcs_sentences(F.col("sentences1"), F.col("sentences2"))
+        counted.append(sentences.alias("_s"))
     if "rouge-2" in metrics:
         counted += [
             F.size("bigrams1").alias("_b1"),
@@ -178,6 +187,7 @@ def _compare(
         # one-word texts have no bigram: the score is 0, as with no match
         "rouge-2": lambda: rouge_f(c("_b"), c("_b1"), c("_b2")),
         "rouge-l": lambda: rouge_f(F.coalesce(c("_l"), c("_l1")), c("_l1"), c("_l2")),
+        UNION_ROUGE_L: lambda: rouge_f(F.coalesce(c("_s"), c("_u1")), c("_u1"), c("_u2")),
     }
     stats = [
         c("_w1").alias("words_1"),

@@ -434,6 +434,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rouge_1": _metric("rouge-1"),
     "rouge_2": _metric("rouge-2"),
     "rouge_l": _metric("rouge-l"),
+    "rouge_l_union": _metric(metrics.UNION_ROUGE_L),
     "levenshtein_ratio": _metric("levenshtein"),
     "levenshtein_distance": levenshtein_distance,
     "evaluate_pairs": evaluate_pairs,

@@ -104,6 +104,29 @@ def scan_documents(spark: SparkSession, path: str, pattern: str = "*.[pP][dD][fF
     )
 
 
+def list_inputs(spark: SparkSession, path: str) -> DataFrame:
+    """``path, is_file`` of everything under a folder, for ``validate_inputs``.
+
+    Only names are read: the content column is never asked for. Folders are seen
+    through the files below them.
+    """
+    found = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load(path)
+        .select(F.regexp_replace("path", r"^file:/+", "/").alias("path"))
+    )
+    parts = F.split("path", "/")
+    parents = F.transform(
+        F.sequence(F.lit(2), F.greatest(F.size(parts) - 1, F.lit(2))),
+        lambda n: F.array_join(F.slice(parts, 1, n), "/"),
+    )
+    folders = found.select(F.explode(parents).alias("path")).distinct()
+    return found.withColumn("is_file", F.lit(True)).unionByName(
+        folders.withColumn("is_file", F.lit(False))
+    )
+
+
 def validate_inputs(requested: DataFrame, listing: DataFrame) -> DataFrame:
     """Adds ``verdict`` to requested paths: ``missing``, ``not a file``,
     ``wrong suffix`` (checked in this order) or ``ok``.

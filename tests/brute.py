@@ -66,6 +66,33 @@ def rouge_l(a, b):
     return f_score(lcs(x, y), len(x), len(y))
 
 
+def traced(x, y):
+    table = {(i, j): 0 for i in range(len(x) + 1) for j in range(len(y) + 1)}
+    for i in range(1, len(x) + 1):
+        for j in range(1, len(y) + 1):
+            table[i, j] = (
+                table[i - 1, j - 1] + 1
+                if x[i - 1] == y[j - 1]
+                else max(table[i - 1, j], table[i, j - 1])
+            )
+    out, i, j = set(), len(x), len(y)
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            out.add(x[i - 1])
+            i, j = i - 1, j - 1
+        elif table[i - 1, j] > table[i, j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def rouge_l_union(a, b):
+    x, y = ([s.split() for s in t.split(".") if s.split()] for t in (a, b))
+    union = set().union(*(traced(r, e) for r in y for e in x))
+    return f_score(len(union), len(set(rouge_words(a))), len(set(rouge_words(b))))
+
+
 def ratio(a, b):
     return 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
 
@@ -78,6 +105,7 @@ def scores(a, b):
         "rouge_1": rouge_n(a, b, 1),
         "rouge_2": rouge_n(a, b, 2),
         "rouge_l": rouge_l(a, b),
+        "rouge_l_union": rouge_l_union(a, b),
     }
 
 

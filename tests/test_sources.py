@@ -74,6 +74,22 @@ def test_validate_inputs(spark):
     }
 
 
+@pytest.mark.integration
+def test_validate_against_a_folder(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.pdf").write_bytes(b"x")
+    (tmp_path / "sub" / "b.txt").write_bytes(b"y")
+    names = ["a.pdf", "sub", "sub/b.txt", "gone.pdf"]
+    requested = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in names], "path string")
+    got = files.validate_inputs(requested, files.list_inputs(spark, str(tmp_path)))
+    assert {r["path"].removeprefix(f"{tmp_path}/"): r["verdict"] for r in got.collect()} == {
+        "a.pdf": "ok",
+        "sub": "not a file",
+        "sub/b.txt": "wrong suffix",
+        "gone.pdf": "missing",
+    }
+
+
 @pytest.mark.unit
 def test_encode_payload(spark):
     data = bytes(range(256)) * 3
