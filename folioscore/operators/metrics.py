@@ -36,7 +36,7 @@ _NEEDS = {
     "cosine": ("counts", "squares"),
     "rouge-1": ("unigrams",),
     "rouge-2": ("bigrams",),
-    "rouge-l": ("sentence",),
+    "rouge-l": ("sentence", "word_count"),
     "rouge-l-union": ("unigrams", "sentences"),
 }
 
@@ -61,6 +61,8 @@ def with_features(
         out = out.withColumn(
             "sentences", tokens.rouge_sentences(truncate_for_rouge(F.col("text"), rouge_chars))
         )
+    if "word_count" in wanted:
+        out = out.withColumn("word_count", F.size(tokens.rouge_words(F.col("sentence"))))
     if "unigrams" in wanted:
         out = out.withColumn("unigrams", tokens.rouge_unigrams(F.col("sentence")))
     if "bigrams" in wanted:
@@ -133,10 +135,15 @@ def cosine(products: Column, q1: Column, q2: Column) -> Column:
 def _compare(
     pairs: DataFrame, metrics: Sequence[str], with_word_stats: bool = False
 ) -> DataFrame:
-    """Scores of feature pairs: counting first, then the two UDF columns, then
-    ratios, each in its own projection so that nothing is computed twice."""
+    """Scores of feature pairs.
+
+    The first projection counts and lets go of the sets, so that only numbers and
+    the texts of the sequence metrics go by the Python workers; the second makes
+    the scores.
+    """
     keep = list(PAIR_KEY)
     counted: list[Column] = []
+    texts: list[str] = []
     if "word_overlap" in metrics:
         counted += [
             F.size("words1").alias("_w1"),
@@ -154,8 +161,7 @@ def _compare(
     if "rouge-1" in metrics:
         counted.append(shared("unigrams1", "unigrams2").alias("_u"))
     if UNION_ROUGE_L in metrics:
-        sentences = sequences.lcs_sentences(F.col("sentences1"), F.col("sentences2"))
-        counted.append(sentences.alias("_s"))
+        texts += ["sentences1", "sentences2"]
     if "rouge-2" in metrics:
         counted += [
             F.size("bigrams1").alias("_b1"),
@@ -163,31 +169,31 @@ def _compare(
             shared("bigrams1", "bigrams2").alias("_b"),
         ]
     if "levenshtein" in metrics:
-        counted += [
-            F.length("text1").alias("_n1"),
-            F.length("text2").alias("_n2"),
-            sequences.lcs_chars(F.col("text1"), F.col("text2")).alias("_c"),
-        ]
+        counted += [F.length("text1").alias("_n1"), F.length("text2").alias("_n2")]
+        texts += ["text1", "text2"]
     if "rouge-l" in metrics:
+        counted += [F.col("word_count1").alias("_l1"), F.col("word_count2").alias("_l2")]
+        texts += ["sentence1", "sentence2"]
+    c = F.col
 
-        def words(c: str) -> Column:
-            return F.size(tokens.rouge_words(F.col(c)))
+    def common(of, name: str, if_equal: str) -> Column:
+        return F.coalesce(of(c(f"{name}1"), c(f"{name}2")), c(if_equal))
 
-        counted += [
-            words("sentence1").alias("_l1"),
-            words("sentence2").alias("_l2"),
-            sequences.lcs_words(F.col("sentence1"), F.col("sentence2")).alias("_l"),
-        ]
-    c = F.col
     scores = {
         "word_overlap": lambda: overlap_ratio(c("_w1"), c("_w2"), c("_w")),
-        "levenshtein": lambda: indel_ratio(F.coalesce(c("_c"), c("_n1")), c("_n1"), c("_n2")),
+        "levenshtein": lambda: indel_ratio(
+            common(sequences.lcs_chars, "text", "_n1"), c("_n1"), c("_n2")
+        ),
         "cosine": lambda: cosine(c("_t"), c("_q1"), c("_q2")),
         "rouge-1": lambda: rouge_f(c("_u"), c("_u1"), c("_u2")),
         # one-word texts have no bigram: the score is 0, as with no match
         "rouge-2": lambda: rouge_f(c("_b"), c("_b1"), c("_b2")),
-        "rouge-l": lambda: rouge_f(F.coalesce(c("_l"), c("_l1")), c("_l1"), c("_l2")),
-        UNION_ROUGE_L: lambda: rouge_f(F.coalesce(c("_s"), c("_u1")), c("_u1"), c("_u2")),
+        "rouge-l": lambda: rouge_f(
+            common(sequences.lcs_words, "sentence", "_l1"), c("_l1"), c("_l2")
+        ),
+        UNION_ROUGE_L: lambda: rouge_f(
+            common(sequences.lcs_sentences, "sentences", "_u1"), c("_u1"), c("_u2")
+        ),
     }
     stats = [
         c("_w1").alias("words_1"),
@@ -196,7 +202,7 @@ def _compare(
         (c("_w1") - c("_w")).alias("only_1"),
         (c("_w2") - c("_w")).alias("only_2"),
     ]
-    return pairs.select(*keep, *counted).select(
+    return pairs.select(*keep, *counted, *texts).select(
         *keep,
         *[scores[m]().alias(column_of(m)) for m in metrics],
         *(stats if with_word_stats else []),
