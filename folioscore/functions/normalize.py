@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscore.functions.columns import let
+from folioscore.functions.columns import substitute
 
 # Whitespace in the sense of Unicode text processing: Java's (?U)\s plus the
 # four ASCII separators that it leaves out.
@@ -95,26 +92,9 @@ STRIP_GROUPS: tuple[tuple[tuple[str, ...], tuple[tuple[str, str], ...]], ...] =
 ROUGE_MAX_CHARS = 10_000
 
 
-def _apply(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
-    for pattern, replacement in rules:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
-
-
 def strip_markdown(text: Column | str) -> Column:
     """Plain text of a Markdown column: the ordered rules, then trimmed."""
-    out = F.col(text) if isinstance(text, str) else text
-    for marks, rules in STRIP_GROUPS:
-        if not marks:
-            out = _apply(out, rules)
-            continue
-
-        def guarded(t: Column, marks=marks, rules=rules) -> Column:
-            present = reduce(or_, [F.contains(t, F.lit(m)) for m in marks])
-            return F.when(present, _apply(t, rules)).otherwise(t)
-
-        out = let(out, guarded)
-    return F.trim(out)
+    return F.trim(substitute(F.col(text) if isinstance(text, str) else text, STRIP_GROUPS))
 
 
 def maybe_strip(text: Column | str, strip: bool = True) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscore.functions.columns import substitute
+
 # The page that wraps element HTML.
 HTML_HEAD = (
     "<!DOCTYPE html><html>\n"
@@ -16,45 +18,68 @@ HTML_TAIL = "</body></html>"
 _TAG_END = r"(?:\s[^>]*)?>"
 _BLOCKS = "p|div|ul|ol|table|article|section|nav|header|footer|body|html"
 
-# The ordered HTML rules (pattern, replacement).
-HTML_RULES: tuple[tuple[str, str], ...] = (
+# The ordered HTML rules (pattern, replacement), in groups under
+# the marks without which they cannot match.
+HTML_GROUPS: tuple[tuple[tuple[str, ...], tuple[tuple[str, str], ...]], ...] = (
     # what is never shown
-    (r"(?s)<!--.*?-->", ""),
-    (rf"(?s)<head{_TAG_END}.*?</head>", ""),
-    (rf"(?s)<script{_TAG_END}.*?</script>", ""),
-    (rf"(?s)<style{_TAG_END}.*?</style>", ""),
+    (("<!--",), ((r"(?s)<!--.*?-->", ""),)),
+    (("<head",), ((rf"(?s)<head{_TAG_END}.*?</head>", ""),)),
+    (("<script",), ((rf"(?s)<script{_TAG_END}.*?</script>", ""),)),
+    (("<style",), ((rf"(?s)<style{_TAG_END}.*?</style>", ""),)),
     # headings
     *(
-        (rf"(?s)<h{n}{_TAG_END}\s*(.*?)\s*</h{n}>", "\n\n" + "#" * n + " $1\n\n")
+        (
+            (f"<h{n}",),
+            ((rf"(?s)<h{n}{_TAG_END}\s*(.*?)\s*</h{n}>", "\n\n" + "#" * n + " $1\n\n"),),
+        )
         for n in range(1, 7)
     ),
     # emphasis, links, line breaks, list items
-    (rf"</?(?:b|strong){_TAG_END}", "**"),
-    (rf"</?(?:i|em){_TAG_END}", "*"),
-    (r'(?s)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"),
-    (r"<br\s*/?>", "\n"),
-    (rf"<li{_TAG_END}", "\n* "),
+    (
+        ("<",),
+        (
+            (rf"</?(?:b|strong){_TAG_END}", "**"),
+            (rf"</?(?:i|em){_TAG_END}", "*"),
+            (r'(?s)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"),
+            (r"<br\s*/?>", "\n"),
+            (rf"<li{_TAG_END}", "\n* "),
+        ),
+    ),
     # tables
-    (rf"</t[dh]>\s*<t[dh]{_TAG_END}", " | "),
-    (rf"<tr{_TAG_END}\s*<t[dh]{_TAG_END}", "\n| "),
-    (r"</t[dh]>\s*</tr>", " |"),
+    (
+        ("<tr", "</td", "</th"),
+        (
+            (rf"</t[dh]>\s*<t[dh]{_TAG_END}", " | "),
+            (rf"<tr{_TAG_END}\s*<t[dh]{_TAG_END}", "\n| "),
+            (r"</t[dh]>\s*</tr>", " |"),
+        ),
+    ),
     # blocks, then every other tag
-    (rf"</?(?:{_BLOCKS}){_TAG_END}", "\n\n"),
-    (r"<[^>]+>", ""),
+    (("<",), ((rf"</?(?:{_BLOCKS}){_TAG_END}", "\n\n"), (r"<[^>]+>", ""))),
     # entities, the ampersand last
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
+    (
+        ("&",),
+        (
+            ("&nbsp;", " "),
+            ("&lt;", "<"),
+            ("&gt;", ">"),
+            ("&quot;", '"'),
+            ("&#39;", "'"),
+            ("&copy;", "©"),
+            ("&middot;", "·"),
+            ("&amp;", "&"),
+        ),
+    ),
     # white space
-    (r"[ \t]+\n", "\n"),
-    (r"\n{3,}", "\n\n"),
-    (r"^\n+", ""),
-    (r"\n+\z", ""),
+    (
+        (),
+        (
+            (r"[ \t]+\n", "\n"),
+            (r"\n{3,}", "\n\n"),
+            (r"^\n+", ""),
+            (r"\n+\z", ""),
+        ),
+    ),
 )
 
 
@@ -68,7 +93,9 @@ def elements_to_html(elements: DataFrame) -> DataFrame:
         F.struct("seq", F.col("metadata")["text_as_html"].alias("_h")),
     )
     # collect_list leaves nulls out, so dropped elements are not shuffled
-    ordered = F.transform(F.sort_array(F.collect_list(html)), lambda x: F.concat(x["_h"], F.lit("\n")))
+    ordered = F.transform(
+        F.sort_array(F.collect_list(html)), lambda x: F.concat(x["_h"], F.lit("\n"))
+    )
     return elements.groupBy("doc_id").agg(
         F.concat(F.lit(HTML_HEAD), F.array_join(ordered, ""), F.lit(HTML_TAIL)).alias("html")
     )
@@ -76,10 +103,7 @@ def elements_to_html(elements: DataFrame) -> DataFrame:
 
 def html_to_markdown(html: Column | str) -> Column:
     """Markdown of an HTML column by the ordered rules."""
-    out = F.col(html) if isinstance(html, str) else html
-    for pattern, replacement in HTML_RULES:
-        out = F.regexp_replace(out, pattern, replacement)
-    return out
+    return substitute(F.col(html) if isinstance(html, str) else html, HTML_GROUPS)
 
 
 def linearize_layout(blocks: DataFrame, header_threshold: float = 0.7) -> DataFrame:

@@ -376,7 +376,7 @@ def check_responses(spark, d):
     answers = turns.select(
         tables.turn_document().alias("doc_id"),
         (tables.turn_position() + 1).alias("page_no"),
-        tables._by_position(list(registry.PARSER_NAMES), tables.turn_position()).alias("parser"),
+        tables.by_position(list(registry.PARSER_NAMES), tables.turn_position()).alias("parser"),
         F.when(F.col("role") == "system", "")
         .when(F.col("role") == "user", F.lit(None))
         .otherwise(F.col("text"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from folioscore.functions.normalize import STRIP_GROUPS, WS, WS_IN_LINE
 from folioscore.operators.registry import IMAGE_PROMPT, LIMIT_FIELD, PAGE_POLICY, PARSERS
 from folioscore.operators.registry import PDF_PROMPT, SENDS_TOP_K
-from folioscore.operators.render import HTML_HEAD, HTML_RULES, HTML_TAIL
+from folioscore.operators.render import HTML_GROUPS, HTML_HEAD, HTML_TAIL
 from folioscore.plans.catalog import SYSTEM_TEXT
 from folioscore.sources.files import DEFAULT_PARSERS
 
@@ -55,9 +55,12 @@ def _substitute(column: str, rules) -> str:
     return column
 
 
+def _flat(groups):
+    return [rule for _, rules in groups for rule in rules]
+
+
 def _strip(column: str) -> str:
-    rules = [rule for _, group in STRIP_GROUPS for rule in group]
-    return f"trim({_substitute(column, rules)})"
+    return f"trim({_substitute(column, _flat(STRIP_GROUPS))})"
 
 
 def _dressed(text: str, key: str) -> str:
@@ -441,7 +444,7 @@ SELECT CAST(page_id AS VARCHAR) AS doc_id, {_q(HTML_HEAD)}
   || coalesce(string_agg(t || E'</p>\\n', '' ORDER BY seq) FILTER (contains(t, '<p>')), '')
   || {_q(HTML_TAIL)} AS html
 FROM pieces GROUP BY page_id""",
-    "html_to_markdown": f"SELECT page_id, {_substitute('html', HTML_RULES)} AS markdown FROM pages",
+    "html_to_markdown": f"SELECT page_id, {_substitute('html', _flat(HTML_GROUPS))} AS markdown FROM pages",
     "linearize_layout": """WITH rows_of AS (
   SELECT l_orderkey, CAST(l_suppkey AS INTEGER) AS page_no,
          '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_returnflag || ' |' AS line,

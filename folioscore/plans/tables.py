@@ -27,7 +27,7 @@ def text_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return spread(table(spark, sf_dir, name).select(*columns))
 
 
-def _by_position(values: list[str], position: Column) -> Column:
+def by_position(values: list[str], position: Column) -> Column:
     """Pick from a short fixed list by a 0-based position."""
     return F.get(F.array(*[F.lit(v) for v in values]), position)
 
@@ -48,8 +48,8 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variants_of(conversations: DataFrame) -> DataFrame:
-    parser = _by_position([p[0] for p in PARSERS], F.col("ord"))
-    model = _by_position([p[1] for p in PARSERS], F.col("ord"))
+    parser = by_position([p[0] for p in PARSERS], F.col("ord"))
+    model = by_position([p[1] for p in PARSERS], F.col("ord"))
     return (
         conversations.select(
             turn_document().alias("filestem"), turn_position().alias("ord"), "text"
@@ -237,6 +237,6 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "documents").select(
         "doc_id",
-        _by_position(names, F.pmod(number, F.lit(len(names)))).alias("parser"),
+        by_position(names, F.pmod(number, F.lit(len(names)))).alias("parser"),
         model.alias("model"),
     )
