@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscore.functions.columns import let
-from folioscore.operators.registry import PAGE_POLICY
+from folioscore.operators.registry import PAGE_POLICY, RETRYING, SPLIT_BY_DEFAULT
 from folioscore.schemas import PAGE_RESULTS
 
 # The page heading converters are told to emit, and what stands
@@ -53,17 +53,21 @@ def page_count(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(_page_array(F.col("text"))).alias("pages"))
 
 
-def plan_units(docs: DataFrame, split_requested: bool) -> DataFrame:
+def plan_units(docs: DataFrame, split_requested: bool | None = False) -> DataFrame:
     """Units of work of ``(doc_id, parser, text)``: the pages where the parser
-    splits and there are several, else the whole document as unit 0."""
+    splits and there are several, else the whole document as unit 0.
+
+    ``None`` leaves splitting to each parser's own default.
+    """
 
     def parsers_with(policy: str) -> list[str]:
         return [p for p, v in PAGE_POLICY.items() if v == policy]
 
     parser = F.col("parser")
-    by_page = parser.isin(parsers_with("always"))
-    if split_requested:
-        by_page = by_page | parser.isin(parsers_with("if asked"))
+    always = parser.isin(parsers_with("always"))
+    asked = parsers_with("if asked") if split_requested else []
+    if split_requested is None:
+        asked = list(SPLIT_BY_DEFAULT)
     keep = [c for c in docs.columns if c != "text"]
     staged = docs.withColumn("_pages", _page_array(F.col("text")))
     pages = F.transform(
@@ -71,8 +75,7 @@ def plan_units(docs: DataFrame, split_requested: bool) -> DataFrame:
         lambda p, i: F.struct((i + 1).alias("page_no"), p.alias("unit_text")),
     )
     whole = F.array(F.struct(F.lit(0).alias("page_no"), F.col("text").alias("unit_text")))
-    always = parser.isin(parsers_with("always"))
-    split = by_page & ((F.size("_pages") > 1) | always)
+    split = always | (parser.isin(asked) & (F.size("_pages") > 1))
     return staged.select(*keep, F.inline(F.when(split, pages).otherwise(whole)))
 
 
@@ -91,6 +94,11 @@ class Retry:
         return max(self.least, min(float(2 ** (attempt - 1)), self.most))
 
 
+def retry_for(parser: str, transient: tuple[type[BaseException], ...]) -> Retry:
+    """The parser's own policy: some try transient errors again, others never."""
+    return Retry(transient=transient) if parser in RETRYING else Retry(attempts=1)
+
+
 def convert_units(
     units: DataFrame,
     converter: Callable[[str, int], str | None],

@@ -90,6 +90,11 @@ PAGE_POLICY = {
     "huggingface": "always",
 }
 
+# Parsers that split without being asked, and parsers whose calls
+# are tried again after transient errors.
+SPLIT_BY_DEFAULT = ("anthropic", "openai", "textract")
+RETRYING = ("googleai", "huggingface")
+
 # Name of the output limit in a request; top_k is sent by the
 # parsers of the second list only. Parsers absent here take no chat request.
 LIMIT_FIELD = {

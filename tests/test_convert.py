@@ -52,6 +52,9 @@ def test_plan_units(spark):
         ("openai", 2, "b"),
     ]
     assert units(False)[-1] == ("openai", 0, two)
+    assert units(None) == units(True)
+    assert convert.retry_for("googleai", (OSError,)).attempts == 3
+    assert convert.retry_for("openai", (OSError,)).attempts == 1
 
 
 def test_converter_retries_and_quarantine(spark):
