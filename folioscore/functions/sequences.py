@@ -70,12 +70,17 @@ def lcs_length(a, b) -> int:
     masks = _position_masks(a, set(b))
     full = (1 << len(a)) - 1
     row = full
-    for x in b:
-        hit = masks.get(x)
-        if hit:
+    hits = filter(None, map(masks.get, b))
+    if len(a) <= _SMALL:
+        # carries beyond the last position are cut off once, at the end
+        for hit in hits:
+            u = row & hit
+            row = (row + u) | (row ^ u)
+    else:
+        for hit in hits:
             u = row & hit
-            row = ((row + u) | (row - u)) & full
-    return cut + len(a) - row.bit_count()
+            row = ((row + u) | (row ^ u)) & full
+    return cut + len(a) - (row & full).bit_count()
 
 
 def lcs_items(a, b) -> set:
