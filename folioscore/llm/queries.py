@@ -6,10 +6,10 @@ operator's output.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscore.llm import chat, decontaminate, line_dedup, mixing, url_filter
+from folioscore.llm import chat, decontaminate, line_dedup, mixing, ppm, toxicity, url_filter
 
 #: (verdict, host, path)
 URL_RULES = (
@@ -38,6 +38,35 @@ def op4_line_dedup(spark, d):
     )
 
 
+def _remainder(divisor: int) -> Column:
+    """crc32 of the id as text, modulo ``divisor`` (a null id as an empty text)."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
+
+
+def op6_toxicity(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, d, "labels"), _remainder(3) != 1)
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id",
+        (_remainder(3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op7_lm_score(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return ppm.score_documents(docs, _remainder(10) != 0).select(
+        "doc_id",
+        (_remainder(10) == 0).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 def op8_chat_format(spark, d):
     columns = ("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(
@@ -91,6 +120,8 @@ def op10_url_filter(spark, d):
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op4_line_dedup": op4_line_dedup,
+    "op6_toxicity": op6_toxicity,
+    "op7_lm_score": op7_lm_score,
     "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
