@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from folioscore.llm.arrow import row_udf
 from folioscore.session import workspace
 
-ORDER = 4
+ORDER = 6
 SYMBOLS = 256
 END = 0xFF  # no byte of UTF-8
 HOT_WORDS = 1 << 17
-MAX_NODES = 4_000_000
+MAX_NODES = 2_750_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(2**64 - 1)
@@ -140,7 +140,8 @@ class Level:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         self.keys = keys
-        self.log_count = np.log(counts)
+        self.counts = counts
+        self.log_count = np.log(counts).astype(np.float32)
         context = keys >> np.uint64(8)
         self.contexts, self.first = np.unique(context, return_index=True)
         self.total = np.add.reduceat(counts, self.first) if len(keys) else np.empty(0, np.int64)
@@ -167,6 +168,8 @@ class Model:
         top = self.levels[order]
         own = np.repeat(np.arange(len(top.contexts)), top.kinds)
         self._build_table(top.keys, (top.log_count - top.log_all[own]).astype(np.float32))
+        for level in self.levels:
+            del level.counts, level.total, level.first
 
     @staticmethod
     def _exclude(longer: Level, shorter: Level, d: int) -> None:
@@ -176,8 +179,8 @@ class Model:
             return
         suffix = _find(shorter.contexts, longer.contexts & np.uint64(256**d - 1))
         same = _find(shorter.keys, longer.keys & np.uint64(256 ** (d + 1) - 1))
-        gone = np.add.reduceat(np.exp(shorter.log_count[same]), longer.first)
-        total = np.rint(shorter.total[suffix] - gone)
+        gone = np.add.reduceat(shorter.counts[same], longer.first)
+        total = shorter.total[suffix] - gone
         kinds = shorter.kinds[suffix] - longer.kinds
         with np.errstate(divide="ignore", invalid="ignore"):
             longer.log_all_below = np.log(total + kinds)
@@ -190,7 +193,7 @@ class Model:
 
     def _build_table(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Open-addressed table of the longest strings and their log probabilities."""
-        bits = max(10, int(np.ceil(np.log2(max(len(keys), 1) * 2.5))))
+        bits = max(10, int(np.ceil(np.log2(max(len(keys), 1) * 1.5))))
         self.shift = np.uint64(64 - bits)
         self.mask = np.uint64(2**bits - 1)
         self.table = np.full(2**bits, _EMPTY)
