@@ -5,6 +5,14 @@ from __future__ import annotations
 A_Z, A_Z_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = r"[\x20\x09-\x0D]"
 
+TOPK = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+pairs AS (SELECT q.vec_id AS query_id, i.vec_id, len(list_filter(list_zip(q.b, i.b), lambda p: p[1] <> p[2])) AS distance
+  FROM v q JOIN v i ON q.vec_id % 20 = 0 AND q.vec_id <> i.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
 MIX = r"""
 WITH docs AS (
   SELECT doc_id, source,
@@ -140,6 +148,7 @@ FROM judged
 """
 
 ORACLE = {
+    "op1_hamming_topk": TOPK,
     "op2_mix_sources": MIX,
     "op4_line_dedup": LINES,
     "op8_chat_format": CHAT,

@@ -9,7 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscore.llm import chat, decontaminate, line_dedup, mixing, ppm, toxicity, url_filter
+from folioscore.llm import (
+    chat,
+    decontaminate,
+    hamming_topk,
+    line_dedup,
+    mixing,
+    order_minhash,
+    ppm,
+    quality,
+    toxicity,
+    url_filter,
+)
 
 #: (verdict, host, path)
 URL_RULES = (
@@ -26,11 +37,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hamming_topk(spark, d):
+    """Ten nearest sign codes of every vector whose id is divisible by 20."""
+    items = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("id"), hamming_topk.sign_code("embedding").alias("code")
+    )
+    return hamming_topk.hamming_topk(items, items.filter("id % 20 = 0")).select(
+        "query_id", "rank", F.col("id").alias("vec_id"), "distance"
+    )
+
+
 def op2_mix_sources(spark, d):
     mixed = mixing.mix_sources(table(spark, d, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, quality.fit_quality(docs))
+    return scored.select("doc_id", "score", "accepted")
+
+
 def op4_line_dedup(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select(
@@ -38,6 +65,10 @@ def op4_line_dedup(spark, d):
     )
 
 
+def op5_order_minhash(spark, d):
+    return order_minhash.classify(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def _remainder(divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor`` (a null id as an empty text)."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
@@ -118,8 +149,11 @@ def op10_url_filter(spark, d):
 
 
 QUERIES = {
+    "op1_hamming_topk": op1_hamming_topk,
     "op2_mix_sources": op2_mix_sources,
+    "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
+    "op5_order_minhash": op5_order_minhash,
     "op6_toxicity": op6_toxicity,
     "op7_lm_score": op7_lm_score,
     "op8_chat_format": op8_chat_format,
