@@ -70,9 +70,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     )
     # the level if all sources before this one are at their cap and none from here on is
     level = (F.col("_total") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_weight").over(after)
-    leveled = ranked.withColumn("_level", level).withColumn(
-        "_level", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(every)
-    )
+    # the first source that its level leaves below the cap has the level of all
+    fits = F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", (-F.col("_level")).alias("_down")))
+    leveled = ranked.withColumn("_level", level).withColumn("_level", -F.min(fits).over(every)["_down"])
     share_of = F.col("_weight") * F.coalesce("_level", F.col("_ratio"))
     return leveled.select(
         "source", "source_size", F.least(F.col("_cap"), share_of).alias("target")

@@ -33,7 +33,8 @@ leveled AS (SELECT *,
     (total - coalesce(sum(c) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv
   FROM capped),
-levels AS (SELECT min(lv) AS lv FROM leveled WHERE lv <= ratio),
+edges AS (SELECT *, lag(ratio, 1, 0) OVER (ORDER BY ratio, source NULLS LAST) AS lower FROM leveled),
+levels AS (SELECT max(lv) AS lv FROM edges WHERE lv <= ratio AND lv >= lower),
 targets AS (SELECT source, source_size, least(c, w * coalesce((SELECT lv FROM levels), ratio)) AS target FROM capped),
 epochs AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS e FROM targets),
 placed AS (
