@@ -22,11 +22,15 @@ alone. Without both labels in the sample all scores are 0. Repeated ids are scor
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscore.llm.arrow import row_udf
+from folioscore.llm.order_minhash import labelled_kmers
+from folioscore.llm.sample import bounded_sample
 from folioscore.llm.texthash import mix
 
 BUCKETS = 1 << 18
@@ -136,6 +140,10 @@ class Bags:
             np.array([number.setdefault(w, len(number)) for w in set(normal(t).split())], np.int64)
             for t in texts
         ]
+        # copies of one text, found by their least run of words, count as one
+        least = [int(labelled_kmers(t)[1].min(initial=2**64 - 1)) for t in texts]
+        copies = Counter(least)
+        self.shares = np.array([1 / copies[k] for k in least])
         ids, words = ngrams(b" " + b" ".join(number) + b" ")
         order = np.argsort(words, kind="stable")
         self.flat = ids[order]
@@ -150,12 +158,12 @@ class Bags:
 
     def log_odds(self, labels: np.ndarray) -> np.ndarray:
         """For each bucket the log of its share of texts of label 1 over that of label 0."""
-        texts = np.bincount(labels, minlength=2)
+        texts = np.bincount(labels, self.shares, minlength=2)
         prior = PRIOR * texts / texts.sum()
         seen = np.repeat(prior[:, None], BUCKETS, axis=1)
-        for rows, label in zip(self.texts, labels):
+        for rows, label, share in zip(self.texts, labels, self.shares):
             if len(rows):
-                seen[label, np.unique(self.bags(rows)[0])] += 1
+                seen[label, np.unique(self.bags(rows)[0])] += share
         return np.log(seen[1] / texts[1]) - np.log(seen[0] / texts[0])
 
     def odds(self, model: SubwordModel) -> np.ndarray:
@@ -205,15 +213,17 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learnt: Column, rows: int = SAMPLE_ROWS):
-    """Model from the labelled documents for which ``learnt`` holds.
+    """Model from the labelled documents for whose ``doc_id`` the condition ``learnt`` holds.
 
-    ``labels`` has ``doc_id, toxic``; labels of one id that differ count as toxic.
+    ``labels`` has ``doc_id, toxic``; labels of one id that differ count as toxic. The ids are drawn
+    first, so no text is shuffled but those of the sample.
     """
-    known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.filter(F.col("toxic").isNotNull() & learnt).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    drawn = bounded_sample(known, known.count(), rows, "doc_id")
     sample = (
-        docs.filter(learnt & (F.length("text") <= SAMPLE_CHARS))
+        docs.filter(F.length("text") <= SAMPLE_CHARS)
         .select("doc_id", "text")
-        .join(known, "doc_id")
+        .join(F.broadcast(drawn), "doc_id")  # at most ``rows`` rows
         .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
         .limit(rows)
         .toArrow()
