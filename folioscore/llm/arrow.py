@@ -11,6 +11,8 @@ from pyspark.sql.functions import ArrowUDFType
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, _parse_datatype_string
 
+PIECE = 500
+
 
 def row_udf(result: str, make: Callable[[], Callable]):
     """Column function from a row function; structs are returned as tuples in field order.
@@ -24,18 +26,24 @@ def row_udf(result: str, make: Callable[[], Callable]):
     arrow_kind = to_arrow_type(kind)
     names = kind.fieldNames() if isinstance(kind, T.StructType) else None
 
+    def packed(values: list) -> pa.Array:
+        if names is None:
+            return pa.array(values, arrow_kind)
+        fields = list(zip(*values)) or [[] for _ in names]
+        return pa.StructArray.from_arrays(
+            [pa.array(f, arrow_kind.field(i).type) for i, f in enumerate(fields)], names
+        )
+
     def run(batches: Iterator) -> Iterator:
         row = make()
         for batch in batches:
             columns = batch if isinstance(batch, tuple) else (batch,)
-            values = [row(*(v.as_py() for v in r)) for r in zip(*columns)]
-            if names is None:
-                yield pa.array(values, arrow_kind)
-            else:
-                fields = list(zip(*values)) or [[] for _ in names]
-                yield pa.StructArray.from_arrays(
-                    [pa.array(f, arrow_kind.field(i).type) for i, f in enumerate(fields)], names
-                )
+            parts = [packed([])]
+            # a piece at a time, so that few rows are Python objects at once
+            for k in range(0, len(columns[0]), PIECE):
+                pieces = (c.slice(k, PIECE) for c in columns)
+                parts.append(packed([row(*(v.as_py() for v in r)) for r in zip(*pieces)]))
+            yield pa.concat_arrays(parts)
 
     with warnings.catch_warnings():  # the number of columns is not known for a type hint
         warnings.simplefilter("ignore")

@@ -13,7 +13,7 @@ count a string needs is raised, for all orders alike, until no more than that ma
 (strings of the longest order; 1 where all fit). Escapes cover what is left out.
 
 Base: ``log10((c + 0.1) / (N + 0.1 (V + 1)))`` summed over the tokens of a text, words and one end.
-The ``hot_words`` most frequent training words are broadcast (a fixed number); the other words of a
+The most frequent training words, at most ``hot_words``, are broadcast; the other words of a
 document are counted per document and meet their training counts in a join. No word is cut.
 
 Defined results: a null text is empty: one token, the end. Repeated documents are scored each for
@@ -41,7 +41,7 @@ MAX_NODES = 2_750_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(2**64 - 1)
-_CHUNK = 1 << 22
+_CHUNK = 1 << 21
 
 
 def normal_bytes(text: str | None) -> bytes:
@@ -107,22 +107,24 @@ def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
     )
 
 
-def bounded_grams(counted: DataFrame, max_nodes: int) -> tuple[np.ndarray, np.ndarray]:
-    """All grams, or those of the least count that leaves at most ``max_nodes``."""
+def most_counted(counted: DataFrame, count: str, most: int) -> DataFrame:
+    """All rows, or those of the least count that leaves at most ``most``."""
     spread = (
-        counted.groupBy(F.least(F.floor(8 * F.log2("n")), F.lit(400)).alias("level"))
-        .agg(F.count(F.lit(1)).alias("grams"), F.min("n").alias("least"))
+        counted.groupBy(F.least(F.floor(8 * F.log2(count)), F.lit(400)).alias("level"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.min(count).alias("least"))
         .collect()
     )  # at most 401 rows
     left, least = 0, None
     for row in sorted(spread, key=lambda r: -r["least"]):
-        left += row["grams"]
-        if left > max_nodes:
+        left += row["rows"]
+        if left > most:
             break
         least = row["least"]
-    if least is None:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    rows = counted.filter(F.col("n") >= least).toArrow()
+    return counted.filter(F.col(count) >= least if least is not None else F.lit(False))
+
+
+def bounded_grams(counted: DataFrame, max_nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    rows = most_counted(counted, "n", max_nodes).toArrow()
     keys = rows.column("gram").to_numpy().astype(np.uint64)
     return _counted(keys, rows.column("n").to_numpy())
 
@@ -283,7 +285,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 counts.update(tokens_of(normal_bytes(text.as_py())))
-                if len(counts) > 1_000_000:
+                if len(counts) > 300_000:
                     yield from out()
         yield from out()
 
@@ -292,7 +294,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 SCORED = (
     "struct<n_tokens:long,n_known:long,hot_score:double,score:double,"
-    "rare:array<struct<word:binary,n:long>>>"
+    "words:array<binary>,counts:array<long>>"
 )
 
 
@@ -320,7 +322,7 @@ def score_documents(
     whole = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total = (whole["n"] or 0) + ends
     divisor = total + 0.1 * (whole["v"] + (ends > 0) + 1)
-    top = words.orderBy(F.col("c").desc(), "word").limit(hot_words).toArrow()
+    top = most_counted(words, "c", hot_words).toArrow()
     hot = spark.sparkContext.broadcast(
         dict(
             zip(
@@ -338,17 +340,18 @@ def score_documents(
         def row(text):
             data = normal_bytes(text)
             counts = Counter(tokens_of(data))
-            n_known, score, rare = int(ends > 0), end_score, []
+            n_known, score = int(ends > 0), end_score
+            rare, times = [], []
             for word, n in counts.items():
                 log = known.get(word)
                 if log is None:
-                    rare.append((word, n))
+                    rare.append(word)
+                    times.append(n)
                 else:
                     n_known += n
                     score += n * log
             n_tokens = counts.total() + 1
-            rows = [{"word": w, "n": n} for w, n in rare]
-            return n_tokens, n_known, score, trie.log_prob(data) * to_log10, rows
+            return n_tokens, n_known, score, trie.log_prob(data) * to_log10, rare, times
 
         return row
 
@@ -360,8 +363,7 @@ def score_documents(
     scored = spark.read.parquet(scored_at)
     log = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.1) / divisor)
     rare = (
-        scored.select("row", F.explode("rare").alias("_r"))
-        .select("row", "_r.word", "_r.n")
+        scored.select("row", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))))
         .join(words, "word", "left")
         .groupBy("row")
         .agg(
@@ -370,7 +372,7 @@ def score_documents(
         )
     )
     none = F.lit(0)
-    return scored.drop("rare").join(rare, "row", "left").select(
+    return scored.drop("words", "counts").join(rare, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", none)).alias("n_known"),
