@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Where a ``\`` goes: after ``<`` or ``[`` of strings that this or other templates give meaning.
-CONTROL = r"(<(?=/?s>|\||</?SYS>)|\[(?=/?INST\]))"
+CONTROL = r"(<(?=/?s>|\||/?SYS>)|\[(?=/?INST\]))"
 LOSS_ROLE = "assistant"
 TURNS = "array<struct<role:string,text:string>>"
 
