@@ -179,10 +179,10 @@ def check_responses(results: DataFrame, fail: bool = False) -> DataFrame:
 
 
 def _ordered_text(order: str, text: str) -> Column:
-    """Array of the group's texts in order."""
+    """Array of the group's texts in order; a missing text is an empty one."""
     return F.transform(
         F.sort_array(F.collect_list(F.struct(F.col(order), F.col(text).alias("_t")))),
-        lambda x: x["_t"],
+        lambda x: F.coalesce(x["_t"], F.lit("")),
     )
 
 

@@ -225,6 +225,18 @@ def evaluate_pairs(
     return _compare(variant_pairs(featured, carry), metrics, with_word_stats)
 
 
+def evaluate_checked(
+    variants: DataFrame, checked: DataFrame, metrics: Sequence[str] = METRICS
+) -> DataFrame:
+    """Scores of the checked variant of each document (``filestem, file``) with
+    the others: n - 1 pairs for n variants."""
+    marked = variants.join(checked.select("filestem", F.col("file").alias("_checked")), "filestem")
+    is_checked = F.col("file") == F.col("_checked")
+    first, carry = with_features(marked.where(is_checked), metrics)
+    others, _ = with_features(marked.where(~is_checked), metrics)
+    return _compare(variant_pairs(first, carry, others=others), metrics)
+
+
 def evaluate_against(
     fresh: DataFrame,
     stored: DataFrame,

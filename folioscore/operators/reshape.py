@@ -62,30 +62,19 @@ def similarity_matrix(long_metrics: DataFrame) -> DataFrame:
     """One matrix row per document, metric and file.
 
     ``columns`` are the document's files in order, ``values`` the similarities to
-    them, 0 where a pair is missing. The arrays are as long as the document has
-    variants, so no pass over the data has to find a column list first, and both
-    groupings keep the partitioning of the pair join.
+    them. Pairs of a document are complete, so the cells of a row are its columns:
+    one grouping of small cells makes the row, whatever the number of files.
     """
-    document = Window.partitionBy("filestem", "Metric")
-    column = F.struct("ord_col", "file_col")
-    cells = similarity_cells(long_metrics).withColumn(
-        "_columns", F.sort_array(F.collect_set(column).over(document))
+    cell = F.struct("ord_col", "file_col", "Value")
+    rows = similarity_cells(long_metrics).groupBy("filestem", "Metric", "File").agg(
+        F.sort_array(F.collect_list(cell)).alias("_cells")
     )
-    rows = cells.groupBy("filestem", "Metric", "File").agg(
-        F.any_value("_columns").alias("_columns"),
-        F.collect_list(F.struct("file_col", "Value")).alias("_cells"),
-    )
-
-    def value(c):
-        found = F.filter("_cells", lambda x: x["file_col"] == c["file_col"])
-        return F.coalesce(F.get(found, 0)["Value"], F.lit(0.0))
-
     return rows.select(
         "filestem",
         "Metric",
         "File",
-        F.transform("_columns", lambda c: c["file_col"]).alias("columns"),
-        F.transform("_columns", value).alias("values"),
+        F.transform("_cells", lambda c: c["file_col"]).alias("columns"),
+        F.transform("_cells", lambda c: c["Value"]).alias("values"),
     )
 
 

@@ -19,8 +19,6 @@ from folioscore.streaming import chunks as chunk_stream
 from folioscore.streaming import variants as variant_stream
 
 PAIR = ("filestem", "file1", "file2")
-#: Metrics whose SQL runs on whole tables in reasonable time.
-COUNTED = ("word_overlap", "cosine", "rouge-1", "rouge-2")
 SYSTEM_TEXT = "Convert the document to Markdown."
 
 
@@ -92,8 +90,8 @@ def evaluation_report(spark, d):
 
 
 def _long(spark: SparkSession, d: str) -> DataFrame:
-    wide = metrics.evaluate_pairs(_variants(spark, d), COUNTED)
-    return _rounded(reshape.metrics_long(wide, COUNTED), ["Value"])
+    wide = metrics.evaluate_pairs(_variants(spark, d))
+    return _rounded(reshape.metrics_long(wide), ["Value"])
 
 
 def metrics_long(spark, d):
@@ -101,24 +99,25 @@ def metrics_long(spark, d):
 
 
 def similarity_matrix(spark, d):
-    """Matrix rows with the values of a document's (at most eight) files."""
+    """Matrix rows; the values, in millionths, joined in the order of the files."""
     matrix = reshape.similarity_matrix(_long(spark, d))
-    values = [
-        F.coalesce(F.get("values", F.lit(k)), F.lit(0.0)).alias(f"v{k}") for k in range(tables.SPAN)
-    ]
+    millionths = F.transform("values", lambda v: F.round(v * 1e6).cast("long").cast("string"))
     return matrix.select(
-        "filestem", "Metric", "File", F.size("columns").alias("files"), *values
+        "filestem",
+        "Metric",
+        "File",
+        F.array_join("columns", " ").alias("columns"),
+        F.array_join(millionths, " ").alias("values"),
     )
 
 
 def rank_against_checked(spark, d):
     """The first variant of each document is the checked one."""
-    checked = (
-        tables.variants(spark, d)
-        .groupBy("filestem")
-        .agg(F.min_by("file", "ord").alias("file"))
-    )
-    return reshape.rank_against_checked(_long(spark, d), checked)
+    variants = _variants(spark, d)
+    checked = variants.groupBy("filestem").agg(F.min_by("file", "ord").alias("file"))
+    scored = metrics.evaluate_checked(variants, checked)
+    long_rows = _rounded(reshape.metrics_long(scored), ["Value"])
+    return reshape.rank_against_checked(long_rows, checked)
 
 
 def metrics_csv(spark, d):
@@ -376,7 +375,9 @@ def check_responses(spark, d):
     answers = turns.select(
         tables.turn_document().alias("doc_id"),
         (tables.turn_position() + 1).alias("page_no"),
-        tables.by_position(list(registry.PARSER_NAMES), tables.turn_position()).alias("parser"),
+        tables.by_position(
+            list(registry.PARSER_NAMES), tables.turn_parser(tables.turn_position())
+        ).alias("parser"),
         F.when(F.col("role") == "system", "")
         .when(F.col("role") == "user", F.lit(None))
         .otherwise(F.col("text"))
@@ -400,28 +401,34 @@ def linearize_layout(spark, d):
     return render.linearize_layout(tables.layout_blocks(spark, d))
 
 
-def _conversation_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = tables.table(spark, d, "conversations").schema
-    # a glob reads one file and a folder of files alike
-    return spark.readStream.schema(schema).parquet(f"{d}/conversations.parque[t]")
+def _conversation_stream(spark: SparkSession, d: str, out: str, again: bool = False) -> DataFrame:
+    """The table dealt over four files, one to a micro-batch. With ``again``, a
+    fifth holds the turns of every fifth conversation, which arrive once more."""
+    rows = tables.table(spark, d, "conversations")
+    part = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(4))
+    files = [rows.where(part == k) for k in range(4)]
+    if again:
+        files.append(rows.where(F.pmod("conv_id", F.lit(5)) == 0))
+    for file in files:
+        file.coalesce(1).write.mode("append").parquet(f"{out}/arriving")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    return stream.parquet(f"{out}/arriving")
 
 
 def stream_chunks(spark, d):
     """Deltas through a stream into stored batches, then assembled."""
     out = workspace(spark, "chunks")
-    arriving = tables.chunks_of(_conversation_stream(spark, d))
+    arriving = tables.chunks_of(_conversation_stream(spark, d, out))
     chunk_stream.stream_chunks(arriving, f"{out}/table", f"{out}/offsets").awaitTermination()
     return chunk_stream.assembled(spark, f"{out}/table")
 
 
 def stream_evaluate(spark, d):
-    """Variants through a stream, scored batch by batch."""
+    """Variants through a stream, scored batch by batch; some arrive again."""
     out = workspace(spark, "scores")
-    arriving = tables.variants_of(_conversation_stream(spark, d))
-    variant_stream.evaluate_stream(
-        arriving, out, f"{out}/offsets", metrics=COUNTED
-    ).awaitTermination()
-    names = [metrics.column_of(m) for m in COUNTED]
+    arriving = tables.variants_of(_conversation_stream(spark, d, out, again=True))
+    variant_stream.evaluate_stream(arriving, out, f"{out}/offsets").awaitTermination()
+    names = [metrics.column_of(m) for m in metrics.METRICS]
     return _rounded(variant_stream.scores(spark, out), names).select(*PAIR, *names)
 
 

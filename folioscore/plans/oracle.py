@@ -7,6 +7,8 @@ is spelled out.
 
 from __future__ import annotations
 
+import re
+
 from folioscore.functions.normalize import STRIP_GROUPS, WS, WS_IN_LINE
 from folioscore.operators.registry import IMAGE_PROMPT, LIMIT_FIELD, PAGE_POLICY, PARSERS
 from folioscore.operators.registry import PDF_PROMPT, SENDS_TOP_K
@@ -77,13 +79,14 @@ def _dressed(text: str, key: str) -> str:
 
 
 _REG = f"reg(pos, parser, model) AS ({_values((i, p[0], p[1]) for i, p in enumerate(PARSERS))})"
-_DOC = "'conv' || conv_id || '-' || (turn // 8)"
+_DOC = "'conv' || conv_id"
 
 VARIANTS = f"""{_REG},
 v AS (
-  SELECT {_DOC} AS filestem, CAST(turn % 8 AS INTEGER) AS ord, parser, model,
-         {_DOC} || '_' || parser || CASE WHEN model = '' THEN '' ELSE '_' || model END || '.md'
-           AS file, text
+  SELECT {_DOC} AS filestem, CAST(turn AS INTEGER) AS ord, parser,
+         CASE WHEN model = '' THEN '' ELSE model || '-' END || 't' || turn AS model,
+         {_DOC} || '_' || parser || '_' || CASE WHEN model = '' THEN '' ELSE model || '-' END
+           || 't' || turn || '.md' AS file, text
   FROM conversations JOIN reg ON pos = turn % 8
 )"""
 _ORDER = "(a.ord < b.ord OR (a.ord = b.ord AND a.file <= b.file))"
@@ -158,36 +161,70 @@ def _f(both: str, n1: str, n2: str) -> str:
     )
 
 
-_LONG = f"""{VARIANTS}, {PAIRS}, {WORDS}, {COSINE}, {ROUGE},
+def _lcs(name: str, units: str) -> str:
+    """Length of the longest common subsequence of the two lists of every pair.
+
+    Per text, each distinct unit has a bit for every place it stands at, in blocks
+    of 60 places; per pair the masks of the second list's units are folded, in
+    order, into a row of bits in which every step of the common subsequence turns
+    one bit off.
+    """
+    full = (1 << 60) - 1
+    pair = "lambda k: [rows[k], masks[k]]"
+    carried = "(b[1] + (b[1] & b[2]) + acc[1])"
+    block = f"(({carried} & {full}) | xor(b[1], b[1] & b[2]))"
+    return f"""{name}_u AS (SELECT filestem, file, ord, {units} AS units FROM v),
+{name}_at AS (SELECT filestem, file, unnest(units) AS u, generate_subscripts(units, 1) - 1 AS i FROM {name}_u),
+{name}_mask AS (SELECT filestem, file, u, i // 60 AS blk, sum(1::BIGINT << (i % 60)::INTEGER)::BIGINT AS mask
+  FROM {name}_at GROUP BY ALL),
+{name}_all AS (
+  SELECT t.filestem, t.file, s.u, list(coalesce(m.mask, 0) ORDER BY g.blk) AS masks
+  FROM (SELECT filestem, file, (len(units) + 59) // 60 AS blocks FROM {name}_u) t
+  JOIN (SELECT DISTINCT filestem, file, u FROM {name}_at) s USING (filestem, file)
+  JOIN LATERAL (SELECT unnest(range(blocks)) AS blk) g ON true
+  LEFT JOIN {name}_mask m ON m.filestem = t.filestem AND m.file = t.file AND m.u = s.u AND m.blk = g.blk
+  GROUP BY ALL),
+{name}_map AS (SELECT filestem, file, map(list(u), list(masks)) AS at FROM {name}_all GROUP BY ALL),
+{name} AS (
+  SELECT a.filestem, a.file AS file1, b.file AS file2, a.ord AS ord1, b.ord AS ord2,
+    len(a.units) AS n1, len(b.units) AS n2,
+    CASE WHEN a.units = b.units THEN len(a.units)
+         WHEN len(a.units) = 0 OR len(b.units) = 0 THEN 0
+         ELSE 60 * ((len(a.units) + 59) // 60) - list_sum(list_transform(list_reduce(
+           list_filter(list_transform(b.units, lambda u: m.at[u]), lambda x: x IS NOT NULL),
+           lambda rows, masks: list_reduce(
+             list_transform(range(1, len(rows) + 1), {pair}),
+             lambda acc, b: list_concat([{carried} >> 60], acc[2:], [{block}]),
+             [0::BIGINT])[2:],
+           list_transform(range((len(a.units) + 59) // 60), lambda k: {full}::BIGINT)
+         ), lambda r: bit_count(r)::BIGINT)) END AS lcs
+  FROM {name}_u a JOIN {name}_u b ON a.filestem = b.filestem AND {_ORDER}
+  LEFT JOIN {name}_map m ON m.filestem = a.filestem AND m.file = a.file)"""
+
+
+LCS_CHARS = _lcs("lc", "list_filter(string_split(text, ''), lambda x: x <> '')")
+LCS_WORDS = _lcs("lw", _rouge_words("text"))
+_RATIO = "round(CASE WHEN n1 + n2 > 0 THEN 2.0 * lcs / (n1 + n2) ELSE 1 END::DOUBLE, 6)"
+_ALL = f"{VARIANTS}, {PAIRS}, {WORDS}, {COSINE}, {ROUGE}, {LCS_CHARS}, {LCS_WORDS}"
+_SIX = f"""six AS (
+  SELECT o.filestem, o.file1, o.file2, o.n1 AS words_1, o.n2 AS words_2, o.n AS common,
+         {_OVERLAP.replace('n1', 'o.n1').replace('n2', 'o.n2').replace('- n ', '- o.n ').replace('THEN n ', 'THEN o.n ').replace('- n)', '- o.n)')} AS word_overlap,
+         {_RATIO.replace('n1', 'lc.n1').replace('n2', 'lc.n2').replace('* lcs', '* lc.lcs')} AS levenshtein, cosine,
+         {_f('ou', 'u1', 'u2')} AS rouge_1, {_f('ob', 'b1', 'b2')} AS rouge_2,
+         {_f('lw.lcs', 'lw.n1', 'lw.n2')} AS rouge_l
+  FROM o JOIN c USING (filestem, file1, file2) JOIN m USING (filestem, file1, file2)
+  JOIN lc USING (filestem, file1, file2) JOIN lw USING (filestem, file1, file2)
+)"""
+
+_LONG = f"""{_ALL},
 l AS (
   SELECT filestem, 0 AS metric_pos, 'word_overlap' AS "Metric", file1 AS "File1",
          file2 AS "File2", {_OVERLAP} AS "Value", ord1, ord2 FROM o
-  UNION ALL SELECT filestem, 1, 'cosine', file1, file2, cosine, ord1, ord2 FROM c
-  UNION ALL SELECT filestem, 2, 'rouge-1', file1, file2, {_f('ou', 'u1', 'u2')}, ord1, ord2 FROM m
-  UNION ALL SELECT filestem, 3, 'rouge-2', file1, file2, {_f('ob', 'b1', 'b2')}, ord1, ord2 FROM m
-)"""
-
-# Longest common word subsequence: one table row per step, as a running maximum.
-LCS_WORDS = f"""{ROUGE},
-keyed AS (SELECT row_number() OVER (ORDER BY filestem, file1, file2) AS pid, * FROM m),
-x AS (SELECT pid, unnest(w1) AS word, generate_subscripts(w1, 1) AS k FROM keyed),
-y AS (SELECT pid, unnest(w2) AS word, generate_subscripts(w2, 1) AS k FROM keyed),
-lcs(i, pid, k, val) AS (
-  SELECT 0, pid, k, 0 FROM x
-  UNION ALL
-  SELECT i, pid, k, max(best) OVER (PARTITION BY pid ORDER BY k)
-  FROM (
-    SELECT lcs.i + 1 AS i, lcs.pid, lcs.k,
-           CASE WHEN x.word = y.word
-                THEN lag(lcs.val, 1, 0) OVER (PARTITION BY lcs.pid ORDER BY lcs.k) + 1
-                ELSE lcs.val END AS best
-    FROM lcs JOIN y ON y.pid = lcs.pid AND y.k = lcs.i + 1
-             JOIN x ON x.pid = lcs.pid AND x.k = lcs.k
-  )
-),
-ends AS (
-  SELECT keyed.pid, val FROM keyed JOIN lcs
-  ON lcs.pid = keyed.pid AND lcs.i = len(w2) AND lcs.k = len(w1)
+  UNION ALL SELECT filestem, 1, 'levenshtein', file1, file2, {_RATIO}, ord1, ord2 FROM lc
+  UNION ALL SELECT filestem, 2, 'cosine', file1, file2, cosine, ord1, ord2 FROM c
+  UNION ALL SELECT filestem, 3, 'rouge-1', file1, file2, {_f('ou', 'u1', 'u2')}, ord1, ord2 FROM m
+  UNION ALL SELECT filestem, 4, 'rouge-2', file1, file2, {_f('ob', 'b1', 'b2')}, ord1, ord2 FROM m
+  UNION ALL SELECT filestem, 5, 'rouge-l', file1, file2, {_f('lcs', 'n1', 'n2')}, ord1, ord2 FROM lw
 )"""
 
 _JOBS = f"""names(pos, name) AS ({_values(enumerate([p[0] for p in PARSERS] + ["markitdown", "pandoc"]))}),
@@ -211,7 +248,7 @@ verdicts AS (
 _SUFFIX = "CASE lang WHEN 'en' THEN '.pdf' WHEN 'de' THEN '.PDF' WHEN 'fr' THEN '.txt' ELSE '.pdf' END"
 _PATH = f"'in/' || source || '/doc.' || doc_id || {_SUFFIX}"
 
-_PAGES = f"pg AS (SELECT {_DOC} AS doc_id, CAST(turn % 8 + 1 AS INTEGER) AS page_no, text, role FROM conversations)"
+_PAGES = f"pg AS (SELECT {_DOC} AS doc_id, CAST(turn + 1 AS INTEGER) AS page_no, text, role FROM conversations)"
 _TRIMMED = r"regexp_replace(regexp_replace(text, '^\n+', ''), '\n+\z', '')"
 _CONVERTED = f"""{_PAGES},
 r AS (
@@ -252,6 +289,25 @@ def _bytes(text: str) -> str:
     return f"translate({text}, {_q(_LETTERS)}, {_q(_BYTES)})"
 
 
+def _exact(sql: str) -> str:
+    """The same scores, not rounded to six places."""
+    return re.sub(r"::DOUBLE, 6\)", "::DOUBLE, 16)", sql)
+
+
+def _four(score: str) -> str:
+    """A score to four places, halves rounded up."""
+    return f"printf('%.4f', floor({score} * 10000 + 0.5) / 10000)"
+
+
+def _label(file: str) -> str:
+    """What stands after the first underscore of a file's name, without its ending."""
+    base = f"string_split({file}, '/')[-1]"
+    return (
+        f"regexp_replace(CASE WHEN contains({base}, '_') THEN {base}[position('_' IN {base}) + 1:] "
+        f"ELSE {base} END, '\\.md$', '')"
+    )
+
+
 def _metric_sql(prelude: str, value: str, source: str, name: str) -> str:
     return f"WITH {prelude} SELECT filestem, file1, file2, {value} AS {name} FROM {source}"
 
@@ -270,13 +326,23 @@ FROM o""",
     "tfidf_cosine": f"WITH {VARIANTS}, {PAIRS}, {COSINE} SELECT filestem, file1, file2, cosine FROM c",
     "rouge_1": _metric_sql(f"{VARIANTS}, {ROUGE}", _f("ou", "u1", "u2"), "m", "rouge_1"),
     "rouge_2": _metric_sql(f"{VARIANTS}, {ROUGE}", _f("ob", "b1", "b2"), "m", "rouge_2"),
-    "rouge_l": f"""WITH RECURSIVE {VARIANTS}, {LCS_WORDS}
-SELECT filestem, file1, file2,
-       {_f('coalesce(val, 0)', 'len(w1)', 'len(w2)')} AS rouge_l
-FROM keyed LEFT JOIN ends ON ends.pid = keyed.pid""",
+    "rouge_l": _metric_sql(f"{VARIANTS}, {LCS_WORDS}", _f("lcs", "n1", "n2"), "lw", "rouge_l"),
+    "levenshtein_ratio": _metric_sql(f"{VARIANTS}, {LCS_CHARS}", _RATIO, "lc", "levenshtein"),
+    "evaluate_pairs": f"""WITH {_ALL}, {_SIX}
+SELECT filestem, file1, file2, word_overlap, levenshtein, cosine, rouge_1, rouge_2, rouge_l FROM six""",
+    "evaluation_report": f"""WITH {_exact(_ALL)}, {_exact(_SIX)},
+labelled AS (SELECT *, {_label('file1')} AS one, {_label('file2')} AS two FROM six)
+SELECT filestem, file1, file2, 'Evaluation Results: ' || one || ' vs ' || two AS title,
+  'Cosine Similarity: ' || {_four('cosine')} || E'\\n' || 'Word Overlap Ratio: ' || {_four('word_overlap')} || E'\\n'
+  || 'Levenshtein Ratio: ' || {_four('levenshtein')} || E'\\n' || 'ROUGE-1 Score: ' || {_four('rouge_1')} || E'\\n'
+  || 'ROUGE-2 Score: ' || {_four('rouge_2')} || E'\\n' || 'ROUGE-L Score: ' || {_four('rouge_l')} || E'\\n'
+  || 'Words in ' || one || ': ' || words_1 || E'\\n' || 'Words in ' || two || ': ' || words_2 || E'\\n'
+  || 'Common words: ' || common || E'\\n' || 'Unique to ' || one || ': ' || (words_1 - common) || E'\\n'
+  || 'Unique to ' || two || ': ' || (words_2 - common) AS report
+FROM labelled""",
     "levenshtein_distance": f"""WITH {VARIANTS}, {PAIRS}
 SELECT filestem, file1, file2, levenshtein({_bytes('t1')}, {_bytes('t2')}) AS distance FROM p""",
-    "strip_then_overlap": f"""WITH {VARIANTS.replace('AS file, text', 'AS file, ' + _dressed('text', 'turn % 8') + ' AS text')},
+    "strip_then_overlap": f"""WITH {VARIANTS.replace('AS file, text', 'AS file, ' + _dressed('text', 'turn') + ' AS text')},
 both_modes AS (
   SELECT 'with Markdown' AS mode, filestem, ord, file, text FROM v
   UNION ALL SELECT 'stripped', filestem, ord, file, {_strip('text')} FROM v
@@ -298,8 +364,8 @@ cells AS (
 placed AS (
   SELECT *, dense_rank() OVER (PARTITION BY filestem, "Metric" ORDER BY ord, other) - 1 AS k FROM cells
 )
-SELECT filestem, "Metric", "File", count(*) AS files,
-       {", ".join(f'coalesce(max("Value") FILTER (k = {k}), 0) AS v{k}' for k in range(8))}
+SELECT filestem, "Metric", "File", string_agg(other, ' ' ORDER BY k) AS columns,
+       string_agg(CAST(round("Value" * 1e6) AS BIGINT)::VARCHAR, ' ' ORDER BY k) AS "values"
 FROM placed GROUP BY filestem, "Metric", "File" """,
     "rank_against_checked": f"""WITH {_LONG},
 checked AS (SELECT filestem, arg_min(file, ord) AS checked FROM v GROUP BY filestem),
@@ -421,7 +487,7 @@ FROM r GROUP BY doc_id HAVING bool_and(status <> 'error')""",
 a AS (
   SELECT doc_id, page_no, parser,
          CASE role WHEN 'system' THEN '' WHEN 'user' THEN NULL ELSE text END AS markdown
-  FROM pg JOIN reg ON pos = page_no - 1
+  FROM pg JOIN reg ON pos = (page_no - 1) % 8
 )
 SELECT doc_id, page_no, parser,
   CASE WHEN parser = 'unstructuredio' THEN coalesce(markdown, '') ELSE markdown END AS markdown,
@@ -460,8 +526,6 @@ SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, page_no,
   || E'\\n\\nPriority ' || o_orderpriority END AS page_text
 FROM pages_of LEFT JOIN orders ON o_orderkey = l_orderkey""",
     "stream_chunks": _CHUNKS,
-    "stream_evaluate": f"""WITH {VARIANTS}, {PAIRS}, {WORDS}, {COSINE}, {ROUGE}
-SELECT o.filestem, o.file1, o.file2, {_OVERLAP} AS word_overlap, cosine,
-       {_f('ou', 'u1', 'u2')} AS rouge_1, {_f('ob', 'b1', 'b2')} AS rouge_2
-FROM o JOIN c USING (filestem, file1, file2) JOIN m USING (filestem, file1, file2)""",
+    "stream_evaluate": f"""WITH {_ALL}, {_SIX}
+SELECT filestem, file1, file2, word_overlap, levenshtein, cosine, rouge_1, rouge_2, rouge_l FROM six""",
 }

@@ -1,8 +1,9 @@
 """The given tables seen as variants, documents, pages, chunks, jobs, blocks.
 
-Each view reads its whole table. A conversation becomes one *document* per eight
-consecutive turns, one turn per registered parser, so that a document never has
-more variants or pages than there are parsers, however long a conversation is.
+Each view reads its whole table. A conversation is one *document*, its turns are
+the variants, pages or responses of that document; the turn also picks the parser
+that is said to have made it, round and round, and is part of the model's name, so
+that files of one parser stay apart.
 """
 
 from __future__ import annotations
@@ -14,10 +15,6 @@ from folioscore.operators.registry import PARSER_NAMES, PARSERS
 from folioscore.session import spread
 from folioscore.sources.naming import output_name
 
-#: Turns per document: one for each registered parser.
-SPAN = len(PARSER_NAMES)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,14 +29,18 @@ def by_position(values: list[str], position: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), position)
 
 
-def turn_document(conv: str = "conv_id", turn: str = "turn") -> Column:
+def turn_document(conv: str = "conv_id") -> Column:
     """Key of the document a turn belongs to."""
-    block = F.floor(F.col(turn) / SPAN)
-    return F.concat(F.lit("conv"), F.col(conv), F.lit("-"), block)
+    return F.concat(F.lit("conv"), F.col(conv))
 
 
 def turn_position(turn: str = "turn") -> Column:
-    return F.pmod(F.col(turn), F.lit(SPAN)).cast("int")
+    return F.col(turn).cast("int")
+
+
+def turn_parser(position: Column) -> Column:
+    """Place of the parser that a turn stands for."""
+    return F.pmod(position, F.lit(len(PARSER_NAMES)))
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +49,10 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variants_of(conversations: DataFrame) -> DataFrame:
-    parser = by_position([p[0] for p in PARSERS], F.col("ord"))
-    model = by_position([p[1] for p in PARSERS], F.col("ord"))
+    place = turn_parser(F.col("ord"))
+    parser = by_position([p[0] for p in PARSERS], place)
+    given = F.nullif(by_position([p[1] for p in PARSERS], place), F.lit(""))
+    model = F.concat_ws("-", given, F.concat(F.lit("t"), F.col("ord")))
     return (
         conversations.select(
             turn_document().alias("filestem"), turn_position().alias("ord"), "text"
@@ -97,7 +100,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a page heading before each page; at most eight pages."""
+    """Documents with a page heading before each page."""
     page = F.struct(
         "page_no",
         F.concat(

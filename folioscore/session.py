@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +20,7 @@ RECOMMENDED = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # a batch for a Python worker holds whole texts: fewer rows keep it small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
@@ -39,14 +39,14 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests, a laptop) is a local folder made,
-    and it is then set on the session so that later calls agree.
+    Where the session names none, it is a folder of the warehouse, which the
+    executors share too, and is set on the session so that later calls agree.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
         root = spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="folioscore-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
         spark.conf.set(CHECKPOINT_CONF, root)
     return root
 

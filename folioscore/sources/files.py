@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,8 @@ def match_variants(
 def read_markdown(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``(file, text)`` of every Markdown file, whole, as UTF-8.
 
+    Paths are as the file system has them, not percent-encoded.
+
     A file that vanishes between listing and reading fails the job.
     """
     return (
@@ -61,7 +64,10 @@ def read_markdown(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         .option("recursiveFileLookup", True)
         .option("ignoreMissingFiles", False)
         .text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+        .select(
+            F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"),
+            F.col("value").alias("text"),
+        )
     )
 
 
@@ -81,17 +87,39 @@ def scan_variants(
 
 
 def scan_all_variants(
-    spark: SparkSession, path: str, parsers: Sequence[str] = DEFAULT_PARSERS
+    spark: SparkSession,
+    path: str,
+    parsers: Sequence[str] = DEFAULT_PARSERS,
+    stems: DataFrame | None = None,
 ) -> DataFrame:
-    """Variants of every document in a folder: the stem is what stands before
-    the first ``_<parser>``."""
-    alternatives = "|".join(parsers)
-    stem = F.regexp_extract(
-        basename(F.col("file")), rf"^(.*?)_(?:{alternatives})[^/]*\.md$", 1
+    """Variants of every document in a folder; ``file`` is the name without its folder.
+
+    With ``stems`` (column ``filestem``) these are the documents. Otherwise the
+    stem is what stands before the last ``_<parser>``.
+    """
+    files = read_markdown(spark, path).withColumn("file", basename(F.col("file")))
+    alternatives = "|".join(re.escape(p) for p in parsers)
+    # every place where a parser's name may begin is the end of a possible stem
+    ends = F.filter(
+        F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length("file"), F.lit(1))),
+            lambda i: F.when(
+                F.substring(F.col("file"), i, F.length("file")).rlike(rf"^_(?:{alternatives})"), i - 1
+            ),
+        ),
+        lambda i: i.isNotNull(),
+    )
+    stem = F.left(F.col("file"), F.coalesce(F.array_max(ends), F.lit(0)))
+    if stems is None:
+        named = files.withColumn("_stem", stem)
+    else:
+        possible = F.transform(ends, lambda i: F.left(F.col("file"), i))
+        named = files.withColumn("_stem", F.explode(possible)).join(
+            stems.select(F.col("filestem").alias("_stem")).distinct(), "_stem"
+        )
+    return match_variants(named, F.col("_stem"), parsers).select(
+        "filestem", "parser", "file", "ord", "text"
     )
-    return match_variants(
-        read_markdown(spark, path).withColumn("_stem", stem), F.col("_stem"), parsers
-    ).select("filestem", "parser", "file", "ord", "text")
 
 
 def scan_documents(spark: SparkSession, path: str, pattern: str = "*.[pP][dD][fF]") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioscore.operators.convert import assemble_chunks
@@ -12,44 +11,21 @@ KEYS = ("doc_id", "page_no")
 
 
 def stream_chunks(
-    chunks: DataFrame,
-    out: str,
-    checkpoint: str,
-    arrival: str | None = None,
-    gap: str = "10 minutes",
-    trigger: dict | None = None,
+    chunks: DataFrame, out: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Store arriving deltas under ``out``; ``assembled`` reads the texts.
 
     A batch only appends its own deltas: no state grows with the stream, a
-    response may be spread over any number of batches, and a batch that runs
-    again replaces its own folder. With ``arrival`` (an event-time column) the
-    finished responses come straight from the stream instead: a response ends
-    when nothing arrived for ``gap``, and the watermark then frees its state.
+    response may be spread over any number of batches however late they are, and a
+    batch that runs again replaces its own folder.
     """
-    if arrival is None:
-
-        def append(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-        writer = chunks.writeStream.foreachBatch(append)
-    else:
-        sessions = chunks.withWatermark(arrival, gap).groupBy(
-            *KEYS, F.session_window(arrival, gap).alias("session")
-        )
-        delta = F.struct("seq", F.coalesce("delta", F.lit("")).alias("d"))
-        text = F.array_join(
-            F.transform(F.sort_array(F.collect_list(delta)), lambda x: x["d"]), ""
-        )
-        writer = (
-            sessions.agg(text.alias("markdown"))
-            .select(*KEYS, "markdown")
-            .writeStream.outputMode("append")
-            .format("parquet")
-            .option("path", out)
-        )
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
     return (
-        writer.option("checkpointLocation", checkpoint)
+        chunks.writeStream.foreachBatch(append)
+        .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -21,40 +21,52 @@ def evaluate_stream(
     strip: bool = False,
     metrics: Sequence[str] = METRICS,
     trigger: dict | None = None,
-    shares: int = 16,
+    shares: int = 256,
 ) -> StreamingQuery:
     """Each batch scores its variants among themselves and against the stored
     ones of the same documents, then joins the store.
 
     Store and scores are kept by batch, and a batch looks only at batches before
     it, so running one again after a failure writes the same rows in the same
-    place. The store is split by a hash of the document key: a batch of few
-    documents reads only their shares (partition pruning by the join), and a
-    semi-join keeps only the variants of its documents before any tokenising.
+    place. Of a variant that arrives again, the newest text counts: it is scored
+    anew, and ``scores`` leaves out what older texts of it had. The store is split
+    by a hash of the document key: a batch of few documents reads only their shares
+    (partition pruning by the join), and a semi-join keeps only the variants of its
+    documents before any tokenising. How many tasks write a batch does not depend
+    on the number of shares.
     """
     share = F.pmod(F.xxhash64("filestem"), F.lit(shares)).cast("int")
 
     def score(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         here = f"{out}/variants/batch_id={batch_id}"
+        newest = F.max_by(F.struct("parser", "model", "ord", "text"), F.struct("ord", "text"))
         (
-            batch.select("filestem", "parser", "model", "file", "ord", "text")
-            .withColumn("text", maybe_strip("text", strip))
-            .withColumn("share", share)
-            .repartition("share")
+            batch.withColumn("text", maybe_strip("text", strip))
+            .groupBy("filestem", "file")
+            .agg(newest.alias("_n"))
+            .select("filestem", "_n.parser", "_n.model", "file", "_n.ord", "_n.text", share.alias("share"))
+            .repartition("share", F.pmod(F.xxhash64("filestem", "file"), F.lit(16)))
             .write.mode("overwrite")
             .partitionBy("share")
             .parquet(here)
         )
         fresh = spread(spark.read.schema(f"{VARIANTS}, share int").parquet(here))
         touched = fresh.select("share", "filestem").distinct()
+        resent = fresh.select("filestem", "file")
         stored = (
             spark.read.schema(f"{VARIANTS}, batch_id bigint, share int")
             .parquet(f"{out}/variants")
             .where(F.col("batch_id") < batch_id)
             .join(touched, ["share", "filestem"], "left_semi")
+            .join(resent, ["filestem", "file"], "left_anti")
         )
-        evaluate_against(fresh, stored, metrics).write.mode("overwrite").parquet(
+        held = (
+            stored.groupBy("filestem", "file")
+            .agg(F.max_by(F.struct("ord", "text"), "batch_id").alias("_n"))
+            .select("filestem", "file", "_n.ord", "_n.text")
+        )
+        evaluate_against(fresh, held, metrics).write.mode("overwrite").parquet(
             f"{out}/scores/batch_id={batch_id}"
         )
 
@@ -67,5 +79,12 @@ def evaluate_stream(
 
 
 def scores(spark: SparkSession, out: str) -> DataFrame:
-    """All pair scores written so far."""
-    return spark.read.parquet(f"{out}/scores").drop("batch_id")
+    """Scores of the newest texts: of each pair the ones of the last batch."""
+    rows = spark.read.parquet(f"{out}/scores")
+    key = ("filestem", "file1", "file2")
+    rest = [c for c in rows.columns if c not in (*key, "batch_id")]
+    return (
+        rows.groupBy(*key)
+        .agg(F.max_by(F.struct(*rest), "batch_id").alias("_n"))
+        .select(*key, "_n.*")
+    )

@@ -1,7 +1,5 @@
 """Streams in several batches give what a batch job gives."""
 
-import datetime as dt
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,26 +30,6 @@ def test_chunks_in_batches(spark, tiny):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
-def test_chunks_end_after_a_gap(spark):
-    start = dt.datetime(2026, 1, 1)
-    rows = [
-        ("d", 1, 1, "b", start + dt.timedelta(seconds=20)),
-        ("d", 1, 0, "a", start),
-        ("d", 1, 2, None, start + dt.timedelta(seconds=30)),
-        ("late", 1, 0, "open", start + dt.timedelta(hours=2)),
-    ]
-    schema = CHUNKS + ", at timestamp"
-    root = workspace(spark, "t-gap")
-    spark.createDataFrame(rows[:3], schema).coalesce(1).write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(schema).parquet(f"{root}/in")
-    args = (stream, f"{root}/out", f"{root}/cp", "at", "1 minute")
-    chunk_stream.stream_chunks(*args).awaitTermination()
-    spark.createDataFrame(rows[3:], schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    chunk_stream.stream_chunks(*args).awaitTermination()
-    got = [tuple(r) for r in spark.read.parquet(f"{root}/out").select("doc_id", "markdown").collect()]
-    assert got == [("d", "ab")]
-
-
 def test_variants_in_batches_and_a_repeated_batch(spark, tiny):
     names = ["word_overlap", "rouge-1"]
     variants = tables.variants(spark, tiny)
