@@ -148,6 +148,12 @@ def op10_url_filter(spark, d):
     )
 
 
+def pipeline(spark, d):
+    import corpus_pipeline  # beside the package, not in it
+
+    return corpus_pipeline.run(spark, d)
+
+
 QUERIES = {
     "op1_hamming_topk": op1_hamming_topk,
     "op2_mix_sources": op2_mix_sources,
@@ -159,4 +165,5 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
+    "pipeline": pipeline,
 }
