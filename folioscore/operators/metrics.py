@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscore.functions import sequences, tokens
-from folioscore.functions.normalize import truncate_for_rouge
 from folioscore.operators.pairs import PAIR_KEY, variant_pairs
 
 # Metric names in report order.
@@ -47,20 +46,16 @@ def column_of(metric: str) -> str:
 
 
 def with_features(
-    variants: DataFrame, metrics: Sequence[str], rouge_chars: int | None = None
+    variants: DataFrame, metrics: Sequence[str]
 ) -> tuple[DataFrame, list[str]]:
     """Adds the columns that ``metrics`` compare; returns them by name."""
     needed = [c for m in metrics for c in _NEEDS[m]]
     wanted = list(dict.fromkeys(needed))
     out = variants
     if any(c in wanted for c in ("unigrams", "bigrams", "sentence")):
-        out = out.withColumn(
-            "sentence", tokens.rouge_text(truncate_for_rouge(F.col("text"), rouge_chars))
-        )
+        out = out.withColumn("sentence", tokens.rouge_text(F.col("text")))
     if "sentences" in wanted:
-        out = out.withColumn(
-            "sentences", tokens.rouge_sentences(truncate_for_rouge(F.col("text"), rouge_chars))
-        )
+        out = out.withColumn("sentences", tokens.rouge_sentences(F.col("text")))
     if "word_count" in wanted:
         out = out.withColumn("word_count", F.size(tokens.rouge_words(F.col("sentence"))))
     if "unigrams" in wanted:
@@ -212,16 +207,14 @@ def _compare(
 def evaluate_pairs(
     variants: DataFrame,
     metrics: Sequence[str] = METRICS,
-    rouge_chars: int | None = None,
     with_word_stats: bool = False,
 ) -> DataFrame:
     """One row per pair of variants of a document with a column per metric.
 
-    ``rouge_chars`` cuts texts before ROUGE (10,000 is the compatible value);
-    the default compares whole texts. ``with_word_stats`` adds the word counts
-    behind ``word_overlap``.
+    Whole texts are compared. ``with_word_stats`` adds the word counts behind
+    ``word_overlap``.
     """
-    featured, carry = with_features(variants, metrics, rouge_chars)
+    featured, carry = with_features(variants, metrics)
     return _compare(variant_pairs(featured, carry), metrics, with_word_stats)
 
 
@@ -241,11 +234,10 @@ def evaluate_against(
     fresh: DataFrame,
     stored: DataFrame,
     metrics: Sequence[str] = METRICS,
-    rouge_chars: int | None = None,
 ) -> DataFrame:
     """Scores of new variants among themselves and against stored ones."""
-    new, carry = with_features(fresh, metrics, rouge_chars)
-    old, _ = with_features(stored, metrics, rouge_chars)
+    new, carry = with_features(fresh, metrics)
+    old, _ = with_features(stored, metrics)
     pairs = variant_pairs(new, carry).unionByName(variant_pairs(new, carry, others=old))
     return _compare(pairs, metrics)
 

@@ -62,19 +62,31 @@ def similarity_matrix(long_metrics: DataFrame) -> DataFrame:
     """One matrix row per document, metric and file.
 
     ``columns`` are the document's files in order, ``values`` the similarities to
-    them. Pairs of a document are complete, so the cells of a row are its columns:
-    one grouping of small cells makes the row, whatever the number of files.
+    them, 0 where a pair is missing. A row whose pairs are complete, as those of
+    ``evaluate_pairs`` are, has its columns in its own cells; only a row with fewer
+    looks up what it has.
     """
-    cell = F.struct("ord_col", "file_col", "Value")
-    rows = similarity_cells(long_metrics).groupBy("filestem", "Metric", "File").agg(
-        F.sort_array(F.collect_list(cell)).alias("_cells")
+    cells = similarity_cells(long_metrics)
+    rows = cells.groupBy("filestem", "Metric", "File").agg(
+        F.sort_array(F.collect_list(F.struct("ord_col", "file_col", "Value"))).alias("_cells")
     )
-    return rows.select(
+    columns = cells.groupBy("filestem", "Metric").agg(
+        F.sort_array(F.collect_set(F.struct("ord_col", "file_col"))).alias("_columns")
+    )
+
+    def value(c):
+        found = F.filter("_cells", lambda x: x["file_col"] == c["file_col"])
+        return F.coalesce(F.get(found, 0)["Value"], F.lit(0.0))
+
+    complete = F.size("_cells") == F.size("_columns")
+    return rows.join(columns, ["filestem", "Metric"]).select(
         "filestem",
         "Metric",
         "File",
-        F.transform("_cells", lambda c: c["file_col"]).alias("columns"),
-        F.transform("_cells", lambda c: c["Value"]).alias("values"),
+        F.transform("_columns", lambda c: c["file_col"]).alias("columns"),
+        F.when(complete, F.transform("_cells", lambda c: c["Value"]))
+        .otherwise(F.transform("_columns", value))
+        .alias("values"),
     )
 
 

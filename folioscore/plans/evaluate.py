@@ -18,14 +18,13 @@ def evaluate(
     variants: DataFrame,
     strip: bool = True,
     metrics: Sequence[str] = METRICS,
-    rouge_chars: int | None = None,
 ) -> DataFrame:
     """Wide metrics of every pair of every document, with the ``mode`` used.
 
     Texts are stripped once per variant, before the shuffle that pairs them.
     """
     cleaned = variants.withColumn("text", maybe_strip("text", strip))
-    return evaluate_pairs(cleaned, metrics, rouge_chars).withColumn(
+    return evaluate_pairs(cleaned, metrics).withColumn(
         "mode", F.lit(mode_label(strip))
     )
 
@@ -36,7 +35,6 @@ def evaluate_all(
     out: str,
     parsers: Sequence[str] = DEFAULT_PARSERS,
     strip: bool = True,
-    rouge_chars: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Evaluate a folder of Markdown files and save the metric rows under
     ``out``; returns the long rows and the matrices.
@@ -46,7 +44,7 @@ def evaluate_all(
     own tasks.
     """
     wide_path = f"{out.rstrip('/')}/wide"
-    evaluate(scan_all_variants(spark, path, parsers), strip, METRICS, rouge_chars).write.mode(
+    evaluate(scan_all_variants(spark, path, parsers), strip, METRICS).write.mode(
         "overwrite"
     ).partitionBy("mode").option("partitionOverwriteMode", "dynamic").parquet(wide_path)
     wide = spark.read.parquet(wide_path).where(F.col("mode") == mode_label(strip))

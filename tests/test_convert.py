@@ -177,3 +177,12 @@ def test_linearize_layout(spark):
         1: "# Name\n\n## Part\n\n| a | b |\n| c | d |\n| wide |  |\n| sub | kept |\n\nend",
         2: "second page",
     }
+
+
+@pytest.mark.unit
+def test_missing_page_text_keeps_its_place(spark):
+    rows = [("d", 1, "a", "ok"), ("d", 2, None, "ok"), ("d", 3, "c", "ok")]
+    df = spark.createDataFrame(rows, "doc_id string, page_no int, markdown string, status string")
+    for made in (convert.assemble_pages(df), convert.assemble_good(df)):
+        assert made.first()["markdown"] == "a\n\n\n\nc\n\n"
+    assert convert.assemble_pages(df, "joined").first()["markdown"] == "a\n\n\n\nc"

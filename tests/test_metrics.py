@@ -137,12 +137,24 @@ def test_large_document_is_split_over_tasks(spark):
     assert all(n == 3 for (stem, _), n in counts.items() if stem != "hot")
 
 
-def test_rouge_compatible_cut(spark):
-    a, b = "x " * 10 + "same tail", "y " * 10 + "same tail"
-    df = variants_of(spark, {"d": [a, b]})
-    whole = metrics.evaluate_pairs(df, ["rouge-1"]).where("ord1 < ord2").first()
-    cut = metrics.evaluate_pairs(df, ["rouge-1"], rouge_chars=10).where("ord1 < ord2").first()
-    assert whole["rouge_1"] > 0 and cut["rouge_1"] == 0
+def test_twenty_variants_of_one_document(spark):
+    turns = [(7, t, "user", f"turn {t} of the long talk " + "word " * t) for t in range(20)]
+    talk = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    variants = tables.variants_of(talk)
+    assert variants.select("file").distinct().count() == 20
+    wide = metrics.evaluate_pairs(variants, ["word_overlap"])
+    assert wide.count() == 210
+    matrix = reshape.similarity_matrix(reshape.metrics_long(wide, ["word_overlap"]))
+    rows = {r["File"]: r for r in matrix.collect()}
+    order = [r["file"] for r in variants.orderBy("ord").collect()]
+    assert len(rows) == 20 and all(r["columns"] == order for r in rows.values())
+    assert all(rows[a]["values"][j] == rows[b]["values"][i] for i, a in enumerate(order) for j, b in enumerate(order))
+    assert "Window" not in matrix._jdf.queryExecution().executedPlan().toString()
+    checked = variants.where("ord = 3").select("filestem", "file")
+    some = metrics.evaluate_checked(variants, checked, ["word_overlap"])
+    assert some.count() == 19
+    both = ["file1", "file2", "word_overlap"]
+    assert some.select(both).exceptAll(wide.select(both)).isEmpty()
 
 
 def test_stats_and_differences(spark):

@@ -145,6 +145,37 @@ def test_scan_and_evaluate_folder(spark, tmp_path):
     }
 
 
+@pytest.mark.integration
+def test_names_in_the_saved_metrics(spark, tmp_path):
+    out = tmp_path / "odd names"
+    out.mkdir()
+    names = [
+        "my doc_anthropic.md", "my doc_openai.md", "50%_a+b_mistral.md", "\u00fcber_textract.md",
+        "report_openai_study_anthropic.md", "report_openai_study_openai_o1.md",
+    ]
+    for name in names:
+        (out / name).write_text("same words here", encoding="utf-8")
+    stems = {
+        "my doc": ["my doc_anthropic.md", "my doc_openai.md"], "50%_a+b": ["50%_a+b_mistral.md"],
+        "\u00fcber": ["\u00fcber_textract.md"],
+        "report_openai_study": ["report_openai_study_anthropic.md", "report_openai_study_openai_o1.md"],
+    }
+    found = files.scan_all_variants(spark, str(out)).collect()
+    assert {(r["filestem"], r["file"]) for r in found} == {(s, f) for s, fs in stems.items() for f in fs}
+    given = spark.createDataFrame([("report",), ("my doc",)], "filestem string")
+    asked = files.scan_all_variants(spark, str(out), stems=given).collect()
+    assert {(r["filestem"], r["parser"]) for r in asked} == {
+        ("report", "openai"), ("my doc", "anthropic"), ("my doc", "openai"),
+    }
+    assert files.scan_variants(spark, str(out), "my doc").count() == 2
+    evaluate_all(spark, str(out), str(tmp_path / "results"), strip=False)
+    saved = spark.read.option("header", True).csv(str(tmp_path / "results" / "metrics")).collect()
+    assert len(saved) == 6 * (3 + 1 + 1 + 3)
+    pairs = {(r["File1"], r["File2"]) for r in saved}
+    assert ("my doc_anthropic.md", "my doc_openai.md") in pairs and ("50%_a+b_mistral.md",) * 2 in pairs
+    assert {float(r["Value"]) for r in saved if r["Metric"] == "word_overlap"} == {1.0}
+
+
 @pytest.mark.integration
 def test_saved_markdown_is_replaced_by_key(spark, tmp_path):
     schema = "filestem string, parser string, model string, markdown string"

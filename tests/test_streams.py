@@ -45,5 +45,19 @@ def test_variants_in_batches_and_a_repeated_batch(spark, tiny):
     assert got.select(*keep).exceptAll(want.select(*keep)).isEmpty()
 
 
+def test_newest_text_of_a_variant_counts(spark):
+    first = [("d", "a", "", "d_a.md", 0, "one two"), ("d", "b", "", "d_b.md", 1, "one two")]
+    second = [("d", "b", "", "d_b.md", 1, "three four"), ("d", "c", "", "d_c.md", 2, "three two")]
+    root = workspace(spark, "t-again")
+    for rows in (first, second):
+        spark.createDataFrame(rows, VARIANTS).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(VARIANTS).parquet(f"{root}/in")
+        variant_stream.evaluate_stream(stream, f"{root}/out", f"{root}/cp", metrics=["word_overlap"]).awaitTermination()
+    got = variant_stream.scores(spark, f"{root}/out")
+    newest = spark.createDataFrame([first[0], *second], VARIANTS)
+    want = metrics.evaluate_pairs(newest, ["word_overlap"]).select(*got.columns)
+    assert got.count() == 6 and got.exceptAll(want).isEmpty()
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
