@@ -8,9 +8,10 @@ depends on the longer context alone, so counts and escape estimates after exclus
 once per context. A text is read with ``ORDER`` end marks before it and one after it.
 
 Counting covers all training texts: every task counts the byte strings of its texts, and counts of
-equal strings are summed after a shuffle. The trie is broadcast; ``max_nodes`` bounds it: the least
-count a string needs is raised, for all orders alike, until no more than that many are left
-(strings of the longest order; 1 where all fit). Escapes cover what is left out.
+equal strings are summed after a shuffle. The counts are broadcast, and each worker makes the trie of
+them once. ``max_nodes`` bounds them: the least count a string needs is raised, for all orders
+alike, until no more than that many are left (strings of the longest order; 1 where all fit).
+Escapes cover what is left out.
 
 Base: ``log10((c + 0.1) / (N + 0.1 (V + 1)))`` summed over the tokens of a text, words and one end.
 The most frequent training words, at most ``hot_words``, are broadcast; the other words of a
@@ -266,6 +267,24 @@ class Model:
         return total + len(wanted) * self.log_uniform
 
 
+class Counts:
+    """Sorted strings and their counts; unpickled, in a worker, they are a ``Model``.
+
+    So a broadcast holds the counts alone, and no executor stores the arrays made from them.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER):
+        self.keys, self.counts, self.order = keys, counts, order
+
+    def __reduce__(self):
+        least = np.min_scalar_type(int(self.counts.max(initial=0)))
+        return _model, (self.keys, self.counts.astype(least), self.order)
+
+
+def _model(keys: np.ndarray, counts: np.ndarray, order: int) -> Model:
+    return Model(keys, counts.astype(np.int64), order)
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word, c`` over all texts (column ``text``), words as bytes."""
 
@@ -315,7 +334,7 @@ def score_documents(
     count_grams(learnt, order).write.parquet(grams_at)
     word_counts(learnt).write.parquet(words_at)
     model = spark.sparkContext.broadcast(
-        Model(*bounded_grams(spark.read.parquet(grams_at), max_nodes), order)
+        Counts(*bounded_grams(spark.read.parquet(grams_at), max_nodes), order)
     )
     words = spark.read.parquet(words_at)
     ends = learnt.count()
