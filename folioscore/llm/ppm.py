@@ -8,10 +8,13 @@ depends on the longer context alone, so counts and escape estimates after exclus
 once per context. A text is read with ``ORDER`` end marks before it and one after it.
 
 Counting covers all training texts: every task counts the byte strings of its texts, and counts of
-equal strings are summed after a shuffle. The counts are broadcast, and each worker makes the trie of
-them once. ``max_nodes`` bounds them: the least count a string needs is raised, for all orders
-alike, until no more than that many are left (strings of the longest order; 1 where all fit).
-Escapes cover what is left out.
+equal strings are summed after a shuffle. The table of strings, with the log probability of each in
+its context, stays in the shared folder and grows with the texts; none is left out. The most
+frequent strings, at most ``max_nodes``, are broadcast with these log probabilities. The other strings
+of a document are counted per document, and each distinct one meets the trie: the table is dealt
+out by the last ``SHARED`` bytes of the context, so all strings and contexts that a string escapes to
+are in its own bucket, down to ``SHARED`` bytes of context. The orders below are broadcast whole:
+their strings have at most ``SHARED`` bytes, so their number is bounded by the alphabet.
 
 Base: ``log10((c + 0.1) / (N + 0.1 (V + 1)))`` summed over the tokens of a text, words and one end.
 The most frequent training words, at most ``hot_words``, are broadcast; the other words of a
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscore.llm.arrow import row_udf
@@ -39,6 +42,9 @@ SYMBOLS = 256
 END = 0xFF  # no byte of UTF-8
 HOT_WORDS = 1 << 17
 MAX_NODES = 2_750_000
+SHARED = 3
+BUCKET_ROWS = 50_000
+LEAST_BUCKETS = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(2**64 - 1)
@@ -76,7 +82,7 @@ def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """``gram, n`` of all texts (column ``text``)."""
+    """``context, gram, n`` of all texts (column ``text``), dealt out by context."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -104,10 +110,21 @@ def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
             )
 
     return (
-        texts.mapInArrow(local, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        texts.mapInArrow(local, "gram long, n long")
+        .withColumn("context", F.shiftright("gram", 8))
+        .repartition("context")
+        .groupBy("context", "gram")
+        .agg(F.sum("n").alias("n"))
     )
 
 
+def with_logs(counted: DataFrame) -> DataFrame:
+    """``gram, n, log_prob``: natural log probability of every string in its whole context."""
+    context = Window.partitionBy("context")  # at most 256 rows
+    below = F.sum("n").over(context) + F.count(F.lit(1)).over(context)
+    return counted.select("gram", "n", (F.log("n") - F.log(below)).cast("float").alias("log_prob"))
+
+
 def most_counted(counted: DataFrame, count: str, most: int) -> DataFrame:
     """All rows, or those of the least count that leaves at most ``most``."""
     spread = (
@@ -124,10 +141,18 @@ def most_counted(counted: DataFrame, count: str, most: int) -> DataFrame:
     return counted.filter(F.col(count) >= least if least is not None else F.lit(False))
 
 
-def bounded_grams(counted: DataFrame, max_nodes: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = most_counted(counted, "n", max_nodes).toArrow()
+def bounded_grams(counted: DataFrame, max_nodes: int, value: str = "n") -> tuple[np.ndarray, np.ndarray]:
+    """The most counted strings in order, and a column of theirs."""
+    rows = most_counted(counted, "n", max_nodes).select("gram", value).toArrow()
     keys = rows.column("gram").to_numpy().astype(np.uint64)
-    return _counted(keys, rows.column("n").to_numpy())
+    return _counted(keys, rows.column(value).to_numpy())
+
+
+def low_grams(counted: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """All strings of ``size`` bytes with their counts."""
+    low = F.col("gram").bitwiseAND(F.lit(256**size - 1)).alias("gram")
+    rows = counted.groupBy(low).agg(F.sum("n").alias("n")).toArrow()
+    return _counted(rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy())
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -138,6 +163,62 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+class Table:
+    """Open-addressed table of strings and their log probabilities.
+
+    It is pickled as the two alone, so no executor stores the arrays made from them.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        bits = max(10, int(np.ceil(np.log2(max(len(keys), 1) * 1.5))))
+        self.shift = np.uint64(64 - bits)
+        self.mask = np.uint64(2**bits - 1)
+        self.slots = np.full(2**bits, _EMPTY)
+        self.value = np.zeros(2**bits, np.float32)
+        left = np.arange(len(keys))
+        slot = (keys * _HASH) >> self.shift
+        while len(left):
+            free = self.slots[slot] == _EMPTY
+            # of several keys for a free slot the last one written stays
+            self.slots[slot[free]] = keys[left[free]]
+            placed = self.slots[slot] == keys[left]
+            self.value[slot[placed]] = values[left[placed]]
+            left, slot = left[~placed], (slot[~placed] + np.uint64(1)) & self.mask
+
+    def __reduce__(self):
+        return Table, (self.keys, self.values)
+
+    def look_up(self, wanted: np.ndarray) -> tuple[float, np.ndarray]:
+        """Sum of the log probabilities of the strings that are here, and the other strings."""
+        slot = (wanted * _HASH) >> self.shift
+        found = self.slots[slot]
+        hit = found == wanted
+        total = float(self.value[slot[hit]].sum(dtype=np.float64))
+        open_ = ~hit & (found != _EMPTY)
+        missing = [wanted[found == _EMPTY]]
+        left, slot = wanted[open_], slot[open_]
+        while len(left):
+            slot = (slot + np.uint64(1)) & self.mask
+            found = self.slots[slot]
+            hit, free = found == left, found == _EMPTY
+            total += float(self.value[slot[hit]].sum(dtype=np.float64))
+            missing.append(left[free])
+            left, slot = left[~hit & ~free], slot[~hit & ~free]
+        return total, np.concatenate(missing)
+
+
+def pieces(data: bytes, order: int) -> Iterator[np.ndarray]:
+    """``grams`` of a text, of so many bytes at a time."""
+    step = _CHUNK
+    for k in range(0, len(data) + 1, step):
+        before = data[max(0, k - order) : k]
+        part = grams(data[k : k + step], order)
+        if k:  # the true bytes before this part
+            part = grams(before + data[k : k + step], order)[len(before) :]
+        yield part if k + step > len(data) else part[:-1]
+
+
 class Level:
     """One order of the trie: strings, contexts, and what holds after an escape from them."""
 
@@ -155,14 +236,26 @@ class Level:
 
 
 class Model:
-    """The trie with all logarithms (natural) made ready; arrays only, so it can be broadcast."""
+    """The trie with all logarithms (natural) made ready.
+
+    ``keys`` may be those whose contexts end in some strings of ``SHARED`` bytes, if ``low`` has the
+    strings of ``SHARED`` bytes of the whole trie with their counts.
+    """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER):
+    def __init__(
+        self,
+        keys: np.ndarray,
+        counts: np.ndarray,
+        order: int = ORDER,
+        low: tuple[np.ndarray, np.ndarray] | None = None,
+    ):
         self.order = order
         levels = []
         for d in range(order, -1, -1):
             levels.append(Level(keys, counts))
-            if d:
+            if d == SHARED and low is not None:
+                keys, counts = low
+            elif d:
                 keys, counts = _counted(keys & np.uint64(256**d - 1), counts)
         self.levels = levels[::-1]
         for d in range(order):
@@ -170,7 +263,7 @@ class Model:
         self._exclude_all()
         top = self.levels[order]
         own = np.repeat(np.arange(len(top.contexts)), top.kinds)
-        self._build_table(top.keys, (top.log_count - top.log_all[own]).astype(np.float32))
+        self.table = Table(top.keys, (top.log_count - top.log_all[own]).astype(np.float32))
         for level in self.levels:
             del level.counts, level.total, level.first
 
@@ -194,61 +287,22 @@ class Model:
         seen = int(lowest.kinds[0]) if len(lowest.kinds) else 0
         self.log_uniform = -np.log(max(SYMBOLS - seen, 1))
 
-    def _build_table(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Open-addressed table of the longest strings and their log probabilities."""
-        bits = max(10, int(np.ceil(np.log2(max(len(keys), 1) * 1.5))))
-        self.shift = np.uint64(64 - bits)
-        self.mask = np.uint64(2**bits - 1)
-        self.table = np.full(2**bits, _EMPTY)
-        self.value = np.zeros(2**bits, np.float32)
-        left = np.arange(len(keys))
-        slot = (keys * _HASH) >> self.shift
-        while len(left):
-            free = self.table[slot] == _EMPTY
-            # of several keys for a free slot the last one written stays
-            self.table[slot[free]] = keys[left[free]]
-            placed = self.table[slot] == keys[left]
-            self.value[slot[placed]] = values[left[placed]]
-            left, slot = left[~placed], (slot[~placed] + np.uint64(1)) & self.mask
-
     def log_prob(self, data: bytes) -> float:
         """Natural log probability of a normal text and its end."""
-        total = 0.0
-        step = _CHUNK
-        if len(data) <= step:
-            return self._score(grams(data, self.order))
-        for k in range(0, len(data) + 1, step):
-            before = data[max(0, k - self.order) : k]
-            part = grams(data[k : k + step], self.order)
-            if k:  # the true bytes before this part
-                part = grams(before + data[k : k + step], self.order)[len(before) :]
-            total += self._score(part if k + step > len(data) else part[:-1])
-        return total
+        return sum(self._score(part) for part in pieces(data, self.order))
 
     def _score(self, wanted: np.ndarray) -> float:
-        slot = (wanted * _HASH) >> self.shift
-        found = self.table[slot]
-        hit = found == wanted
-        total = float(self.value[slot[hit]].sum(dtype=np.float64))
-        open_ = ~hit & (found != _EMPTY)
-        missing = [wanted[found == _EMPTY]]
-        left, slot = wanted[open_], slot[open_]
-        while len(left):
-            slot = (slot + np.uint64(1)) & self.mask
-            found = self.table[slot]
-            hit, free = found == left, found == _EMPTY
-            total += float(self.value[slot[hit]].sum(dtype=np.float64))
-            missing.append(left[free])
-            left, slot = left[~hit & ~free], slot[~hit & ~free]
-        return total + self._escape(np.concatenate(missing))
+        total, missing = self.table.look_up(wanted)
+        return total + float(self.log_probs(missing).sum())
 
-    def _escape(self, wanted: np.ndarray) -> float:
-        """Log probability of bytes that the longest context does not have."""
-        total = 0.0
+    def log_probs(self, strings: np.ndarray) -> np.ndarray:
+        """Log probability of the last byte of each string."""
+        out = np.zeros(len(strings))
+        wanted, place = strings, np.arange(len(strings))
         longer = np.full(len(wanted), -1)
         for d in range(self.order, -1, -1):
             if not len(wanted):
-                return total
+                return out
             level = self.levels[d]
             own = wanted & np.uint64(256 ** (d + 1) - 1)
             at = _find(level.keys, own)
@@ -262,27 +316,11 @@ class Model:
                 all_[after] = above.log_all_below[longer[after]]
                 escape[after] = above.log_escape_below[longer[after]]
             hit = at >= 0
-            total += float((level.log_count[at[hit]] - all_[hit]).sum() + escape[~hit].sum())
-            wanted, longer = wanted[~hit], context[~hit]
-        return total + len(wanted) * self.log_uniform
-
-
-class Counts:
-    """Sorted strings and their counts; unpickled, in a worker, they are a ``Model``.
-
-    So a broadcast holds the counts alone, and no executor stores the arrays made from them.
-    """
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER):
-        self.keys, self.counts, self.order = keys, counts, order
-
-    def __reduce__(self):
-        least = np.min_scalar_type(int(self.counts.max(initial=0)))
-        return _model, (self.keys, self.counts.astype(least), self.order)
-
-
-def _model(keys: np.ndarray, counts: np.ndarray, order: int) -> Model:
-    return Model(keys, counts.astype(np.int64), order)
+            out[place[hit]] += level.log_count[at[hit]] - all_[hit]
+            out[place[~hit]] += escape[~hit]
+            wanted, place, longer = wanted[~hit], place[~hit], context[~hit]
+        out[place] += self.log_uniform
+        return out
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -311,9 +349,32 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(local, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def log_probs_of(wanted: DataFrame, strings: DataFrame, order: int, buckets: int) -> DataFrame:
+    """``gram, log_prob`` of the distinct strings ``wanted``, by the trie of all ``strings``."""
+    shared = min(SHARED, order)
+    low = wanted.sparkSession.sparkContext.broadcast(low_grams(strings, SHARED) if order >= SHARED else None)
+    end = F.shiftright("gram", 8).bitwiseAND(F.lit(256**shared - 1))
+    bucket = (F.pmod(F.xxhash64(end), F.lit(buckets)) if order >= SHARED else F.lit(0)).alias("bucket")
+
+    def score(known: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.table({"gram": pa.array([], pa.int64()), "log_prob": pa.array([], pa.float64())})
+        keys, counts = _counted(known["gram"].to_numpy().astype(np.uint64), known["n"].to_numpy())
+        model = Model(keys, counts, order, low.value)
+        grams_ = asked["gram"].to_numpy()
+        return pa.table({"gram": grams_, "log_prob": model.log_probs(grams_.astype(np.uint64))})
+
+    return (
+        strings.select("gram", "n", bucket)
+        .groupBy("bucket")
+        .cogroup(wanted.select("gram", bucket).groupBy("bucket"))
+        .applyInArrow(score, "gram long, log_prob double")
+    )
+
+
 SCORED = (
     "struct<n_tokens:long,n_known:long,hot_score:double,score:double,"
-    "words:array<binary>,counts:array<long>>"
+    "words:array<binary>,counts:array<long>,grams:array<long>,gram_counts:array<long>>"
 )
 
 
@@ -331,11 +392,10 @@ def score_documents(
     spark = docs.sparkSession
     learnt = docs.filter(train).select("text")
     grams_at, words_at, scored_at = (workspace(spark, n) for n in ("grams", "words", "scored"))
-    count_grams(learnt, order).write.parquet(grams_at)
+    with_logs(count_grams(learnt, order)).write.parquet(grams_at)
     word_counts(learnt).write.parquet(words_at)
-    model = spark.sparkContext.broadcast(
-        Counts(*bounded_grams(spark.read.parquet(grams_at), max_nodes), order)
-    )
+    strings = spark.read.parquet(grams_at)
+    frequent = spark.sparkContext.broadcast(Table(*bounded_grams(strings, max_nodes, "log_prob")))
     words = spark.read.parquet(words_at)
     ends = learnt.count()
     whole = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -353,8 +413,7 @@ def score_documents(
     end_score = float(np.log10((ends + 0.1) / divisor))
 
     def make():
-        trie, known = model.value, hot.value
-        to_log10 = 1 / np.log(10)
+        table, known = frequent.value, hot.value
 
         def row(text):
             data = normal_bytes(text)
@@ -370,7 +429,13 @@ def score_documents(
                     n_known += n
                     score += n * log
             n_tokens = counts.total() + 1
-            return n_tokens, n_known, score, trie.log_prob(data) * to_log10, rare, times
+            log, others = 0.0, []
+            for part in pieces(data, order):
+                found, missing = table.look_up(part)
+                log += found
+                others.append(missing)
+            others, often = np.unique(np.concatenate(others), return_counts=True)
+            return n_tokens, n_known, score, log, rare, times, others.astype(np.int64).tolist(), often.tolist()
 
         return row
 
@@ -390,12 +455,18 @@ def score_documents(
             F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"),
         )
     )
+    others = scored.select(
+        "row", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("gram_counts").alias("n")))
+    )
+    size = strings.count() + (scored.agg(F.sum(F.size("grams"))).first()[0] or 0)
+    logs = log_probs_of(others.select("gram").distinct(), strings, order, max(LEAST_BUCKETS, size // BUCKET_ROWS))
+    in_trie = others.join(logs, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("log_prob")).alias("trie_score"))
     none = F.lit(0)
-    return scored.drop("words", "counts").join(rare, "row", "left").select(
+    return scored.drop("words", "counts", "grams", "gram_counts").join(rare, "row", "left").join(in_trie, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", none)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("hot_score") + F.coalesce("rare_score", none)).alias("base_score"),
-        "score",
+        ((F.col("score") + F.coalesce("trie_score", none)) / float(np.log(10))).alias("score"),
     )

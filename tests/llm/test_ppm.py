@@ -115,3 +115,15 @@ def test_without_training_texts(spark):
     assert {r["train_tokens"] for r in got} == {0}
     empty = docs.limit(0)
     assert ppm.score_documents(empty, F.lit(True)).collect() == []
+
+
+@pytest.mark.parametrize("order,max_nodes", [(6, 0), (6, 5), (4, 20), (2, 3), (6, 10_000)])
+def test_scores_are_whole_whatever_is_broadcast(spark, order, max_nodes):
+    rows = list(enumerate([*TEXTS, "abracadabrx", "the bat sat", "zzz\x00", "Ü", "q once only"]))
+    counts = plain_counts([t for i, t in rows if i % 4 != 1], order)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ppm.score_documents(docs, F.col("doc_id") % 4 != 1, order=order, max_nodes=max_nodes).collect()
+    for r in got:
+        data = [ppm.END] * order + list(ppm.normal_bytes(rows[r["doc_id"]][1])) + [ppm.END]
+        want = sum(math.log10(plain_prob(counts, data[i - order : i], data[i])) for i in range(order, len(data)))
+        assert r["score"] == pytest.approx(want, rel=1e-5)
