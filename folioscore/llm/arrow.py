@@ -1,11 +1,13 @@
-"""Row functions over one Arrow column as Spark column functions."""
+"""Functions over Arrow columns, of a row or of many texts, as Spark column functions."""
 
 from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 from pyspark.sql.pandas.types import to_arrow_type
@@ -48,3 +50,41 @@ def row_udf(result: str, make: Callable[[], Callable]):
     with warnings.catch_warnings():  # the number of columns is not known for a type hint
         warnings.simplefilter("ignore")
         return F.arrow_udf(run, result, ArrowUDFType.SCALAR_ITER)
+
+
+def pieces_of(texts: pa.Array, most_bytes: int, most_rows: int) -> Iterator[tuple[int, int]]:
+    """``(start, length)`` of runs of rows that hold about ``most_bytes``; a longer text stands alone."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < len(sizes):
+        before = int(ends[start - 1]) if start else 0
+        end = int(np.searchsorted(ends, before + most_bytes, "right"))
+        end = min(max(end, start + 1), start + most_rows)
+        yield start, end - start
+        start = end
+
+
+def text_udf(result: str, make: Callable[[], Callable], most_bytes: int = 4 << 20, most_rows: int = 4096):
+    """Column function from a function of many texts: ``list[bytes | None]`` and further columns.
+
+    The function that ``make`` builds, once per task, returns an Arrow array of ``result`` with a
+    row per text. Texts come in pieces of about ``most_bytes``, so the memory of a piece is bounded
+    by that and by the longest single text.
+    """
+    arrow_kind = to_arrow_type(_parse_datatype_string(result))
+
+    def run(batches: Iterator) -> Iterator:
+        work = make()
+        for batch in batches:
+            columns = batch if isinstance(batch, tuple) else (batch,)
+            texts = columns[0].cast(pa.large_binary())
+            parts = [pa.array([], arrow_kind)]
+            for start, n in pieces_of(texts, most_bytes, most_rows):
+                rest = (c.slice(start, n) for c in columns[1:])
+                parts.append(work(texts.slice(start, n).to_pylist(), *rest).cast(arrow_kind))
+            yield pa.concat_arrays(parts)
+
+    with warnings.catch_warnings():  # the number of columns is not known for a type hint
+        warnings.simplefilter("ignore")
+        return F.arrow_udf(run, result, ArrowUDFType.SCALAR_ITER)

@@ -16,6 +16,7 @@ from folioscore.llm import (
     line_dedup,
     mixing,
     order_minhash,
+    periodic,
     ppm,
     quality,
     toxicity,
@@ -148,6 +149,41 @@ def op10_url_filter(spark, d):
     )
 
 
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """A tenth of the texts get a periodic end: from word ``a`` on, words repeat with period ``p``."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = docs.withColumn("_g", F.floor(h / 10)).withColumn("_w", F.when(h % 10 == 0, words))
+    n = F.size("_w")
+    a = (F.col("_g") % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("_g") % 8))).cast("int")
+    repeated = F.array_repeat(F.slice("_w", a + 1, p), F.ceil((n - a) / p).cast("int"))
+    made = F.slice(F.concat(F.slice("_w", F.lit(1), a), F.flatten(repeated)), F.lit(1), n)
+    text = F.when(n > 0, F.array_join(made, " ")).otherwise(F.col("text"))
+    return cut.withColumn("text", text).drop("_g", "_w")
+
+
+def op11_periodic_runs(spark, d):
+    docs = _made_periodic(table(spark, d, "documents").select("doc_id", "text"))
+    found = periodic.find_runs(docs)
+    ranked = F.transform(
+        "runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r["start"].alias("at"), r["period"].alias("p"))
+    )
+    longest = found.withColumn("_longest", F.array_max(ranked))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    length, period = F.col("_longest.length"), F.col("_longest.p")
+    return longest.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("_longest.at").alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark, d):
     import corpus_pipeline  # beside the package, not in it
 
@@ -165,5 +201,6 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
+    "op11_periodic_runs": op11_periodic_runs,
     "pipeline": pipeline,
 }
