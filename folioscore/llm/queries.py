@@ -16,6 +16,7 @@ from folioscore.llm import (
     line_dedup,
     mixing,
     order_minhash,
+    packing,
     periodic,
     ppm,
     quality,
@@ -184,6 +185,19 @@ def op11_periodic_runs(spark, d):
     )
 
 
+def op12_pack_documents(spark, d):
+    packed = packing.pack_documents(table(spark, d, "documents").select("doc_id", "text"))
+    return packed.select(
+        "doc_id",
+        "piece",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "sequence_id",
+        "offset",
+    )
+
+
 def pipeline(spark, d):
     import corpus_pipeline  # beside the package, not in it
 
@@ -202,5 +216,6 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_pack_documents": op12_pack_documents,
     "pipeline": pipeline,
 }
