@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscore.llm import (
+    alignment,
     chat,
     decontaminate,
     hamming_topk,
@@ -198,6 +199,20 @@ def op12_pack_documents(spark, d):
     )
 
 
+def op13_align_tokenizers(spark, d):
+    aligned = alignment.align(table(spark, d, "documents").select("doc_id", "text")).select(
+        "doc_id",
+        "n_a",
+        "n_b",
+        "n_groups",
+        F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"),
+        "links",
+    )
+    return alignment.score_links(aligned).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 def pipeline(spark, d):
     import corpus_pipeline  # beside the package, not in it
 
@@ -217,5 +232,6 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_pack_documents": op12_pack_documents,
+    "op13_align_tokenizers": op13_align_tokenizers,
     "pipeline": pipeline,
 }
