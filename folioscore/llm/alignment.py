@@ -18,7 +18,7 @@ empty, or whose joined bytes differ from a space and the text in A or B has no t
 
 Aligned texts are written to the shared folder once and read for the counts and for the scores.
 
-A text above ``LONG`` characters is encoded in parts, so that a call of the tokenizers stays small.
+Neither joins anything over a single space between words, so a worker keeps the ids of words that come again.
 
 Defined results: texts without tokens have zeros and an empty group string. Repeated rows are aligned each
 for itself and all count. An empty table gives no rows. Columns ``n_a, n_b, n_groups, groups, links`` and, from
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +38,15 @@ from pyspark.sql import functions as F
 
 from folioscore.llm.arrow import text_udf
 from folioscore.llm.names import unused
+from folioscore.llm.wordmemo import WordMemo, per_text
 from folioscore.session import workspace
 
 BYTE_LEVEL = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 #: A pair of ids is one number: A's id times this, and B's id.
 SHIFT = 1 << 20
-LONG = 1 << 20
-_BETWEEN = re.compile(r"(?<=[a-z]) (?=[a-z])")
+_ODD = re.compile("^ | $|\\s | \\s|\u180e")
+_BETWEEN = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
 HOT_PAIRS = 2_000_000
 RESULT = "n_a long, n_b long, n_groups long, groups string, links array<long>"
 ALIGNED = ("n_a", "n_b", "n_groups", "groups", "links")
@@ -59,16 +60,13 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
-def parts_of(text: str) -> Iterator[str]:
-    """Parts of about ``LONG`` characters, cut at single spaces between a-z letters, without these spaces.
+def words_of(text: str) -> list[str]:
+    """The text cut at single spaces with no white space beside them, without these spaces.
 
-    Both tokenizers start a new token there and take the space in front, so ids of the parts are those of the text.
+    Both tokenizers start a new token there and take the space in front, so the ids of the words, each
+    with a space before it, are those of the text.
     """
-    start = 0
-    while len(text) - start > LONG and (found := _BETWEEN.search(text, start + LONG)):
-        yield text[start : found.start()]
-        start = found.end()
-    yield text[start:]
+    return _BETWEEN.split(text) if _ODD.search(text) else text.split(" ")
 
 
 class Tokenizers:
@@ -96,25 +94,38 @@ class Tokenizers:
         ]
         #: no piece goes over the start of a word, so words are encoded each for themselves
         self.apart = not any(b" " in x.lstrip(b" ") for x in self.b_bytes)
+        self.memo = WordMemo(self.encode_words, sides=2)
         self.a_sizes = np.array([len(x) for x in self.a_bytes])
         self.b_sizes = np.array([len(x) for x in self.b_bytes])
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of A and B; no ids where the bytes are not those of a space and the text."""
-        parts = [(i, p) for i, t in enumerate(texts) for p in (parts_of(t) if self.apart else [t])]
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + p for _, p in parts], add_special_tokens=False)]
-        ids_b = self.b.encode([p for _, p in parts], num_threads=1)
-        out_a: list = [[] for _ in texts]
-        out_b: list = [[] for _ in texts]
-        same = [bool(t) for t in texts]
-        for (i, p), x, y in zip(parts, ids_a, ids_b):
-            whole = b" " + p.encode()
+    def encode_words(self, words: list[str]) -> tuple[list, list]:
+        """Ids of A and B per word; a word whose bytes are not those of a space and it has none of either."""
+        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+        ids_b = self.b.encode(words, num_threads=1)
+        for i, (w, x, y) in enumerate(zip(words, ids_a, ids_b)):
+            whole = b" " + w.encode()
             read = (b"".join(map(t.__getitem__, ids)) for t, ids in ((self.a_bytes, x), (self.b_bytes, y)))
-            same[i] = same[i] and all(r == whole for r in read)
-            out_a[i].append(np.array(x, np.int64))
-            out_b[i].append(np.array(y, np.int64))
-        none = np.empty(0, np.int64)
-        return tuple([np.concatenate(o) if s else none for o, s in zip(out, same)] for out in (out_a, out_b))
+            if not all(r == whole for r in read):
+                ids_a[i] = ids_b[i] = []
+        return ids_a, ids_b
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per side: ids of all texts in a row, and how many each text has."""
+        words = [(words_of(t) if self.apart else [t]) if t else [] for t in texts]
+        n_words = np.array([len(w) for w in words], np.int64)
+        sides = self.memo.look_up([w for own in words for w in own])
+        broken = per_text(sides[0][1] == 0, n_words) > 0
+        out = []
+        for ids, sizes in sides:
+            n = per_text(sizes, n_words)
+            out.append((ids[np.repeat(~broken, n)].astype(np.int64), np.where(broken, 0, n)))
+        return out
+
+
+@lru_cache(maxsize=2)
+def tokenizers(byte_level: str | None = None, pieces: str | None = None) -> Tokenizers:
+    """Both tokenizers with the ids of words, held by the worker."""
+    return Tokenizers(byte_level, pieces)
 
 
 def group_targets(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,16 +160,13 @@ def _id_texts(n_a: int, n_b: int) -> np.ndarray:
 
 
 def _align(byte_level: str | None, pieces: str | None):
-    tools = Tokenizers(byte_level, pieces)
+    tools = tokenizers(byte_level, pieces)
     n_a, n_b = len(tools.a_bytes), len(tools.b_bytes)
     written = _id_texts(n_a, n_b)
     widths = np.char.str_len(written)
 
     def work(texts: list) -> pa.Array:
-        by_text_a, by_text_b = tools.encode([t.decode() if t else "" for t in texts])
-        none = [np.empty(0, np.int64)]
-        a, b = np.concatenate(by_text_a + none), np.concatenate(by_text_b + none)
-        count_a, count_b = (np.array([len(x) for x in y], np.int64) for y in (by_text_a, by_text_b))
+        (a, count_a), (b, count_b) = tools.encode([t.decode() if t else "" for t in texts])
         sizes_a = tools.a_sizes[a]
         ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(tools.b_sizes[b])
         group_a, group_b = group_targets(ends_a, ends_b)

@@ -18,9 +18,9 @@ Both steps work on counts and give groups of equal sequences, at most two for ev
 each group takes a stretch of the pieces of a length, in the order of their numbers. A piece's number among those of its
 length is its place in its task and what earlier tasks have. Texts and ids never move for the packing.
 
-Tokens are made once and written to the shared folder as little-endian unsigned 32-bit ids. The
-tokenizer must drop blanks, as the default one does, for texts above ``LONG`` bytes to be cut at spaces
-so that a tokenizer call stays small; the ids are the same.
+Tokens are made once and written to the shared folder as little-endian unsigned 32-bit ids. The default
+tokenizer drops white space and joins nothing over it, so a worker keeps the ids of words that come
+again; with a tokenizer for which this does not hold, whole texts are encoded.
 
 Defined results: a null text is empty, an empty one is the end id alone. Repeated rows are packed
 each for itself. An empty table gives no rows. Columns ``piece, start, length, ids, sequence_id,
@@ -30,7 +30,7 @@ offset`` are added; given columns of these names and the text are left out.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +39,12 @@ from pyspark.sql import functions as F
 
 from folioscore.llm.arrow import text_udf
 from folioscore.llm.names import unused
+from folioscore.llm.wordmemo import WordMemo, per_text
 from folioscore.session import workspace
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-LONG = 1 << 20
 #: Rows of counts by task and length that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 PIECES = "array<struct<piece:int,start:long,length:long,ids:binary,place:long>>"
@@ -168,52 +168,60 @@ def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def _cuts(text: str) -> Iterator[str]:
-    start = 0
-    while len(text) - start > LONG:
-        end = text.find(" ", start + LONG)
-        if end < 0:
-            break
-        yield text[start:end]
-        start = end
-    yield text[start:]
-
-
-def _pieces(path: str | None, capacity: int, end_id: int):
-    """Row function of a task: pieces of a text, numbered by length within the task."""
+@lru_cache(maxsize=2)
+def _tokenizer(path: str | None) -> tuple[WordMemo, bool]:
+    """The words' ids, held by the worker, and whether words can be encoded each for itself."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
+
+    def encode(words: list) -> tuple:
+        texts = [w.decode() for w in words]
+        return ([e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)],)
+
+    trial = b"a\tb\nc\x0bd\x0ce\rf  g"
+    (whole,), (apart,) = encode([trial]), encode(trial.split())
+    return WordMemo(encode), whole[0] == [i for ids in apart for i in ids]
+
+
+def _pieces(path: str | None, capacity: int, end_id: int):
+    """Function of the texts of a task: their pieces, numbered by length within the task."""
+    memo, apart = _tokenizer(path)
     places = np.zeros(capacity + 1, np.int64)
 
     def work(texts: list) -> pa.Array:
-        parts, owners = [], []
-        for i, t in enumerate(texts):
-            for cut in _cuts(t.decode() if t else ""):
-                parts.append(cut)
-                owners.append(i)
-        encoded = tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        ids: list[list] = [[] for _ in texts]
-        for i, e in zip(owners, encoded):
-            ids[i].append(np.array(e.ids, "<u4"))
-        del encoded
-        end = np.array([end_id], "<u4")
-        rows = []
-        for own in ids:
-            all_ids = np.concatenate([*own, end])
-            row = []
-            for n, start in enumerate(range(0, len(all_ids), capacity)):
-                piece = all_ids[start : start + capacity]
-                row.append((n, start, len(piece), piece.tobytes(), int(places[len(piece)])))
-                places[len(piece)] += 1
-            rows.append(row)
-        flat = list(zip(*(r for row in rows for r in row)))
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-        names = ["piece", "start", "length", "ids", "place"]
-        values = pa.StructArray.from_arrays([pa.array(f, k) for f, k in zip(flat, kinds)], names)
-        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+        words = [(t.split() if apart else [t]) if t else [] for t in texts]
+        n_words = np.array([len(w) for w in words], np.int64)
+        ((ids, sizes),) = memo.look_up([w for own in words for w in own])
+        n_ids = per_text(sizes, n_words)
+        # the end id after the ids of every text
+        ids = np.insert(ids.astype("<u4"), np.cumsum(n_ids), end_id)
+        n_ids = n_ids + 1
+        text_start = np.cumsum(n_ids) - n_ids
+        n_pieces = -(-n_ids // capacity)
+        owner = np.repeat(np.arange(len(texts)), n_pieces)
+        piece = np.arange(len(owner)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+        start = piece * capacity
+        length = np.minimum(n_ids[owner] - start, capacity)
+        # a piece's number among those of its length: earlier calls of the task, then this one
+        order = np.argsort(length, kind="stable")
+        ordered = length[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        times = np.diff(np.append(first, len(ordered)))
+        place = np.empty(len(length), np.int64)
+        place[order] = np.arange(len(ordered)) - np.repeat(first, times) + places[ordered]
+        places[ordered[first]] += times
+        at = np.append(text_start[owner] + start, len(ids)) * 4
+        held = pa.BinaryArray.from_buffers(
+            pa.binary(), len(owner), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(ids)]
+        )
+        values = pa.StructArray.from_arrays(
+            [pa.array(piece, pa.int32()), pa.array(start), pa.array(length), held, pa.array(place)],
+            ["piece", "start", "length", "ids", "place"],
+        )
+        offsets = np.concatenate([[0], np.cumsum(n_pieces)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), values)
 
     return work

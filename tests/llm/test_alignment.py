@@ -9,6 +9,7 @@ import pytest
 
 from folioscore.llm import alignment
 from folioscore.llm.queries import op13_align_tokenizers
+from folioscore.llm.wordmemo import WordMemo
 
 TOOLS = alignment.Tokenizers()
 PARTS = ["a", "b", "é", "é́", "日本", "😀", " ", "  ", "\n", "the ", "ing", "Ü", "\x07", "1", "22", "word", " unbelievable", "<s>", "</s>", "<|endoftext|>"]
@@ -101,15 +102,26 @@ def test_long_chains_of_overlaps():
 
 
 @pytest.mark.unit
-def test_parts_of_long_texts_have_the_same_ids(monkeypatch):
+def test_words_have_the_ids_of_the_text():
     rng = random.Random(3)
-    text = "".join(rng.choices([*PARTS, " some", " words", " here"], k=4000)).replace("<s>", "").replace("</s>", "")
-    whole = [x[0].tolist() for x in TOOLS.encode([text])]
-    monkeypatch.setattr(alignment, "LONG", 60)
-    assert len(list(alignment.parts_of(text))) > 50 and TOOLS.apart
-    assert [x[0].tolist() for x in TOOLS.encode([text])] == whole and whole[0]
-    assert list(alignment.parts_of("x" * 500)) == ["x" * 500]
-    assert TOOLS.encode([text + " here a▁b"])[0][0].tolist() == []
+    texts = ["".join(rng.choices([*PARTS, " some", " words", "  ", " \n", "\u00a0", "\u180e", "\x1c", "\u2003"], k=120)) for _ in range(400)]
+    assert TOOLS.apart and sum(len(alignment.words_of(t)) > 5 for t in texts) > 300
+    (a, n_a), (b, n_b) = TOOLS.encode(texts)
+    assert a.tolist() == [i for t in texts for i in plain(t)[0]]
+    assert b.tolist() == [i for t in texts for i in plain(t)[1]]
+    assert len(a) > 1000 and n_a.sum() == len(a) and n_b.sum() == len(b)
+    (a, _), _ = TOOLS.encode(["some words here a▁b", "some words"])
+    assert a.tolist() == plain("some words")[0]
+
+
+@pytest.mark.unit
+def test_memo_forgets_without_a_change():
+    words = [f"w{i % 50}" for i in range(300)]
+    memo = WordMemo(lambda new: ([[len(w), int(w[1:])] for w in new],), most=20)
+    for k in range(0, 300, 7):
+        ((ids, sizes),) = memo.look_up(words[k : k + 7])
+        assert ids.tolist() == [x for w in words[k : k + 7] for x in (len(w), int(w[1:]))]
+        assert len(memo.place) <= 20 and set(sizes) == {2}
 
 
 @pytest.mark.integration

@@ -138,16 +138,14 @@ def test_ids_and_places(spark, broadcast_rows):
 
 
 @pytest.mark.unit
-def test_long_texts_are_cut_without_a_change(monkeypatch):
+def test_words_have_the_ids_of_the_text():
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    memo, apart = packing._tokenizer(None)
     rng = random.Random(6)
-    text = " ".join("".join(rng.choices("abcé́Σ.1'", k=rng.randrange(1, 9))) for _ in range(3000))
-    monkeypatch.setattr(packing, "LONG", 50)
-    parts = list(packing._cuts(text))
-    assert len(parts) > 100 and "".join(parts) == text
-    cut = [i for p in parts for i in t.encode(p, add_special_tokens=False).ids]
-    assert cut == t.encode(text, add_special_tokens=False).ids
-    assert list(packing._cuts("x" * 500)) == ["x" * 500]
+    parts = [*"abcé́Σ.1'", " ", "\n", "\x0b", "\u00a0", "\u180e", "가", "ᆨ", "<|endoftext|>", "日本"]
+    text = "".join(rng.choices(parts, k=5000))
+    ((ids, _),) = memo.look_up(text.encode().split())
+    assert apart and ids.tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.integration
