@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from folioscore.llm.arrow import text_udf
 from folioscore.llm.names import unused
-from folioscore.llm.wordmemo import WordMemo, per_text
+from folioscore.llm.wordmemo import WordMemo, in_a_row, per_text
 from folioscore.session import workspace
 
 BYTE_LEVEL = "byte_bpe_50k.json"
@@ -98,7 +98,7 @@ class Tokenizers:
         self.a_sizes = np.array([len(x) for x in self.a_bytes])
         self.b_sizes = np.array([len(x) for x in self.b_bytes])
 
-    def encode_words(self, words: list[str]) -> tuple[list, list]:
+    def encode_words(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of A and B per word; a word whose bytes are not those of a space and it has none of either."""
         ids_a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
         ids_b = self.b.encode(words, num_threads=1)
@@ -107,7 +107,7 @@ class Tokenizers:
             read = (b"".join(map(t.__getitem__, ids)) for t, ids in ((self.a_bytes, x), (self.b_bytes, y)))
             if not all(r == whole for r in read):
                 ids_a[i] = ids_b[i] = []
-        return ids_a, ids_b
+        return [in_a_row(ids_a), in_a_row(ids_b)]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per side: ids of all texts in a row, and how many each text has."""

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyspark.sql.types as T
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 from pyspark.sql.pandas.types import to_arrow_type
@@ -22,8 +24,6 @@ def row_udf(result: str, make: Callable[[], Callable]):
     ``make`` runs once per task, so tables that the row function needs are built once. Only the
     columns given to the function pass through Python; all others stay with Spark.
     """
-    import pyspark.sql.types as T
-
     kind: DataType = _parse_datatype_string(result)
     arrow_kind = to_arrow_type(kind)
     names = kind.fieldNames() if isinstance(kind, T.StructType) else None
@@ -54,7 +54,10 @@ def row_udf(result: str, make: Callable[[], Callable]):
 
 def pieces_of(texts: pa.Array, most_bytes: int, most_rows: int) -> Iterator[tuple[int, int]]:
     """``(start, length)`` of runs of rows that hold about ``most_bytes``; a longer text stands alone."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    if pa.types.is_list(texts.type):
+        sizes = pc.list_value_length(texts).to_numpy(zero_copy_only=False) * texts.type.value_type.byte_width
+    else:
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     start = 0
     while start < len(sizes):
@@ -88,3 +91,34 @@ def text_udf(result: str, make: Callable[[], Callable], most_bytes: int = 4 << 2
     with warnings.catch_warnings():  # the number of columns is not known for a type hint
         warnings.simplefilter("ignore")
         return F.arrow_udf(run, result, ArrowUDFType.SCALAR_ITER)
+
+
+def map_texts(
+    df: DataFrame,
+    text: str,
+    schema: T.StructType,
+    make: Callable[[], Callable],
+    most_bytes: int = 1 << 20,
+    most_rows: int = 4096,
+) -> DataFrame:
+    """Rows made of pieces of ``df`` by a function of the texts and a batch of the other columns.
+
+    The function that ``make`` builds, once per task, returns a batch of ``schema``. It is handed on before the next
+    piece is worked on, so a task holds the results of one piece, however many rows Spark sends at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            place = batch.schema.get_field_index(text)
+            texts = batch.column(place)
+            if not pa.types.is_list(texts.type):
+                texts = texts.cast(pa.large_binary())
+            rest = pa.RecordBatch.from_arrays(
+                [c for i, c in enumerate(batch.columns) if i != place],
+                [n for i, n in enumerate(batch.schema.names) if i != place],
+            )
+            for start, n in pieces_of(texts, most_bytes, most_rows):
+                yield work(texts.slice(start, n), rest.slice(start, n))
+
+    return df.mapInArrow(run, schema)

@@ -34,12 +34,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyspark.sql.types as T
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscore.llm.arrow import text_udf
+from folioscore.llm.arrow import map_texts
 from folioscore.llm.names import unused
-from folioscore.llm.wordmemo import WordMemo, per_text
+from folioscore.llm.wordmemo import JoinedWords, WordMemo, per_text
 from folioscore.session import workspace
 
 CAPACITY = 2048
@@ -47,7 +49,6 @@ END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Rows of counts by task and length that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-PIECES = "array<struct<piece:int,start:long,length:long,ids:binary,place:long>>"
 ADDED = ("piece", "start", "length", "ids", "sequence_id", "offset")
 
 Group = tuple[int, list[tuple[int, int]]]  # equal sequences, (length, pieces of it in each)
@@ -175,24 +176,22 @@ def _tokenizer(path: str | None) -> tuple[WordMemo, bool]:
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
+    words = JoinedWords(Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER)))
+    trial = "a\tb\nc\x0bd\x0ce\rf  g"
+    whole = words.each([trial])[0].tolist()
+    apart = all(f(trial.split())[0].tolist() == whole for f in (words, words.each))
+    return WordMemo(lambda new: (words([w.decode() for w in new]),)), apart
 
-    def encode(words: list) -> tuple:
-        texts = [w.decode() for w in words]
-        return ([e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)],)
 
-    trial = b"a\tb\nc\x0bd\x0ce\rf  g"
-    (whole,), (apart,) = encode([trial]), encode(trial.split())
-    return WordMemo(encode), whole[0] == [i for ids in apart for i in ids]
-
-
-def _pieces(path: str | None, capacity: int, end_id: int):
+def _pieces(names: list[str], path: str | None, capacity: int, end_id: int):
     """Function of the texts of a task: their pieces, numbered by length within the task."""
     memo, apart = _tokenizer(path)
     places = np.zeros(capacity + 1, np.int64)
+    context = TaskContext.get()
+    task = context.partitionId() if context else 0
 
-    def work(texts: list) -> pa.Array:
-        words = [(t.split() if apart else [t]) if t else [] for t in texts]
+    def work(texts: pa.Array, rest: pa.RecordBatch) -> pa.RecordBatch:
+        words = [(t.split() if apart else [t]) if t else [] for t in texts.to_pylist()]
         n_words = np.array([len(w) for w in words], np.int64)
         ((ids, sizes),) = memo.look_up([w for own in words for w in own])
         n_ids = per_text(sizes, n_words)
@@ -213,16 +212,13 @@ def _pieces(path: str | None, capacity: int, end_id: int):
         place = np.empty(len(length), np.int64)
         place[order] = np.arange(len(ordered)) - np.repeat(first, times) + places[ordered]
         places[ordered[first]] += times
-        at = np.append(text_start[owner] + start, len(ids)) * 4
+        ends = np.append(text_start[owner] + start, len(ids)) * 4
         held = pa.BinaryArray.from_buffers(
-            pa.binary(), len(owner), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(ids)]
-        )
-        values = pa.StructArray.from_arrays(
-            [pa.array(piece, pa.int32()), pa.array(start), pa.array(length), held, pa.array(place)],
-            ["piece", "start", "length", "ids", "place"],
+            pa.binary(), len(owner), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)]
         )
-        offsets = np.concatenate([[0], np.cumsum(n_pieces)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), values)
+        columns = [pa.array(piece, pa.int32()), pa.array(start), pa.array(length), held]
+        columns += [pa.array(np.full(len(owner), task, np.int32)), pa.array(place)]
+        return pa.RecordBatch.from_arrays([*rest.take(pa.array(owner)).columns, *columns], names)
 
     return work
 
@@ -257,18 +253,20 @@ def pack_documents(
     ``tokenizer`` is the path of the tokenizer's file on the executors; none is the public default.
     """
     spark = docs.sparkSession
-    given = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in ADDED]
-    narrow = docs.select(*given, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(unused(docs, "t")))
-    cut = text_udf(PIECES, lambda: _pieces(tokenizer, capacity, end_id), most_bytes=1 << 20)
-    task, place = unused(docs, "task"), unused(docs, "place")
-    path = workspace(spark, "pieces")
-    (
-        narrow.select(*given, F.inline(cut(narrow.columns[-1])))
-        .withColumnRenamed("place", place)
-        .withColumn(task, F.spark_partition_id())
-        .write.option("compression", "zstd")
-        .parquet(path)
+    given = [c for c in docs.columns if c != text and c not in ADDED]
+    source, task, place = (unused(docs, n) for n in ("text", "task", "place"))
+    narrow = docs.select(
+        *[F.col(f"`{c}`") for c in given], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(source)
     )
+    schema = T.StructType([f for f in narrow.schema if f.name != source])
+    kinds = ((T.IntegerType, "piece", task), (T.LongType, "start", "length", place), (T.BinaryType, "ids"))
+    kind = {name: of() for of, *names in kinds for name in names}
+    for name in ("piece", "start", "length", "ids", task, place):
+        schema = schema.add(name, kind[name])
+    path = workspace(spark, "pieces")
+    names = schema.names
+    cut = map_texts(narrow, source, schema, lambda: _pieces(names, tokenizer, capacity, end_id))
+    cut.write.option("compression", "zstd").parquet(path)
     pieces = spark.read.parquet(path)
 
     # how many pieces of each length a task has, and how many the tasks before it have

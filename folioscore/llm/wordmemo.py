@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from itertools import chain, islice, repeat
 
 import numpy as np
 
-MOST_WORDS = 400_000
-_CALL = 10_000
+MOST_WORDS = 300_000
+_CALL = 2_000
 
 
 class WordMemo:
     """Ids of words by one or more tokenizers, held for at most about ``most`` words.
 
-    ``encode`` takes a list of distinct words and returns, per tokenizer, a list of their ids. When more words
-    come than there is room for, all are forgotten and made anew as they come, so results never
-    depend on what is held.
+    ``encode`` takes a list of distinct words and returns, per tokenizer, the ids of all of them in a row and
+    how many each has. When more words come than there is room for, those that came last are forgotten: words
+    that came first are the frequent ones. Results never depend on what is held.
     """
 
-    def __init__(self, encode: Callable[[list], tuple], sides: int = 1, most: int = MOST_WORDS):
+    def __init__(self, encode: Callable[[list], Sequence], sides: int = 1, most: int = MOST_WORDS):
         self.encode, self.sides, self.most = encode, sides, most
-        self._forget()
-
-    def _forget(self) -> None:
         self.place: dict = {}
         self.ids = [np.empty(1 << 12, np.int32) for _ in range(self.sides)]
         self.ends = [np.zeros(1 << 12, np.int64) for _ in range(self.sides)]
@@ -32,32 +30,28 @@ class WordMemo:
             part = words[k : k + _CALL]
             n = len(self.place)
             self.place.update(zip(part, range(n, n + len(part))))
-            for side, lists in enumerate(self.encode(part)):
-                sizes = np.fromiter(map(len, lists), np.int64, len(part))
+            for side, (ids, sizes) in enumerate(self.encode(part)):
                 start = int(self.ends[side][n])
-                ends = start + np.cumsum(sizes)
-                self.ids[side] = _room(self.ids[side], int(ends[-1]))
+                self.ids[side] = _room(self.ids[side], start + len(ids))
                 self.ends[side] = _room(self.ends[side], n + len(part) + 1)
-                self.ids[side][start : ends[-1]] = [i for ids in lists for i in ids]
-                self.ends[side][n + 1 : n + 1 + len(part)] = ends
+                self.ids[side][start : start + len(ids)] = ids
+                self.ends[side][n + 1 : n + 1 + len(part)] = start + np.cumsum(sizes)
 
     def look_up(self, words: list) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per tokenizer: the ids of all words in a row, and how many each word has."""
-        if not words:
-            return [(np.empty(0, np.int32), np.empty(0, np.int64)) for _ in range(self.sides)]
-        new = [w for w in dict.fromkeys(words) if w not in self.place]
-        if len(self.place) + len(new) > self.most and self.place:
-            self._forget()
-            new = list(dict.fromkeys(words))
-        self._add(new)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        self._add(list(dict.fromkeys(map(words.__getitem__, missing))))
+        at[missing] = np.fromiter(map(self.place.__getitem__, map(words.__getitem__, missing)), np.int64, len(missing))
         out = []
         for ids, ends in zip(self.ids, self.ends):
             first = ends[at]
             sizes = ends[at + 1] - first
             stops = np.cumsum(sizes)
-            where = np.arange(int(stops[-1])) + np.repeat(first - stops + sizes, sizes)
+            where = np.arange(int(sizes.sum())) + np.repeat(first - stops + sizes, sizes)
             out.append((ids[where], sizes))
+        if len(self.place) > self.most:
+            self.place = dict(islice(self.place.items(), self.most // 2))
         return out
 
 
@@ -70,6 +64,38 @@ def _room(a: np.ndarray, size: int) -> np.ndarray:
     return longer
 
 
+def in_a_row(lists: list[list]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one, and their sizes."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
+
+
+class JoinedWords:
+    """Encodes many words in one call of a tokenizer, parted by one of its special tokens.
+
+    The special token is cut out of a text before anything else, so every word is encoded as if it stood alone.
+    Words that have the token in them are encoded in calls of their own, by ``plain``, which reads it as text or not.
+    """
+
+    def __init__(self, tokenizer, plain=None, prefix: str = ""):
+        self.tokenizer, self.plain, self.prefix = tokenizer, plain or tokenizer, prefix
+        special = [(t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.mark, self.mark_id = special[-1] if special else ("", -1)
+
+    def each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words = [self.prefix + w for w in words]
+        return in_a_row([e.ids for e in self.plain.encode_batch_fast(words, add_special_tokens=False)])
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = self.prefix + (self.mark + self.prefix).join(words)
+        if not self.mark or joined.count(self.mark) != len(words) - 1:
+            return self.each(words)
+        encoded = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0]
+        ids = np.array(encoded.ids, np.int32)
+        cuts = np.flatnonzero(ids == self.mark_id)
+        return np.delete(ids, cuts), np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+
+
 def per_text(word_sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Sums of ``word_sizes`` over texts that have ``words[i]`` words each."""
     total = np.concatenate([[0], np.cumsum(word_sizes)])

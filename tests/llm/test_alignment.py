@@ -9,7 +9,7 @@ import pytest
 
 from folioscore.llm import alignment
 from folioscore.llm.queries import op13_align_tokenizers
-from folioscore.llm.wordmemo import WordMemo
+from folioscore.llm.wordmemo import WordMemo, in_a_row
 
 TOOLS = alignment.Tokenizers()
 PARTS = ["a", "b", "é", "é́", "日本", "😀", " ", "  ", "\n", "the ", "ing", "Ü", "\x07", "1", "22", "word", " unbelievable", "<s>", "</s>", "<|endoftext|>"]
@@ -117,7 +117,7 @@ def test_words_have_the_ids_of_the_text():
 @pytest.mark.unit
 def test_memo_forgets_without_a_change():
     words = [f"w{i % 50}" for i in range(300)]
-    memo = WordMemo(lambda new: ([[len(w), int(w[1:])] for w in new],), most=20)
+    memo = WordMemo(lambda new: (in_a_row([[len(w), int(w[1:])] for w in new]),), most=20)
     for k in range(0, 300, 7):
         ((ids, sizes),) = memo.look_up(words[k : k + 7])
         assert ids.tolist() == [x for w in words[k : k + 7] for x in (len(w), int(w[1:]))]
