@@ -33,22 +33,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscore.llm.arrow import text_udf
+from folioscore.llm.arrow import map_texts
 from folioscore.llm.names import unused
-from folioscore.llm.wordmemo import WordMemo, in_a_row, per_text
+from folioscore.llm.wordmemo import JoinedWords, WordMemo, in_a_row, per_text
 from folioscore.session import workspace
 
 BYTE_LEVEL = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
-#: A pair of ids is one number: A's id times this, and B's id.
-SHIFT = 1 << 20
 _ODD = re.compile("^ | $|\\s | \\s|\u180e")
 _BETWEEN = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
-HOT_PAIRS = 2_000_000
-RESULT = "n_a long, n_b long, n_groups long, groups string, links array<long>"
+HOT_PAIRS = 1_000_000
+_LINKS = 1 << 20
 ALIGNED = ("n_a", "n_b", "n_groups", "groups", "links")
 SCORED = ("n_links", "n_best", "count_sum")
 
@@ -78,8 +78,10 @@ class Tokenizers:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_level or public_tokenizers.path(BYTE_LEVEL))
+        path = byte_level or public_tokenizers.path(BYTE_LEVEL)
+        self.a = Tokenizer.from_file(path)
         self.a.encode_special_tokens = True
+        self.a_words = JoinedWords(Tokenizer.from_file(path), self.a, prefix=" ")
         letters = byte_letters()
         self.a_bytes = [b""] * (max(self.a.get_vocab().values()) + 1)
         for token, i in self.a.get_vocab().items():
@@ -97,17 +99,28 @@ class Tokenizers:
         self.memo = WordMemo(self.encode_words, sides=2)
         self.a_sizes = np.array([len(x) for x in self.a_bytes])
         self.b_sizes = np.array([len(x) for x in self.b_bytes])
+        if len(self.a_bytes) * len(self.b_bytes) > 1 << 31:
+            raise ValueError("the vocabularies have too many pairs for 32 bits")
 
     def encode_words(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of A and B per word; a word whose bytes are not those of a space and it has none of either."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-        ids_b = self.b.encode(words, num_threads=1)
-        for i, (w, x, y) in enumerate(zip(words, ids_a, ids_b)):
-            whole = b" " + w.encode()
-            read = (b"".join(map(t.__getitem__, ids)) for t, ids in ((self.a_bytes, x), (self.b_bytes, y)))
-            if not all(r == whole for r in read):
-                ids_a[i] = ids_b[i] = []
-        return [in_a_row(ids_a), in_a_row(ids_b)]
+        sides = [self.a_words(words), in_a_row(self.b.encode(words, num_threads=1))]
+        spelt = [b" " + w.encode() for w in words]
+        whole, lengths = b"".join(spelt), np.array([len(w) for w in spelt])
+        for (ids, sizes), table, widths in zip(sides, (self.a_bytes, self.b_bytes), (self.a_sizes, self.b_sizes)):
+            same_lengths = np.array_equal(per_text(widths[ids], sizes), lengths)
+            if not same_lengths or b"".join(map(table.__getitem__, ids.tolist())) != whole:
+                return self._checked(spelt, sides)
+        return sides
+
+    def _checked(self, spelt: list[bytes], sides: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same, word by word."""
+        good = np.ones(len(spelt), bool)
+        for (ids, sizes), table in zip(sides, (self.a_bytes, self.b_bytes)):
+            read, ends = list(map(table.__getitem__, ids.tolist())), np.cumsum(sizes).tolist()
+            for i, (w, start, end) in enumerate(zip(spelt, [0, *ends], ends)):
+                good[i] &= b"".join(read[start:end]) == w
+        return [(ids[np.repeat(good, sizes)], np.where(good, sizes, 0)) for ids, sizes in sides]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per side: ids of all texts in a row, and how many each text has."""
@@ -159,14 +172,14 @@ def _id_texts(n_a: int, n_b: int) -> np.ndarray:
     return np.concatenate([np.array([f"{i}{mark}" for i in range(n)], f"S{width}") for n, mark in kinds])
 
 
-def _align(byte_level: str | None, pieces: str | None):
+def _align(names: list[str], byte_level: str | None, pieces: str | None):
     tools = tokenizers(byte_level, pieces)
     n_a, n_b = len(tools.a_bytes), len(tools.b_bytes)
     written = _id_texts(n_a, n_b)
     widths = np.char.str_len(written)
 
-    def work(texts: list) -> pa.Array:
-        (a, count_a), (b, count_b) = tools.encode([t.decode() if t else "" for t in texts])
+    def work(texts: pa.Array, rest: pa.RecordBatch) -> pa.RecordBatch:
+        (a, count_a), (b, count_b) = tools.encode([t.decode() if t else "" for t in texts.to_pylist()])
         sizes_a = tools.a_sizes[a]
         ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(tools.b_sizes[b])
         group_a, group_b = group_targets(ends_a, ends_b)
@@ -189,19 +202,17 @@ def _align(byte_level: str | None, pieces: str | None):
             start = end
 
         left, right = overlaps(ends_a, sizes_a, ends_b)
-        codes = a[left] * SHIFT + b[right]
+        codes = (a[left] * n_b + b[right]).astype(np.int32)
         n_links = np.bincount(text_of[left], minlength=len(texts))
         offsets = np.concatenate([[0], np.cumsum(n_links)]).astype(np.int32)
-        return pa.StructArray.from_arrays(
-            [
-                pa.array(count_a),
-                pa.array(count_b),
-                pa.array(n_groups),
-                pa.array(groups, pa.binary()).cast(pa.string()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes)),
-            ],
-            list(ALIGNED),
-        )
+        made = [
+            pa.array(count_a),
+            pa.array(count_b),
+            pa.array(n_groups),
+            pa.array(groups, pa.binary()).cast(pa.string()),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes)),
+        ]
+        return pa.RecordBatch.from_arrays([*rest.columns, *made], names)
 
     return work
 
@@ -209,25 +220,34 @@ def _align(byte_level: str | None, pieces: str | None):
 def align(docs: DataFrame, text: str = "text", byte_level: str | None = None, pieces: str | None = None) -> DataFrame:
     """``docs`` with the numbers of tokens and groups, the groups as ``a1,a2|b1;a3|b2`` and the links.
 
-    A link is ``A's id * SHIFT + B's id``. Paths of the tokenizers' files hold on the executors.
+    The text is left out. A link is ``A's id * size of B's vocabulary + B's id``. Paths of the
+    tokenizers' files hold on the executors.
     """
-    aligned = text_udf(RESULT, lambda: _align(byte_level, pieces), most_bytes=1 << 20)
-    given = [F.col(f"`{c}`") for c in docs.columns if c not in ALIGNED]
-    name = unused(docs, "aligned")
-    source = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return docs.select(*given, aligned(source).alias(name)).select(*given, f"`{name}`.*")
+    given = [c for c in docs.columns if c != text and c not in ALIGNED]
+    source = unused(docs, "text")
+    narrow = docs.select(
+        *[F.col(f"`{c}`") for c in given], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(source)
+    )
+    schema = T.StructType([f for f in narrow.schema if f.name != source])
+    for name in ("n_a", "n_b", "n_groups"):
+        schema = schema.add(name, T.LongType())
+    schema = schema.add("groups", T.StringType()).add("links", T.ArrayType(T.IntegerType()))
+    names = schema.names
+    return map_texts(narrow, source, schema, lambda: _align(names, byte_level, pieces))
 
 
 def _distinct_links(batches):
-    """Distinct pairs of a batch with how many links have them."""
+    """Distinct pairs with how many links have them, of some links at a time."""
     for batch in batches:
-        pair, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
+        links = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+        for k in range(0, len(links), _LINKS):
+            pair, n = np.unique(links[k : k + _LINKS], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """``pair, n``: how many links of all texts have an id pair."""
-    partial = aligned.select("links").mapInArrow(_distinct_links, "pair long, n long")
+    partial = aligned.select("links").mapInArrow(_distinct_links, "pair int, n long")
     return partial.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
@@ -242,10 +262,39 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return 0
 
 
-def score_links(aligned: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
-    """``aligned``, written and read back, with ``n_links``, ``n_best`` and ``count_sum``.
+def _scores(names: list[str], sent, n_b: int):
+    """Function of the links of some texts: their number, the best ones, their counts, and those of rare pairs."""
+
+    def make():
+        pairs, times, most = sent.value
+
+        def work(links: pa.Array, rest: pa.RecordBatch) -> pa.RecordBatch:
+            link = links.flatten().to_numpy(zero_copy_only=False)
+            n_links = pc.list_value_length(links).to_numpy(zero_copy_only=False).astype(np.int64)
+            distinct, back = np.unique(link, return_inverse=True)
+            known, n = np.zeros(len(distinct), bool), np.zeros(len(distinct), np.int64)
+            if len(pairs):
+                at = np.minimum(np.searchsorted(pairs, distinct), len(pairs) - 1)
+                known = pairs[at] == distinct
+                n = np.where(known, times[at], 0)
+            best = known & (n == most[distinct % n_b])
+            sums = [per_text(v[back], n_links) for v in (best.astype(np.int64), n)]
+            rare = ~known[back]
+            offsets = np.concatenate([[0], np.cumsum(per_text(rare.astype(np.int64), n_links))])
+            made = [pa.array(n_links), *map(pa.array, sums)]
+            made.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(link[rare])))
+            return pa.RecordBatch.from_arrays([*rest.columns, *made], names)
+
+        return work
+
+    return make
+
+
+def score_links(aligned: DataFrame, hot_pairs: int = HOT_PAIRS, pieces: str | None = None) -> DataFrame:
+    """``aligned``, written and read back, with ``n_links``, ``n_best`` and ``count_sum`` and without the links.
 
     A pair's count is over all texts; a link is best if no other A id has a higher count with its B id.
+    ``pieces`` is the file of B's tokenizer.
     """
     spark = aligned.sparkSession
 
@@ -254,68 +303,40 @@ def score_links(aligned: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
         return spark.read.parquet(path)
 
-    row = unused(aligned, "row")
-    rows = kept(aligned.drop(*SCORED).withColumn(row, F.monotonically_increasing_id()), "aligned")
+    n_b = len(tokenizers(None, pieces).b_bytes)
+    rows = kept(aligned.drop(*SCORED), "aligned")
     counts = kept(pair_counts(rows), "pair-counts")
-    b_id = F.col("pair") % SHIFT
-    highest = counts.groupBy(b_id.cast("int").alias("b")).agg(F.max("n").alias("most")).toArrow()
-    most = np.zeros(SHIFT, np.int64)  # by B id: no longer than B's vocabulary
-    most[highest["b"].to_numpy()] = highest["most"].to_numpy()
-    most = most[: int(np.flatnonzero(most)[-1]) + 1] if most.any() else most[:1]
-
+    b_id = (F.col("pair") % n_b).alias("b")
+    highest = counts.groupBy(b_id).agg(F.max("n").alias("most"))
+    most = np.zeros(n_b, np.int64)  # by B id
+    found = highest.toArrow()
+    most[found["b"].to_numpy()] = found["most"].to_numpy()
     least = _least_count(counts, hot_pairs)
     hot = counts.filter(F.col("n") >= least).toArrow().sort_by("pair")
     sent = spark.sparkContext.broadcast((hot["pair"].to_numpy(), hot["n"].to_numpy(), most))
 
-    def score(links: pa.ListArray) -> pa.Array:
-        pairs, times, most = sent.value
-        offsets = links.offsets.to_numpy()
-        link = links.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-        distinct, back = np.unique(link, return_inverse=True)
-        at = np.minimum(np.searchsorted(pairs, distinct), max(len(pairs) - 1, 0))
-        known = pairs[at] == distinct if len(pairs) else np.zeros(len(distinct), bool)
-        n = np.where(known, times[at], 0) if len(pairs) else np.zeros(len(distinct), np.int64)
-        best = known & (n == most[distinct % SHIFT])
-        begin = offsets - offsets[0]
-
-        def per_text(values: np.ndarray) -> np.ndarray:
-            total = np.concatenate([[0], np.cumsum(values[back])])
-            return total[begin[1:]] - total[begin[:-1]]
-
-        rare = np.flatnonzero(~known[back])
-        rare_offsets = np.searchsorted(rare, begin).astype(np.int32)
-        return pa.StructArray.from_arrays(
-            [
-                pa.array(np.diff(begin).astype(np.int64)),
-                pa.array(per_text(best)),
-                pa.array(per_text(n)),
-                pa.ListArray.from_arrays(pa.array(rare_offsets), pa.array(link[rare])),
-            ],
-            ["n_links", "n_best", "count_sum", "rare"],
-        )
-
-    score.__annotations__ = {"links": pa.Array, "return": pa.Array}
-    scored = F.arrow_udf(score, "n_links long, n_best long, count_sum long, rare array<long>")
-    part = unused(rows, "part")
-    given = [F.col(f"`{c}`") for c in rows.columns if c != row]
-    parts = rows.select("*", scored("links").alias(part))
-    if least:
-        # links of other pairs: counted by text, met with their counts, summed by text
-        links = rows.select(row, F.explode(scored("links")["rare"]).alias("pair"))
-        links = links.groupBy(row, "pair").agg(F.count(F.lit(1)).alias("links"))
-        top = spark.createDataFrame(highest).select(F.col("b").alias("_b"), "most")
-        rare = counts.filter(F.col("n") < least).withColumn("_b", b_id.cast("int")).join(F.broadcast(top), "_b")
-        met = links.join(rare.select("pair", "n", "most"), "pair")
-        sums = met.groupBy(F.col(row).alias("_r")).agg(
-            F.sum(F.when(F.col("n") == F.col("most"), F.col("links")).otherwise(0)).alias("_best"),
-            F.sum(F.col("links") * F.col("n")).alias("_sum"),
-        )
-        parts = parts.join(sums, F.col(row) == F.col("_r"), "left")
-    else:
-        parts = parts.select("*", F.lit(0).alias("_best"), F.lit(0).alias("_sum"))
-    return parts.select(
+    rare, row = unused(rows, "rare"), unused(rows, "row")
+    schema = T.StructType([f for f in rows.schema if f.name != "links"])
+    for name in SCORED:
+        schema = schema.add(name, T.LongType())
+    schema = schema.add(rare, T.ArrayType(T.IntegerType()))
+    scored = map_texts(rows, "links", schema, _scores(schema.names, sent, n_b), most_bytes=_LINKS * 4)
+    if not least:
+        return scored.drop(rare)
+
+    # links of other pairs: counted by text, met with their counts, summed by text
+    scored = kept(scored.withColumn(row, F.monotonically_increasing_id()), "scored")
+    links = scored.select(row, F.explode(rare).alias("pair")).groupBy(row, "pair").agg(F.count(F.lit(1)).alias("links"))
+    top = F.broadcast(highest)  # a row for an id of B
+    met = links.join(counts.filter(F.col("n") < least), "pair").withColumn("b", b_id).join(top, "b")
+    sums = met.groupBy(F.col(row).alias("_r")).agg(
+        F.sum(F.when(F.col("n") == F.col("most"), F.col("links")).otherwise(0)).alias("_best"),
+        F.sum(F.col("links") * F.col("n")).alias("_sum"),
+    )
+    none = F.lit(0)
+    given = [F.col(f"`{c}`") for c in scored.columns if c not in (row, rare, "n_best", "count_sum")]
+    return scored.join(sums, F.col(row) == F.col("_r"), "left").select(
         *given,
-        F.col(part)["n_links"].alias("n_links"),
-        (F.col(part)["n_best"] + F.coalesce("_best", F.lit(0))).alias("n_best"),
-        (F.col(part)["count_sum"] + F.coalesce("_sum", F.lit(0))).alias("count_sum"),
+        (F.col("n_best") + F.coalesce("_best", none)).alias("n_best"),
+        (F.col("count_sum") + F.coalesce("_sum", none)).alias("count_sum"),
     )
