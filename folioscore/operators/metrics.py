@@ -11,11 +11,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscore.functions import sequences, tokens
-from folioscore.operators.pairs import PAIR_KEY, variant_pairs
+from folioscore.operators.pairs import PAIR_KEY, turned, variant_pairs
 
 # Metric names in report order.
 METRICS = ("word_overlap", "levenshtein", "cosine", "rouge-1", "rouge-2", "rouge-l")
@@ -46,9 +46,10 @@ def column_of(metric: str) -> str:
 
 
 def with_features(
-    variants: DataFrame, metrics: Sequence[str]
+    variants: DataFrame, metrics: Sequence[str], keep: Sequence[str] = ()
 ) -> tuple[DataFrame, list[str]]:
-    """Adds the columns that ``metrics`` compare; returns them by name."""
+    """Adds the columns that ``metrics`` compare; returns them by name. Other
+    columns go, except those of ``keep``."""
     needed = [c for m in metrics for c in _NEEDS[m]]
     wanted = list(dict.fromkeys(needed))
     out = variants
@@ -67,7 +68,7 @@ def with_features(
     if "counts" in wanted:
         out = out.withColumn("counts", tokens.term_counts(tokens.terms(F.col("text"))))
         out = out.withColumn("squares", tokens.square_sum(F.col("counts")))
-    return out.select("filestem", "file", "ord", *wanted), wanted
+    return out.select("filestem", "file", "ord", *keep, *wanted), wanted
 
 
 def shared(a: str, b: str) -> Column:
@@ -128,7 +129,10 @@ def cosine(products: Column, q1: Column, q2: Column) -> Column:
 
 
 def _compare(
-    pairs: DataFrame, metrics: Sequence[str], with_word_stats: bool = False
+    pairs: DataFrame,
+    metrics: Sequence[str],
+    with_word_stats: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Scores of feature pairs.
 
@@ -136,7 +140,7 @@ def _compare(
     the texts of the sequence metrics go by the Python workers; the second makes
     the scores.
     """
-    keep = list(PAIR_KEY)
+    keep = [*PAIR_KEY, *keep]
     counted: list[Column] = []
     texts: list[str] = []
     if "word_overlap" in metrics:
@@ -219,15 +223,37 @@ def evaluate_pairs(
 
 
 def evaluate_checked(
-    variants: DataFrame, checked: DataFrame, metrics: Sequence[str] = METRICS
+    variants: DataFrame, checked: DataFrame | None = None, metrics: Sequence[str] = METRICS
 ) -> DataFrame:
-    """Scores of the checked variant of each document (``filestem, file``) with
-    the others: n - 1 pairs for n variants."""
-    marked = variants.join(checked.select("filestem", F.col("file").alias("_checked")), "filestem")
-    is_checked = F.col("file") == F.col("_checked")
-    first, carry = with_features(marked.where(is_checked), metrics)
-    others, _ = with_features(marked.where(~is_checked), metrics)
-    return _compare(variant_pairs(first, carry, others=others), metrics)
+    """Scores of the checked variant of each document (``filestem, file``; the
+    first one where none are named) with the others: n - 1 pairs for n variants.
+
+    The checked variant's features are given to the other rows of its document by
+    a window, so the texts are shuffled once and joined with nothing. The column
+    ``checked`` has its name.
+    """
+    document = Window.partitionBy("filestem")
+    marked = variants
+    if checked is not None:
+        named = checked.select("filestem", F.col("file").alias("checked"))
+        marked = variants.join(named, "filestem")
+    featured, carry = with_features(marked, metrics, [] if checked is None else ["checked"])
+    if checked is None:
+        first = F.min(F.struct("ord", "file")).over(document)["file"]
+        featured = featured.withColumn("checked", first)
+    is_checked = F.col("file") == F.col("checked")
+    taken = F.first(F.when(is_checked, F.struct("file", "ord", *carry)), ignorenulls=True)
+    pairs = (
+        featured.withColumn("_taken", taken.over(document))
+        .where(~is_checked & F.col("_taken").isNotNull())
+        .select(
+            "filestem",
+            "checked",
+            *[F.col(f"_taken.{c}").alias(f"{c}1") for c in ("file", "ord", *carry)],
+            *[F.col(c).alias(f"{c}2") for c in ("file", "ord", *carry)],
+        )
+    )
+    return _compare(pairs.select("filestem", "checked", *turned(carry)), metrics, keep=["checked"])
 
 
 def evaluate_against(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAIR_KEY = ("filestem", "file1", "ord1", "file2", "ord2")
@@ -26,9 +26,9 @@ def variant_pairs(
     many more variants than others over several tasks.
 
     With ``others``, only pairs between the two tables are formed, oriented the
-    same way (used where new variants meet stored ones).
+    same way (used where new variants meet stored ones): one join, after which a
+    pair that stands the wrong way round is turned.
     """
-    right = variants if others is None else others
 
     def side(df: DataFrame, n: int) -> DataFrame:
         return df.select(
@@ -38,21 +38,24 @@ def variant_pairs(
             *[F.col(c).alias(f"{c}{n}") for c in carry],
         )
 
-    in_order = F.struct("ord1", "file1") <= F.struct("ord2", "file2")
     same_document = F.col("_stem1") == F.col("_stem2")
+    right = variants if others is None else others
+    if others is None:
+        same_document &= F.struct("ord1", "file1") <= F.struct("ord2", "file2")
+    pairs = side(variants, 1).join(side(right, 2).hint("merge"), same_document)
+    stem = F.col("_stem1").alias("filestem")
+    if others is None:
+        return pairs.select(stem, *PAIR_KEY[1:], *[f"{c}{n}" for c in carry for n in (1, 2)])
+    return pairs.select(stem, *turned(carry))
 
-    def joined(a: DataFrame, b: DataFrame, order) -> DataFrame:
-        return (
-            side(a, 1)
-            .join(side(b, 2).hint("merge"), same_document & order)
-            .select(
-                F.col("_stem1").alias("filestem"),
-                *PAIR_KEY[1:],
-                *[f"{c}{n}" for c in carry for n in (1, 2)],
-            )
-        )
 
-    if others is None:
-        return joined(variants, variants, in_order)
-    before = F.struct("ord1", "file1") < F.struct("ord2", "file2")
-    return joined(variants, right, in_order).unionByName(joined(right, variants, before))
+def turned(carry: Sequence[str]) -> list[Column]:
+    """Columns of a pair, exchanged where the first variant comes after the second."""
+    after = F.struct("ord2", "file2") < F.struct("ord1", "file1")
+
+    def ordered(name: str, n: int) -> Column:
+        mine, other = F.col(f"{name}{n}"), F.col(f"{name}{3 - n}")
+        return F.when(after, other).otherwise(mine).alias(f"{name}{n}")
+
+    key = [ordered(c, n) for n in (1, 2) for c in ("file", "ord")]
+    return key + [ordered(c, n) for c in carry for n in (1, 2)]

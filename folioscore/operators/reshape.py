@@ -24,6 +24,7 @@ def metrics_long(wide: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame
             for i, m in enumerate(metrics)
         ]
     )
+    checked = [c for c in wide.columns if c == "checked"]
     return wide.select(
         "filestem",
         F.inline(rows),
@@ -31,8 +32,9 @@ def metrics_long(wide: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame
         F.col("file2").alias("File2"),
         "ord1",
         "ord2",
+        *checked,
     ).select(
-        "filestem", "metric_pos", "Metric", "File1", "File2", "Value", "ord1", "ord2"
+        "filestem", "metric_pos", "Metric", "File1", "File2", "Value", "ord1", "ord2", *checked
     )
 
 
@@ -42,16 +44,17 @@ def in_report_order(long_metrics: DataFrame) -> DataFrame:
 
 
 def similarity_cells(long_metrics: DataFrame) -> DataFrame:
-    """Both triangles of each matrix as cells: row, column and its order, value."""
+    """Both triangles of each matrix as cells: row, column and their order, value."""
 
-    def cell(row: str, ord_col: str, col: str):
+    def cell(ord_row: str, row: str, ord_col: str, col: str):
         return F.struct(
             F.col(row).alias("File"),
+            F.col(ord_row).alias("ord_row"),
             F.col(ord_col).alias("ord_col"),
             F.col(col).alias("file_col"),
         )
 
-    upper, lower = cell("File1", "ord2", "File2"), cell("File2", "ord1", "File1")
+    upper, lower = cell("ord1", "File1", "ord2", "File2"), cell("ord2", "File2", "ord1", "File1")
     both = F.when(F.col("File1") == F.col("File2"), F.array(upper)).otherwise(
         F.array(upper, lower)
     )
@@ -62,28 +65,36 @@ def similarity_matrix(long_metrics: DataFrame) -> DataFrame:
     """One matrix row per document, metric and file.
 
     ``columns`` are the document's files in order, ``values`` the similarities to
-    them, 0 where a pair is missing. A row whose pairs are complete, as those of
-    ``evaluate_pairs`` are, has its columns in its own cells; only a row with fewer
-    looks up what it has.
+    them, 0 where a pair is missing. Cells are gathered to rows, and the rows are dealt out by
+    matrix once; the columns are gathered from that same exchange, so the pairs are scored
+    once. A row whose pairs are complete, as those of ``evaluate_pairs`` are, has its
+    values in order already; only a row with fewer looks up what it has.
     """
-    cells = similarity_cells(long_metrics)
-    rows = cells.groupBy("filestem", "Metric", "File").agg(
-        F.sort_array(F.collect_list(F.struct("ord_col", "file_col", "Value"))).alias("_cells")
+    rows = (
+        similarity_cells(long_metrics)
+        .groupBy("filestem", "Metric", "File")
+        .agg(
+            F.min("ord_row").alias("ord_row"),
+            F.sort_array(F.collect_list(F.struct("ord_col", "file_col", "Value"))).alias("_cells"),
+        )
+        .repartition("filestem", "Metric")
     )
-    columns = cells.groupBy("filestem", "Metric").agg(
-        F.sort_array(F.collect_set(F.struct("ord_col", "file_col"))).alias("_columns")
+    # asking for the cells keeps both readers of the exchange alike
+    file = F.when(F.size("_cells") > 0, F.struct("ord_row", "File"))
+    columns = rows.groupBy("filestem", "Metric").agg(
+        F.sort_array(F.collect_list(file)).alias("_columns")
     )
 
     def value(c):
-        found = F.filter("_cells", lambda x: x["file_col"] == c["file_col"])
+        found = F.filter("_cells", lambda x: x["file_col"] == c["File"])
         return F.coalesce(F.get(found, 0)["Value"], F.lit(0.0))
 
     complete = F.size("_cells") == F.size("_columns")
-    return rows.join(columns, ["filestem", "Metric"]).select(
+    return rows.join(columns.hint("merge"), ["filestem", "Metric"]).select(
         "filestem",
         "Metric",
         "File",
-        F.transform("_columns", lambda c: c["file_col"]).alias("columns"),
+        F.transform("_columns", lambda c: c["File"]).alias("columns"),
         F.when(complete, F.transform("_cells", lambda c: c["Value"]))
         .otherwise(F.transform("_columns", value))
         .alias("values"),
@@ -127,23 +138,22 @@ def evaluation_report(wide: DataFrame) -> DataFrame:
     )
 
 
-def rank_against_checked(long_metrics: DataFrame, checked: DataFrame) -> DataFrame:
+def rank_against_checked(long_metrics: DataFrame, checked: DataFrame | None = None) -> DataFrame:
     """Other variants of each document ranked by likeness to the checked one.
 
-    ``checked`` has ``filestem, file``. A window orders one document's variants
-    for one metric, which the parser list bounds.
+    ``checked`` has ``filestem, file``; rows of ``evaluate_checked`` have it as a
+    column and need none. A window orders one document's variants for one metric.
     """
-    marked = checked.select("filestem", F.col("file").alias("_checked"))
-    joined = long_metrics.join(marked, "filestem").where(
-        (F.col("File1") == F.col("_checked")) | (F.col("File2") == F.col("_checked"))
+    joined = long_metrics
+    if checked is not None:
+        named = checked.select("filestem", F.col("file").alias("checked"))
+        joined = long_metrics.drop("checked").join(named, "filestem")
+    joined = joined.where(
+        (F.col("File1") == F.col("checked")) | (F.col("File2") == F.col("checked"))
     )
-    other = F.when(F.col("File1") == F.col("_checked"), F.col("File2")).otherwise(F.col("File1"))
+    other = F.when(F.col("File1") == F.col("checked"), F.col("File2")).otherwise(F.col("File1"))
     scored = joined.where(F.col("File1") != F.col("File2")).select(
-        "filestem",
-        "Metric",
-        F.col("_checked").alias("checked"),
-        other.alias("file"),
-        F.col("Value"),
+        "filestem", "Metric", "checked", other.alias("file"), F.col("Value")
     )
     order = Window.partitionBy("filestem", "Metric").orderBy(F.col("Value").desc())
     return scored.withColumn("rank", F.rank().over(order))

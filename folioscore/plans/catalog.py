@@ -14,7 +14,7 @@ from folioscore.plans import tables
 from folioscore.plans.evaluate import evaluate
 from folioscore.schemas import METRIC_ROWS
 from folioscore.session import spread, workspace
-from folioscore.sources import files, naming, sinks
+from folioscore.sources import files, markdown, naming, sinks
 from folioscore.streaming import chunks as chunk_stream
 from folioscore.streaming import variants as variant_stream
 
@@ -113,11 +113,8 @@ def similarity_matrix(spark, d):
 
 def rank_against_checked(spark, d):
     """The first variant of each document is the checked one."""
-    variants = _variants(spark, d)
-    checked = variants.groupBy("filestem").agg(F.min_by("file", "ord").alias("file"))
-    scored = metrics.evaluate_checked(variants, checked)
-    long_rows = _rounded(reshape.metrics_long(scored), ["Value"])
-    return reshape.rank_against_checked(long_rows, checked)
+    scored = metrics.evaluate_checked(_variants(spark, d))
+    return reshape.rank_against_checked(_rounded(reshape.metrics_long(scored), ["Value"]))
 
 
 def metrics_csv(spark, d):
@@ -135,6 +132,24 @@ def saved_markdown(spark, d):
     return sinks.read_saved(spark, out)
 
 
+def _variant_files(spark: SparkSession, d: str) -> DataFrame:
+    """Variants saved as Markdown files and scanned back."""
+    out = workspace(spark, "files")
+    markdown.save_files(_variants(spark, d).select("file", "text"), out)
+    return markdown.scan_files(spark, out, registry.PARSER_NAMES)
+
+
+def variant_files(spark, d):
+    scanned = _variant_files(spark, d)
+    return scanned.select("filestem", "parser", "file", "ord", F.md5("text").alias("digest"))
+
+
+def evaluate_files(spark, d):
+    """Metric rows of variants that went through files."""
+    rows = reshape.metrics_long(evaluate(spread(_variant_files(spark, d)), strip=False))
+    return _rounded(rows, ["Value"]).select("filestem", "Metric", "File1", "File2", "Value")
+
+
 def strip_markdown(spark, d):
     docs = spread(tables.dressed_documents(spark, d))
     return docs.select("doc_id", normalize.strip_markdown("text").alias("text"))
@@ -452,6 +467,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rank_against_checked": rank_against_checked,
     "metrics_csv": metrics_csv,
     "saved_markdown": saved_markdown,
+    "variant_files": variant_files,
+    "evaluate_files": evaluate_files,
     "strip_markdown": strip_markdown,
     "strip_plain_documents": strip_plain_documents,
     "truncate_for_rouge": truncate_for_rouge,

@@ -308,6 +308,11 @@ def _label(file: str) -> str:
     )
 
 
+def _by_parser(sql: str) -> str:
+    """The same over files, which know the place of their parser and not their turn."""
+    return sql.replace("CAST(turn AS INTEGER) AS ord", "CAST(turn % 8 AS INTEGER) AS ord")
+
+
 def _metric_sql(prelude: str, value: str, source: str, name: str) -> str:
     return f"WITH {prelude} SELECT filestem, file1, file2, {value} AS {name} FROM {source}"
 
@@ -379,6 +384,10 @@ SELECT *, rank() OVER (PARTITION BY filestem, "Metric" ORDER BY "Value" DESC) AS
     "metrics_csv": f"""WITH {_LONG} SELECT "Metric", "File1", "File2", "Value" FROM l""",
     "saved_markdown": f"""WITH {VARIANTS}
 SELECT filestem, parser, model, {_dressed('text', 'ord')} AS markdown FROM v""",
+    "variant_files": f"""WITH {_by_parser(VARIANTS)}
+SELECT filestem, parser, file, ord, md5(text) AS digest FROM v""",
+    "evaluate_files": f"""WITH {_by_parser(_LONG)}
+SELECT filestem, "Metric", "File1", "File2", "Value" FROM l""",
     "strip_markdown": f"""WITH d AS (SELECT doc_id, {_dressed('text', 'doc_id')} AS text FROM documents)
 SELECT doc_id, {_strip('text')} AS text FROM d""",
     "strip_plain_documents": f"SELECT doc_id, {_strip('text')} AS text FROM documents",

@@ -95,21 +95,25 @@ def scan_all_variants(
     """Variants of every document in a folder; ``file`` is the name without its folder.
 
     With ``stems`` (column ``filestem``) these are the documents. Otherwise the
-    stem is what stands before the last ``_<parser>``.
+    stem is what stands before the last ``_<parser>`` that a model or the suffix follows
+    (a model may begin with its parser's name), or before the last one at all.
     """
     files = read_markdown(spark, path).withColumn("file", basename(F.col("file")))
     alternatives = "|".join(re.escape(p) for p in parsers)
-    # every place where a parser's name may begin is the end of a possible stem
-    ends = F.filter(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("file"), F.lit(1))),
-            lambda i: F.when(
-                F.substring(F.col("file"), i, F.length("file")).rlike(rf"^_(?:{alternatives})"), i - 1
+
+    def places(pattern: str) -> Column:
+        """Ends of possible stems: places where a parser's name may begin."""
+        return F.filter(
+            F.transform(
+                F.sequence(F.lit(1), F.greatest(F.length("file"), F.lit(1))),
+                lambda i: F.when(F.substring(F.col("file"), i, F.length("file")).rlike(pattern), i - 1),
             ),
-        ),
-        lambda i: i.isNotNull(),
-    )
-    stem = F.left(F.col("file"), F.coalesce(F.array_max(ends), F.lit(0)))
+            lambda i: i.isNotNull(),
+        )
+
+    ends = places(rf"^_(?:{alternatives})")
+    whole = places(rf"^_(?:{alternatives})(?:_|\.md$)")
+    stem = F.left(F.col("file"), F.coalesce(F.array_max(whole), F.array_max(ends), F.lit(0)))
     if stems is None:
         named = files.withColumn("_stem", stem)
     else:

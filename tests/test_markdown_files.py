@@ -1,0 +1,137 @@
+"""The folder of Markdown files: written, read with filters, and followed as a stream."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from folioscore.plans.evaluate import evaluate
+from folioscore.sources import files, markdown, naming
+
+PARSERS = ("openai", "mistral", "textract")
+
+
+def tree(path):
+    found = {}
+    for folder, _, names in os.walk(path):
+        for name in names:
+            full = os.path.join(folder, name)
+            with open(full, "rb") as f:
+                found[os.path.relpath(full, path)] = f.read()
+    return {k: v for k, v in found.items() if not k.endswith(".crc")}
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "file string, text string")
+
+
+@pytest.mark.unit
+def test_split_name():
+    cut = lambda name: markdown.split_name(name, PARSERS)
+    assert cut("a_openai.md") == ("a", "openai", 0)
+    assert cut("a_b_mistral_x-1.md") == ("a_b", "mistral", 1)
+    assert cut("a_openai_b_textract.md") == ("a_openai_b", "textract", 2)
+    assert cut("a_mistral_mistral-ocr-latest.md") == ("a", "mistral", 1)
+    assert cut("a_textract2.md") == ("a", "textract", 2)
+    assert cut("_openai.md") == ("", "openai", 0)
+    assert cut("a_openai.txt") is cut("a_other.md") is cut("openai.md") is None
+
+
+@pytest.mark.integration
+def test_saved_files_hold_exactly_the_text(spark, tmp_path):
+    texts = {"a_openai.md": "# é\r\n\nno newline", "b_mistral_m.md": "", "c_openai_x/y.md": "日本\n\n\n", "d_textract.md": "x" * 200_000}
+    root = f"{tmp_path}/out"
+    rows = [*texts.items(), ("gone_openai.md", None), ("a_openai.md", "# a")]
+    markdown.save_files(frame(spark, rows).repartition(3), root)
+    assert tree(root) == {k: v.encode() for k, v in texts.items()}
+    # a later save replaces its own files and touches no others
+    markdown.save_files(frame(spark, [("b_mistral_m.md", "new"), ("c_openai_x/y.md", "z")]), root, tasks=2)
+    assert tree(root) == {**{k: v.encode() for k, v in texts.items()}, "b_mistral_m.md": b"new", "c_openai_x/y.md": b"z"}
+    markdown.save_files(frame(spark, []), root)
+    got = {r["file"]: r["text"] for r in markdown.scan_files(spark, root, PARSERS).collect()}
+    assert got == {**texts, "b_mistral_m.md": "new", "c_openai_x/y.md": "z"}
+
+
+@pytest.mark.integration
+def test_failed_save_leaves_nothing(spark, tmp_path):
+    root = f"{tmp_path}/out"
+    markdown.save_files(frame(spark, [("old_openai.md", "old")]), root)
+    broken = spark.range(0, 40, 1, 4).select(
+        F.concat(F.lit("n"), F.col("id"), F.lit("_openai.md")).alias("file"),
+        F.when(F.col("id") == 35, F.raise_error(F.lit("no text"))).otherwise(F.lit("t")).cast("string").alias("text"),
+    )
+    markdown.register(spark)
+    with pytest.raises(Exception, match="no text"):
+        broken.write.format(markdown.FORMAT).mode("append").save(root)
+    assert tree(root) == {"old_openai.md": b"old"}
+    assert not [n for n in os.listdir(root) if n.startswith(".writing")] or not any(
+        os.listdir(f"{root}/{n}") for n in os.listdir(root) if n.startswith(".writing")
+    )
+
+
+@pytest.mark.integration
+def test_same_variants_as_the_text_reader(spark, tmp_path):
+    out = tmp_path / "output"
+    out.mkdir()
+    for i, name in enumerate(["doc_openai_gpt-4o.md", "doc_anthropic.md", "my_doc_textract.md", "d_mistral_mistral-ocr-latest.md", "d_openai2.md", "doc_other.md", "x.txt"]):
+        (out / name).write_text(f"# Title\n\n**word{i}** shared é\n", encoding="utf-8")
+    (out / ".hidden").mkdir()
+    (out / ".hidden" / "doc_openai.md").write_text("staged")
+    (out / ".hidden" / "doc_openai.md").rename(out / ".hidden" / "doc_mistral.md")
+    got = markdown.scan_files(spark, str(out))
+    want = files.scan_all_variants(spark, str(out)).where("file not like 'doc_mistral%'")
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert evaluate(got, True, ["word_overlap"]).count() == 7
+
+
+@pytest.mark.integration
+def test_filters_choose_the_files(spark, tmp_path):
+    root = f"{tmp_path}/out"
+    rows = [(f"d{i}_{p}.md", f"text {i} {p}") for i in range(300) for p in PARSERS]
+    markdown.save_files(frame(spark, rows), root)
+    # a file that may not be read shows that it is not opened
+    with open(f"{root}/d7_openai.md", "wb") as f:
+        f.write(b"\xff\xfe broken")
+    scan = markdown.scan_files(spark, root, PARSERS)
+    with pytest.raises(Exception, match="codec|decode"):
+        scan.where("filestem = 'd7'").collect()
+    assert scan.where("filestem = 'd8'").count() == 3
+    assert scan.where("filestem in ('d8', 'd9') and parser = 'mistral'").count() == 2
+    assert scan.where("ord = 2").count() == 300
+    assert scan.where("file like 'd29%' and parser = 'textract'").count() == 11
+    assert scan.where("filestem = 'd8' and text like '%mistral'").count() == 1
+    reader = markdown.Reader(root, PARSERS)
+    kept = list(reader.pushFilters([markdown.EqualTo(("filestem",), "d8"), markdown.EqualTo(("text",), "x")]))
+    assert [f.attribute for f in kept] == [("text",)] and [f.file for f in reader.wanted()] == [f"d8_{p}.md" for p in sorted(PARSERS)]
+    assert sum(len(p.files) for p in markdown.Reader(root, PARSERS).partitions()) == 900
+
+
+@pytest.mark.integration
+def test_stream_of_files(spark, tmp_path):
+    root, log = f"{tmp_path}/out", f"{tmp_path}/log"
+    os.makedirs(root)
+    seen = []
+
+    def run():
+        def take(batch, _):
+            seen.append(sorted((r["file"], r["text"]) for r in batch.collect()))
+
+        seen.clear()
+        stream = markdown.stream_files(spark, root, log, PARSERS)
+        query = stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{tmp_path}/cp")
+        query.trigger(availableNow=True).start().awaitTermination(120)
+        return [x for batch in seen for x in batch]
+
+    markdown.save_files(frame(spark, [("a_openai.md", "1"), ("b_openai.md", "2")]), root)
+    assert run() == [("a_openai.md", "1"), ("b_openai.md", "2")]
+    assert run() == []
+    markdown.save_files(frame(spark, [("a_mistral.md", "3"), ("b_openai.md", "22")]), root)
+    os.utime(f"{root}/a_mistral.md", ns=(1, 1))  # its time is before the first files'
+    assert run() == [("a_mistral.md", "3"), ("b_openai.md", "22")]
+
+
+@pytest.mark.unit
+def test_names_agree_with_the_naming_function(spark):
+    df = spark.createDataFrame([("in/a.b.pdf", "openai", "gpt-4o")], "p string, parser string, model string")
+    name = df.select(naming.output_name(F.col("p"), F.col("parser"), F.col("model"))).first()[0]
+    assert markdown.split_name(name, PARSERS) == ("a.b", "openai", 0)

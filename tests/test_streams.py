@@ -38,7 +38,7 @@ def test_variants_in_batches_and_a_repeated_batch(spark, tiny):
     variant_stream.evaluate_stream(
         stream, f"{root}/out", f"{root}/cp", metrics=names, trigger=EACH_FILE
     ).awaitTermination()
-    got = variant_stream.scores(spark, f"{root}/out")
+    got = variant_stream.scores(spark, f"{root}/out", names)
     want = metrics.evaluate_pairs(variants, names)
     assert got.count() == want.count()
     keep = ["filestem", "file1", "file2", *[F.round(metrics.column_of(m), 9) for m in names]]
@@ -53,7 +53,7 @@ def test_newest_text_of_a_variant_counts(spark):
         spark.createDataFrame(rows, VARIANTS).coalesce(1).write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema(VARIANTS).parquet(f"{root}/in")
         variant_stream.evaluate_stream(stream, f"{root}/out", f"{root}/cp", metrics=["word_overlap"]).awaitTermination()
-    got = variant_stream.scores(spark, f"{root}/out")
+    got = variant_stream.scores(spark, f"{root}/out", ["word_overlap"])
     newest = spark.createDataFrame([first[0], *second], VARIANTS)
     want = metrics.evaluate_pairs(newest, ["word_overlap"]).select(*got.columns)
     assert got.count() == 6 and got.exceptAll(want).isEmpty()
