@@ -30,6 +30,7 @@ offset`` are added; given columns of these names and the text are left out.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -170,28 +171,45 @@ def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str | None) -> tuple[WordMemo, bool]:
-    """The words' ids, held by the worker, and whether words can be encoded each for itself."""
+def _tokenizer(path: str | None) -> tuple[WordMemo, Callable[[bytes], list]]:
+    """The words' ids, held by the worker, and the function that cuts a text into words.
+
+    Words are whole texts where the tokenizer does not take them apart at white space; A-Z are lower-cased
+    where it does so itself, unless that would make a special token.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
     from tokenizers import Tokenizer
 
     words = JoinedWords(Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER)))
+
+    def same(trial: str, parts: list[str]) -> bool:
+        whole = words.each([trial])[0].tolist()
+        return all(f(parts)[0].tolist() == whole for f in (words, words.each))
+
     trial = "a\tb\nc\x0bd\x0ce\rf  g"
-    whole = words.each([trial])[0].tolist()
-    apart = all(f(trial.split())[0].tolist() == whole for f in (words, words.each))
-    return WordMemo(lambda new: (words([w.decode() for w in new]),)), apart
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ Cat'S A1B"
+    apart, lowers = same(trial, trial.split()), same(alphabet, [alphabet.lower()])
+
+    def cut(text: bytes) -> list:
+        if lowers:
+            lower = text.lower()
+            if all(lower.count(s) == text.count(s) for s in words.special):
+                text = lower
+        return text.split() if apart else [text]
+
+    return WordMemo(lambda new: (words([w.decode() for w in new]),)), cut
 
 
 def _pieces(names: list[str], path: str | None, capacity: int, end_id: int):
     """Function of the texts of a task: their pieces, numbered by length within the task."""
-    memo, apart = _tokenizer(path)
+    memo, cut = _tokenizer(path)
     places = np.zeros(capacity + 1, np.int64)
     context = TaskContext.get()
     task = context.partitionId() if context else 0
 
     def work(texts: pa.Array, rest: pa.RecordBatch) -> pa.RecordBatch:
-        words = [(t.split() if apart else [t]) if t else [] for t in texts.to_pylist()]
+        words = [cut(t) if t else [] for t in texts.to_pylist()]
         n_words = np.array([len(w) for w in words], np.int64)
         ((ids, sizes),) = memo.look_up([w for own in words for w in own])
         n_ids = per_text(sizes, n_words)

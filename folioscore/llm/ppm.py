@@ -14,7 +14,10 @@ frequent strings, at most ``max_nodes``, are broadcast with these log probabilit
 of a document are counted per document, and each distinct one meets the trie: the table is dealt
 out by the last ``SHARED`` bytes of the context, so all strings and contexts that a string escapes to
 are in its own bucket, down to ``SHARED`` bytes of context. The orders below are broadcast whole:
-their strings have at most ``SHARED`` bytes, so their number is bounded by the alphabet.
+their strings have at most ``SHARED`` bytes, so their number is bounded by the alphabet. Endings that more than
+``bucket_rows`` strings have are parted by one more byte, and so on, so no bucket grows with its context; the
+strings of the contexts between, at most 256 for each of at most ``MOST_ENDINGS`` endings of a length, are
+broadcast as well.
 
 Base: ``log10((c + 0.1) / (N + 0.1 (V + 1)))`` summed over the tokens of a text, words and one end.
 The most frequent training words, at most ``hot_words``, are broadcast; the other words of a
@@ -28,13 +31,15 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscore.llm.arrow import row_udf
+from folioscore.llm.arrow import map_texts
 from folioscore.session import workspace
 
 ORDER = 6
@@ -45,6 +50,7 @@ MAX_NODES = 2_750_000
 SHARED = 3
 BUCKET_ROWS = 50_000
 LEAST_BUCKETS = 64
+MOST_ENDINGS = 20_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(2**64 - 1)
@@ -189,23 +195,21 @@ class Table:
     def __reduce__(self):
         return Table, (self.keys, self.values)
 
-    def look_up(self, wanted: np.ndarray) -> tuple[float, np.ndarray]:
-        """Sum of the log probabilities of the strings that are here, and the other strings."""
+    def look_up(self, wanted: np.ndarray) -> np.ndarray:
+        """Log probabilities of strings; not a number where a string is not here."""
         slot = (wanted * _HASH) >> self.shift
         found = self.slots[slot]
-        hit = found == wanted
-        total = float(self.value[slot[hit]].sum(dtype=np.float64))
-        open_ = ~hit & (found != _EMPTY)
-        missing = [wanted[found == _EMPTY]]
-        left, slot = wanted[open_], slot[open_]
-        while len(left):
+        out = np.where(found == wanted, self.value[slot], np.float32(np.nan))
+        place = np.flatnonzero((found != wanted) & (found != _EMPTY))
+        slot = slot[place]
+        while len(place):
             slot = (slot + np.uint64(1)) & self.mask
-            found = self.slots[slot]
-            hit, free = found == left, found == _EMPTY
-            total += float(self.value[slot[hit]].sum(dtype=np.float64))
-            missing.append(left[free])
-            left, slot = left[~hit & ~free], slot[~hit & ~free]
-        return total, np.concatenate(missing)
+            found, left = self.slots[slot], wanted[place]
+            hit = found == left
+            out[place[hit]] = self.value[slot[hit]]
+            on = ~hit & (found != _EMPTY)
+            place, slot = place[on], slot[on]
+        return out
 
 
 def pieces(data: bytes, order: int) -> Iterator[np.ndarray]:
@@ -238,8 +242,8 @@ class Level:
 class Model:
     """The trie with all logarithms (natural) made ready.
 
-    ``keys`` may be those whose contexts end in some strings of ``SHARED`` bytes, if ``low`` has the
-    strings of ``SHARED`` bytes of the whole trie with their counts.
+    ``keys`` may be those whose contexts end in some strings of ``d`` bytes, if ``lower`` has, by the length of
+    the context, the strings with the contexts below ``d`` that these end in, with their counts in the whole trie.
     """
 
     def __init__(
@@ -247,14 +251,15 @@ class Model:
         keys: np.ndarray,
         counts: np.ndarray,
         order: int = ORDER,
-        low: tuple[np.ndarray, np.ndarray] | None = None,
+        lower: dict[int, tuple[np.ndarray, np.ndarray]] | None = None,
     ):
         self.order = order
+        lower = lower or {}
         levels = []
         for d in range(order, -1, -1):
             levels.append(Level(keys, counts))
-            if d == SHARED and low is not None:
-                keys, counts = low
+            if d - 1 in lower:
+                keys, counts = lower[d - 1]
             elif d:
                 keys, counts = _counted(keys & np.uint64(256**d - 1), counts)
         self.levels = levels[::-1]
@@ -292,8 +297,9 @@ class Model:
         return sum(self._score(part) for part in pieces(data, self.order))
 
     def _score(self, wanted: np.ndarray) -> float:
-        total, missing = self.table.look_up(wanted)
-        return total + float(self.log_probs(missing).sum())
+        logs = self.table.look_up(wanted)
+        missing = np.isnan(logs)
+        return float(logs[~missing].sum(dtype=np.float64)) + float(self.log_probs(wanted[missing]).sum())
 
     def log_probs(self, strings: np.ndarray) -> np.ndarray:
         """Log probability of the last byte of each string."""
@@ -349,33 +355,150 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(local, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def log_probs_of(wanted: DataFrame, strings: DataFrame, order: int, buckets: int) -> DataFrame:
-    """``gram, log_prob`` of the distinct strings ``wanted``, by the trie of all ``strings``."""
-    shared = min(SHARED, order)
-    low = wanted.sparkSession.sparkContext.broadcast(low_grams(strings, SHARED) if order >= SHARED else None)
-    end = F.shiftright("gram", 8).bitwiseAND(F.lit(256**shared - 1))
-    bucket = (F.pmod(F.xxhash64(end), F.lit(buckets)) if order >= SHARED else F.lit(0)).alias("bucket")
+def _ending(length: int) -> Column:
+    """The last ``length`` bytes of a string's context."""
+    return F.shiftright("gram", 8).bitwiseAND(F.lit(256**length - 1))
+
 
-    def score(known: pa.Table, asked: pa.Table) -> pa.Table:
+def hot_endings(strings: DataFrame, wanted: DataFrame, order: int, most: int) -> dict[int, DataFrame]:
+    """By length, endings of contexts that more than ``most`` strings have, from ``SHARED`` bytes on.
+
+    Each table has at most a row for ``most`` strings.
+    """
+    rows = strings.select("gram").union(wanted.select("gram"))
+    hot: dict[int, DataFrame] = {}
+    for length in range(SHARED, order):
+        counted = rows.groupBy(_ending(length).alias("ending")).agg(F.count(F.lit(1)).alias("rows"))
+        path = workspace(rows.sparkSession, "endings")
+        counted.filter(F.col("rows") > most).select("ending").write.parquet(path)
+        found = rows.sparkSession.read.parquet(path)
+        if found.isEmpty():
+            break
+        hot[length] = found
+        rows = rows.join(F.broadcast(found), _ending(length) == F.col("ending"), "left_semi")
+    return hot
+
+
+def log_probs_of(
+    wanted: DataFrame, strings: DataFrame, order: int, buckets: int, most: int = BUCKET_ROWS
+) -> DataFrame:
+    """``gram, log_prob`` of the distinct strings ``wanted``, by the trie of all ``strings``.
+
+    Strings go to a bucket by the last ``SHARED`` bytes of their context, or by as many more as it takes
+    for at most ``most`` strings to have them. For a longer ending, the strings of the contexts
+    between are sent along: at most 256 for each ending that was parted.
+    """
+    spark = wanted.sparkSession
+    hot = hot_endings(strings, wanted, order, most) if order >= SHARED else {}
+    lower = {SHARED - 1: low_grams(strings, SHARED)} if order >= SHARED else {}
+    for length, endings in hot.items():
+        parted = strings.join(F.broadcast(endings), _ending(length) == F.col("ending"), "left_semi")
+        lower[length] = low_grams(parted, length + 1)
+    sent = spark.sparkContext.broadcast(lower)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        if order < SHARED:
+            return rows.withColumn("depth", F.lit(0)).withColumn("bucket", F.lit(0).cast("long"))
+        rows = rows.withColumn("depth", F.lit(SHARED)).withColumn("end", _ending(SHARED))
+        for length, endings in hot.items():
+            parted = F.broadcast(endings.withColumn("longer", F.lit(True)))
+            on = (F.col("depth") == length) & (F.col("end") == F.col("ending"))
+            rows = rows.join(parted, on, "left")
+            for name, value in (("end", _ending(length + 1)), ("depth", F.lit(length + 1))):
+                rows = rows.withColumn(name, F.when(F.col("longer"), value).otherwise(F.col(name)))
+            rows = rows.drop("ending", "longer")
+        return rows.withColumn("bucket", F.pmod(F.xxhash64("depth", "end"), F.lit(buckets))).drop("end")
+
+    def score(key: tuple, known: pa.Table, asked: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return pa.table({"gram": pa.array([], pa.int64()), "log_prob": pa.array([], pa.float64())})
         keys, counts = _counted(known["gram"].to_numpy().astype(np.uint64), known["n"].to_numpy())
-        model = Model(keys, counts, order, low.value)
+        depth = key[0].as_py()
+        model = Model(keys, counts, order, {d: t for d, t in sent.value.items() if d < depth})
         grams_ = asked["gram"].to_numpy()
         return pa.table({"gram": grams_, "log_prob": model.log_probs(grams_.astype(np.uint64))})
 
     return (
-        strings.select("gram", "n", bucket)
-        .groupBy("bucket")
-        .cogroup(wanted.select("gram", bucket).groupBy("bucket"))
+        dealt(strings.select("gram", "n"))
+        .groupBy("depth", "bucket")
+        .cogroup(dealt(wanted.select("gram")).groupBy("depth", "bucket"))
         .applyInArrow(score, "gram long, log_prob double")
     )
 
 
-SCORED = (
-    "struct<n_tokens:long,n_known:long,hot_score:double,score:double,"
-    "words:array<binary>,counts:array<long>,grams:array<long>,gram_counts:array<long>>"
-)
+def windows(data: list[bytes], order: int, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``grams`` of many texts, and the place of the text of each, about ``step`` at a time."""
+    pad, end = bytes([END]) * order, bytes([END])
+    a = np.frombuffer(b"".join(pad + d + end for d in data), np.uint8)
+    sizes = np.fromiter(map(len, data), np.int64, len(data)) + 1
+    first = np.cumsum(sizes + order) - sizes - order
+    for low in range(0, len(a) - order, step):
+        high = min(low + step, len(a) - order)
+        part = a[low : high + order].astype(np.uint64)
+        keys = part[: high - low].copy()
+        for k in range(1, order + 1):
+            keys <<= np.uint64(8)
+            keys |= part[k : k + high - low]
+        # windows that begin in the bytes before a text's end mark belong to no text
+        begin, stop = np.maximum(first, low), np.minimum(first + sizes, high)
+        times = np.maximum(stop - begin, 0)
+        text_of = np.repeat(np.arange(len(data)), times)
+        at = np.arange(len(text_of)) + np.repeat(begin - low - np.cumsum(times) + times, times)
+        yield keys[at], text_of
+
+
+def _scores(names: list[str], frequent, hot, order: int, ends: int, end_score: float):
+    """Function of the texts of a task: scores by what is broadcast, and the words and strings that are not."""
+
+    def make():
+        table, known = frequent.value, hot.value
+
+        def work(texts: pa.Array, rest: pa.RecordBatch) -> pa.RecordBatch:
+            data = [t.translate(_LOWER) if t else b"" for t in texts.to_pylist()]
+            n = len(data)
+            words = [tokens_of(d) for d in data]
+            n_words = np.fromiter(map(len, words), np.int64, n)
+            flat = list(chain.from_iterable(words))
+            del words
+            word_of = np.repeat(np.arange(n), n_words)
+            logs = np.fromiter(map(known.get, flat, repeat(np.nan)), np.float64, len(flat))
+            rare = np.flatnonzero(np.isnan(logs))
+            n_rare = np.bincount(word_of[rare], minlength=n)
+            base = np.bincount(word_of, np.nan_to_num(logs), minlength=n) + end_score
+
+            score, keys, owners = np.zeros(n), [], []
+            for part, text_of in windows(data, order, _CHUNK // 2):
+                logs = table.look_up(part)
+                missing = np.isnan(logs)
+                score += np.bincount(text_of, np.where(missing, 0, logs), minlength=n)
+                keys.append(part[missing])
+                owners.append(text_of[missing])
+            key, owner = np.concatenate(keys), np.concatenate(owners)
+            by_text = np.lexsort((key, owner))
+            key, owner = key[by_text], owner[by_text]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])[: len(key)]
+            place = np.flatnonzero(new)
+            times = np.diff(np.append(place, len(key)))
+
+            def lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+            n_keys = np.bincount(owner[place], minlength=n)
+            made = [
+                pa.array(n_words + 1),
+                pa.array(n_words - n_rare + int(ends > 0)),
+                pa.array(base),
+                pa.array(score),
+                lists(pa.array([flat[i] for i in rare.tolist()], pa.binary()), n_rare),
+                lists(pa.array(key[place].astype(np.int64)), n_keys),
+                lists(pa.array(times), n_keys),
+            ]
+            return pa.RecordBatch.from_arrays([*rest.columns, *made], names)
+
+        return work
+
+    return make
 
 
 def score_documents(
@@ -384,6 +507,7 @@ def score_documents(
     order: int = ORDER,
     max_nodes: int = MAX_NODES,
     hot_words: int = HOT_WORDS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Row per document: ``doc_id, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -411,58 +535,37 @@ def score_documents(
         )
     )
     end_score = float(np.log10((ends + 0.1) / divisor))
-
-    def make():
-        table, known = frequent.value, hot.value
-
-        def row(text):
-            data = normal_bytes(text)
-            counts = Counter(tokens_of(data))
-            n_known, score = int(ends > 0), end_score
-            rare, times = [], []
-            for word, n in counts.items():
-                log = known.get(word)
-                if log is None:
-                    rare.append(word)
-                    times.append(n)
-                else:
-                    n_known += n
-                    score += n * log
-            n_tokens = counts.total() + 1
-            log, others = 0.0, []
-            for part in pieces(data, order):
-                found, missing = table.look_up(part)
-                log += found
-                others.append(missing)
-            others, often = np.unique(np.concatenate(others), return_counts=True)
-            return n_tokens, n_known, score, log, rare, times, others.astype(np.int64).tolist(), often.tolist()
-
-        return row
-
-    (
-        docs.select("doc_id", row_udf(SCORED, make)("text").alias("_s"))
-        .select(F.monotonically_increasing_id().alias("row"), "doc_id", "_s.*")
-        .write.parquet(scored_at)
-    )
+    schema = T.StructType([f for f in docs.select("doc_id").schema])
+    for names, kind in (
+        (("n_tokens", "n_known"), T.LongType()),
+        (("hot_score", "score"), T.DoubleType()),
+        (("words",), T.ArrayType(T.BinaryType())),
+        (("grams", "gram_counts"), T.ArrayType(T.LongType())),
+    ):
+        for name in names:
+            schema = schema.add(name, kind)
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    made = map_texts(texts, "text", schema, _scores(schema.names, frequent, hot, order, ends, end_score))
+    made.withColumn("row", F.monotonically_increasing_id()).write.parquet(scored_at)
     scored = spark.read.parquet(scored_at)
     log = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.1) / divisor)
     rare = (
-        scored.select("row", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))))
+        scored.select("row", F.explode("words").alias("word"))
         .join(words, "word", "left")
         .groupBy("row")
-        .agg(
-            F.sum(F.col("n") * log).alias("rare_score"),
-            F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"),
-        )
+        .agg(F.sum(log).alias("rare_score"), F.count("c").alias("rare_known"))
     )
     others = scored.select(
         "row", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("gram_counts").alias("n")))
     )
     size = strings.count() + (scored.agg(F.sum(F.size("grams"))).first()[0] or 0)
-    logs = log_probs_of(others.select("gram").distinct(), strings, order, max(LEAST_BUCKETS, size // BUCKET_ROWS))
+    buckets = max(LEAST_BUCKETS, size // bucket_rows)
+    most = max(bucket_rows, size // MOST_ENDINGS)
+    logs = log_probs_of(others.select("gram").distinct(), strings, order, buckets, most)
     in_trie = others.join(logs, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("log_prob")).alias("trie_score"))
     none = F.lit(0)
-    return scored.drop("words", "counts", "grams", "gram_counts").join(rare, "row", "left").join(in_trie, "row", "left").select(
+    left = scored.drop("words", "grams", "gram_counts")
+    return left.join(rare, "row", "left").join(in_trie, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", none)).alias("n_known"),

@@ -7,7 +7,7 @@ from itertools import chain, islice, repeat
 
 import numpy as np
 
-MOST_WORDS = 300_000
+MOST_WORDS = 500_000
 _CALL = 2_000
 
 
@@ -81,6 +81,7 @@ class JoinedWords:
         self.tokenizer, self.plain, self.prefix = tokenizer, plain or tokenizer, prefix
         special = [(t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark, self.mark_id = special[-1] if special else ("", -1)
+        self.special = [content.encode() for content, _ in special]
 
     def each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words = [self.prefix + w for w in words]

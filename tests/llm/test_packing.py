@@ -140,12 +140,14 @@ def test_ids_and_places(spark, broadcast_rows):
 @pytest.mark.unit
 def test_words_have_the_ids_of_the_text():
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    memo, apart = packing._tokenizer(None)
+    memo, cut = packing._tokenizer(None)
     rng = random.Random(6)
-    parts = [*"abcé́Σ.1'", " ", "\n", "\x0b", "\u00a0", "\u180e", "가", "ᆨ", "<|endoftext|>", "日本"]
+    parts = [*"abcé́Σ.1'", " ", "\n", "\x0b", "\u00a0", "\u180e", "가", "ᆨ", "<|endoftext|>", "日本", "ABC", "'S", "İ", "ſ"]
     text = "".join(rng.choices(parts, k=5000))
-    ((ids, _),) = memo.look_up(text.encode().split())
-    assert apart and ids.tolist() == t.encode(text, add_special_tokens=False).ids
+    for given in (text, text + " <|ENDOFTEXT|>"):
+        words = cut(given.encode())
+        ((ids, _),) = memo.look_up(words)
+        assert len(words) > 500 and ids.tolist() == t.encode(given, add_special_tokens=False).ids
 
 
 @pytest.mark.integration

@@ -108,6 +108,24 @@ def test_bounded_trie_is_still_a_distribution(spark):
     assert total == pytest.approx(1, rel=1e-5)
 
 
+def test_hot_endings_are_parted(spark):
+    docs = spark.createDataFrame([("".join(f"{c}the{d}" for c in "abcdefgh" for d in "123456"),)], "text string")
+    strings = ppm.count_grams(docs, 6)
+    hot = ppm.hot_endings(strings, strings.limit(0), 6, 10)
+    the = int.from_bytes(b"the", "big")
+    assert the in {r["ending"] for r in hot[3].collect()}
+    assert all(r["ending"] % 256**3 in {x["ending"] for x in hot[3].collect()} for d in hot for r in hot[d].collect())
+
+
+@pytest.mark.parametrize("step", [3, 10, 1000])
+def test_windows_are_the_grams_of_every_text(step):
+    data = [ppm.normal_bytes(t) for t in TEXTS]
+    parts = list(ppm.windows(data, 4, step))
+    keys, owners = (np.concatenate(x) for x in zip(*parts))
+    for i, d in enumerate(data):
+        assert keys[owners == i].tolist() == ppm.grams(d, 4).tolist()
+
+
 def test_without_training_texts(spark):
     docs = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
     got = ppm.score_documents(docs, F.lit(False)).collect()
@@ -117,12 +135,16 @@ def test_without_training_texts(spark):
     assert ppm.score_documents(empty, F.lit(True)).collect() == []
 
 
-@pytest.mark.parametrize("order,max_nodes", [(6, 0), (6, 5), (4, 20), (2, 3), (6, 10_000)])
-def test_scores_are_whole_whatever_is_broadcast(spark, order, max_nodes):
+@pytest.mark.parametrize(
+    "order,max_nodes,bucket_rows",
+    [(6, 0, 50_000), (6, 5, 50_000), (4, 20, 50_000), (2, 3, 50_000), (6, 10_000, 50_000), (6, 0, 1), (6, 5, 3), (5, 0, 2), (4, 0, 1), (3, 0, 1)],
+)
+def test_scores_are_whole_whatever_is_broadcast(spark, order, max_nodes, bucket_rows):
     rows = list(enumerate([*TEXTS, "abracadabrx", "the bat sat", "zzz\x00", "Ü", "q once only"]))
     counts = plain_counts([t for i, t in rows if i % 4 != 1], order)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = ppm.score_documents(docs, F.col("doc_id") % 4 != 1, order=order, max_nodes=max_nodes).collect()
+    got = ppm.score_documents(docs, F.col("doc_id") % 4 != 1, order=order, max_nodes=max_nodes, bucket_rows=bucket_rows).collect()
+    assert len(got) == len(rows)
     for r in got:
         data = [ppm.END] * order + list(ppm.normal_bytes(rows[r["doc_id"]][1])) + [ppm.END]
         want = sum(math.log10(plain_prob(counts, data[i - order : i], data[i])) for i in range(order, len(data)))
