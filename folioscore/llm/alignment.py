@@ -48,7 +48,10 @@ PIECES = "piece_bpe_32k.model"
 _ODD = re.compile("^ | $|\\s | \\s|\u180e")
 _BETWEEN = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
 HOT_PAIRS = 1_000_000
-_LINKS = 1 << 20
+#: Words whose ids a worker keeps, and bytes of text that it aligns at a time.
+HELD_WORDS = 150_000
+_PIECE = 1 << 18
+_LINKS = 1 << 19
 ALIGNED = ("n_a", "n_b", "n_groups", "groups", "links")
 SCORED = ("n_links", "n_best", "count_sum")
 
@@ -78,13 +81,11 @@ class Tokenizers:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        path = byte_level or public_tokenizers.path(BYTE_LEVEL)
-        self.a = Tokenizer.from_file(path)
-        self.a.encode_special_tokens = True
-        self.a_words = JoinedWords(Tokenizer.from_file(path), self.a, prefix=" ")
+        a = Tokenizer.from_file(byte_level or public_tokenizers.path(BYTE_LEVEL))
+        self.a_words = JoinedWords(a, prefix=" ", as_text=True)
         letters = byte_letters()
-        self.a_bytes = [b""] * (max(self.a.get_vocab().values()) + 1)
-        for token, i in self.a.get_vocab().items():
+        self.a_bytes = [b""] * (max(a.get_vocab().values()) + 1)
+        for token, i in a.get_vocab().items():
             if all(c in letters for c in token):
                 self.a_bytes[i] = bytes(letters[c] for c in token)
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces or public_tokenizers.path(PIECES))
@@ -96,7 +97,7 @@ class Tokenizers:
         ]
         #: no piece goes over the start of a word, so words are encoded each for themselves
         self.apart = not any(b" " in x.lstrip(b" ") for x in self.b_bytes)
-        self.memo = WordMemo(self.encode_words, sides=2)
+        self.memo = WordMemo(self.encode_words, sides=2, most=HELD_WORDS)
         self.a_sizes = np.array([len(x) for x in self.a_bytes])
         self.b_sizes = np.array([len(x) for x in self.b_bytes])
         if len(self.a_bytes) * len(self.b_bytes) > 1 << 31:
@@ -233,7 +234,7 @@ def align(docs: DataFrame, text: str = "text", byte_level: str | None = None, pi
         schema = schema.add(name, T.LongType())
     schema = schema.add("groups", T.StringType()).add("links", T.ArrayType(T.IntegerType()))
     names = schema.names
-    return map_texts(narrow, source, schema, lambda: _align(names, byte_level, pieces))
+    return map_texts(narrow, source, schema, lambda: _align(names, byte_level, pieces), most_bytes=_PIECE)
 
 
 def _distinct_links(batches):

@@ -74,18 +74,23 @@ class JoinedWords:
     """Encodes many words in one call of a tokenizer, parted by one of its special tokens.
 
     The special token is cut out of a text before anything else, so every word is encoded as if it stood alone.
-    Words that have the token in them are encoded in calls of their own, by ``plain``, which reads it as text or not.
+    Words that have the token in them are encoded in calls of their own, in which special tokens are text if
+    ``as_text``.
     """
 
-    def __init__(self, tokenizer, plain=None, prefix: str = ""):
-        self.tokenizer, self.plain, self.prefix = tokenizer, plain or tokenizer, prefix
+    def __init__(self, tokenizer, prefix: str = "", as_text: bool = False):
+        self.tokenizer, self.prefix, self.as_text = tokenizer, prefix, as_text
         special = [(t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark, self.mark_id = special[-1] if special else ("", -1)
         self.special = [content.encode() for content, _ in special]
 
     def each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words = [self.prefix + w for w in words]
-        return in_a_row([e.ids for e in self.plain.encode_batch_fast(words, add_special_tokens=False)])
+        self.tokenizer.encode_special_tokens = self.as_text
+        try:
+            return in_a_row([e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        finally:
+            self.tokenizer.encode_special_tokens = False
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = self.prefix + (self.mark + self.prefix).join(words)
