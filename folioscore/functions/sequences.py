@@ -1,13 +1,22 @@
-"""Bit-parallel sequence kernels and the pandas UDFs over them.
+"""Sequence kernels and the pandas UDFs over them.
 
 Spark has no longest-common-subsequence function, and its ``levenshtein`` takes
-time in the product of both lengths per pair. The kernels (Hyyro's bit-vector
-forms of LCS and edit distance) keep one row of the table in one integer, so a
-step over a character costs one pass over ``n/64`` machine words.
+time in the product of both lengths per pair. Three kernels give the same numbers at
+different costs, and each pair takes the one that is cheapest for it:
+
+* bit vectors (Hyyro's forms of LCS and edit distance) keep one row of the table in one integer, so
+  a step over a character costs one pass over ``n/64`` machine words, however unlike the texts are;
+* diagonals, for texts that share most of their parts: how far each diagonal is reached with ``d`` edits,
+  for ``d`` = 0, 1, 2, …, so near-equal texts cost their length and the square of their distance. They
+  are left for the bit vectors as soon as they have cost as much as those will;
+* match lists and patience piles, for long lists of mostly rare words: the cost is the number of matches.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -15,6 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 _SMALL = 2048
+#: Below this product of lengths the bit vectors are cheap enough not to look for another way.
+_QUICK = 1 << 16
+# Costs in microseconds: a step of the bit vectors and its share per 64 places, a diagonal, a match.
+_STEP_US, _WORD_US, _DIAGONAL_US, _MATCH_US = 0.4, 0.009, 0.9, 0.25
+_PROBES, _PROBE = 8, 12
 
 
 def _shared_prefix(a, b) -> int:
@@ -60,6 +74,114 @@ def _position_masks(a, wanted) -> dict:
     return masks
 
 
+def _vector_cost(a, b) -> float:
+    """Microseconds that the bit vectors take, ``b`` being the shorter."""
+    return len(b) * (_STEP_US + len(a) / 64 * _WORD_US)
+
+
+def _much_alike(a, b) -> bool:
+    """Whether probes of the shorter sequence are mostly found in the longer one."""
+    if isinstance(a, str):
+        step = max(1, (len(b) - _PROBE) // _PROBES)
+        probes = [b[i : i + _PROBE] for i in range(0, max(1, len(b) - _PROBE), step)]
+        return 4 * sum(p in a for p in probes) >= 3 * len(probes)
+    words = set(b)
+    return 10 * len(words.intersection(a)) >= 9 * len(words)
+
+
+def _most_edits(a, b) -> int:
+    """The distance up to which diagonals cost no more than the bit vectors."""
+    return int((_vector_cost(a, b) / _DIAGONAL_US) ** 0.5)
+
+
+def _common(a, b, i: int, j: int) -> int:
+    """Length of the common prefix of ``a[i:]`` and ``b[j:]``."""
+    most = min(len(a) - i, len(b) - j)
+    if most <= 0 or a[i] != b[j]:
+        return 0
+    done, size = 1, 8
+    while done < most:
+        end = min(done + size, most)
+        if a[i + done : i + end] != b[j + done : j + end]:
+            return done + _shared_prefix(a[i + done : i + end], b[j + done : j + end])
+        done, size = end, size * 2
+    return done
+
+
+def indel_within(a, b, most: int) -> int | None:
+    """Fewest insertions and deletions from ``a`` to ``b``, if at most ``most``: how
+    much of ``a`` is reached on diagonal ``k`` = (place in a) - (place in b)."""
+    n, m = len(a), len(b)
+    goal = n - m
+    if abs(goal) > most:
+        return None
+    reach = {1: 0}
+    for d in range(most + 1):
+        for k in range(-d, d + 1, 2):
+            if abs(goal - k) > most - d:
+                continue
+            left, right = reach.get(k - 1, -1), reach.get(k + 1, -1)
+            i = right if k == -d or (k != d and left < right) else left + 1
+            if i < max(0, k) or i > n or i - k > m:
+                continue
+            i += _common(a, b, i, i - k)
+            if k == goal and i >= n:
+                return d
+            reach[k] = i
+    return None
+
+
+def edits_within(a, b, most: int) -> int | None:
+    """Unit-cost edit distance, if at most ``most``, over diagonals."""
+    n, m = len(a), len(b)
+    goal = n - m
+    if abs(goal) > most:
+        return None
+    reach: dict[int, int] = {}
+    for d in range(most + 1):
+        new: dict[int, int] = {}
+        for k in range(-d, d + 1):
+            if abs(goal - k) > most - d:
+                continue
+            if d:
+                i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2) + 1, reach.get(k + 1, -2))
+            else:
+                i = 0
+            if i < 0:
+                continue
+            i = min(i, n, m + k)
+            if i < 0 or i - k < 0:
+                continue
+            i += _common(a, b, i, i - k)
+            if k == goal and i >= n:
+                return d
+            new[k] = i
+        reach = new
+    return None
+
+
+def _few_matches(a, b, most_us: float) -> bool:
+    """Whether equal places of two lists are so few that match lists cost less than ``most_us``."""
+    in_b = Counter(b)
+    return _MATCH_US * (sum(n * in_b[x] for x, n in Counter(a).items()) + len(a)) < most_us
+
+
+def lcs_by_matches(a, b) -> int:
+    """LCS length from match lists: ``ends[k]`` is the least end in ``b`` of a common subsequence of k + 1."""
+    places: dict = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    ends: list[int] = []
+    for x in a:
+        for j in reversed(places.get(x, ())):  # from the right, so that one x is matched once
+            k = bisect_left(ends, j)
+            if k == len(ends):
+                ends.append(j)
+            else:
+                ends[k] = j
+    return len(ends)
+
+
 def lcs_length(a, b) -> int:
     """Length of the longest common subsequence of two strings or lists."""
     a, b, cut = _core(a, b)
@@ -67,6 +189,18 @@ def lcs_length(a, b) -> int:
         return cut
     if len(a) < len(b):
         a, b = b, a
+    if len(a) * len(b) > _QUICK:
+        if _much_alike(a, b):
+            edits = indel_within(a, b, _most_edits(a, b))
+            if edits is not None:
+                return cut + (len(a) + len(b) - edits) // 2
+        if not isinstance(a, str) and _few_matches(a, b, _vector_cost(a, b)):
+            return cut + lcs_by_matches(a, b)
+    return cut + lcs_by_vectors(a, b)
+
+
+def lcs_by_vectors(a, b) -> int:
+    """LCS length by bit vectors over the positions of ``a``."""
     masks = _position_masks(a, set(b))
     full = (1 << len(a)) - 1
     row = full
@@ -80,7 +214,7 @@ def lcs_length(a, b) -> int:
         for hit in hits:
             u = row & hit
             row = ((row + u) | (row ^ u)) & full
-    return cut + len(a) - (row & full).bit_count()
+    return len(a) - (row & full).bit_count()
 
 
 def lcs_items(a, b) -> set:
@@ -124,6 +258,15 @@ def edit_distance(a, b) -> int:
         return max(len(a), len(b))
     if len(a) < len(b):
         a, b = b, a
+    if len(a) * len(b) > _QUICK and _much_alike(a, b):
+        edits = edits_within(a, b, _most_edits(a, b))
+        if edits is not None:
+            return edits
+    return edits_by_vectors(a, b)
+
+
+def edits_by_vectors(a, b) -> int:
+    """Edit distance by bit vectors over the positions of ``a``."""
     masks = _position_masks(a, set(b))
     full = (1 << len(a)) - 1
     top = 1 << (len(a) - 1)

@@ -16,6 +16,7 @@ from folioscore.schemas import METRIC_ROWS
 from folioscore.session import spread, workspace
 from folioscore.sources import files, markdown, naming, sinks
 from folioscore.streaming import chunks as chunk_stream
+from folioscore.streaming import responses as response_stream
 from folioscore.streaming import variants as variant_stream
 
 PAIR = ("filestem", "file1", "file2")
@@ -417,16 +418,18 @@ def linearize_layout(spark, d):
 
 
 def _conversation_stream(spark: SparkSession, d: str, out: str, again: bool = False) -> DataFrame:
-    """The table dealt over four files, one to a micro-batch. With ``again``, a
-    fifth holds the turns of every fifth conversation, which arrive once more."""
+    """The table in four shares, one after the other, each written by the tasks that read it and
+    about one to a micro-batch. With ``again``, a fifth share holds the turns of
+    every fifth conversation, which arrive once more."""
     rows = tables.table(spark, d, "conversations")
     part = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(4))
-    files = [rows.where(part == k) for k in range(4)]
+    shares = [rows.where(part == k) for k in range(4)]
     if again:
-        files.append(rows.where(F.pmod("conv_id", F.lit(5)) == 0))
-    for file in files:
-        file.coalesce(1).write.mode("append").parquet(f"{out}/arriving")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+        shares.append(rows.where(F.pmod("conv_id", F.lit(5)) == 0))
+    for share in shares:
+        share.write.mode("append").parquet(f"{out}/arriving")
+    files = max(1, rows.rdd.getNumPartitions())
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files)
     return stream.parquet(f"{out}/arriving")
 
 
@@ -438,6 +441,14 @@ def stream_chunks(spark, d):
     return chunk_stream.assembled(spark, f"{out}/table")
 
 
+def stream_responses(spark, d):
+    """Deltas through the stateful stream, each response given out once."""
+    out = workspace(spark, "responses")
+    arriving = tables.timed_chunks(_conversation_stream(spark, d, out))
+    response_stream.assemble_stream(arriving, out, f"{out}/offsets").awaitTermination()
+    return response_stream.responses(spark, out)
+
+
 def stream_evaluate(spark, d):
     """Variants through a stream, scored batch by batch; some arrive again."""
     out = workspace(spark, "scores")
@@ -500,5 +511,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "html_to_markdown": html_to_markdown,
     "linearize_layout": linearize_layout,
     "stream_chunks": stream_chunks,
+    "stream_responses": stream_responses,
     "stream_evaluate": stream_evaluate,
 }

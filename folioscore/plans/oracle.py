@@ -535,6 +535,8 @@ SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, page_no,
   || E'\\n\\nPriority ' || o_orderpriority END AS page_text
 FROM pages_of LEFT JOIN orders ON o_orderkey = l_orderkey""",
     "stream_chunks": _CHUNKS,
+    "stream_responses": f"""WITH {_PAGES}
+SELECT doc_id, page_no, 'complete' AS status, text AS markdown FROM pg""",
     "stream_evaluate": f"""WITH {_ALL}, {_SIX}
 SELECT filestem, file1, file2, word_overlap, levenshtein, cosine, rouge_1, rouge_2, rouge_l FROM six""",
 }

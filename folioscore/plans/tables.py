@@ -131,6 +131,24 @@ def chunks_of(conversations: DataFrame) -> DataFrame:
     ).select("doc_id", "page_no", "seq", F.nullif(F.col("_d"), F.lit("")).alias("delta"))
 
 
+def timed_chunks(conversations: DataFrame) -> DataFrame:
+    """The same deltas with a mark at the last one of a response and a time of arrival."""
+    deltas = F.split("text", r"(?<=\.)")
+    return conversations.select(
+        turn_document().alias("doc_id"),
+        (turn_position() + 1).alias("page_no"),
+        F.size(deltas).alias("_n"),
+        F.posexplode(deltas).alias("seq", "_d"),
+    ).select(
+        "doc_id",
+        "page_no",
+        "seq",
+        F.nullif(F.col("_d"), F.lit("")).alias("delta"),
+        (F.col("seq") == F.col("_n") - 1).alias("is_last"),
+        F.timestamp_seconds(F.col("page_no") * 60).alias("arrived"),
+    )
+
+
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraph pieces of each page; pieces that open a paragraph carry HTML."""
     piece = F.posexplode(F.split("html", "</p>")).alias("seq", "text")
