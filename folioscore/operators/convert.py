@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscore.functions.columns import let
 from folioscore.operators.registry import PAGE_POLICY, RETRYING, SPLIT_BY_DEFAULT
 from folioscore.schemas import PAGE_RESULTS
+from folioscore.sources import folder
 
 # The page heading converters are told to emit, and what stands
 # after each page of an assembled document.
@@ -146,6 +153,104 @@ def convert_units(
     return work.mapInPandas(run, PAGE_RESULTS)
 
 
+def unit_digest(parser: Column, model: Column, text: Column) -> Column:
+    """What names a request in the ledger: a digest of all that it depends on."""
+    parts = [F.coalesce(c.cast("string"), F.lit("\u0001")) for c in (parser, model, text)]
+    return F.sha2(F.concat_ws("\u0000", *parts), 256)
+
+
+def convert_resumable(
+    units: DataFrame,
+    converter: Callable[[str, int], str | None],
+    ledger: str,
+    transient: tuple[type[BaseException], ...] = (),
+    policy: Callable[[str], Retry] | None = None,
+    window: int = 8,
+    flush: int = 32,
+    concurrency: int | None = None,
+) -> DataFrame:
+    """Page results of a user's converter, kept in a ledger as they are finished.
+
+    ``units`` have ``doc_id, page_no, parser, page_text`` and may have ``model``; all columns but the text stay.
+    A row's parser chooses its retry policy (``retry_for`` unless ``policy`` says otherwise). A task has
+    ``window`` units under way, so their waits overlap, and writes finished ones to the ledger
+    ``flush`` at a time. A unit whose request, by digest, is in the ledger with an end (converted, or an error
+    that is not transient) is not sent again, by this job or a later one, whatever became of the task that sent it.
+    """
+    spark = units.sparkSession
+    rule = policy or (lambda parser: retry_for(parser, transient))
+    model = F.col("model") if "model" in units.columns else F.lit("")
+    keyed = units.withColumn("_digest", unit_digest(F.col("parser"), model, F.col("page_text")))
+    key = ["doc_id", "page_no", "_digest"]
+    work = keyed.select(*key, "parser", "page_text").distinct()
+    if folder.names(spark, ledger):
+        work = work.join(_read_ledger(spark, ledger).where("final"), key, "left_anti")
+    if concurrency:
+        work = work.repartition(concurrency, "doc_id", "page_no")
+
+    def call(row: tuple) -> tuple:
+        doc_id, page_no, digest, parser, text = row
+        how, error = rule(parser), None
+        for attempt in range(1, how.attempts + 1):
+            try:
+                return doc_id, page_no, digest, converter(text, attempt), "ok", None, attempt, True
+            except how.transient as exc:
+                error = str(exc)
+                if attempt < how.attempts:
+                    how.sleep(how.wait(attempt))
+            except Exception as exc:  # noqa: BLE001 - becomes a status column
+                return doc_id, page_no, digest, None, "error", str(exc), attempt, True
+        return doc_id, page_no, digest, None, "error", error, how.attempts, False
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for batch in batches for r in batch.itertuples(index=False, name=None))
+        finished: list[tuple] = []
+        with ThreadPoolExecutor(window) as pool:
+            pending = {pool.submit(call, r) for r in islice(rows, window)}
+            while pending:
+                done, pending = wait(pending, return_when=FIRST_COMPLETED)
+                finished += [f.result() for f in done]
+                pending |= {pool.submit(call, r) for r in islice(rows, len(done))}
+                if len(finished) >= flush or not pending:
+                    _to_ledger(ledger, finished)
+                    yield pd.DataFrame({"n": [len(finished)]})
+                    finished = []
+
+    work.mapInPandas(run, "n long").agg(F.sum("n")).collect()
+    results = _read_ledger(spark, ledger)
+    last = F.max_by(F.struct("markdown", "status", "error", "attempts"), F.struct("final", "at")).alias("_r")
+    newest = results.groupBy(*key).agg(last)
+    keep = [c for c in units.columns if c not in ("page_text", "markdown", "status", "error", "attempts")]
+    return keyed.join(newest, key, "left").select(*keep, "_r.*")
+
+
+LEDGER = (
+    "doc_id string, page_no int, _digest string, markdown string, status string, error string, "
+    "attempts int, final boolean, at long"
+)
+
+
+def _read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    if not folder.names(spark, ledger):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(ledger)
+
+
+def _to_ledger(ledger: str, finished: list[tuple]) -> None:
+    """Write finished units as a file of their own; it appears as a whole or not at all."""
+    fs, root = pafs.FileSystem.from_uri(ledger)
+    fs.create_dir(root)
+    columns = list(zip(*finished))
+    names = ("doc_id", "page_no", "_digest", "markdown", "status", "error", "attempts", "final")
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_())
+    arrays = [pa.array([None if v is None else str(v) for v in c] if k == pa.string() else c, k) for c, k in zip(columns, kinds)]
+    arrays.append(pa.array([time.time_ns()] * len(finished), pa.int64()))
+    name = uuid.uuid4().hex
+    with fs.open_output_stream(f"{root}/.{name}", compression=None) as out:
+        pq.write_table(pa.Table.from_arrays(arrays, [*names, "at"]), out)
+    fs.move(f"{root}/.{name}", f"{root}/{name}.parquet")
+
+
 def check_responses(results: DataFrame, fail: bool = False) -> DataFrame:
     """Applies each parser's rule for empty answers to ``(…, parser, markdown,
     status, error)``: an error for openai and ollama, an empty text with a

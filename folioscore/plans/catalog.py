@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscore.functions import normalize, tokens
-from folioscore.operators import convert, metrics, registry, render, reshape
+from folioscore.operators import answers, convert, metrics, registry, render, reshape
 from folioscore.operators.pairs import variant_pairs
 from folioscore.plans import tables
 from folioscore.plans.evaluate import evaluate
@@ -404,6 +404,10 @@ def check_responses(spark, d):
     return convert.check_responses(answers)
 
 
+def extracted_answers(spark, d):
+    return answers.extract_answers(tables.answers(spark, d))
+
+
 def elements_to_html(spark, d):
     return render.elements_to_html(tables.elements(spark, d))
 
@@ -506,6 +510,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "assemble_good": assemble_good,
     "convert_units": convert_units,
     "check_responses": check_responses,
+    "extract_answers": extracted_answers,
     "document_status": document_status,
     "elements_to_html": elements_to_html,
     "html_to_markdown": html_to_markdown,

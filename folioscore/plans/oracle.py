@@ -505,6 +505,29 @@ SELECT doc_id, page_no, parser,
   CASE WHEN parser IN ('openai', 'ollama') AND coalesce(markdown, '') = ''
        THEN 'Empty response from ' || parser END AS error
 FROM a""",
+    "extract_answers": f"""WITH {_PAGES}, {_REG},
+a AS (
+  SELECT doc_id, page_no, parser, (page_no - 1) % 5 = 4 AS broken, role = 'user' AS nothing,
+         CASE WHEN role = 'user' THEN '' WHEN role = 'system' THEN ''
+              WHEN parser = 'unstructuredio' THEN {_substitute("(" + _q(HTML_HEAD + "<p>") + " || text || " + _q("</p>" + chr(10) + HTML_TAIL) + ")", _flat(HTML_GROUPS))}
+              ELSE text END AS said
+  FROM pg JOIN reg ON pos = (page_no - 1) % 8
+),
+j AS (
+  SELECT *, CASE WHEN broken THEN 'unreadable'
+    WHEN nothing AND parser NOT IN ('huggingface', 'mistral') THEN 'no answer'
+    WHEN said = '' THEN 'empty' ELSE 'ok' END AS verdict FROM a
+),
+k AS (
+  SELECT *, CASE WHEN verdict = 'no answer' AND parser = 'unstructuredio' THEN 'warning'
+    WHEN verdict IN ('unreadable', 'no answer') OR (verdict = 'empty' AND parser IN ('openai', 'ollama'))
+    THEN 'error' ELSE 'ok' END AS status FROM j
+)
+SELECT doc_id, page_no, parser, CASE WHEN status <> 'error' THEN said END AS markdown, verdict, status,
+  CASE WHEN status = 'ok' THEN NULL WHEN verdict = 'unreadable' THEN 'Unreadable response from ' || parser
+    WHEN verdict = 'no answer' THEN 'No answer in the response from ' || parser
+    ELSE 'Empty response from ' || parser END AS error
+FROM k""",
     "document_status": f"""WITH {_CONVERTED}
 SELECT doc_id, count(*) AS pages, count(*) FILTER (status = 'error') AS failed,
        min(page_no) FILTER (status = 'error') AS first_failed_page,

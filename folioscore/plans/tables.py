@@ -219,6 +219,53 @@ def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_cells.unionByName(page_heads)
 
 
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as the answers of their parsers: system turns are empty, user turns hold nothing, and
+    every fifth turn is broken off."""
+    content = F.when(F.col("role") == "system", "").otherwise(F.coalesce("text", F.lit("")))
+    nothing = F.col("role") == "user"
+
+    def one(item: Column) -> Column:
+        return F.when(nothing, F.slice(F.array(item), 1, 0)).otherwise(F.array(item))
+
+    def named(value: Column, name: str) -> Column:
+        return F.struct(value.alias(name))
+
+    def chunk(text: Column) -> Column:
+        return named(F.array(named(named(text, "content"), "delta")), "choices")
+
+    chunks = F.array(chunk(F.left(content, F.lit(3))), chunk(F.lit(None).cast("string")), chunk(F.substring(content, 4, 2**31 - 1)))
+    element = named(named(F.concat(F.lit("<p>"), content, F.lit("</p>")), "text_as_html"), "metadata")
+    missing = F.lit(None)
+    forms = {
+        "openai": named(one(named(named(content, "content"), "message")), "choices"),
+        "huggingface": F.when(nothing, F.slice(chunks, 1, 0)).otherwise(chunks),
+        "anthropic": named(one(named(content, "text")), "content"),
+        "googleai": named(F.when(nothing, missing).otherwise(content), "text"),
+        "textract": named(F.when(nothing, missing).otherwise(content), "text"),
+        "mistral": named(one(named(content, "markdown")), "pages"),
+        "ollama": named(F.when(nothing, missing).otherwise(named(content, "content")), "message"),
+        "unstructuredio": named(F.when(nothing, missing).otherwise(F.array(element)), "elements"),
+    }
+    parser = by_position(list(PARSER_NAMES), turn_parser(turn_position()))
+    answer = F.lit(None).cast("string")
+    for name, form in forms.items():
+        told = F.to_json(form, {"ignoreNullFields": "false"})
+        answer = F.when(F.col("parser") == name, told).otherwise(answer)
+    broken = F.pmod(turn_position(), F.lit(5)) == 4
+    return (
+        table(spark, sf_dir, "conversations")
+        .withColumn("parser", parser)
+        .withColumn("answer", answer)
+        .select(
+            turn_document().alias("doc_id"),
+            (turn_position() + 1).alias("page_no"),
+            "parser",
+            F.when(broken, F.left("answer", F.length("answer") - 1)).otherwise(F.col("answer")).alias("answer"),
+        )
+    )
+
+
 def requested_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A path per document; the language decides the suffix."""
     suffix = (

@@ -1,0 +1,56 @@
+"""Answers of every parser: texts, and separate verdicts for unreadable, missing and empty ones."""
+
+import json
+
+import pytest
+
+from folioscore.operators.answers import extract_answers
+
+pytestmark = pytest.mark.unit
+CASES = [
+    ("openai", {"choices": [{"message": {"content": "# Hi\n"}}, {"message": {"content": "no"}}]}, "# Hi\n", "ok", "ok"),
+    ("openai", {"choices": []}, None, "no answer", "error"),
+    ("openai", {"choices": None}, None, "no answer", "error"),
+    ("openai", {"choices": [{"message": {"content": ""}}]}, None, "empty", "error"),
+    ("openai", {"choices": [{"message": {"content": None}}]}, None, "empty", "error"),
+    ("openai", {"error": "quota"}, None, "unreadable", "error"),
+    ("huggingface", [{"choices": [{"delta": {"content": "a"}}]}, {"choices": [{"delta": {"content": None}}]}, {"choices": [{"delta": {"content": "b"}}]}], "ab", "ok", "ok"),
+    ("huggingface", [], "", "empty", "ok"),
+    ("huggingface", {"text": "x"}, None, "unreadable", "error"),
+    ("anthropic", {"content": [{"type": "text", "text": "é"}]}, "é", "ok", "ok"),
+    ("anthropic", {"content": [{"type": "text", "text": ""}]}, "", "empty", "ok"),
+    ("anthropic", {"content": []}, None, "no answer", "error"),
+    ("googleai", {"text": "g"}, "g", "ok", "ok"),
+    ("googleai", {"text": None}, None, "no answer", "error"),
+    ("textract", {"text": "t\n\n"}, "t\n\n", "ok", "ok"),
+    ("mistral", {"pages": [{"index": 0, "markdown": "p1"}, {"index": 1, "markdown": "p2"}]}, "p1\n\np2", "ok", "ok"),
+    ("mistral", {"pages": []}, "", "empty", "ok"),
+    ("ollama", {"message": {"role": "assistant", "content": "o"}}, "o", "ok", "ok"),
+    ("ollama", {"message": {"content": ""}}, None, "empty", "error"),
+    ("ollama", {"message": None}, None, "no answer", "error"),
+    (
+        "unstructuredio",
+        {"elements": [{"type": "Title", "text": "dropped", "metadata": {}}, {"type": "Table", "metadata": {"text_as_html": "<p>kept <b>x</b></p>", "page": 1}}]},
+        "kept **x**",
+        "ok",
+        "ok",
+    ),
+    ("unstructuredio", {"elements": None}, "", "no answer", "warning"),
+    ("unstructuredio", {"elements": []}, "", "empty", "ok"),
+    ("pandoc", {"text": "x"}, None, "unreadable", "error"),
+]
+
+
+def test_each_parser_and_verdict(spark):
+    rows = [(i, p, json.dumps(a), 1) for i, (p, a, *_) in enumerate(CASES)]
+    n = len(rows)
+    rows += [(n, "openai", '{"choices": [', 1), (n + 1, "ollama", "", 1), (n + 2, "mistral", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id int, parser string, answer string, status int")
+    got = {r["doc_id"]: r for r in extract_answers(df).collect()}
+    assert len(got) == len(rows)
+    for i, (parser, _, markdown, verdict, status) in enumerate(CASES):
+        r = got[i]
+        assert (r["markdown"], r["verdict"], r["status"]) == (markdown, verdict, status), CASES[i]
+        assert (r["error"] is None) == (status == "ok") and (status == "ok" or parser in r["error"])
+    assert {got[n + k]["verdict"] for k in range(3)} == {"unreadable"}
+    assert extract_answers(df.limit(0)).collect() == []
