@@ -1,19 +1,20 @@
-"""Toxicity by subword-bag embeddings in a linear softmax, trained jointly in numpy.
+"""Toxicity by subword-bag embeddings and a linear softmax, trained jointly in numpy.
 
 A text is lower-cased and cut in words; digits and signs that stand for letters become those
-letters. A word, with a mark at both ends, is the bag of its byte n-grams of 3 to 5 bytes, each
-hashed to one of ``BUCKETS`` vectors; the mean of the vectors goes through a linear softmax. A
-misspelt or inflected word shares most n-grams with one that was learnt and so most of its vectors.
-The score of a text is the probability of its most toxic word, so long texts are not thinned out.
+letters. A word, with a mark at both ends, is the bag of its n-grams of 3 to 6 characters, each
+hashed to one of ``BUCKETS`` vectors. A word is the mean of its n-grams' vectors and a text the mean of its
+words, so a text is toxic by the dose of its words, however long it is; a misspelt or inflected word
+shares most n-grams, and so most of its vector, with one that was learnt. The mean goes through a linear
+softmax of two classes.
 
-Labels are of texts, not of words, so training first looks for words that may have made a text
-toxic: those with n-grams that stand in a far larger share of the toxic texts of the sample than of
-the others (log odds, shrunk by ``PRIOR`` texts). Such words are examples of label 1, every word of the
-other texts one of label 0; vectors and softmax are trained jointly on these.
+Labels are of texts, and so is the training: accelerated gradient descent on the cross-entropy of all sampled
+texts, both classes of equal weight, over vectors, softmax and bias together. Vectors start at zero. An n-gram's
+part in a mean is measured against how common it is (to the power ``COMMON``), and a penalty on the length of
+each vector keeps those at zero that the labels do not ask for: a few hundred of a million stay.
 
 The model is fitted on the driver on a bounded sample: at most ``SAMPLE_ROWS`` labelled texts, drawn
 by a hash of the id, none longer than ``SAMPLE_CHARS``. Scoring needs one number per bucket, which is
-broadcast (1 MB), and reads whole texts.
+broadcast (4 MB), and reads whole texts; a worker keeps the worth of words that come again.
 
 Defined results: a null text is an empty one; a text without words has the probability of the bias
 alone. Without both labels in the sample all scores are 0. Repeated ids are scored row by row.
@@ -23,193 +24,198 @@ alone. Without both labels in the sample all scores are 0. Repeated ids are scor
 from __future__ import annotations
 
 from collections import Counter
+from itertools import islice, repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscore.llm.arrow import row_udf
-from folioscore.llm.order_minhash import labelled_kmers
+from folioscore.llm.arrow import text_udf
 from folioscore.llm.sample import bounded_sample
 from folioscore.llm.texthash import mix
 
-BUCKETS = 1 << 18
-DIM = 8
-LENGTHS = (3, 4, 5)
+BUCKETS = 1 << 20
+DIM = 4
+LENGTHS = (3, 4, 5, 6)
 SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 20_000
-EPOCHS = 6
-PRIOR = 10.0
-#: Log odds, mean of a word's ``EVIDENCE_GRAMS`` strongest n-grams, from which a word is an example.
-EVIDENCE = 2.0
-EVIDENCE_GRAMS = 3
-#: Log odds from which a word of clean texts is learnt again, eight times an epoch.
-HARD = -2.0
-BATCH = 512
-_PIECE = 1 << 20
+EPOCHS = 150
+#: Texts of the sample that an n-gram has to stand in to have a vector.
+LEAST_TEXTS = 5
+COMMON = 0.55
+#: The penalty as a share of the one that would keep all vectors at zero.
+PENALTY = 0.03
+#: Words whose worth a worker keeps.
+HELD_WORDS = 300_000
+#: Epochs from one step of the softmax to the next; the vectors take one in each.
+_TURN = 10
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = str.maketrans(
     {c: " " for c in "\t\n\v\f\r.,;:!?\"()[]{}<>|/\\«»“”…#%&*=+~^_"}
     | dict(zip("013457@$", "oieastas"))
 )
 
 
-def normal(text: str | None) -> bytes:
-    """Lower-cased words, parted by single spaces, with a space at both ends."""
-    words = (text or "").lower().translate(_MARKS).split(" ")
-    return (" " + " ".join(w for w in words if w) + " ").encode("utf-8", "surrogatepass")
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased words."""
+    return [w for w in (text or "").lower().translate(_MARKS).split(" ") if w]
 
 
-def ngrams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and word number of every n-gram of a normal text.
+def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and word number of every n-gram of words.
 
-    An n-gram may begin or end with the space before or after its word, and has none inside.
+    An n-gram may begin or end with the mark before or after its word, and has none inside.
     """
-    ids, words = [], []
-    before, start = 0, 0
-    while start < len(data) - 1:
-        cut = data.find(b" ", start + _PIECE) + 1
-        a = np.frombuffer(data, np.uint8, (cut or len(data)) - start, start)
-        blanks = np.concatenate([[0], np.cumsum(a == 32)])
-        wide = a.astype(np.uint64)
-        for n in LENGTHS:
-            m = len(a) - n + 1
-            if m <= 0:
-                continue
-            h = np.full(m, n, np.uint64)
-            for k in range(n):
-                h = h * np.uint64(257) + wide[k : k + m]
-            at = np.flatnonzero(blanks[n - 1 : n - 1 + m] == blanks[1 : 1 + m])
-            ids.append((mix(h[at]) >> np.uint64(46)).astype(np.int32))
-            words.append(blanks[at + 1] - 1 + before)
-        before += int(blanks[-1]) - 1
-        start = (cut or len(data)) - 1
-    if not ids:
-        return np.empty(0, np.int32), np.empty(0, np.int64)
-    return np.concatenate(ids), np.concatenate(words)
-
-
-def word_means(ids: np.ndarray, words: np.ndarray, worth: np.ndarray) -> np.ndarray:
-    """Mean worth of the n-grams of each word."""
-    return np.bincount(words, worth[ids]) / np.maximum(np.bincount(words), 1)
+    data = " " + " ".join(words) + " "
+    wide = np.frombuffer(data.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    blanks = np.concatenate([[0], np.cumsum(wide == 32)])
+    ids, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for n in LENGTHS:
+        m = len(wide) - n + 1
+        if m <= 0:
+            continue
+        h = np.full(m, n, np.uint64)
+        for k in range(n):
+            h = h * _ODD + wide[k : k + m]
+        at = np.flatnonzero(blanks[n - 1 : n - 1 + m] == blanks[1 : 1 + m])
+        ids.append((mix(h[at]) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64))
+        places.append(blanks[at + 1] - 1)
+    return np.concatenate(ids), np.concatenate(places)
+
+
+def word_worths(words: list[str], worth: np.ndarray) -> np.ndarray:
+    """Mean worth of the n-grams of each word; 0 for a word too short to have any."""
+    ids, places = ngrams(words)
+    sums = np.bincount(places, worth[ids], minlength=len(words))
+    return sums / np.maximum(np.bincount(places, minlength=len(words)), 1)
 
 
 def probability(text: str | None, worth: np.ndarray, bias: float) -> float:
-    ids, words = ngrams(normal(text))
-    z = (word_means(ids, words, worth).max() if len(ids) else 0.0) + bias
+    words = words_of(text)
+    z = (word_worths(words, worth).mean() if words else 0.0) + bias
     return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
+class Means:
+    """The bags of a sample as a sparse table: a row per text, a column per n-gram of enough texts."""
+
+    def __init__(self, texts: list[list[str]], least_texts: int):
+        buckets, values, sizes = [], [], []
+        for words in texts:
+            ids, places = ngrams(words)
+            each = 1 / (np.bincount(places, minlength=max(len(words), 1))[places] * max(len(words), 1))
+            bucket, at = np.unique(ids, return_inverse=True)
+            buckets.append(bucket)
+            values.append(np.bincount(at, each, minlength=len(bucket)).astype(np.float32))
+            sizes.append(len(bucket))
+        bucket, value = np.concatenate(buckets), np.concatenate(values)
+        row = np.repeat(np.arange(len(texts)), sizes)
+        kept = np.bincount(bucket, minlength=BUCKETS)[bucket] >= min(least_texts, len(texts))
+        self.row, value = row[kept], value[kept]
+        self.buckets, self.column = np.unique(bucket[kept], return_inverse=True)
+        common = np.bincount(self.column, value) / len(texts)
+        self.scale = 1 / (common + 1e-6) ** COMMON
+        self.value = (value * self.scale[self.column]).astype(np.float32)
+        order = np.argsort(self.column, kind="stable")
+        self.row_by_column, self.value_by_column = self.row[order], self.value[order]
+        self.row_ends = np.searchsorted(self.row, np.arange(len(texts) + 1))
+        self.column_ends = np.searchsorted(self.column[order], np.arange(len(self.buckets) + 1))
+
+    def of_texts(self, by_column: np.ndarray) -> np.ndarray:
+        """Means of a number per n-gram over each text."""
+        return _sums(by_column[self.column] * self.value, self.row_ends)
+
+    def of_ngrams(self, by_text: np.ndarray) -> np.ndarray:
+        """Sums of a number per text over each n-gram."""
+        return _sums(by_text[self.row_by_column] * self.value_by_column, self.column_ends)
+
+
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    return total[ends[1:]] - total[ends[:-1]]
+
+
 class SubwordModel:
-    """Vectors of all buckets and the softmax over their means."""
+    """Vectors of n-grams and the softmax over their means, learnt together."""
 
-    def __init__(self, buckets: int = BUCKETS, dim: int = DIM, seed: int = 1):
+    def __init__(self, columns: int, dim: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.vectors = rng.uniform(-0.01, 0.01, (dim, buckets)).astype(np.float32)
-        self.weights = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
-        self.bias = np.zeros(2, np.float32)
+        self.vectors = np.zeros((dim, columns))
+        self.weights = rng.normal(size=(dim, 2))
+        self.bias = np.zeros(2)
+        self._unit()
+
+    def _unit(self) -> None:
+        """The softmax turns the vectors and leaves their length to the penalty."""
+        self.weights /= np.linalg.norm(self.weights[:, 1] - self.weights[:, 0])
 
     def worth(self) -> np.ndarray:
-        """What each bucket adds to the log odds of label 1."""
+        """What each n-gram adds to the log odds of label 1."""
         return (self.weights[:, 1] - self.weights[:, 0]) @ self.vectors
 
-    def margin(self) -> float:
-        return float(self.bias[1] - self.bias[0])
-
-    def learn(self, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rate: float) -> None:
-        """A step of gradient descent on a batch of bags."""
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        means = np.add.reduceat(self.vectors[:, flat], starts, axis=1) / sizes
-        z = means.T @ self.weights + self.bias
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(labels)), labels] -= 1
-        step = (rate * (self.weights @ p.T)).astype(np.float32)
-        self.weights -= 0.1 * rate * (means @ p) / len(labels)
-        self.bias -= rate * p.mean(axis=0)
-        # the whole step for each n-gram of the bag: a mean moves by that much
-        for vector, part in zip(self.vectors, np.repeat(step, sizes, axis=1)):
-            np.subtract.at(vector, flat, part)
-
-
-class Bags:
-    """The distinct words of a sample as bags, and which text has which word."""
-
-    def __init__(self, texts: list[str]):
-        number: dict[bytes, int] = {}
-        self.texts = [
-            np.array([number.setdefault(w, len(number)) for w in set(normal(t).split())], np.int64)
-            for t in texts
-        ]
-        # copies of one text, found by their least run of words, count as one
-        least = [int(labelled_kmers(t)[1].min(initial=2**64 - 1)) for t in texts]
-        copies = Counter(least)
-        self.shares = np.array([1 / copies[k] for k in least])
-        ids, words = ngrams(b" " + b" ".join(number) + b" ")
-        order = np.argsort(words, kind="stable")
-        self.flat = ids[order]
-        self.sizes = np.bincount(words, minlength=len(number))
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-
-    def bags(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """N-grams of the words, one word after the other, and their numbers."""
-        sizes = self.sizes[rows]
-        offsets = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return self.flat[np.repeat(self.starts[rows], sizes) + offsets], sizes
-
-    def log_odds(self, labels: np.ndarray) -> np.ndarray:
-        """For each bucket the log of its share of texts of label 1 over that of label 0."""
-        texts = np.bincount(labels, self.shares, minlength=2)
-        prior = PRIOR * texts / texts.sum()
-        seen = np.repeat(prior[:, None], BUCKETS, axis=1)
-        for rows, label, share in zip(self.texts, labels, self.shares):
-            if len(rows):
-                seen[label, np.unique(self.bags(rows)[0])] += share
-        return np.log(seen[1] / texts[1]) - np.log(seen[0] / texts[0])
-
-    def odds(self, model: SubwordModel) -> np.ndarray:
-        """Log odds of each word under a model."""
-        return np.add.reduceat(model.worth()[self.flat], self.starts) / self.sizes + model.margin()
-
-    def evidence(self, odds: np.ndarray) -> np.ndarray:
-        """Mean of the largest odds of each word's n-grams."""
-        values = odds[self.flat]
-        word = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        order = np.lexsort((-values, word))
-        rank = np.arange(len(values)) - np.repeat(self.starts, self.sizes)
-        top = order[rank < EVIDENCE_GRAMS]
-        return np.bincount(word[top], values[top], len(self.sizes)) / np.bincount(word[top], minlength=len(self.sizes))
-
-
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> tuple[np.ndarray, float]:
+    def learn(self, means: Means, labels: np.ndarray, shares: np.ndarray, epochs: int, penalty: float) -> None:
+        """Accelerated proximal gradient descent; ``shares`` are the weights of the texts, 1 in all."""
+        rate = 1 / (0.5 * _steepest(means, shares))
+        wanted = np.eye(2)[labels]
+        least = None
+        vectors, bias, t = self.vectors, self.bias, 1.0
+        ahead, ahead_bias = vectors, bias
+        for epoch in range(epochs):
+            z = np.outer(means.of_texts((self.weights[:, 1] - self.weights[:, 0]) @ ahead), [-0.5, 0.5]) + ahead_bias
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            error = shares[:, None] * (p - wanted)
+            slope = means.of_ngrams(error[:, 1] - error[:, 0]) / 2
+            if least is None:  # the penalty under which every vector would stay at zero
+                least = penalty * np.abs(slope).max()
+            new = ahead - rate * np.outer(self.weights[:, 1] - self.weights[:, 0], slope)
+            length = np.sqrt(np.einsum("ij,ij->j", new, new))
+            new *= np.maximum(0, 1 - rate * least / np.maximum(length, 1e-12))
+            new_bias = ahead_bias - rate * error.sum(axis=0)
+            if epoch % _TURN == 0:
+                hidden = np.stack([means.of_texts(v) for v in new])
+                self.weights -= 0.1 * rate * (hidden @ error) / max(1.0, np.abs(hidden).max())
+                self._unit()
+            t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+            ahead = new + (before - 1) / t * (new - vectors)
+            ahead_bias = new_bias + (before - 1) / t * (new_bias - bias)
+            vectors, bias = new, new_bias
+        self.vectors, self.bias = vectors, bias
+
+
+def _steepest(means: Means, shares: np.ndarray, steps: int = 20) -> float:
+    """Largest curvature of the loss in the vectors, by power iteration."""
+    v = np.ones(len(means.buckets)) / max(len(means.buckets), 1) ** 0.5
+    size = 1.0
+    for _ in range(steps):
+        v = means.of_ngrams(shares * means.of_texts(v))
+        size = float(np.linalg.norm(v))
+        if size == 0:
+            return 1.0
+        v /= size
+    return max(size, shares.sum())
+
+
+def train(
+    texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1, penalty: float = PENALTY
+) -> tuple[np.ndarray, float]:
     """Worth of each bucket and the bias of the log odds, from labelled texts."""
     labels = np.asarray(labels)
-    if len(set(labels.tolist())) < 2 or not any(normal(t).split() for t in texts):
+    words = [words_of(t) for t in texts]
+    if len(set(labels.tolist())) < 2 or not any(words):
         return np.zeros(BUCKETS, np.float32), -60.0
-    model, bags = SubwordModel(seed=seed), Bags(texts)
-    rng = np.random.default_rng(seed)
-    clean = [rows for rows, label in zip(bags.texts, labels) if not label]
-    toxic = [rows for rows, label in zip(bags.texts, labels) if label and len(rows)]
-    negative = np.unique(np.concatenate([np.empty(0, np.int64), *clean]))
-    evidence = bags.evidence(bags.log_odds(labels))
-    found = np.setdiff1d(np.unique(np.concatenate(toxic)), negative) if toxic else negative[:0]
-    positive = found[evidence[found] >= EVIDENCE]
-    if not len(positive):  # few texts: the strongest word of each
-        strongest = [rows[np.argmax(evidence[rows])] for rows in toxic]
-        positive = np.unique(np.array(strongest, np.int64))
-    # frequent words of clean texts more often than rare ones
-    often = np.bincount(np.concatenate([negative[:0], *clean]), minlength=len(bags.sizes))
-    negative = np.repeat(negative, 1 + np.log2(often[negative]).astype(int))
-    times = max(1, len(negative) // (20 * max(len(positive), 1)))
-    hard = negative[:0]
-    for epoch in range(epochs):
-        rows = np.concatenate([negative, np.repeat(hard, 8), np.repeat(positive, times)])
-        wanted = (np.arange(len(rows)) >= len(rows) - times * len(positive)).astype(int)
-        order = rng.permutation(len(rows))
-        for k in range(0, len(order), BATCH):
-            part = order[k : k + BATCH]
-            model.learn(*bags.bags(rows[part]), wanted[part], 0.5 * (1 - 0.8 * epoch / epochs))
-        hard = np.unique(negative[bags.odds(model)[negative] > HARD])
-    return model.worth().astype(np.float32), model.margin()
+    # copies of one text count as one, and both labels count alike
+    keys = [" ".join(w) for w in words]
+    copies = Counter(keys)
+    shares = np.array([1 / copies[k] for k in keys])
+    shares /= 2 * np.bincount(labels, shares)[labels]
+    means = Means(words, LEAST_TEXTS)
+    model = SubwordModel(len(means.buckets), DIM, seed)
+    model.learn(means, labels, shares, epochs, penalty)
+    worth = np.zeros(BUCKETS, np.float32)
+    worth[means.buckets] = model.worth() * means.scale
+    return worth, float(model.bias[1] - model.bias[0])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learnt: Column, rows: int = SAMPLE_ROWS):
@@ -236,7 +242,27 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        table, margin = shared.value
-        return lambda text: probability(text, table, margin)
-
-    return docs.withColumn("score", row_udf("double", make)("text"))
+        worth, bias = shared.value
+        held: dict[str, float] = {}
+
+        def work(texts: list) -> pa.Array:
+            nonlocal held
+            words = [words_of(t.decode() if t else "") for t in texts]
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            flat = [w for own in words for w in own]
+            values = np.fromiter(map(held.get, flat, repeat(np.nan)), np.float64, len(flat))
+            missing = np.flatnonzero(np.isnan(values)).tolist()
+            new = list(dict.fromkeys(map(flat.__getitem__, missing)))
+            if new:
+                held.update(zip(new, word_worths(new, worth).tolist()))
+                values[missing] = [held[flat[i]] for i in missing]
+            if len(held) > HELD_WORDS:  # words that came first are the frequent ones
+                held = dict(islice(held.items(), HELD_WORDS // 2))
+            of = np.repeat(np.arange(len(words)), sizes)
+            z = np.bincount(of, values, minlength=len(words)) / np.maximum(sizes, 1) + bias
+            return pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+
+        return work
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.withColumn("score", text_udf("double", make, most_bytes=1 << 20)(text))
