@@ -1,0 +1,79 @@
+"""Evaluation of a folder that changes, against evaluating it anew."""
+
+import os
+
+import pytest
+
+from folioscore.plans import incremental
+from folioscore.plans.evaluate import evaluate
+from folioscore.sources.markdown import scan_files
+
+pytestmark = pytest.mark.integration
+NAMES = ["word_overlap", "rouge-1"]
+
+
+def rows(df):
+    return sorted(tuple(r[c] for c in ("filestem", "file1", "file2", "word_overlap", "rouge_1")) for r in df.collect())
+
+
+def test_only_changed_stems_are_scored(spark, tmp_path, monkeypatch):
+    root, out = tmp_path / "md", str(tmp_path / "out")
+    root.mkdir()
+    scored = []
+    inner = incremental.evaluate
+
+    def watched(variants, *args):
+        scored.append(sorted(r[0] for r in variants.select("filestem").distinct().collect()))
+        return inner(variants, *args)
+
+    monkeypatch.setattr(incremental, "evaluate", watched)
+
+    def save(**files):
+        for name, text in files.items():
+            (root / f"{name}.md").write_text(text, encoding="utf-8")
+
+    def run():
+        scored.clear()
+        done = incremental.evaluate_changed(spark, str(root), out, strip=False, metrics=NAMES, fanout=3)
+        want = evaluate(scan_files(spark, str(root)), False, NAMES)
+        assert rows(incremental.evaluated(spark, out, False, NAMES)) == rows(want)
+        return done, list(scored)
+
+    save(a_openai="one two", a_mistral="one é", b_openai="x y z", b_textract="x y")
+    assert run() == (incremental.Changes(2, 0), [["a", "b"]])
+    # nothing changed: no pair is formed
+    assert run() == (incremental.Changes(0, 0), [])
+    os.utime(root / "a_openai.md", ns=(1, 1))
+    assert run() == (incremental.Changes(0, 0), [])
+    # one text, one more file, one file less, a stem that is gone and one that is new
+    save(a_openai="one two three")
+    assert run() == (incremental.Changes(1, 0), [["a"]])
+    save(b_anthropic="x")
+    assert run() == (incremental.Changes(1, 0), [["b"]])
+    (root / "b_openai.md").unlink()
+    (root / "a_openai.md").unlink()
+    (root / "a_mistral.md").unlink()
+    save(c_openai="new")
+    assert run() == (incremental.Changes(2, 1), [["b", "c"]])
+    # a stem that comes back, and many runs
+    save(a_openai="one two three")
+    assert run() == (incremental.Changes(1, 0), [["a"]])
+    for i in range(4):
+        save(c_openai=f"new {i}", c_mistral="old")
+        assert run() == (incremental.Changes(1, 0), [["c"]])
+    for name in os.listdir(root):
+        (root / name).unlink()
+    assert run() == (incremental.Changes(0, 3), [])
+
+
+def test_many_changed_stems_are_read_by_a_join(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "NAMED_STEMS", 1)
+    root, out = tmp_path / "md", str(tmp_path / "out")
+    root.mkdir()
+    for i in range(5):
+        (root / f"d{i}_openai.md").write_text(f"text {i}")
+    done = incremental.evaluate_changed(spark, str(root), out, strip=True, metrics=NAMES)
+    assert done == incremental.Changes(5, 0)
+    assert incremental.evaluated(spark, out, True, NAMES).count() == 5
+    # the other mode has scores of its own
+    assert incremental.evaluate_changed(spark, str(root), out, strip=False, metrics=NAMES).scored == 5
