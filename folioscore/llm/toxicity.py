@@ -106,34 +106,48 @@ class Means:
             ids, places = ngrams(words)
             each = 1 / (np.bincount(places, minlength=max(len(words), 1))[places] * max(len(words), 1))
             bucket, at = np.unique(ids, return_inverse=True)
-            buckets.append(bucket)
+            buckets.append(bucket.astype(np.int32))
             values.append(np.bincount(at, each, minlength=len(bucket)).astype(np.float32))
             sizes.append(len(bucket))
-        bucket, value = np.concatenate(buckets), np.concatenate(values)
-        row = np.repeat(np.arange(len(texts)), sizes)
-        kept = np.bincount(bucket, minlength=BUCKETS)[bucket] >= min(least_texts, len(texts))
-        self.row, value = row[kept], value[kept]
-        self.buckets, self.column = np.unique(bucket[kept], return_inverse=True)
-        common = np.bincount(self.column, value) / len(texts)
+        often = np.zeros(BUCKETS, np.int32)
+        for bucket in buckets:
+            often[bucket] += 1
+        wanted = often >= min(least_texts, len(texts))
+        for i, bucket in enumerate(buckets):
+            kept = wanted[bucket]
+            buckets[i], values[i], sizes[i] = bucket[kept], values[i][kept], int(kept.sum())
+        self.buckets = np.flatnonzero(wanted & (often > 0))
+        place = np.zeros(BUCKETS, np.int32)
+        place[self.buckets] = np.arange(len(self.buckets), dtype=np.int32)
+        self.column, self.value = place[np.concatenate(buckets)], np.concatenate(values)
+        del buckets, values
+        self.row = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+        common = np.bincount(self.column, self.value, len(self.buckets)) / len(texts)
         self.scale = 1 / (common + 1e-6) ** COMMON
-        self.value = (value * self.scale[self.column]).astype(np.float32)
-        order = np.argsort(self.column, kind="stable")
+        self.value *= self.scale.astype(np.float32)[self.column]
+        order = np.argsort(self.column, kind="stable").astype(np.int32)
         self.row_by_column, self.value_by_column = self.row[order], self.value[order]
-        self.row_ends = np.searchsorted(self.row, np.arange(len(texts) + 1))
-        self.column_ends = np.searchsorted(self.column[order], np.arange(len(self.buckets) + 1))
+        self.row_ends = np.concatenate([[0], np.cumsum(sizes)])
+        self.column_ends = np.concatenate([[0], np.cumsum(np.bincount(self.column, minlength=len(self.buckets)))])
+        del order, self.row
 
     def of_texts(self, by_column: np.ndarray) -> np.ndarray:
         """Means of a number per n-gram over each text."""
-        return _sums(by_column[self.column] * self.value, self.row_ends)
+        return _sums(by_column.astype(np.float32)[self.column], self.value, self.row_ends)
 
     def of_ngrams(self, by_text: np.ndarray) -> np.ndarray:
         """Sums of a number per text over each n-gram."""
-        return _sums(by_text[self.row_by_column] * self.value_by_column, self.column_ends)
+        return _sums(by_text.astype(np.float32)[self.row_by_column], self.value_by_column, self.column_ends)
 
 
-def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[ends[1:]] - total[ends[:-1]]
+def _sums(values: np.ndarray, weights: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Weighted sums between ends; ``values`` are used up."""
+    values *= weights
+    out = np.zeros(len(ends) - 1)
+    some = np.diff(ends) > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, ends[:-1][some])
+    return out
 
 
 class SubwordModel:
