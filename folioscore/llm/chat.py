@@ -1,9 +1,9 @@
 """Chat formatting by schema fingerprints (DataFrame functions only).
 
-A record is a JSON object in one of several layouts. Its fingerprint is a hash of its nested
-field paths (types left out, fields in order of name); the fingerprint selects a declarative
-mapping, which turns the record into canonical turns ``array<struct<role,text>>``. A template
-then marks turns and escapes control strings inside roles and texts so that both can be read
+A record is a variant, or a JSON text, in one of several layouts. Its fingerprint is a hash of those of its
+nested field paths that any layout knows (types and other fields left out, paths in order of name); the
+fingerprint selects a declarative mapping, which turns the record into canonical turns
+``array<struct<role,text>>``. A template then marks turns and escapes control strings inside roles and texts so that both can be read
 back exactly:
 
     <|turn|>ROLE<|text|>TEXT<|end|>
@@ -16,7 +16,9 @@ segments with ``loss`` (the texts of the ``assistant``) are the loss mask. All s
 in the record. One record is one row of the result, so a record must fit a task.
 
 Defined results: a null or broken record, and one whose fingerprint no mapping has, get the
-layout ``unknown`` and no turns. Missing roles and texts are empty. Extra columns pass
+layout ``unknown`` and no turns. Fields that no layout knows change nothing. A JSON text with a string that is
+too long for Spark's JSON reader stops the job; a variant has no such limit on a string, and one that is
+too large for its type stops the job as well. Missing roles and texts are empty. Extra columns pass
 unchanged, except that the columns made here replace columns of the same names.
 """
 
@@ -28,23 +30,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscore.llm.names import unused
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Where a ``\`` goes: after ``<`` or ``[`` of strings that this or other templates give meaning.
 CONTROL = r"(<(?=/?s>|\||/?SYS>)|\[(?=/?INST\]))"
 LOSS_ROLE = "assistant"
 TURNS = "array<struct<role:string,text:string>>"
+#: Characters of a string that Spark's JSON reader does not go beyond.
+JSON_STRING = 20_000_000
 
 
 @dataclass(frozen=True)
 class Layout:
-    """A layout: a record with its fields, and where its turns are.
+    """A layout: where the turns of its records are.
 
     ``items``: path, role field and text field of a list of turns; ``fields``: ``(role, path)``
     of single texts, empty ones but ``keep`` left out; ``roles`` renames roles.
     """
 
     name: str
-    example: str
     items: tuple[str, str, str] | None = None
     fields: tuple[tuple[str, str], ...] = ()
     keep: tuple[str, ...] = ()
@@ -52,50 +57,63 @@ class Layout:
 
 
 LAYOUTS = (
-    Layout("messages", '{"messages":[{"role":"","content":""}]}', ("messages", "role", "content")),
+    Layout("messages", ("messages", "role", "content")),
     Layout(
         "from_value",
-        '{"conversations":[{"from":"","value":""}]}',
         ("conversations", "from", "value"),
         roles=(("human", "user"), ("gpt", "assistant")),
     ),
     Layout(
         "prompt_response",
-        '{"prompt":"","response":""}',
         fields=(("user", "prompt"), ("assistant", "response")),
         keep=("prompt", "response"),
     ),
     Layout(
         "system_prompt_response",
-        '{"system":"","prompt":"","response":""}',
         fields=(("system", "system"), ("user", "prompt"), ("assistant", "response")),
         keep=("system", "prompt", "response"),
     ),
     Layout(
         "prompt_completion",
-        '{"prompt":"","completion":""}',
         fields=(("user", "prompt"), ("assistant", "completion")),
         keep=("prompt", "completion"),
     ),
     Layout(
         "instruction",
-        '{"instruction":"","output":""}',
         fields=(("user", "instruction"), ("assistant", "output")),
         keep=("instruction", "output"),
     ),
     Layout(
         "instruction_input",
-        '{"instruction":"","input":"","output":""}',
         fields=(("user", "instruction"), ("user", "input"), ("assistant", "output")),
         keep=("instruction", "output"),
     ),
 )
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of the nested field paths of a variant."""
-    paths = F.regexp_replace(F.schema_of_variant(record), r": [A-Z]+(\([0-9, ]*\))?(?=[,>])", "")
-    return F.xxhash64(paths)
+def paths_of(layout: Layout) -> list[str]:
+    """The field paths that a layout's records have."""
+    if layout.items:
+        path, *fields = layout.items
+        return sorted([path, *(f"{path}[].{f}" for f in fields)])
+    return sorted(path for _, path in layout.fields)
+
+
+def _has(record: Column, path: str) -> Column:
+    """Whether a variant has a path; ``a[].b`` is in it if any element of ``a`` has ``b``."""
+    outer, _, inner = path.partition("[].")
+    if not inner:
+        return F.try_variant_get(record, f"$.{outer}", "variant").isNotNull()
+    elements = F.try_variant_get(record, f"$.{outer}", "array<variant>")
+    found = F.exists(elements, lambda e: F.try_variant_get(e, f"$.{inner}", "variant").isNotNull())
+    return F.coalesce(found, F.lit(False))
+
+
+def fingerprint(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """Hash of the nested field paths of a variant that any of the layouts knows."""
+    known = sorted({p for layout in layouts for p in paths_of(layout)})
+    there = F.filter(F.array(*[F.when(_has(record, p), p) for p in known]), lambda p: p.isNotNull())
+    return F.xxhash64(F.array_join(there, ","))
 
 
 def _turns(record: Column, layout: Layout) -> Column:
@@ -129,19 +147,31 @@ def _renamed(role: Column, layout: Layout) -> Column:
     return reduce(lambda out, r: F.when(role == r[0], r[1]).otherwise(out), layout.roles, role)
 
 
+def _variant(df: DataFrame, record: str) -> Column:
+    """The record as a variant; a JSON text that only its length keeps from being read stops the job."""
+    column = F.col(record)
+    if df.schema[record].dataType.typeName() == "variant":
+        return column
+    read = F.try_parse_json(column)
+    too_long = read.isNull() & (F.length(column) >= JSON_STRING)
+    stopped = F.raise_error(F.lit("a record is too long for the JSON reader: give it as a variant")).cast("variant")
+    return F.when(too_long, stopped).otherwise(read)
+
+
 def canonical_turns(df: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Add ``layout`` and ``turns`` of the JSON column ``record``."""
-    value, print_ = F.col("_record"), F.col("_print")
+    """Add ``layout`` and ``turns`` of the column ``record``, a variant or JSON text."""
+    as_variant, print_name = unused(df, "record"), unused(df, "print")
+    value, print_ = F.col(as_variant), F.col(print_name)
     name, turns = F.lit("unknown"), F.array().cast(TURNS)
     for layout in layouts:
-        same = print_ == fingerprint(F.parse_json(F.lit(layout.example)))
+        same = print_ == F.xxhash64(F.lit(",".join(paths_of(layout))))
         name = F.when(same, layout.name).otherwise(name)
         turns = F.when(same, _turns(value, layout)).otherwise(turns)
     return (
-        df.withColumn("_record", F.try_parse_json(F.col(record)))
-        .withColumn("_print", fingerprint(value))
+        df.withColumn(as_variant, _variant(df, record))
+        .withColumn(print_name, fingerprint(value, layouts))
         .withColumns({"layout": name, "turns": F.coalesce(turns, F.array().cast(TURNS))})
-        .drop("_record", "_print")
+        .drop(as_variant, print_name)
     )
 
 
@@ -197,7 +227,7 @@ def loss_text(segments: Column) -> Column:
 
 
 def records_of(conversations: DataFrame) -> DataFrame:
-    """Conversation rows ``conv_id, turn, role, text`` as one JSON record per conversation.
+    """Conversation rows ``conv_id, turn, role, text`` as one record, a variant, per conversation.
 
     A prompt with its response, with or without a system text before it, is stored in the
     layout of that name, all others as messages. Turns come in order of turn, role and text.
@@ -219,16 +249,16 @@ def records_of(conversations: DataFrame) -> DataFrame:
     record = (
         F.when(
             shape("user", "assistant"),
-            F.to_json(F.struct(text[0].alias("prompt"), text[1].alias("response"))),
+            F.to_variant_object(F.struct(text[0].alias("prompt"), text[1].alias("response"))),
         )
         .when(
             shape("system", "user", "assistant"),
-            F.to_json(
+            F.to_variant_object(
                 F.struct(text[0].alias("system"), text[1].alias("prompt"), text[2].alias("response"))
             ),
         )
         .otherwise(
-            F.to_json(
+            F.to_variant_object(
                 F.struct(
                     F.transform(turns, lambda t: F.struct(t["role"], t["content"])).alias("messages")
                 )

@@ -1,8 +1,10 @@
 """Chat formatting: exact round trips, layouts by fingerprint, odd inputs."""
 
+import hashlib
 import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioscore.llm import chat
@@ -52,7 +54,11 @@ def test_layouts(spark):
         ({"system": "s", "prompt": "q", "response": "a"}, "system_prompt_response", [("system", "s"), *qa]),
         ({"prompt": None, "response": ""}, "prompt_response", [("user", ""), ("assistant", "")]),
         ({"messages": [{"role": None, "content": None}]}, "messages", [("", "")]),
-        ({"prompt": "q", "response": "a", "score": 1}, "unknown", []),
+        # fields that no layout knows change nothing, two layouts at once are none
+        ({"prompt": "q", "response": "a", "score": 1, "meta": {"prompt": 2}}, "prompt_response", qa),
+        ({"messages": [{"role": "user", "content": "q", "id": 7}, {"role": "assistant", "content": "a"}], "source": "x"}, "messages", qa),
+        ({"prompt": "q", "response": "a", "output": "b"}, "unknown", []),
+        ({"prompt": "q"}, "unknown", []),
         ({"messages": []}, "unknown", []),
     ]
     rows = formatted(spark, [json.dumps(c[0]) for c in cases])
@@ -66,6 +72,27 @@ def test_broken_records(spark):
     assert formatted(spark, []) == []
 
 
+def test_very_long_texts_keep_their_digests(spark):
+    """A turn above the JSON reader's limit, and records that only their length keeps from being read."""
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "</s>é")], "conv_id long, turn long, role string, text string")
+    long = rows.withColumn("text", F.when(F.col("turn") == 1, F.repeat("text", 5_000_000)).otherwise(F.col("text")))
+    done = chat.format_turns(chat.canonical_turns(chat.records_of(long), "record")).select(
+        "layout", chat.read_turns(F.col("formatted")).alias("read"), chat.loss_text(F.col("segments")).alias("loss")
+    )
+    got = done.select("layout", F.size("read"), F.length("loss"), F.sha2("loss", 256), F.sha2(F.col("read")[1]["text"], 256)).first()
+    want = hashlib.sha256(("</s>é" * 5_000_000).encode()).hexdigest()
+    assert tuple(got) == ("prompt_response", 2, 25_000_000, want, want)
+    records = long.groupBy("conv_id").agg(F.to_json(F.struct(F.min("text").alias("prompt"), F.min("role").alias("response"))).alias("record"))
+    with pytest.raises(Exception, match="too long for the JSON reader"):
+        chat.canonical_turns(records, "record").select(F.size("turns")).collect()
+
+
+def test_given_columns_of_helper_names(spark):
+    df = spark.createDataFrame([(1, '{"prompt":"q","response":"a"}', 5, 6)], "id int, record string, _record int, _print int")
+    r = chat.canonical_turns(df, "record").first()
+    assert (r["_record"], r["_print"], r["layout"]) == (5, 6, "prompt_response")
+
+
 def test_records_of_rows(spark):
     rows = [
         (1, 1, "assistant", None), (1, 0, "user", "hi"), (2, 0, "system", "s"), (2, 1, "user", "u"),
