@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscore.functions import sequences, tokens
-from folioscore.operators.pairs import PAIR_KEY, turned, variant_pairs
+from folioscore.operators.pairs import PAIR_KEY, tiled_pairs, turned, variant_pairs
 
 # Metric names in report order.
 METRICS = ("word_overlap", "levenshtein", "cosine", "rouge-1", "rouge-2", "rouge-l")
@@ -212,14 +212,17 @@ def evaluate_pairs(
     variants: DataFrame,
     metrics: Sequence[str] = METRICS,
     with_word_stats: bool = False,
+    tile: int | None = None,
 ) -> DataFrame:
     """One row per pair of variants of a document with a column per metric.
 
     Whole texts are compared. ``with_word_stats`` adds the word counts behind
-    ``word_overlap``.
+    ``word_overlap``. With ``tile``, pairs are formed by ``tiled_pairs``: for tables that may have documents of
+    very many variants.
     """
     featured, carry = with_features(variants, metrics)
-    return _compare(variant_pairs(featured, carry), metrics, with_word_stats)
+    pairs = tiled_pairs(featured, carry, tile) if tile else variant_pairs(featured, carry)
+    return _compare(pairs, metrics, with_word_stats)
 
 
 def evaluate_checked(

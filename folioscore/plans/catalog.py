@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscore.functions import normalize, tokens
 from folioscore.operators import answers, convert, metrics, registry, render, reshape
-from folioscore.operators.pairs import variant_pairs
+from folioscore.operators.pairs import tiled_pairs, variant_pairs
 from folioscore.plans import tables
 from folioscore.plans.evaluate import evaluate
 from folioscore.schemas import METRIC_ROWS
@@ -51,6 +51,11 @@ def pairs(spark, d):
     return variant_pairs(_variants(spark, d)).select(*PAIR)
 
 
+def pairs_in_tiles(spark, d):
+    """The same pairs, conversations of more than three turns parted into tiles."""
+    return tiled_pairs(_variants(spark, d), tile=3).select(*PAIR)
+
+
 def word_stats(spark, d):
     return metrics.word_stats(_variants(spark, d)).drop("ord1", "ord2")
 
@@ -464,6 +469,7 @@ def stream_evaluate(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "variant_pairs": pairs,
+    "tiled_pairs": pairs_in_tiles,
     "word_overlap": _metric("word_overlap"),
     "word_stats": word_stats,
     "word_differences": word_differences,

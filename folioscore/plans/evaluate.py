@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscore.functions.normalize import maybe_strip, mode_label
 from folioscore.operators.metrics import METRICS, evaluate_pairs
+from folioscore.operators.pairs import TILE
 from folioscore.operators.reshape import metrics_long, similarity_matrix
 from folioscore.sources.files import DEFAULT_PARSERS, scan_all_variants
 from folioscore.sources.sinks import write_metrics
@@ -18,13 +19,15 @@ def evaluate(
     variants: DataFrame,
     strip: bool = True,
     metrics: Sequence[str] = METRICS,
+    tile: int | None = None,
 ) -> DataFrame:
     """Wide metrics of every pair of every document, with the ``mode`` used.
 
-    Texts are stripped once per variant, before the shuffle that pairs them.
+    Texts are stripped once per variant, before the shuffle that pairs them. ``tile`` is as in
+    ``evaluate_pairs``.
     """
     cleaned = variants.withColumn("text", maybe_strip("text", strip))
-    return evaluate_pairs(cleaned, metrics).withColumn(
+    return evaluate_pairs(cleaned, metrics, tile=tile).withColumn(
         "mode", F.lit(mode_label(strip))
     )
 
@@ -44,7 +47,7 @@ def evaluate_all(
     own tasks.
     """
     wide_path = f"{out.rstrip('/')}/wide"
-    evaluate(scan_all_variants(spark, path, parsers), strip, METRICS).write.mode(
+    evaluate(scan_all_variants(spark, path, parsers), strip, METRICS, tile=TILE).write.mode(
         "overwrite"
     ).partitionBy("mode").option("partitionOverwriteMode", "dynamic").parquet(wide_path)
     wide = spark.read.parquet(wide_path).where(F.col("mode") == mode_label(strip))

@@ -319,6 +319,7 @@ def _metric_sql(prelude: str, value: str, source: str, name: str) -> str:
 
 ORACLE: dict[str, str] = {
     "variant_pairs": f"WITH {VARIANTS}, {PAIRS} SELECT filestem, file1, file2 FROM p",
+    "tiled_pairs": f"WITH {VARIANTS}, {PAIRS} SELECT filestem, file1, file2 FROM p",
     "word_overlap": _metric_sql(f"{VARIANTS}, {WORDS}", _OVERLAP, "o", "word_overlap"),
     "word_stats": f"""WITH {VARIANTS}, {WORDS}
 SELECT filestem, file1, file2, n1 AS words_1, n2 AS words_2, n AS common,
