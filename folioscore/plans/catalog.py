@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscore.functions import normalize, tokens
-from folioscore.operators import answers, convert, metrics, registry, render, reshape
+from folioscore.operators import answers, convert, layout, metrics, registry, render, reshape
 from folioscore.operators.pairs import tiled_pairs, variant_pairs
 from folioscore.plans import tables
 from folioscore.plans.evaluate import evaluate
@@ -426,6 +426,11 @@ def linearize_layout(spark, d):
     return render.linearize_layout(tables.layout_blocks(spark, d))
 
 
+def reading_order(spark, d):
+    """Page texts of boxed blocks, which have no sequence."""
+    return layout.ordered_text(layout.reading_order(tables.boxed_blocks(spark, d)))
+
+
 def _conversation_stream(spark: SparkSession, d: str, out: str, again: bool = False) -> DataFrame:
     """The table in four shares, one after the other, each written by the tasks that read it and
     about one to a micro-batch. With ``again``, a fifth share holds the turns of
@@ -521,6 +526,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "elements_to_html": elements_to_html,
     "html_to_markdown": html_to_markdown,
     "linearize_layout": linearize_layout,
+    "reading_order": reading_order,
     "stream_chunks": stream_chunks,
     "stream_responses": stream_responses,
     "stream_evaluate": stream_evaluate,

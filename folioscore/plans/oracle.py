@@ -558,6 +558,18 @@ SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, page_no,
   '# Order ' || l_orderkey || E'\\n\\n## Status ' || o_orderstatus || E'\\n\\n' || body
   || E'\\n\\nPriority ' || o_orderpriority END AS page_text
 FROM pages_of LEFT JOIN orders ON o_orderkey = l_orderkey""",
+    "reading_order": """WITH lines AS (
+  SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS doc_id, l_linenumber AS n,
+    l_linenumber || ' ' || l_partkey || ' ' || l_suppkey || ' ' || CAST(round(l_extendedprice * 100) AS BIGINT) AS text
+  FROM lineitem
+),
+parts AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, 0 AS part, 0 AS n, 'Order ' || o_orderkey AS text FROM orders
+  UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 3, 0, 'Note ' || o_orderpriority FROM orders
+  UNION ALL SELECT doc_id, 2 - n % 2, n, text FROM lines
+)
+SELECT doc_id, 1 AS page_no, string_agg(text, chr(10) || chr(10) ORDER BY part, n, text) AS page_text
+FROM parts GROUP BY doc_id""",
     "stream_chunks": _CHUNKS,
     "stream_responses": f"""WITH {_PAGES}
 SELECT doc_id, page_no, 'complete' AS status, text AS markdown FROM pg""",

@@ -8,7 +8,7 @@ that files of one parser stay apart.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscore.operators.registry import PARSER_NAMES, PARSERS
@@ -219,6 +219,38 @@ def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_cells.unionByName(page_heads)
 
 
+def boxed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order forms without a sequence: a title over two columns of lines, odd and even numbers, and a
+    note at the right margin. Lines of one number stand below each other."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("doc_id"),
+        F.lit(1).alias("page_no"),
+        "l_linenumber",
+        F.concat_ws(" ", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("text"),
+    )
+    # lines with the same number and text are one block
+    lines = lines.distinct()
+    below = Window.partitionBy("doc_id", F.col("l_linenumber") % 2).orderBy("l_linenumber", "text")
+    row = F.row_number().over(below)
+    left = F.when(F.col("l_linenumber") % 2 == 1, 0).otherwise(300)
+    columns = lines.select(
+        "doc_id", "page_no", "text", left.alias("left"), (100 + row * 20).alias("top"),
+        (left + 200).alias("right"), (110 + row * 20).alias("bottom"),
+    )
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), "o_orderstatus", "o_orderpriority")
+
+    def block(text: Column, left: int, top: int, right: int, bottom: int) -> Column:
+        values = {"left": left, "top": top, "right": right, "bottom": bottom}
+        return F.struct(text.alias("text"), *[F.lit(v).alias(k) for k, v in values.items()])
+
+    # the note begins beside the title, so no strip from side to side parts it from the lines
+    heads = F.array(
+        block(F.concat(F.lit("Order "), "doc_id"), 0, 0, 500, 40),
+        block(F.concat(F.lit("Note "), "o_orderpriority"), 600, 10, 700, 900),
+    )
+    return orders.select("doc_id", F.lit(1).alias("page_no"), F.inline(heads)).unionByName(columns)
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as the answers of their parsers: system turns are empty, user turns hold nothing, and
     every fifth turn is broken off."""
