@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscore.functions import normalize, tokens
-from folioscore.operators import answers, convert, layout, metrics, registry, render, reshape
+from folioscore.operators import answers, convert, layout, markup, metrics, registry, render, reshape
 from folioscore.operators.pairs import tiled_pairs, variant_pairs
 from folioscore.plans import tables
 from folioscore.plans.evaluate import evaluate
@@ -422,6 +422,11 @@ def html_to_markdown(spark, d):
     return pages.select("page_id", render.html_to_markdown("html").alias("markdown"))
 
 
+def html_nested(spark, d):
+    pages = tables.text_table(spark, d, "pages", "page_id", "html")
+    return pages.select("page_id", markup.html_to_markdown_nested("html").alias("markdown"))
+
+
 def linearize_layout(spark, d):
     return render.linearize_layout(tables.layout_blocks(spark, d))
 
@@ -525,6 +530,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "document_status": document_status,
     "elements_to_html": elements_to_html,
     "html_to_markdown": html_to_markdown,
+    "html_to_markdown_nested": html_nested,
     "linearize_layout": linearize_layout,
     "reading_order": reading_order,
     "stream_chunks": stream_chunks,

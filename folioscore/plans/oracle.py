@@ -308,6 +308,13 @@ def _label(file: str) -> str:
     )
 
 
+def _headings(column: str) -> str:
+    for n in range(1, 7):
+        column = f"regexp_replace({column}, '<h{n}(\\s[^>]*)?>', chr(10) || chr(10) || '{'#' * n} ', 'g')"
+        column = f"regexp_replace({column}, '</h{n}>', chr(10) || chr(10), 'g')"
+    return column
+
+
 def _by_parser(sql: str) -> str:
     """The same over files, which know the place of their parser and not their turn."""
     return sql.replace("CAST(turn AS INTEGER) AS ord", "CAST(turn % 8 AS INTEGER) AS ord")
@@ -544,6 +551,34 @@ SELECT CAST(page_id AS VARCHAR) AS doc_id, {_q(HTML_HEAD)}
   || {_q(HTML_TAIL)} AS html
 FROM pieces GROUP BY page_id""",
     "html_to_markdown": f"SELECT page_id, {_substitute('html', _flat(HTML_GROUPS))} AS markdown FROM pages",
+    "html_to_markdown_nested": f"""WITH a AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+    '(?s)<!--.*?-->', '', 'g'), '(?is)<head(\\s[^>]*)?>.*?</head\\s*>', '', 'g'),
+    '(?is)<script(\\s[^>]*)?>.*?</script\\s*>', '', 'g'), '(?is)<style(\\s[^>]*)?>.*?</style\\s*>', '', 'g') AS t FROM pages
+),
+b AS (SELECT page_id, regexp_replace(t, '[\\s\\v]+', ' ', 'g') AS t FROM a),
+c AS (
+  -- in the given pages emphasis holds no tags, so one that is closed is closed at the next tag
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t,
+    '<(b|strong)(\\s[^>]*)?>([^<]*[^< ][^<]*)</(b|strong)>', '**\\3**', 'g'),
+    '<(i|em)(\\s[^>]*)?>([^<]*[^< ][^<]*)</(i|em)>', '*\\3*', 'g'),
+    '<a\\s[^>]*?href="([^"]+)"[^>]*>([^<]*[^< ][^<]*)</a>', '[\\2](\\1)', 'g') AS t FROM b
+),
+d AS (SELECT page_id, {_headings('t')} AS t FROM c),
+e AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
+    '<br\\s*/?>', chr(10), 'g'), '<li(\\s[^>]*)?>', chr(10) || '* ', 'g'),
+    '</?(ul|ol|p|div|table|article|section|nav|header|footer|body|html|blockquote)(\\s[^>]*)?>', chr(10) || chr(10), 'g'),
+    '</?[a-zA-Z][^>]*>', '', 'g') AS t FROM d
+),
+f AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
+    '(\\S) {{2,}}', '\\1 ', 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n ([^ ])', chr(10) || '\\1', 'g'),
+    '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[\\n ]+', ''), '[\\n ]+$', '') AS t FROM e
+)
+SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'),
+  '&quot;', '"'), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS markdown
+FROM f""",
     "linearize_layout": """WITH rows_of AS (
   SELECT l_orderkey, CAST(l_suppkey AS INTEGER) AS page_no,
          '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_returnflag || ' |' AS line,
