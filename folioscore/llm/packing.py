@@ -48,6 +48,8 @@ from folioscore.session import workspace
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
+#: Words whose ids a worker keeps.
+HELD_WORDS = 1_000_000
 #: Rows of counts by task and length that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 ADDED = ("piece", "start", "length", "ids", "sequence_id", "offset")
@@ -198,7 +200,7 @@ def _tokenizer(path: str | None) -> tuple[WordMemo, Callable[[bytes], list]]:
                 text = lower
         return text.split() if apart else [text]
 
-    return WordMemo(lambda new: (words([w.decode() for w in new]),)), cut
+    return WordMemo(lambda new: (words([w.decode() for w in new]),), most=HELD_WORDS), cut
 
 
 def _pieces(names: list[str], path: str | None, capacity: int, end_id: int):
