@@ -13,7 +13,8 @@ whether queries are left.
 
 Defined results: row per query and rank ``query_id, rank, id, distance``, ordered by distance and
 id; a query does not find its own id. Null vectors and null ids are not indexed and are no queries;
-null and missing components count as not positive. Repeated rows of one id are one row of the
+null and missing components count as not positive; a vector of more than ``BITS`` components stops the
+job. Repeated rows of one id are one row of the
 index per code. With fewer than ``k`` others a query has fewer rows.
 """
 
@@ -30,11 +31,12 @@ BITS = 64
 
 
 def sign_code(vector: str) -> Column:
-    """Bit i is set where component i is positive."""
-    return F.expr(
-        f"aggregate(transform(slice({vector}, 1, {BITS}), (x, i) -> if(x > 0, shiftleft(1L, i), 0L)),"
-        " 0L, (a, b) -> a | b)"
+    """Bit i is set where component i is positive; a vector of more than ``BITS`` components stops the job."""
+    code = F.expr(
+        f"aggregate(transform({vector}, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)"
     )
+    too_long = F.raise_error(F.lit(f"a vector has more than {BITS} components")).cast("bigint")
+    return F.when(F.size(F.col(vector)) > BITS, too_long).otherwise(code)
 
 
 def segments(count: int, bits: int = BITS) -> list[tuple[int, int]]:

@@ -73,16 +73,14 @@ def test_broken_records(spark):
 
 
 def test_very_long_texts_keep_their_digests(spark):
-    """A turn above the JSON reader's limit, and records that only their length keeps from being read."""
-    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "</s>é")], "conv_id long, turn long, role string, text string")
-    long = rows.withColumn("text", F.when(F.col("turn") == 1, F.repeat("text", 5_000_000)).otherwise(F.col("text")))
-    done = chat.format_turns(chat.canonical_turns(chat.records_of(long), "record")).select(
-        "layout", chat.read_turns(F.col("formatted")).alias("read"), chat.loss_text(F.col("segments")).alias("loss")
-    )
-    got = done.select("layout", F.size("read"), F.length("loss"), F.sha2("loss", 256), F.sha2(F.col("read")[1]["text"], 256)).first()
-    want = hashlib.sha256(("</s>é" * 5_000_000).encode()).hexdigest()
-    assert tuple(got) == ("prompt_response", 2, 25_000_000, want, want)
-    records = long.groupBy("conv_id").agg(F.to_json(F.struct(F.min("text").alias("prompt"), F.min("role").alias("response"))).alias("record"))
+    """A turn above the JSON reader's limit, and a record that only its length keeps from being read."""
+    times = chat.JSON_STRING // 5 + 1
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "</s>x")], "conv_id long, turn long, role string, text string")
+    long = rows.withColumn("text", F.when(F.col("turn") == 1, F.repeat("text", times)).otherwise(F.col("text")))
+    done = chat.format_turns(chat.canonical_turns(chat.records_of(long), "record")).select("layout", "turns", "segments")
+    loss = done.select("layout", F.size("turns"), F.sha2(chat.loss_text(F.col("segments")), 256)).first()
+    assert tuple(loss) == ("prompt_response", 2, hashlib.sha256(b"</s>x" * times).hexdigest())
+    records = long.where("turn = 1").select(F.to_json(F.struct(F.col("text").alias("prompt"), "role")).alias("record"))
     with pytest.raises(Exception, match="too long for the JSON reader"):
         chat.canonical_turns(records, "record").select(F.size("turns")).collect()
 

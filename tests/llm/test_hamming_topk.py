@@ -58,3 +58,12 @@ def test_empty(spark):
     assert hk.hamming_topk(df, df.limit(0)).collect() == []
     assert hk.hamming_topk(df, df).collect() == []
     assert hk.hamming_topk(df.limit(0), df.filter(F.lit(False))).collect() == []
+
+
+def test_codes_of_vectors(spark):
+    rows = [([1.0] * 64,), ([0.5, -1.0, None, 2.0],), ([],), (None,)]
+    df = spark.createDataFrame(rows, "embedding array<float>")
+    assert [r[0] for r in df.select(hk.sign_code("embedding")).collect()] == [-1, 0b1001, 0, None]
+    longer = spark.createDataFrame([([1.0] * 65,)], "embedding array<float>")
+    with pytest.raises(Exception, match="more than 64 components"):
+        longer.select(hk.sign_code("embedding")).collect()
