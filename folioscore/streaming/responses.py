@@ -28,6 +28,7 @@ from pyspark.sql.streaming.stateful_processor import (
 
 from folioscore.streaming.store import BATCH, RunStore, Table
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEYS = ("doc_id", "page_no")
 RESULT = "doc_id string, page_no int, status string, markdown string, seq int, delta string"
@@ -121,10 +122,10 @@ def assemble_stream(
 ) -> StreamingQuery:
     """Assemble ``(doc_id, page_no, seq, delta, is_last, arrived)``; ``responses`` and ``late`` read the results.
 
-    ``delay`` is how far behind the newest arrival the watermark stays.
+    ``delay`` is how far behind the newest arrival the watermark stays. The state is kept by RocksDB, as timers need;
+    the session's setting is only changed while the query starts.
     """
     spark = chunks.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # the arrival goes on as a number, so that Spark does not drop what is behind the watermark
     timed = chunks.withWatermark("arrived", delay).select(
         F.col("doc_id").cast("string").alias("doc_id"),
@@ -163,13 +164,22 @@ def assemble_stream(
         finally:
             batch.unpersist()
 
-    return (
+    writer = (
         rows.writeStream.outputMode("update")
         .foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .start()
     )
+    # a query keeps the settings it was started with; other streams of the session keep their own
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
 
 
 def responses(spark: SparkSession, out: str) -> DataFrame:

@@ -96,6 +96,14 @@ def test_batch_that_runs_again_gives_nothing_twice(spark):
     assert feed.given() == first == [("a", 1, "complete", "A")] and feed.late() == []
 
 
+def test_other_streams_keep_their_state_store(spark):
+    before = spark.conf.get(responses.STATE_STORE, None)
+    feed = Feed(spark, "t-conf")
+    feed.add(("a", 1, 0, "A", True, 0))
+    feed.run()
+    assert spark.conf.get(responses.STATE_STORE, None) == before and responses.ROCKSDB != before
+
+
 def test_late_rows_reach_the_side_table_with_nothing_open(spark):
     feed = Feed(spark, "t-late")
     feed.add(("a", 1, 0, "A", True, 100))
