@@ -1,7 +1,6 @@
 """The store of runs: compaction, crashes, bounded reads, and 50 batches of a stream."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from folioscore.operators import metrics
 from folioscore.schemas import VARIANTS
