@@ -4,38 +4,88 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscore.session import workspace
-
 PAGE = ("doc_id", "page_no")
-_DIGITS = 6
-
-
-def _gap(group: list[str], start: str, end: str) -> Column:
-    """Free space before a block on an axis; null for the first of its group."""
-    before = Window.partitionBy(*group).orderBy(start, end, "_id").rowsBetween(Window.unboundedPreceding, -1)
-    return F.col(start) - F.max(end).over(before)
-
-
-def _one_round(blocks: DataFrame, column_gap: float) -> DataFrame:
-    """Cut every group once: at all column gaps, or else at its widest gaps between lines."""
-    group = [*PAGE, "_path"]
-    whole = Window.partitionBy(*group)
-    rows = blocks.withColumn("_gx", _gap(group, "left", "right")).withColumn("_gy", _gap(group, "top", "bottom"))
-    rows = rows.withColumn("_wx", F.max("_gx").over(whole)).withColumn("_wy", F.max("_gy").over(whole))
-    columns, lines = F.col("_wx") >= column_gap, F.col("_wy") >= 0
-    cut_x = F.coalesce(F.col("_gx") >= column_gap, F.lit(False)).cast("int")
-    cut_y = F.coalesce(F.col("_gy") >= F.col("_wy"), F.lit(False)).cast("int")
-    along_x = Window.partitionBy(*group).orderBy("left", "right", "_id").rowsBetween(Window.unboundedPreceding, 0)
-    along_y = Window.partitionBy(*group).orderBy("top", "bottom", "_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_px", F.sum(cut_x).over(along_x)).withColumn("_py", F.sum(cut_y).over(along_y))
-    part = F.when(columns, F.col("_px")).when(lines, F.col("_py"))
-    path = F.concat("_path", F.lpad(part.cast("string"), _DIGITS, "0"))
-    return rows.withColumn("_open", part.isNotNull()).withColumn(
-        "_path", F.coalesce(path, F.col("_path"))
-    ).drop("_gx", "_gy", "_wx", "_wy", "_px", "_py")
+
+
+def _not_less(a: np.ndarray, b) -> np.ndarray:
+    return (a >= b) | np.isnan(a)  # nothing is more than NaN, as in Spark
+
+
+def _gaps(groups: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by group and start, and the free space before each block on an axis, -inf for the first of its group."""
+    order = np.lexsort((ids, end, start, groups))
+    g = groups[order]
+    values, rank = np.unique(end[order], return_inverse=True)
+    # the rank of the furthest end so far: groups are in order, so a later one begins above all before it
+    reach = np.maximum.accumulate(g * np.int64(len(values)) + rank)
+    gap = np.full(len(g), -np.inf)
+    with np.errstate(invalid="ignore"):
+        gap[1:] = start[order][1:] - values[reach[:-1] % len(values)]
+    gap[np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))] = -np.inf
+    return order, gap
+
+
+def _parts(groups: np.ndarray, order: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Number of cuts before each block within its group, in the blocks' own order."""
+    g, before = groups[order], np.cumsum(cut)
+    firsts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    out = np.empty(len(g), np.int64)
+    out[order] = before - np.repeat(before[firsts], np.diff(np.append(firsts, len(g))))
+    return out
+
+
+def places(sizes: np.ndarray, boxes: list[np.ndarray], ids: np.ndarray, boxed: np.ndarray, column_gap: float) -> np.ndarray:
+    """Place on its page, from 1, of each block of pages that lie behind each other.
+
+    ``sizes`` are the pages' numbers of blocks; ``boxes`` are left, top, right and bottom, NaN where not
+    ``boxed``. A round cuts all groups of all pages once: at all column gaps, or else at the widest gaps between lines.
+    """
+    left, top, right, bottom = boxes
+    pages = np.repeat(np.arange(len(sizes)), sizes)
+    label = pages * 2 + ~boxed.all(axis=0)  # what has no box stands behind
+    rows = np.flatnonzero(label % 2 == 0)
+    while len(rows):
+        _, groups = np.unique(label[rows], return_inverse=True)
+        firsts = np.concatenate([[0], np.cumsum(np.bincount(groups))[:-1]])
+        by_x, gap_x = _gaps(groups, left[rows], right[rows], ids[rows])
+        by_y, gap_y = _gaps(groups, top[rows], bottom[rows], ids[rows])
+        widest_x, widest_y = np.maximum.reduceat(gap_x, firsts), np.maximum.reduceat(gap_y, firsts)
+        columns = _not_less(widest_x, column_gap)
+        lines = ~columns & _not_less(widest_y, 0)
+        part_x = _parts(groups, by_x, _not_less(gap_x, column_gap))
+        part_y = _parts(groups, by_y, _not_less(gap_y, widest_y[groups[by_y]]))
+        part = np.where(columns[groups], part_x, np.where(lines[groups], part_y, 0))
+        full = np.zeros(len(label), np.int64)
+        full[rows] = part
+        label = np.unique(label * (part.max() + 1) + full, return_inverse=True)[1].astype(np.int64)
+        rows = rows[(columns | lines)[groups]]
+    keys = [ids]
+    for values, known in zip((right, bottom, left, top), (boxed[2], boxed[3], boxed[0], boxed[1])):
+        keys += [values, known]  # nulls first
+    order = np.lexsort((*keys, label, pages))
+    out = np.empty(len(order), np.int32)
+    starts = np.cumsum(sizes) - sizes
+    out[order] = np.arange(len(order)) - np.repeat(starts, sizes) + 1
+    return out
+
+
+def _places_of(column_gap: float):
+    def run(left: pa.Array, top: pa.Array, right: pa.Array, bottom: pa.Array, ids: pa.Array) -> pa.Array:
+        flat = [c.flatten() for c in (left, top, right, bottom)]
+        boxed = np.array([c.is_valid().to_numpy(zero_copy_only=False) for c in flat])
+        boxes = [c.fill_null(float("nan")).to_numpy(zero_copy_only=False) for c in flat]
+        sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        out = places(sizes, boxes, ids.flatten().to_numpy(zero_copy_only=False), boxed, column_gap)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))
+
+    return F.arrow_udf(run, "array<int>")
 
 
 def reading_order(blocks: DataFrame, column_gap: float = 10.0) -> DataFrame:
@@ -47,33 +97,24 @@ def reading_order(blocks: DataFrame, column_gap: float = 10.0) -> DataFrame:
     part is cut in the same way until none can be. What overlaps stays together and is read by
     top, left, and the row's other values.
 
-    A round cuts all groups of all pages by windows over the page's partition; groups that cannot be cut any
-    more leave the loop. Its rounds are as many as cuts lie within each other on one page. A block
-    without a box stands at the end of its page.
+    The blocks are shuffled once, by page, and a page is one row until its places are known; only boxes go through
+    Python, many pages at a time. A block without a box stands at the end of its page.
     """
-    spark = blocks.sparkSession
-    given = [F.col(f"`{c}`") for c in blocks.columns if c != "seq"]
-    boxed = F.lit(True)
-    for c in ("left", "top", "right", "bottom"):
-        boxed &= F.col(c).isNotNull()
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = workspace(spark, "layout")
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    rest = [F.col(f"`{c}`").cast("string") for c in blocks.columns if c not in (*PAGE, "seq")]
+    given = [c for c in blocks.columns if c != "seq"]
+    rest = [F.col(f"`{c}`").cast("string") for c in given if c not in PAGE]
     order = F.xxhash64(*[F.coalesce(c, F.lit("\u0000")) for c in rest])
-    start = blocks.select(*given, order.alias("_id"), F.lit("").alias("_path"), boxed.alias("_open"))
-    rows = kept(start.repartition(*PAGE))
-    done = rows.where(~F.col("_open")).withColumn("_path", F.lit("~"))
-    rows = rows.where("_open")
-    while not rows.isEmpty():
-        cut = kept(_one_round(rows, column_gap).repartition(*PAGE))
-        done = done.unionByName(cut.where(~F.col("_open")))
-        rows = cut.where("_open")
-    place = Window.partitionBy(*PAGE).orderBy("_path", "top", "left", "bottom", "right", "_id")
-    return done.withColumn("seq", F.row_number().over(place)).select(*given, "seq")
+    own = [c for c in given if c not in PAGE]
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], order.alias("_id"))
+    pages = blocks.repartition(*PAGE).groupBy(*PAGE).agg(F.collect_list(row).alias("_rows"))
+
+    def values(name: str, kind: str) -> Column:
+        return F.transform("_rows", lambda x: x[name].cast(kind))
+
+    boxes = [values(f"c{own.index(c)}", "double") for c in ("left", "top", "right", "bottom")]
+    placed = pages.withColumn("_seq", _places_of(column_gap)(*boxes, values("_id", "long")))
+    rows = placed.select(*PAGE, F.posexplode("_rows").alias("_i", "_row"), "_seq")
+    out = {c: F.col(f"_row.c{i}") for i, c in enumerate(own)} | {c: F.col(c) for c in PAGE}
+    return rows.select(*[out[c].alias(c) for c in given], F.get("_seq", F.col("_i")).alias("seq"))
 
 
 def ordered_text(blocks: DataFrame, keep: Sequence[str] = PAGE) -> DataFrame:

@@ -228,8 +228,8 @@ def boxed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linenumber",
         F.concat_ws(" ", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("text"),
     )
-    # lines with the same number and text are one block
-    lines = lines.distinct()
+    # lines with the same number and text are one block; one shuffle serves this and the numbering below
+    lines = lines.repartition("doc_id").distinct()
     below = Window.partitionBy("doc_id", F.col("l_linenumber") % 2).orderBy("l_linenumber", "text")
     row = F.row_number().over(below)
     left = F.when(F.col("l_linenumber") % 2 == 1, 0).otherwise(300)

@@ -88,3 +88,15 @@ def test_odd_rows(spark):
     assert [r["text"] for r in sorted(got, key=lambda r: r["seq"])] == ["x", "x", None, None, "none", "none"]
     assert layout.ordered_text(layout.reading_order(df)).first()["page_text"] == "x\n\nx\n\n\n\n\n\nnone\n\nnone"
     assert layout.reading_order(df.limit(0)).collect() == []
+
+
+def test_one_shuffle_and_no_files_however_deep_a_page_is(spark):
+    deep, x, y = [], 0, 0
+    for i in range(40):  # a line, and to the right of a strip below it the next part
+        deep.append((f"{i:02}", x, y, x + 2000, y + 10) if i % 2 == 0 else (f"{i:02}", x, y, x + 20, y + 2000))
+        x, y = (x, y + 20) if i % 2 == 0 else (x + 40, y)
+    deep = [(t, a, b, min(c, 2000), min(d, 2000)) for t, a, b, c, d in deep]
+    assert order(spark, {"deep": deep, "one": [("x", 0, 0, 1, 1)]})["deep"] == [f"{i:02}" for i in range(40)]
+    df = spark.createDataFrame([("d", 1, *deep[0][:1], *map(float, deep[0][1:]))], SCHEMA)
+    plan = layout.reading_order(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "FileScan" not in plan
