@@ -8,13 +8,20 @@ longer one. Words are runs of digits, letters and characters outside ASCII, A-Z
    k-mers in the order of the text. Two texts share a sketch if they share the least k-mers in the same
    order, so sketches tell reordered texts apart.
 2. Equal texts are one node. Nodes with the same sketch form a bucket; the least node of a bucket leads
-   it, and each member is a candidate for its leader only, so candidates grow with the nodes, however
-   large a bucket is. Members that verification parts from their leader stay in the bucket, choose
-   a leader among themselves, and so on for ``ROUNDS`` rounds; what shares a bucket only by a
-   passage that many texts have is met again in the other ``SKETCHES - 1`` buckets.
+   it, and each member is first a candidate for its leader only, so that copies cost one comparison
+   each. Members that verification parts from their leader choose a leader among themselves, and so
+   on for ``ROUNDS`` rounds.
 3. A candidate is verified by alignment along diagonals, in a band as wide as the edits that the
    threshold allows, after a bound from the words the two texts share.
-4. Classes are the connected components of the verified links.
+4. The rest is exact: in a bucket that holds more than one component of the links so far, every pair
+   of nodes of different components is a candidate, unless their words rule it out. Of ``n`` words
+   near texts have all but ``limit = (1 - similarity) n`` in common, so among each one's ``limit + 1``
+   words that fewest texts have, there is one that both have (prefix filter); counts of the words by
+   ``CELLS`` hash values bound how many they share. Each node's likeliest
+   partner is verified first, then the next ones, ``MORE`` times as many each time, until every pair
+   is verified or within one component.
+5. Classes are the connected components of the verified links: those of all near pairs that share
+   a sketch.
 
 Nodes are named by 128 bits of a SHA-256. Texts are shuffled only to verify candidates.
 
@@ -28,7 +35,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscore.llm.arrow import row_udf
@@ -41,8 +48,11 @@ KMER = 5
 LENGTH = 3
 SKETCHES = 24
 ROUNDS = 3
+MORE = 16
+CELLS = 1024
 SIMILARITY = 0.8
 _CELLS = 1 << 20
+_FULL = 2**16 - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,7 +142,7 @@ def near(a: str | None, b: str | None, similarity: float = SIMILARITY) -> bool:
     """Whether two texts are at least that similar."""
     x, y = _words(a).split(), _words(b).split()
     longest = max(len(x), len(y))
-    limit = int((1 - similarity) * longest + 1e-9)
+    limit = most_edits(longest, similarity)
     shared = (Counter(x) & Counter(y)).total()
     if not longest or longest - shared > limit:
         return False
@@ -161,7 +171,8 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
         .agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys")),
         "nodes",
     )
-    members = nodes.select("node", F.explode("keys").alias("key"))
+    dealt = nodes.select("node", F.explode("keys").alias("key"))
+    members = dealt
     links, failed, tried = None, None, None
     for _ in range(ROUNDS):
         leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("_n"))
@@ -180,18 +191,120 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
         members = led.join(failed, ["node", "leader"], "left_semi").select("node", "key")
         if members.isEmpty():
             break
-    roots = connected_components(links)
+    roots = kept(connected_components(links), "roots")
+    mixed = kept(_mixed(dealt, roots), "mixed")
+    if not mixed.isEmpty():
+        words = row_udf("array<long>", lambda: labelled_words)
+        cells = row_udf("binary", lambda: word_cells)
+        asked = _text_of(mixed.select("node").distinct(), texts, nodes)
+        several = kept(asked.select("node", words("text").alias("words"), cells("text").alias("cells")), "words")
+        rare = kept(_rare_words(several, similarity), "rare")
+        pairs = kept(_apart(mixed, rare).join(tried, ["node", "leader"], "left_anti"), "pairs")
+        pairs, most = kept(_possible(pairs, several, similarity), "pairs"), 1
+        place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "leader"))
+        while not pairs.isEmpty():
+            ranked = kept(pairs.withColumn("_place", place), "pairs")
+            likely = ranked.filter(F.col("_place") <= most).select("node", "leader")
+            checked = kept(verified(likely, texts, nodes, similarity), "checked")
+            found = checked.filter("near").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+            links = links.unionByName(found)
+            roots = kept(connected_components(links), "roots")
+            pairs = kept(_still_apart(ranked.filter(F.col("_place") > most).drop("_place"), roots), "pairs")
+            most *= MORE
     named = nodes.select("node", "doc_id").join(roots, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return kept(named.join(names, "root").select("node", "root", "class_id"), "classes")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """``node, leader, near`` of candidate pairs. One row of each text that is in a pair is read."""
-    asked = pairs.select("node").union(pairs.select(F.col("leader").alias("node"))).distinct()
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node, key, root`` of the buckets in which more than one component meets."""
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
+    rooted = members.join(shared, "key").join(roots, "node", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"))
+    return rooted.join(several.filter("_a <> _b").select("key"), "key").select("node", "key", "root")
+
+
+def most_edits(n: int, similarity: float) -> int:
+    """Most edits of near texts, the longer of which has ``n`` words."""
+    return int((1 - similarity) * n + 1e-9)
+
+
+def word_cells(text: str | None) -> bytes:
+    """How many words have each of ``CELLS`` hash values."""
+    cells = word_hashes(_words(text)) % np.uint64(CELLS)
+    counts = np.bincount(cells.astype(np.int64), minlength=CELLS)
+    return np.minimum(counts, _FULL).astype(np.uint16).tobytes()
+
+
+def may_be_near(a: bytes, b: bytes, similarity: float = SIMILARITY) -> bool:
+    """Whether texts of these counts can share as many words as near texts do."""
+    x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
+    if max(x.max(), y.max()) == _FULL:
+        return True  # counts that were too large to tell
+    longest = max(int(x.sum()), int(y.sum()))
+    return longest - int(np.minimum(x, y).sum()) <= most_edits(longest, similarity)
+
+
+def labelled_words(text: str | None) -> list[int]:
+    """Hashes of the words with their number of earlier occurrences: equal in two texts as often as both have them."""
+    words = word_hashes(_words(text))
+    seen: Counter = Counter()
+    earlier = np.zeros(len(words), np.uint64)
+    for i, w in enumerate(words.tolist()):
+        earlier[i] = seen[w]
+        seen[w] += 1
+    return mix(words + earlier * _ODD).astype(np.int64).tolist()
+
+
+def _rare_words(members: DataFrame, similarity: float) -> DataFrame:
+    """``node, word``: of each text the ``limit + 1`` words that fewest texts have."""
+    limit = row_udf("int", lambda: lambda n: most_edits(n, similarity))
+    rows = members.withColumn("_most", limit(F.size("words"))).select("node", "_most", F.explode("words").alias("word"))
+    rarity = rows.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("_n", "word"))
+    ranked = rows.join(rarity, "word").withColumn("_place", place)
+    return ranked.filter(F.col("_place") <= F.col("_most") + 1).select("node", "word")
+
+
+def _apart(mixed: DataFrame, rare: DataFrame) -> DataFrame:
+    """``node, leader, shared``: pairs of one bucket, in different components, that share a rare word.
+
+    Components are paired before their nodes, so that pairs within a large one are never made.
+    """
+    group = ["key", "word"]
+    rows = mixed.join(rare, "node")
+    ones = rows.select(*group, F.col("root").alias("_r1")).distinct()
+    roots = ones.join(ones.withColumnRenamed("_r1", "_r2"), group).filter("_r1 < _r2")
+    left = rows.select(*group, F.col("root").alias("_r1"), F.col("node").alias("_x"))
+    right = rows.select(*group, F.col("root").alias("_r2"), F.col("node").alias("_y"))
+    pairs = roots.join(left, [*group, "_r1"]).join(right, [*group, "_r2"])
+    named = pairs.select(F.greatest("_x", "_y").alias("node"), F.least("_x", "_y").alias("leader"))
+    return named.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _possible(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` that may be near by the counts of their words."""
+    check = row_udf("boolean", lambda: lambda a, b: may_be_near(a, b, similarity))
+    left = members.select("node", F.col("cells").alias("_a"))
+    right = members.select(F.col("node").alias("leader"), F.col("cells").alias("_b"))
+    return pairs.join(left, "node").join(right, "leader").filter(check("_a", "_b")).select(*pairs.columns)
+
+
+def _still_apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The ``pairs`` whose nodes are in different components."""
+    left = roots.select("node", F.col("root").alias("_r1"))
+    right = roots.select(F.col("node").alias("leader"), F.col("root").alias("_r2"))
+    rooted = pairs.join(left, "node", "left").join(right, "leader", "left")
+    apart = F.coalesce("_r1", "node") != F.coalesce("_r2", "leader")
+    return rooted.filter(apart).select(*pairs.columns)
+
+
+def _text_of(asked: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, text`` of the nodes asked for, from one row of each."""
     asked = asked.join(nodes.select("node", F.col("doc_id").alias("_id")), "node")
-    wanted = (
+    return (
         texts.join(
             asked.withColumnRenamed("node", "_node").hint("shuffle_hash"),
             (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")),
@@ -199,10 +312,20 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: f
         .select("node", "text")
         .dropDuplicates(["node"])
     )
+
+
+def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """``node, leader, near`` of candidate pairs. One row of each text that is in a pair is read."""
+    asked = pairs.select("node").union(pairs.select(F.col("leader").alias("node"))).distinct()
+    wanted = _text_of(asked, texts, nodes)
     left = wanted.select("node", F.col("text").alias("_a"))
     right = wanted.select(F.col("node").alias("leader"), F.col("text").alias("_b"))
     check = row_udf("boolean", lambda: lambda a, b: near(a, b, similarity))
-    return pairs.join(left, "node").join(right, "leader").select("node", "leader", check("_a", "_b").alias("near"))
+    # alignments cost far more than the bytes of their texts tell, by which small shuffles are merged
+    spark = pairs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    both = pairs.join(left, "node").repartition(tasks, "leader").join(right, "leader")
+    return both.select("node", "leader", check("_a", "_b").alias("near"))
 
 
 def classify(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

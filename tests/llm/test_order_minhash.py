@@ -114,3 +114,37 @@ def test_components_of_a_long_chain(spark):
     links = [(names[i], names[i + 1]) for i in range(39)] + [(names[50], names[51]), (names[51], names[50])]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: min(names[:40]) for n in names[:40]} | {n: min(names[50:52]) for n in names[50:52]}
+
+
+def test_no_near_pair_of_a_bucket_is_lost(spark):
+    """Texts with one passage fill buckets with many unlike ones; each has a near partner there."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for base in range(30):
+        tail = [f"t{base}x{i}" for i in range(22)]
+        texts.append(" ".join(passage + tail))
+        for i in rng.sample(range(22), 9):
+            tail[i] = f"u{base}x{i}"
+        texts.append(" ".join(passage + tail))
+    assert all(set(om.sketches(a)) & set(om.sketches(b)) for a, b in zip(texts[::2], texts[1::2]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = plain_classes(list(enumerate(texts)))
+    assert len(set(want.values())) == 30
+    assert {r["doc_id"]: r["class_id"] for r in om.classify(df).collect()} == want
+
+
+def test_filters_keep_every_near_pair():
+    rng = random.Random(3)
+    for _ in range(400):
+        a = [f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 60))]
+        b = [w if rng.random() > 0.15 else f"w{rng.randrange(40)}" for w in a]
+        x, y = " ".join(a), " ".join(b)
+        if om.near(x, y):
+            assert om.may_be_near(om.word_cells(x), om.word_cells(y))
+            order = sorted(set(om.labelled_words(x)) | set(om.labelled_words(y)))
+            rare = [[w for w in order if w in set(om.labelled_words(t))][: om.most_edits(len(t.split()), 0.8) + 1] for t in (x, y)]
+            assert set(rare[0]) & set(rare[1])
+    assert len(om.labelled_words("a a b")) == len(set(om.labelled_words("a a b"))) == 3
+    many = om.word_cells("a " * 70000)
+    assert om.may_be_near(many, many) and not om.may_be_near(om.word_cells("a b c d e"), om.word_cells("v w x y z"))
