@@ -14,12 +14,12 @@ longer one. Words are runs of digits, letters and characters outside ASCII, A-Z
 3. A candidate is verified by alignment along diagonals, in a band as wide as the edits that the
    threshold allows, after a bound from the words the two texts share.
 4. The rest is exact: in a bucket that holds more than one component of the links so far, every pair
-   of nodes of different components is a candidate, unless their words rule it out. Of ``n`` words
-   near texts have all but ``limit = (1 - similarity) n`` in common, so among each one's ``limit + 1``
-   words that fewest texts have, there is one that both have (prefix filter); counts of the words by
-   ``CELLS`` hash values bound how many they share. Each node's likeliest
-   partner is verified first, then the next ones, ``MORE`` times as many each time, until every pair
-   is verified or within one component.
+   of nodes of different components is a candidate, unless their words rule it out: of ``n`` words
+   near texts have all but ``(1 - similarity) n`` in common, and counts of the words by ``CELLS`` hash
+   values bound how many they share. A bucket is dealt to tiles of about ``TILE`` nodes, every two tiles
+   are compared in one task, and only pairs that the counts allow leave it, each from one bucket. Each
+   node's ``MORE`` likeliest partners are verified first, then the next ones, ``MORE`` times as many each
+   time, until every pair is verified or within one component.
 5. Classes are the connected components of the verified links: those of all near pairs that share
    a sketch.
 
@@ -35,6 +35,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,7 @@ SKETCHES = 24
 ROUNDS = 3
 MORE = 16
 CELLS = 1024
+TILE = 512
 SIMILARITY = 0.8
 _CELLS = 1 << 20
 _FULL = 2**16 - 1
@@ -102,8 +104,31 @@ def sketches(text: str | None) -> list[int]:
     return np.concatenate(out).astype(np.int64).tolist()
 
 
+def _distance_by_bits(a: list, b: list, limit: int) -> int | None:
+    """Edit distance if at most ``limit``: a column of the table at a time, its steps up and down as bits."""
+    places: dict = {}
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score = full, 0, len(a)
+    for done, word in enumerate(b, 1):
+        same = places.get(word, 0)
+        level = same | down
+        flat = (((same & up) + up) ^ up) | same
+        more, less = (down | ~(flat | up)) & full, up & flat
+        score += bool(more & last) - bool(less & last)
+        if score - (len(b) - done) > limit:
+            return None
+        more = more << 1 | 1
+        up, down = (less << 1 | ~(level | more)) & full, more & level & full
+    return score if score <= limit else None
+
+
 def edit_distance(a: list, b: list, limit: int) -> int | None:
-    """Edit distance if at most ``limit``: furthest points on the diagonals of the band."""
+    """Edit distance if at most ``limit``: furthest points on the diagonals of the band.
+
+    That costs the square of the edits; texts that are far apart go on as bit vectors.
+    """
     start, end_a, end_b = 0, len(a), len(b)
     while start < end_a and start < end_b and a[start] == b[start]:
         start += 1
@@ -120,6 +145,8 @@ def edit_distance(a: list, b: list, limit: int) -> int | None:
     # reach[k]: how much of a is aligned, at most, on diagonal k = (place in b) - (place in a)
     reach = {0: -1}
     for edits in range(limit + 1):
+        if edits * edits > 2 * (n + m):
+            return _distance_by_bits(a, b, limit)
         new = {}
         for k in range(-edits, edits + 1):
             if abs(goal - k) > limit - edits:
@@ -194,21 +221,18 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     roots = kept(connected_components(links), "roots")
     mixed = kept(_mixed(dealt, roots), "mixed")
     if not mixed.isEmpty():
-        words = row_udf("array<long>", lambda: labelled_words)
         cells = row_udf("binary", lambda: word_cells)
         asked = _text_of(mixed.select("node").distinct(), texts, nodes)
-        several = kept(asked.select("node", words("text").alias("words"), cells("text").alias("cells")), "words")
-        rare = kept(_rare_words(several, similarity), "rare")
-        pairs = kept(_apart(mixed, rare).join(tried, ["node", "leader"], "left_anti"), "pairs")
-        pairs, most = kept(_possible(pairs, several, similarity), "pairs"), 1
+        several = kept(asked.select("node", cells("text").alias("cells")).join(nodes.select("node", "keys"), "node"), "cells")
+        pairs = _apart(mixed, several, similarity).join(tried, ["node", "leader"], "left_anti")
+        pairs, most = kept(pairs, "pairs"), MORE
         place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "leader"))
         while not pairs.isEmpty():
             ranked = kept(pairs.withColumn("_place", place), "pairs")
             likely = ranked.filter(F.col("_place") <= most).select("node", "leader")
             checked = kept(verified(likely, texts, nodes, similarity), "checked")
             found = checked.filter("near").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-            links = links.unionByName(found)
-            roots = kept(connected_components(links), "roots")
+            roots = kept(_joined(roots, found), "roots")
             pairs = kept(_still_apart(ranked.filter(F.col("_place") > most).drop("_place"), roots), "pairs")
             most *= MORE
     named = nodes.select("node", "doc_id").join(roots, "node", "left")
@@ -238,13 +262,20 @@ def word_cells(text: str | None) -> bytes:
     return np.minimum(counts, _FULL).astype(np.uint16).tobytes()
 
 
+def share_and_bound(one: np.ndarray, others: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of counts ``one`` and each column of ``others``: the share of words in common, at most, and whether it is enough."""
+    some = np.flatnonzero(one)
+    shared = np.minimum(others[some], one[some, None]).sum(0, dtype=np.int64)
+    longest = np.maximum(others.sum(0, dtype=np.int64), one.sum(dtype=np.int64))
+    most = ((1 - similarity) * longest + 1e-9).astype(np.int64)
+    full = (others.max(0) == _FULL) | (one.max() == _FULL)  # counts that were too large to tell
+    return shared / np.maximum(longest, 1), (longest - shared <= most) | full
+
+
 def may_be_near(a: bytes, b: bytes, similarity: float = SIMILARITY) -> bool:
     """Whether texts of these counts can share as many words as near texts do."""
     x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
-    if max(x.max(), y.max()) == _FULL:
-        return True  # counts that were too large to tell
-    longest = max(int(x.sum()), int(y.sum()))
-    return longest - int(np.minimum(x, y).sum()) <= most_edits(longest, similarity)
+    return bool(share_and_bound(x, y[:, None], similarity)[1][0])
 
 
 def labelled_words(text: str | None) -> list[int]:
@@ -258,38 +289,63 @@ def labelled_words(text: str | None) -> list[int]:
     return mix(words + earlier * _ODD).astype(np.int64).tolist()
 
 
-def _rare_words(members: DataFrame, similarity: float) -> DataFrame:
-    """``node, word``: of each text the ``limit + 1`` words that fewest texts have."""
-    limit = row_udf("int", lambda: lambda n: most_edits(n, similarity))
-    rows = members.withColumn("_most", limit(F.size("words"))).select("node", "_most", F.explode("words").alias("word"))
-    rarity = rows.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("_n", "word"))
-    ranked = rows.join(rarity, "word").withColumn("_place", place)
-    return ranked.filter(F.col("_place") <= F.col("_most") + 1).select("node", "word")
-
-
-def _apart(mixed: DataFrame, rare: DataFrame) -> DataFrame:
-    """``node, leader, shared``: pairs of one bucket, in different components, that share a rare word.
+def _apart(mixed: DataFrame, several: DataFrame, similarity: float) -> DataFrame:
+    """``node, leader, shared``: pairs of one bucket, in different components, that may be near by their counts.
 
-    Components are paired before their nodes, so that pairs within a large one are never made.
+    A task holds two tiles. A pair is given out once, by the bucket of the least key that its nodes share.
     """
-    group = ["key", "word"]
-    rows = mixed.join(rare, "node")
-    ones = rows.select(*group, F.col("root").alias("_r1")).distinct()
-    roots = ones.join(ones.withColumnRenamed("_r1", "_r2"), group).filter("_r1 < _r2")
-    left = rows.select(*group, F.col("root").alias("_r1"), F.col("node").alias("_x"))
-    right = rows.select(*group, F.col("root").alias("_r2"), F.col("node").alias("_y"))
-    pairs = roots.join(left, [*group, "_r1"]).join(right, [*group, "_r2"])
-    named = pairs.select(F.greatest("_x", "_y").alias("node"), F.least("_x", "_y").alias("leader"))
-    return named.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("shared"))
-
-
-def _possible(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` that may be near by the counts of their words."""
-    check = row_udf("boolean", lambda: lambda a, b: may_be_near(a, b, similarity))
-    left = members.select("node", F.col("cells").alias("_a"))
-    right = members.select(F.col("node").alias("leader"), F.col("cells").alias("_b"))
-    return pairs.join(left, "node").join(right, "leader").filter(check("_a", "_b")).select(*pairs.columns)
+    tiles = mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("_tiles"))
+    dealt = mixed.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("node", "key"), F.col("_tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
+    dealt = dealt.select("node", "key", "root", "tile", other.alias("_other"))
+    both = dealt.join(several, "node").select(
+        "key", F.least("tile", "_other").alias("i"), F.greatest("tile", "_other").alias("j"),
+        "tile", "node", "root", "cells", "keys",
+    )
+
+    def pairs(table: pa.Table) -> pa.Table:
+        key, i, j = (table[c][0].as_py() for c in ("key", "i", "j"))
+        tile = table["tile"].to_numpy()
+        nodes, keys = table["node"].to_pylist(), table["keys"]
+        roots = np.unique(np.array(table["root"].to_pylist(), "V16"), return_inverse=True)[1]
+        cells = np.frombuffer(b"".join(table["cells"].to_pylist()), np.uint16).reshape(-1, CELLS)
+        right = np.flatnonzero(tile == j)
+        columns = np.ascontiguousarray(cells[right].T)
+        sets: dict[int, set] = {}
+
+        def keys_of(x: int) -> set:
+            if x not in sets:
+                sets[x] = set(keys[x].as_py())
+            return sets[x]
+
+        out = []
+        for a in np.flatnonzero(tile == i).tolist():
+            share, near = share_and_bound(cells[a], columns, similarity)
+            near &= roots[right] != roots[a]
+            if i == j:
+                near &= right > a
+            for at in np.flatnonzero(near).tolist():
+                b = int(right[at])
+                if min(keys_of(a) & keys_of(b)) == key:
+                    out.append((max(nodes[a], nodes[b]), min(nodes[a], nodes[b]), float(share[at])))
+        columns_out = list(zip(*out)) or [(), (), ()]
+        kinds = (pa.binary(), pa.binary(), pa.float64())
+        return pa.table([pa.array(c, k) for c, k in zip(columns_out, kinds)], names=["node", "leader", "shared"])
+
+    return both.groupBy("key", "i", "j").applyInArrow(pairs, "node binary, leader binary, shared double")
+
+
+def _joined(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``node, root`` with the components that ``found`` links made one."""
+    left = roots.select(F.col("node").alias("a"), F.col("root").alias("_r1"))
+    right = roots.select(F.col("node").alias("b"), F.col("root").alias("_r2"))
+    ends = found.join(left, "a", "left").join(right, "b", "left")
+    between = ends.select(F.coalesce("_r1", "a").alias("a"), F.coalesce("_r2", "b").alias("b"))
+    went = connected_components(between).select(F.col("node").alias("_from"), F.col("root").alias("_to"))
+    # a node that had no link is its own root
+    alone = went.join(roots, went["_from"] == roots["node"], "left_anti").select(F.col("_from").alias("node"))
+    every = roots.unionByName(alone.withColumn("root", F.col("node")))
+    return every.join(went, F.col("root") == F.col("_from"), "left").select("node", F.coalesce("_to", "root").alias("root"))
 
 
 def _still_apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:

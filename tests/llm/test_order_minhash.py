@@ -148,3 +148,41 @@ def test_filters_keep_every_near_pair():
     assert len(om.labelled_words("a a b")) == len(set(om.labelled_words("a a b"))) == 3
     many = om.word_cells("a " * 70000)
     assert om.may_be_near(many, many) and not om.may_be_near(om.word_cells("a b c d e"), om.word_cells("v w x y z"))
+
+
+def _passage_texts():
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    tails = [[f"t{base}x{i}" for i in range(22)] for base in range(40)]
+    return [" ".join(passage + tail) for tail in tails] + [
+        " ".join(passage + [w if rng.random() > 0.4 else f"u{w}" for w in tail]) for tail in tails
+    ]
+
+
+def test_only_possible_pairs_leave_a_bucket_and_once(spark, monkeypatch):
+    """Unlike texts that share a passage, and so many sketches: rows are the pairs that their words allow."""
+    monkeypatch.setattr(om, "TILE", 7)
+    texts = _passage_texts()
+    names = [bytes([i]) * 16 for i in range(len(texts))]
+    rows = [(names[i], om.sketches(t), om.word_cells(t)) for i, t in enumerate(texts)]
+    several = spark.createDataFrame(rows, "node binary, keys array<long>, cells binary")
+    mixed = [(n, k, names[i // 2]) for i, (n, keys, _) in enumerate(rows) for k in keys]
+    got = om._apart(spark.createDataFrame(mixed, "node binary, key long, root binary"), several, 0.8).collect()
+    want = [
+        (names[j], names[i])
+        for i, j in combinations(range(len(texts)), 2)
+        if i // 2 != j // 2 and set(rows[i][1]) & set(rows[j][1]) and om.may_be_near(rows[i][2], rows[j][2])
+    ]
+    assert sorted((bytes(r["node"]), bytes(r["leader"])) for r in got) == sorted(want)
+    assert 0 < len(want) < len(texts)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bits_equal_table(seed):
+    rng = random.Random(seed)
+    for _ in range(60):
+        a, b = (["abcdefgh"[rng.randrange(2 + 3 * seed)] for _ in range(rng.randrange(1, 90))] for _ in range(2))
+        d = brute.edits(a, b)
+        for limit in (max(d - 1, 0), d, d + 5, 200):
+            want = d if d <= limit else None
+            assert om._distance_by_bits(a, b, limit) == om.edit_distance(a, b, limit) == want
