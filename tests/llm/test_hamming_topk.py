@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +68,38 @@ def test_codes_of_vectors(spark):
     longer = spark.createDataFrame([([1.0] * 65,)], "embedding array<float>")
     with pytest.raises(Exception, match="more than 64 components"):
         longer.select(hk.sign_code("embedding")).collect()
+
+
+@pytest.mark.parametrize("count,share", [(40, 1 << 20), (400, 1 << 20), (400, 64)])
+def test_probes_of_a_share(monkeypatch, count, share):
+    """Pairs met up to a radius, each once: those that have a segment of so few differing bits."""
+    monkeypatch.setattr(hk, "_CELLS", share)
+    rng = random.Random(count)
+    codes = [rng.getrandbits(64) for _ in range(count)]
+    codes += [c ^ (1 << rng.randrange(64)) for c in codes[:20]]
+    parts = hk.segments(count)
+    index = pa.table({"code": [signed(c) for c in codes]})
+    asked = pa.table({"query": [signed(c) for c in codes[:9]], "bound": pa.array([64] * 9, pa.int32())})
+    got = []
+    for radius in range(3):
+        got += hk._probe(parts, radius)(index, asked).to_pylist()
+        near = [
+            (signed(q), signed(c), (q ^ c).bit_count())
+            for q in codes[:9]
+            for c in codes
+            if any(((q ^ c) >> a & (1 << n) - 1).bit_count() <= radius for a, n in parts)
+        ]
+        assert sorted((r["query"], r["code"], r["distance"]) for r in got) == sorted(near)
+
+
+def test_rounds_of_random_codes(spark, monkeypatch):
+    """Every round probes in the tasks; the result is that of a full scan."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, signed(rng.getrandbits(64))) for i in range(3000)], "id long, code long")
+    seen = []
+    probe = hk._probe
+    monkeypatch.setattr(hk, "_probe", lambda parts, radius: seen.append((parts, radius)) or probe(parts, radius))
+    got = sorted(tuple(r) for r in hk.hamming_topk(df, df.filter("id % 300 = 0"), 3).collect())
+    items = [tuple(r) for r in df.collect()]
+    assert got == plain(items, [r for r in items if r[0] % 300 == 0], 3)
+    assert seen and max(radius for _, radius in seen) >= 2
