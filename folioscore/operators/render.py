@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from folioscore.functions.columns import substitute
 
@@ -106,6 +112,66 @@ def html_to_markdown(html: Column | str) -> Column:
     return substitute(F.col(html) if isinstance(html, str) else html, HTML_GROUPS)
 
 
+def _page_parts(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The blocks again in tables of whole pages; step 4 opens a page."""
+    held: list[pa.RecordBatch] = []
+    for batch in blocks:
+        opens = np.flatnonzero(batch.column("_step").to_numpy(zero_copy_only=False) == 4)
+        if len(opens) and (held or opens[-1]):
+            yield pa.Table.from_batches([*held, batch.slice(0, opens[-1])])
+            held = []
+        held.append(batch.slice(opens[-1]) if len(opens) else batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _large(text: str) -> pa.Scalar:
+    return pa.scalar(text, pa.large_string())
+
+
+def _joined(texts: pa.Array, counts: np.ndarray, mark: str) -> pa.Array:
+    """Runs of ``counts`` texts that lie behind each other, each run as one text."""
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), texts), _large(mark))
+
+
+def _page_texts(blocks: pa.Table, header_threshold: float) -> pa.RecordBatch:
+    """Texts of whole pages from their ordered blocks, all pages at once."""
+    step, table, header, other = (
+        blocks.column(c).to_numpy() for c in ("_step", "_table", "_header", "_other_seq")
+    )
+    text = blocks.column("text").cast(pa.large_string()).combine_chunks()
+    starts = np.flatnonzero(step > 0)  # of lines
+    sizes = np.diff(np.append(starts, len(step)))
+    known = text.is_valid()
+    cells = np.add.reduceat(known.to_numpy(zero_copy_only=False).astype(np.int64), starts)
+    lines = _joined(text.filter(known), cells, " | ")
+    rows = table[starts]
+    lines = pc.if_else(pa.array(rows), pc.binary_join_element_wise(_large("| "), lines, _large(" |"), _large("")), lines)
+    share = np.add.reduceat(header.astype(np.int64), starts) / sizes
+    kept = ~rows | (share < header_threshold)
+    # a table row and another line of the same place are ordered by their texts
+    second = np.flatnonzero(step[starts] == 1)
+    if len(second):
+        turned = pc.greater(lines.take(pa.array(second - 1)), lines.take(pa.array(second)))
+        second = second[turned.to_numpy(zero_copy_only=False)]
+        order = np.arange(len(starts))
+        order[second], order[second - 1] = second - 1, second
+        lines, kept = lines.take(pa.array(order)), kept[order]
+    page = np.cumsum(step[starts] == 4)[kept]
+    seq = np.cumsum(other)[starts][kept]
+    first = np.diff(page, prepend=0) > 0
+    same = ~first & (np.diff(seq, prepend=0) == 0)
+    leads = pa.array(["", "\n", "\n\n"], pa.large_string()).take(pa.array(np.where(first, 0, np.where(same, 1, 2))))
+    parts = pc.binary_join_element_wise(leads, lines.filter(pa.array(kept)), _large(""))
+    pages, counts = np.unique(page, return_counts=True)
+    keys = blocks.select(["doc_id", "page_no"]).take(pa.array(np.flatnonzero(step == 4)[pages - 1]))
+    made = _joined(parts, counts, "")
+    return pa.RecordBatch.from_arrays(
+        [*(c.combine_chunks() for c in keys.columns), made], ["doc_id", "page_no", "page_text"]
+    )
+
+
 def linearize_layout(blocks: DataFrame, header_threshold: float = 0.7) -> DataFrame:
     """Text of each page in reading order from its layout blocks.
 
@@ -116,8 +182,9 @@ def linearize_layout(blocks: DataFrame, header_threshold: float = 0.7) -> DataFr
     text of a merged cell stands in its first place only: cells of kind
     ``merged`` are empty.
 
-    One shuffle by page serves both groupings, cells to rows and rows to pages.
-    It is taken before them, as collecting texts shrinks nothing on the map side.
+    The blocks are sorted once, within their pages; blocks that are dealt out by
+    page or document are not shuffled again. Joining the sorted texts goes through
+    Python, many pages at a time.
     """
     kind = F.col("kind")
     text = (
@@ -126,37 +193,33 @@ def linearize_layout(blocks: DataFrame, header_threshold: float = 0.7) -> DataFr
         .when(kind == "merged", F.lit(""))
         .otherwise(F.col("text"))
     )
-    in_table = kind.isin("table", "column_header", "merged")
-    cells = F.sort_array(F.collect_list(F.struct("col_no", text.alias("text"))))
-    joined = F.array_join(F.transform(cells, lambda x: x["text"]), " | ")
-    rows = (
+    order = ["seq", "row_no", "_table", "col_no", "text"]
+    page = Window.partitionBy("doc_id", "page_no").orderBy(*order)
+    seq, row, table = (F.lag(c).over(page).eqNullSafe(F.col(c)) for c in order[:3])
+    # what a block opens: 4 a page, 2 a row, 1 a line of other kind in its place, 0 nothing
+    step = F.when(F.row_number().over(page) == 1, 4).when(~(seq & row), 2).when(~table, 1).otherwise(0)
+    # a missing seq is like no other
+    other = ~seq | F.col("seq").isNull()
+    ordered = (
         blocks.where(kind != "figure")
-        .repartition("doc_id", "page_no")
-        .groupBy("doc_id", "page_no", "seq", "row_no", in_table.alias("_table"))
-        .agg(
-            joined.alias("_joined"),
-            F.avg((kind == "column_header").cast("int")).alias("_header_share"),
-        )
-        .where(~F.col("_table") | (F.col("_header_share") < header_threshold))
         .select(
             "doc_id",
             "page_no",
             "seq",
             "row_no",
-            F.when(F.col("_table"), F.concat(F.lit("| "), "_joined", F.lit(" |")))
-            .otherwise(F.col("_joined"))
-            .alias("line"),
+            "col_no",
+            kind.isin("table", "column_header", "merged").alias("_table"),
+            (kind == "column_header").alias("_header"),
+            text.alias("text"),
         )
+        .withColumns({"_step": step, "_other_seq": other})
+        .sortWithinPartitions("doc_id", "page_no", *order)  # as the window leaves them: no sort of its own
+        .select("doc_id", "page_no", "text", "_table", "_header", "_step", "_other_seq")
     )
-    pages = rows.groupBy("doc_id", "page_no").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "row_no", "line"))).alias("_lines")
-    )
+    keys = [blocks.schema["doc_id"], blocks.schema["page_no"]]
 
-    def part(x: Column, i: Column) -> Column:
-        before = F.get(F.col("_lines"), i - 1)
-        lead = F.when(i == 0, "").when(before["seq"] == x["seq"], "\n").otherwise("\n\n")
-        return F.concat(lead, x["line"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _page_parts(batches):
+            yield _page_texts(part, header_threshold)
 
-    return pages.select(
-        "doc_id", "page_no", F.array_join(F.transform("_lines", part), "").alias("page_text")
-    )
+    return ordered.mapInArrow(run, StructType([*keys, StructField("page_text", StringType())]))

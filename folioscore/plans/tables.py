@@ -171,7 +171,8 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order forms with a page per supplier: title, section, figure, table."""
+    """Order forms with a page per supplier: title, section, figure, table. Lines and heads are dealt out
+    by page before they become blocks, so that blocks, which are many, need no shuffle."""
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"),
         F.col("l_suppkey").cast("int").alias("page_no"),
@@ -202,20 +203,19 @@ def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         block(4, "table", F.col("row_no"), 2, F.col("c2")),
         block(4, "table", F.col("row_no"), 3, F.col("c3")),
     )
-    table_cells = lines.select(
-        F.col("o_orderkey").cast("string").alias("doc_id"), "page_no", F.inline(cells)
-    )
+    doc = F.col("o_orderkey").cast("string").alias("doc_id")
+    dealt = lines.select(doc, *[c for c in lines.columns if c != "o_orderkey"]).repartition("doc_id", "page_no")
+    table_cells = dealt.select("doc_id", "page_no", F.inline(cells))
     heads = F.array(
-        block(1, "title", zero, 0, F.concat(F.lit("Order "), F.col("o_orderkey"))),
+        block(1, "title", zero, 0, F.concat(F.lit("Order "), "doc_id")),
         block(2, "section_header", zero, 0, F.concat(F.lit("Status "), F.col("o_orderstatus"))),
         block(3, "figure", zero, 0, F.lit("logo")),
         block(4, "column_header", zero, 1, F.lit("line")),
         block(5, "text", zero, 0, F.concat(F.lit("Priority "), F.col("o_orderpriority"))),
     )
     per_page = lines.select("o_orderkey", "page_no").distinct()
-    page_heads = per_page.join(orders, "o_orderkey").select(
-        F.col("o_orderkey").cast("string").alias("doc_id"), "page_no", F.inline(heads)
-    )
+    titles = per_page.join(orders, "o_orderkey").select(doc, "page_no", "o_orderstatus", "o_orderpriority")
+    page_heads = titles.repartition("doc_id", "page_no").select("doc_id", "page_no", F.inline(heads))
     return table_cells.unionByName(page_heads)
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscore.operators import convert, render
+from folioscore.plans import tables
 from folioscore.schemas import CHUNKS, ELEMENTS, LAYOUT_BLOCKS, PAGE_RESULTS, UNITS
 
 pytestmark = pytest.mark.unit
@@ -179,6 +180,70 @@ def test_linearize_layout(spark):
     }
 
 
+def test_linearize_layout_of_odd_blocks(spark):
+    rows = [
+        # missing texts are left out, a missing place is a place, parts of one place are joined
+        ("d", 1, 1, "text", 0, 1, None),
+        ("d", 1, 2, "text", 0, 2, "b"),
+        ("d", 1, 2, "text", 0, 1, "a"),
+        ("d", 1, 2, "text", 0, 3, None),
+        ("d", 1, 2, "text", 0, 3, "c"),
+        ("d", 1, 2, "text", 1, 1, "d"),
+        ("d", 1, None, "text", 1, 1, "n1"),
+        ("d", 1, None, "text", 2, 1, "n2"),
+        ("d", 1, None, "table", 2, 1, None),
+        # a table row and a text at one place, by their lines; merged cells are empty
+        ("e", 1, 1, "table", 0, 1, "x"),
+        ("e", 1, 1, "text", 0, 1, "A"),
+        ("e", 1, 2, "text", 0, 1, "~"),
+        ("e", 1, 2, "table", 0, 2, "y"),
+        ("e", 1, 2, "merged", 0, 3, None),
+        ("e", 1, 3, "text", None, 1, "~"),
+        ("e", 1, 3, "column_header", None, 1, "left out"),
+        ("e", 1, 3, "text", 4, 1, "z"),
+        # pages of figures or headers only are none; missing keys are keys; a missing kind is left out
+        ("f", 1, 1, "figure", 0, 0, "logo"),
+        ("f", 2, 1, "column_header", 0, 0, "h"),
+        (None, None, 1, "title", 0, 0, "no key"),
+        (None, None, 1, None, 0, 0, "no kind"),
+        (None, 1, 1, "section_header", 0, 0, None),
+    ]
+    rows += [("g", 1, 1, "table", i, j, f"{i}-{j}") for i in range(40) for j in range(2)] * 2
+    wanted = {
+        ("d", 1): "n1\n\nn2\n\n|  |\n\n\n\na | b | c\nd",
+        ("e", 1): "A\n| x |\n\n| y |  |\n~\n\n~\nz",
+        (None, None): "# no key",
+        (None, 1): "",
+        ("g", 1): "\n".join(f"| {i}-0 | {i}-0 | {i}-1 | {i}-1 |" for i in range(40)),
+    }
+    df = spark.createDataFrame(rows, LAYOUT_BLOCKS).orderBy(F.rand(2))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = spark.conf.get(size)
+    try:
+        for n in ("1", "3", "1000"):  # pages that end within, at and after a batch
+            spark.conf.set(size, n)
+            got = render.linearize_layout(df).collect()
+            assert {(r["doc_id"], r["page_no"]): r["page_text"] for r in got} == wanted and len(got) == len(wanted)
+    finally:
+        spark.conf.set(size, given)
+    assert render.linearize_layout(df.limit(0)).collect() == []
+
+
+def test_linearize_layout_sorts_once_and_its_blocks_are_not_shuffled(spark, tiny):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    alone = plan(render.linearize_layout(spark.createDataFrame([], LAYOUT_BLOCKS)))
+    assert alone.count("Exchange") == 1 and alone.count("Sort ") == 1 and "Aggregate" not in alone
+    dealt = plan(render.linearize_layout(spark.createDataFrame([], LAYOUT_BLOCKS).repartition("doc_id")))
+    assert dealt.count("Exchange") == 1
+    # what is dealt out by page are lines and heads: no exchange is above the two places that make blocks
+    query = plan(render.linearize_layout(tables.layout_blocks(spark, tiny)))
+    before, cells, heads = query.split("Generate inline")
+    assert "Exchange" not in before and "Aggregate" not in before
+    assert cells.count("Exchange") == 1 and "Sort" not in cells.split("Union")[0]
+
+
 @pytest.mark.unit
 def test_missing_page_text_keeps_its_place(spark):
     rows = [("d", 1, "a", "ok"), ("d", 2, None, "ok"), ("d", 3, "c", "ok")]
